@@ -54,6 +54,7 @@ class Tables:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of steps that are over
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
