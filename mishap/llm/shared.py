@@ -84,9 +84,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_bytes(column) -> list:
-    """The UTF-8 bytes of an Arrow string column; nulls stay None."""
+    """The UTF-8 bytes of an Arrow string (or binary) column; nulls stay None."""
     import pyarrow as pa
 
+    if pa.types.is_binary(column.type):
+        return column.to_pylist()
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return column.cast(kind).to_pylist()
 

@@ -6,7 +6,8 @@ with one minimizer is a stretch. Stretches whose minimizer stands at one place o
 stretches are merged with their number; those of a minimizer meet in one Burrows-Wheeler transform
 (mishap.llm.bwt), whose bounded prefix values show which of their strings repeat, and each
 occurrence of a stretch gets its answer back by join. A minimizer with more than HOT different
-stretches is not gathered: its strings are counted one by one with partial sums.
+stretches is not gathered: these are texts of a next round that deals their strings out by longer
+substrings, so that strings apart in some byte part; in the last round a minimizer is a whole string.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from mishap.llm.bwt import repeated
 from mishap.llm.shared import Tables, prepare, table, text_bytes
 
-LEAST, SEED = 200, 32
+LEAST = 200
+#: Length of the substrings that are hashed for minimizers, as a share of LEAST, round by round.
+SEEDS = (0.16, 0.56, 0.8, 1.0)
 #: Bytes of stretches in one transform (more only if one minimizer's stretches have more), and the most stretches of a minimizer there.
 CHUNK_BYTES, HOT = 3 << 20, 1000
 #: Texts are hashed together up to so many bytes.
@@ -113,11 +116,11 @@ def _joined(texts: list[bytes]) -> Iterator[tuple[list[int], np.ndarray, np.ndar
 def _find(least: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows, first, text in _joined([t or b"" for t in text_bytes(batch.column(1))]):
+            for rows, first, text in _joined([t or b"" for t in text_bytes(batch.column(2))]):
                 start, length, low, content, again = stretches(text, least, seed)
                 doc = np.searchsorted(first, start, "right") - 1
-                keys = batch.column(0).take(pa.array(np.array(rows)[doc]))
-                yield pa.RecordBatch.from_arrays([keys, pa.array((start - first[doc]).astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(low), pa.array(content), pa.array(again)], names=["key", "start", "len", "m", "ch", "again"])
+                take = pa.array(np.array(rows)[doc])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((start - first[doc]).astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(low), pa.array(content), pa.array(again)], names=["key", "n", "start", "len", "m", "ch", "again"])
 
     return run
 
@@ -182,32 +185,6 @@ def _transform(least: int, chunk_bytes: int):
     return run
 
 
-def _strings(least: int):
-    """Each string of hot stretches, as two hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pieces = batch.column("piece").to_pylist()
-            for rows, first, text in _joined(pieces):
-                ends = np.append(0, np.cumsum(text == END))
-                at = np.flatnonzero(ends[least:] == ends[:-least])
-                doc = np.searchsorted(first, at, "right") - 1
-                take = pa.array(np.array(rows)[doc])
-                hashes = [pa.array(Rolling(text, s).of(at, at + least).view(np.int64)) for s in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("m", "ch", "len", "n")), pa.array((at - first[doc]).astype(np.int32)), *hashes], names=["m", "ch", "len", "n", "off", "h1", "h2"])
-
-    return run
-
-
-def _runs_of_offsets(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [_runs(np.sort(np.array(x)), least) for x in batch.column("offs").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("m", "ch", "len")), pa.array(out, _RUNS)], names=["m", "ch", "len", "runs"])
-
-    return run
-
-
 def _apply(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,6 +210,39 @@ def _apply(names: list[str]):
     return run
 
 
+def _spans(tables: Tables, source: DataFrame, least: int, hot: int, chunk_bytes: int, level: int = 0) -> DataFrame:
+    """(key, runs) of the rows of source (key, n, text: a text that stands n times) with repeated strings."""
+    last, one, seed = level + 1 == len(SEEDS), ["m", "ch", "len"], max(1, round(SEEDS[level] * least))
+    name = lambda x: f"{x}{level}"
+    every = tables.keep(source.mapInArrow(_find(least, seed), "key binary, n long, start int, len int, m long, ch long, again boolean"), name("every"))
+    again = tables.keep(every.groupBy("m").agg(F.sum("n").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("m"), name("again"))
+    places = tables.keep(every.drop("again").join(again, "m"), name("places"))
+    tables.drop(name("every"))
+    distinct = tables.keep(places.groupBy(*one).agg(F.min(F.struct("key", "start")).alias("at"), F.sum("n").alias("n")), name("distinct"))
+    many = tables.keep(distinct.groupBy("m").count().where(F.col("count") > hot).where(F.lit(not last)).select("m", F.lit(True).alias("hot")), name("many"))
+    chosen = distinct.join(many, "m", "left").select(F.col("at.key").alias("key"), F.struct(*one, F.col("at.start").alias("start"), F.least("n", F.lit(2)).cast("long").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
+    chosen = tables.keep(chosen.groupBy("key").agg(F.collect_list("s").alias("chosen")), name("chosen"))
+    # rows with one key have one text: a stretch that comes twice here has n = 2 anyway
+    pieces = source.select("key", "text").join(chosen, "key").select("text", "chosen")
+    pieces = tables.keep(pieces.mapInArrow(_cut, "m long, ch long, len int, n long, hot boolean, piece binary"), name("pieces"))
+    size = pieces.agg(F.sum("len")).first()[0] or 0
+    parts = max(1, -(-size // (2 * chunk_bytes)), tables.spark.sparkContext.defaultParallelism)
+    cold = pieces.where("not hot").repartition(parts, "m").sortWithinPartitions(*one)
+    found = tables.keep(cold.mapInArrow(_transform(least, chunk_bytes), "m long, ch long, len int, runs array<struct<a:int,b:int>>"), name("found"))
+    if not many.isEmpty():
+        deeper = pieces.where("hot").select(F.encode(F.concat_ws(",", *one), "UTF-8").alias("key"), "n", F.col("piece").alias("text"))
+        parent = F.split(F.decode("key", "UTF-8"), ",")
+        deeper = _spans(tables, deeper, least, hot, chunk_bytes, level + 1)
+        found = found.unionByName(deeper.select(*(parent[i].cast(found.schema[c].dataType).alias(c) for i, c in enumerate(one)), "runs"))
+    found = tables.keep(found.dropDuplicates(one), name("answers"))
+    tables.drop(name("pieces"))
+    runs = places.join(found, one).select("key", "start", F.explode("runs").alias("r"))
+    run = F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b"))
+    out = tables.keep(runs.groupBy("key").agg(F.collect_set(run).alias("runs")), name("spans"))
+    tables.drop(*map(name, ("places", "distinct", "chosen", "found", "answers")))
+    return out
+
+
 def dedup_substrings(docs: DataFrame, least: int = LEAST, hot: int = HOT, chunk_bytes: int = CHUNK_BYTES, keep: list[str] | None = None) -> DataFrame:
     """One row a row of docs: `keep` (doc_id by default), n_bytes, n_removed, n_spans, spans, kept (binary).
 
@@ -242,42 +252,10 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, hot: int = HOT, chunk_
     spark = prepare(docs.sparkSession)
     tables = Tables(spark, "substrings")
     keep = ["doc_id"] if keep is None else keep
-    seed = min(SEED, least)
     key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text")))
     texts = docs.select(*[F.col(c) for c in keep], F.col("text").alias("__text"), key.alias("__key"))
-    one = ["m", "ch", "len"]
-
-    source = texts.where(F.octet_length("__text") >= least).select(F.col("__key").alias("key"), "__text")
-    every = tables.keep(source.mapInArrow(_find(least, seed), "key binary, start int, len int, m long, ch long, again boolean"), "every")
-    again = tables.keep(every.groupBy("m").agg(F.count("*").alias("n"), F.max("again").alias("again")).where("n > 1 or again").select("m"), "again")
-    places = tables.keep(every.drop("again").join(again, "m"), "places")
-    tables.drop("every")
-    distinct = places.groupBy(*one).agg(F.min(F.struct("key", "start")).alias("at"), F.count("*").alias("n"))
-    distinct = tables.keep(distinct, "distinct")
-    many = tables.keep(distinct.groupBy("m").count().where(F.col("count") > hot).select("m", F.lit(True).alias("hot")), "many")
-    chosen = distinct.join(many, "m", "left").select(F.col("at.key").alias("__key"), F.struct(*one, F.col("at.start").alias("start"), F.least("n", F.lit(2)).cast("long").alias("n"), F.coalesce("hot", F.lit(False)).alias("hot")).alias("s"))
-    chosen = tables.keep(chosen.groupBy("__key").agg(F.collect_list("s").alias("chosen")), "chosen")
-    first = texts.where(F.octet_length("__text") >= least).select("__key", "__text").join(chosen, "__key")
-    cut = "m long, ch long, len int, n long, hot boolean, piece binary"
-    # rows that repeat a doc_id and text come twice here; only one of each stretch is kept, with n = 2 at least
-    pieces = first.select("__text", "chosen").mapInArrow(_cut, cut)
-    pieces = tables.keep(pieces, "pieces")
-    size = pieces.agg(F.sum("len")).first()[0] or 0
-    parts = max(1, -(-size // (2 * chunk_bytes)), spark.sparkContext.defaultParallelism)
-    cold = pieces.where("not hot").repartition(parts, "m").sortWithinPartitions(*one)
-    out = "m long, ch long, len int, runs array<struct<a:int,b:int>>"
-    found = tables.keep(cold.mapInArrow(_transform(least, chunk_bytes), out), "found").dropDuplicates(one)
-    if not many.isEmpty():
-        strings = pieces.where("hot").dropDuplicates(one).select(*one, "n", "piece").mapInArrow(_strings(least), "m long, ch long, len int, n long, off int, h1 long, h2 long")
-        strings = tables.keep(strings, "strings")
-        twice = tables.keep(strings.groupBy("h1", "h2").agg(F.sum("n").alias("n")).where("n > 1").drop("n"), "twice")
-        offs = strings.join(twice, ["h1", "h2"]).groupBy(*one).agg(F.collect_list("off").alias("offs"))
-        found = found.unionByName(tables.keep(offs.mapInArrow(_runs_of_offsets(least), out), "found_hot"))
-    tables.drop("pieces")
-    found = tables.keep(found, "answers")
-    spans = places.join(found, one).select("key", "start", F.explode("runs").alias("r"))
-    spans = spans.groupBy("key").agg(F.collect_set(F.struct((F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.b")).alias("b"))).alias("__runs"))
-    spans = tables.keep(spans.withColumnRenamed("key", "__key"), "spans")
+    source = texts.where(F.octet_length("__text") >= least).select(F.col("__key").alias("key"), F.lit(1).cast("long").alias("n"), F.col("__text").alias("text"))
+    spans = _spans(tables, source, least, hot, chunk_bytes).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
     whole = texts.join(spans, "__key", "left").select(*keep, "__text", "__runs")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.select(*keep).schema)
     return whole.mapInArrow(_apply(keep), f"{fields}, n_bytes long, n_removed long, n_spans long, spans array<struct<a:int,b:int>>, kept binary")
