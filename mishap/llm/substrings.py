@@ -185,7 +185,7 @@ def _transform(least: int, chunk_bytes: int):
     return run
 
 
-def _apply(names: list[str]):
+def _apply(names: list[str], as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
@@ -201,10 +201,12 @@ def _apply(names: list[str]):
                 for s in spans:
                     kept.append(text[at : s["a"]])
                     at = s["b"]
-                kept = b"".join([*kept, text[at:]])
-                for column, x in zip(out, (len(text), len(text) - len(kept), len(spans), spans, kept)):
+                kept.append(text[at:])
+                size = sum(map(len, kept))
+                whole = "".join(k.decode("utf-8", "ignore") for k in kept) if as_text else b"".join(kept)
+                for column, x in zip(out, (len(text), len(text) - size, len(spans), spans, whole)):
                     column.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), _RUNS, pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), _RUNS, pa.string() if as_text else pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array(x, type=k) for x, k in zip(out, kinds))], names=[*names, "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     return run
@@ -243,10 +245,11 @@ def _spans(tables: Tables, source: DataFrame, least: int, hot: int, chunk_bytes:
     return out
 
 
-def dedup_substrings(docs: DataFrame, least: int = LEAST, hot: int = HOT, chunk_bytes: int = CHUNK_BYTES, keep: list[str] | None = None) -> DataFrame:
+def dedup_substrings(docs: DataFrame, least: int = LEAST, hot: int = HOT, chunk_bytes: int = CHUNK_BYTES, keep: list[str] | None = None, as_text: bool = False) -> DataFrame:
     """One row a row of docs: `keep` (doc_id by default), n_bytes, n_removed, n_spans, spans, kept (binary).
 
-    spans are the maximal removed runs [a, b); kept is what remains, which may split a character.
+    spans are the maximal removed runs [a, b); kept is what remains, which may split a character
+    (as_text: kept is a string, without what is left of split characters).
     A null text counts as empty; texts under `least` bytes keep all; rows that repeat a doc_id and
     text are copies like any other. Texts are UTF-8, so that byte 0xFF is free as a separator."""
     spark = prepare(docs.sparkSession)
@@ -258,7 +261,7 @@ def dedup_substrings(docs: DataFrame, least: int = LEAST, hot: int = HOT, chunk_
     spans = _spans(tables, source, least, hot, chunk_bytes).select(F.col("key").alias("__key"), F.col("runs").alias("__runs"))
     whole = texts.join(spans, "__key", "left").select(*keep, "__text", "__runs")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in whole.select(*keep).schema)
-    return whole.mapInArrow(_apply(keep), f"{fields}, n_bytes long, n_removed long, n_spans long, spans array<struct<a:int,b:int>>, kept binary")
+    return whole.mapInArrow(_apply(keep, as_text), f"{fields}, n_bytes long, n_removed long, n_spans long, spans array<struct<a:int,b:int>>, kept {'string' if as_text else 'binary'}")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
