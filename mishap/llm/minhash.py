@@ -9,7 +9,7 @@ Large buckets are not expanded into pairs. Each takes as centre the class whose
 largest, which near copies of one text mostly agree with, and proposes centre-member pairs.
 Confirmed links give labels; a bucket of one label is done. In others, the classes outside of the
 commonest label are compared with all classes of other labels, in blocks of bounded size dealt out
-over tasks, of which only survivors of the Bayesian test become rows.
+over tasks, of which only links become rows.
 """
 
 from __future__ import annotations
@@ -41,7 +41,8 @@ class Settings:
     batch: int = 64  # places compared at a time
     miss: float = 1e-4  # a pair is dropped when its chance to be a link is less
     small: int = 8  # buckets of at most so many classes propose all their pairs
-    block: int = 512  # classes in a block of a large bucket
+    block: int = 512  # classes in a block of a large bucket,
+    block_shingles: int = 1 << 20  # and about the most shingles of theirs
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -181,43 +182,71 @@ def _verify(s: Settings):
     return run
 
 
-def _block_survivors(s: Settings):
-    """Pairs of different labels of (key, ob, mb) groups that the Bayesian test lets pass.
+def _shared(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections of sets of a with sets of b, from products of 0-1 matrices of `width` columns."""
+    both = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    places = [[np.searchsorted(both, np.intersect1d(x, both, assume_unique=True)) for x in side] for side in (a, b)]
+    for start in range(0, len(both), width):
+        tables = []
+        for side in places:
+            t = np.zeros((len(side), width), np.float32)
+            for i, x in enumerate(side):
+                t[i, x[np.searchsorted(x, start) : np.searchsorted(x, start + width)] - start] = 1
+            tables.append(t)
+        out += tables[0] @ tables[1].T
+    return out.astype(np.int64)
 
-    Rows come sorted by group: side 0 are classes outside of the commonest label, side 1 all others
-    of the block; pairs within side 0 are made in the group of their two blocks."""
-    steps = least_matches(s)
 
-    def pairs(rows: list[tuple]) -> tuple[list, list]:
+def _block_links(s: Settings):
+    """Links of (key, ob, mb) groups: pairs of different labels that pass the Bayesian test and the full sets.
+
+    Rows come sorted by group: side 0 are classes outside of the commonest label, side 1 all of the
+    block. Of a class's links to one label the first will do, as the label's classes are linked."""
+    steps, percent = least_matches(s), round(100 * s.similarity)
+
+    def links(rows: list[tuple]) -> tuple[list, list]:
         out: tuple[list, list] = ([], [])
         sides = [[r for r in rows if r[3] == k] for k in (0, 1)]
         if not all(sides):
             return out
-        ids, labels = ([[r[k] for r in side] for side in sides] for k in (4, 5))
-        codes = {x: i for i, x in enumerate({*labels[0], *labels[1]})}
+        codes = {x: i for i, x in enumerate({r[5] for r in rows})}
         a, b = (np.frombuffer(b"".join(r[6] for r in side), np.uint16).reshape(len(side), -1) for side in sides)
-        la, lb = (np.array([codes[x] for x in side]) for side in labels)
+        la, lb = (np.array([codes[r[5]] for r in side]) for side in sides)
+        passed = []
         for i in range(len(a)):
             left = np.flatnonzero(lb != la[i])
             done, hits = 0, np.zeros(len(b), np.int64)
             for n, need in steps:
                 hits[left] += (b[left, done:n] == a[i, done:n]).sum(1)
                 left, done = left[hits[left] >= need], n
-            out[0].extend([ids[0][i]] * len(left))
-            out[1].extend(ids[1][j] for j in left.tolist())
+            passed.append(left)
+        rows_a = np.array([i for i, x in enumerate(passed) if len(x)], np.int64)
+        if not len(rows_a):
+            return out
+        rows_b = np.unique(np.concatenate(passed))
+        sets = [[shingles([sides[k][i][7] or b""], s.words)[0] for i in rows] for k, rows in ((0, rows_a), (1, rows_b))]
+        both = _shared(*sets)
+        union = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[1]]) - both
+        for k, i in enumerate(rows_a.tolist()):
+            good = passed[i][(100 * both[k] >= percent * union[k])[np.searchsorted(rows_b, passed[i])]]
+            for j in good[np.unique(lb[good], return_index=True)[1]].tolist():
+                out[0].append(sides[0][i][4])
+                out[1].append(sides[1][j][4])
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             kind = batch.schema.field("id").type
-            for row in zip(*(batch.column(c).to_pylist() for c in ("key", "ob", "mb", "side", "id", "label", "sig"))):
+            columns = [batch.column(c).to_pylist() for c in ("key", "ob", "mb", "side", "id", "label", "sig")]
+            for row in zip(*columns, text_bytes(batch.column("text"))):
                 if held and held[0][:3] != row[:3]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=kind) for x in pairs(held)], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, type=kind) for x in links(held)], names=["a", "b"])
                     held = []
                 held.append(row)
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=kind) for x in pairs(held)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=kind) for x in links(held)], names=["a", "b"])
 
     return run
 
@@ -273,23 +302,26 @@ def _links(tables: Tables, docs: DataFrame, heads: DataFrame, s: Settings) -> Da
     if large.isEmpty():
         return links
     labels = components(tables, links, "early")
-    large = tables.keep(large.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "labelled")
-    each = tables.keep(large.groupBy("key", "label").agg(F.count("*").alias("n")), "each")
-    undone = each.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
-    part = lambda n: F.ceil(n / s.block).cast("int")
-    undone = tables.keep(undone.select("key", F.col("most.label").alias("giant"), part(F.col("n") - F.col("most.n")).alias("obs"), part(F.col("n")).alias("mbs")), "undone")
+    sizes = heads.groupBy("id").agg(F.max("n_shingles").alias("size"))
+    large = large.join(labels, "id", "left").join(sizes, "id").select("key", "id", F.coalesce("label", "id").alias("label"), "size")
+    large = tables.keep(large, "labelled")
+    each = tables.keep(large.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "each")
+    undone = each.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("most")).where("labels > 1")
+    part = lambda n, size: F.ceil(F.greatest(n / s.block, size / s.block_shingles)).cast("int")
+    outside = part(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size"))
+    undone = tables.keep(undone.select("key", F.col("most.label").alias("giant"), outside.alias("obs"), part(F.col("n"), F.col("size")).alias("mbs")), "undone")
     if undone.isEmpty():
         return links
-    rest = large.join(undone, "key").join(sig, "id")
+    rest = large.join(undone, "key").drop("size").join(sig, "id")
+    rest = tables.keep(rest.join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), "rest")
     own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    columns = ["key", "ob", "mb", "side", "id", "label", "sig"]
+    columns = ["key", "ob", "mb", "side", "id", "label", "sig", "text"]
     outside = rest.where("label != giant").withColumn("ob", own(F.col("obs"))).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("mbs") - 1))).withColumn("side", F.lit(0))
     member = rest.withColumn("mb", own(F.col("mbs"))).withColumn("ob", F.explode(F.sequence(F.lit(0), F.col("obs") - 1))).withColumn("side", F.lit(1))
     blocks = outside.select(columns).union(member.select(columns))
     blocks = blocks.repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb")
-    found = blocks.mapInArrow(_block_survivors(s), f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    found = tables.keep(found.distinct().join(passed, ["a", "b"], "left_anti"), "passed_blocks")
-    return links.union(_confirm(tables, docs, found, s, "links_blocks"))
+    found = tables.keep(blocks.mapInArrow(_block_links(s), f"a {kind}, b {kind}").distinct(), "links_blocks")
+    return links.union(found)
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
