@@ -207,7 +207,7 @@ p AS (SELECT *, ceil(n / 25)::INT AS page FROM n) SELECT *, CASE WHEN page = 2 T
     "page_links": "WITH n AS (SELECT greatest(1, ceil(count(DISTINCT lang || '/' || source) / 25))::BIGINT AS n FROM documents) SELECT page, CASE WHEN page <= 1 THEN '/' ELSE '/repos/' || page || '/' END AS href FROM (SELECT unnest(range(1, n + 1)) AS page FROM n)",
     "background_articles": f"""WITH {_RECORDS} SELECT id, CASE WHEN tag IN ('en', 'der', 'fr') THEN tag WHEN {_kebab('code')} IN ('en', 'der', 'fr') THEN {_kebab('code')} END AS article FROM records""",
     "page_entries": f"""WITH {_ENTRIES} SELECT item_id::VARCHAR AS page, i::INT AS pos, (item_id * 40 + i)::VARCHAR AS id, repo FROM (SELECT item_id, unnest(range(20)) AS i FROM benchmark) b JOIN entries e ON e.doc_id = item_id * 40 + i""",
-    "peak_hours": "SELECT event_id, isodow(ts) <= 5 AND hour(ts) >= 6 AND hour(ts) < 10 AS peak, CASE WHEN isodow(ts) <= 5 AND hour(ts) >= 6 AND hour(ts) < 10 THEN epoch_ms(date_trunc('day', ts) + INTERVAL 10 HOUR) - epoch_ms(ts) ELSE 0 END AS ms FROM events",
+    "peak_hours": "SELECT event_id, isodow(ts) <= 5 AND hour(ts) >= 6 AND hour(ts) < 10 AS peak, CASE WHEN isodow(ts) <= 5 AND hour(ts) >= 6 AND hour(ts) < 10 THEN epoch_ms(date_trunc('day', ts) + INTERVAL 10 HOUR) - epoch_us(ts) // 1000 ELSE 0 END AS ms FROM events",
     "identity_reuse": "SELECT doc_id % 3 = 0 AS reuse, count(*) AS n FROM documents GROUP BY 1",
     "upserted_repos": f"""WITH {_REPOS}, c AS (SELECT c_custkey::VARCHAR AS repo, CASE WHEN c_nationkey > 10 THEN c_nationkey END::BIGINT AS error_count FROM customer WHERE c_custkey % 2 = 0)
 SELECT coalesce(r.repo, c.repo) AS repo, analyzed_sha, coalesce(c.error_count, r.error_count) AS error_count FROM r FULL JOIN c ON c.repo = r.repo""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructType
 
 VERSION = 2
 ERROR_TYPES = ["exception", "error_code", "console", "http", "validation", "panic"]
@@ -13,20 +13,52 @@ STRATEGIES = ["try-catch", "type-guard", "validation", "retry", "fallback"]
 REPO_STATUS = ["pending", "analyzing", "analyzed", "failed", "exported"]
 PHASES = ["scope", "discovery", "enrichment", "defense", "cross-linking", "verify", "review"]
 
-ERROR = StructType.fromDDL(
+_SCALARS = {"string": StringType(), "int": IntegerType(), "long": LongType(), "double": DoubleType(), "boolean": BooleanType()}
+
+
+def _parts(text: str, sep: str = ",") -> list[str]:
+    """Parts between separators that aren't inside of <>."""
+    out, depth = [""], 0
+    for c in text:
+        depth += (c == "<") - (c == ">")
+        if c == sep and not depth:
+            out.append("")
+        else:
+            out[-1] += c
+    return [x.strip() for x in out]
+
+
+def _type(text: str) -> DataType:
+    if text.startswith("array<"):
+        return ArrayType(_type(text[6:-1]))
+    if text.startswith("struct<"):
+        return struct_of(text[7:-1], ":")
+    return _SCALARS[text]
+
+
+def struct_of(fields: str, sep: str = " ") -> StructType:
+    """A schema from "name type, ..."; unlike Spark's own it needs no session."""
+    out = StructType()
+    for f in _parts(fields):
+        name, kind = f.split(sep, 1)
+        out = out.add(name, _type(kind.strip()))
+    return out
+
+
+ERROR = struct_of(
     "id string, repo string, slug string, errorCode string, errorMessage string, messagePattern string, errorType string, errorClass string, httpStatus int, severity string, "
     "filePath string, lineNumber int, sourceCode string, sourceCodeStart int, sourceCodeEnd int, githubUrl string, documentation string, triggerScenarios string, commonSituations string, "
     "solutions array<string>, exampleFix string, handlingStrategy string, validationCode string, typeGuard string, tryCatchPattern string, preventionTips array<string>, tags array<string>, "
     "backgroundTag string, analyzedSha string, analyzedAt string, schemaVersion int"
 )
-REPO = StructType.fromDDL("repo string, description string, language string, stars int, sourceFiles int, defaultBranch string, analyzedSha string, analyzedAt string, errorCount int")
-INFO_PAGE = StructType.fromDDL(
+REPO = struct_of("repo string, description string, language string, stars int, sourceFiles int, defaultBranch string, analyzedSha string, analyzedAt string, errorCount int")
+INFO_PAGE = struct_of(
     "slug string, clusterKey string, title string, summary string, background string, commonCauses array<struct<cause:string,detail:string>>, fixes array<string>, guideSlugs array<string>, "
     "errorIds array<string>, errorCount int, repoCount int, generatedAt string, schemaVersion int"
 )
-JOB = StructType.fromDDL("id long, repo string, phase string, status string, started_at long, completed_at long, duration_ms long, analyzed_sha string, error_log string, result string")
-QUEUE = StructType.fromDDL("repo string, priority int, status string, attempts int, solo int, last_error string, updated_at long")
-BATCH = StructType.fromDDL("repo string, sha string, phase string, batch_key string, result string, updated_at long")
+JOB = struct_of("id long, repo string, phase string, status string, started_at long, completed_at long, duration_ms long, analyzed_sha string, error_log string, result string")
+QUEUE = struct_of("repo string, priority int, status string, attempts int, solo int, last_error string, updated_at long")
+BATCH = struct_of("repo string, sha string, phase string, batch_key string, result string, updated_at long")
 
 _SHAPES = {
     "id": ("^[0-9a-f]{16}$", "must be 16 hex digits"),

@@ -12,14 +12,13 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from mishap.functions.text import META_CHUNK, THRESHOLD, TOKEN_SHARDS, WEIGHT_SCALE, shard_name
 from mishap.operators import index as ix
 from mishap.operators.reports import dataset_counts
-from mishap.schema import ERROR, INFO_PAGE, REPO, VERSION, validate_errors, validate_info_pages, validate_repos
+from mishap.schema import ERROR, INFO_PAGE, REPO, VERSION, struct_of, validate_errors, validate_info_pages, validate_repos
 
-ENTRY = StructType.fromDDL("idx long, id string, repo string, slug string, code string, msg string, pattern string, type string, cls string, tags array<string>, sev string")
+ENTRY = struct_of("idx long, id string, repo string, slug string, code string, msg string, pattern string, type string, cls string, tags array<string>, sev string")
 
 
 def analyzed(repos: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
