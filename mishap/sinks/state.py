@@ -43,7 +43,7 @@ def replace_repo_records(spark: SparkSession, root: str, records: DataFrame) ->
     Readers see the versions that the pointer names: the old ones until it is moved, then the new.
     A failed write leaves a folder that no pointer names."""
     version = uuid.uuid4().hex
-    records.repartition("repo").write.partitionBy("repo").parquet(f"{root}/versions/{version}")
+    records.repartition("repo").write.partitionBy("repo").parquet(f"{root}/records/version={version}")
     named = _pointer(root)
     named |= {r.repo: version for r in records.select("repo").distinct().toLocalIterator()}
     _write_whole(f"{root}/current.json", json.dumps(named, sort_keys=True))
@@ -54,10 +54,9 @@ def read_records(spark: SparkSession, root: str, repo: str | None = None) -> Dat
     named = {r: v for r, v in _pointer(root).items() if repo in (None, r)}
     if not named:
         return None
-    pairs = spark.createDataFrame(list(named.items()), "repo string, __v string")
-    base = spark.read.parquet(*(f"{root}/versions/{v}" for v in sorted(set(named.values())))).withColumn("__file", F.col("_metadata.file_path"))
-    rows = base.join(F.broadcast(pairs), "repo").where(F.contains("__file", F.concat(F.lit("/versions/"), "__v", F.lit("/"))))
-    return rows.drop("__file", "__v")
+    pairs = spark.createDataFrame(list(named.items()), "repo string, version string")
+    rows = spark.read.parquet(f"{root}/records")  # by version and repo, so that only folders that are named are read
+    return rows.join(F.broadcast(pairs), ["version", "repo"]).drop("version")
 
 
 def _pointer(root: str) -> dict[str, str]:
