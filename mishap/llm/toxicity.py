@@ -3,9 +3,10 @@
 Tokens that mix letters with look-alike digits or symbols, repeat a letter three times, or spell
 a word letter by letter are lattices: each character may stand for itself, for letters it looks
 like, or (separators, repeats) for nothing, at a cost. Viterbi decoding under a character trigram
-model of all documents picks the likeliest letters. Plain tokens have one path and stay. The
-restored text's words and their beginnings are features of a logistic regression that is fitted
-to a bounded sample of labelled rows.
+model of all documents picks the likeliest letters. Plain tokens have one path and stay. Words of
+the restored text, and their beginnings, that speak for label 1 in a bounded sample of labelled rows
+have a weight of evidence: the log of how much likelier they are in toxic rows. A text's log-odds
+are those of the sample plus each word's weight, the largest of the word and its beginnings.
 """
 
 from __future__ import annotations
@@ -37,14 +38,16 @@ _SPELLED = re.compile(rb"(?<!\S)(?:[a-z0-9@$!|][ .\-_*]){2,}[a-z0-9@$!|](?![^\s.
 #: Symbols of the model: 0 an edge, 1-26 a-z, 27 any other byte of a letter.
 _SYMBOL = np.array([c - 0x60 if 0x61 <= c <= 0x7A else c - 0x40 if 0x41 <= c <= 0x5A else 27 if c >= 0x80 else 0 for c in range(256)])
 N = 28
-SWAP, DROP_REPEAT, DROP_OTHER = 1.5, 0.7, 4.0  # costs in the channel, in nats
+SWAP, DROP_REPEAT, DROP_OTHER = 1.5, 0.7, 9.0  # costs in the channel, in nats
 
 
 @dataclass(frozen=True)
 class Settings:
     sample: int = 8000  # labelled rows learned from, at most: those with the smallest hashes of doc_id
     features: int = 1500
-    seen: int = 4  # toxic rows of the sample that a feature needs
+    seen: int = 4  # toxic rows of the sample that a feature needs, and
+    share: float = 0.01  # the share of them
+    evidence: float = 4.5  # least weight of a feature, in nats
 
 
 def trigrams(texts: Iterable[bytes]) -> np.ndarray:
@@ -142,43 +145,30 @@ class Model:
 
     def logit(self, words: set[bytes]) -> float:
         heads, weight = self.heads, self.weight
-        near = {w for w in words if w[:3] in heads}
-        return self.constant + sum(weight.get(f, 0.0) for f in _features(near))
+        near = [w for w in words if w[:3] in heads]
+        return self.constant + sum(max((weight.get(f, 0.0) for f in _features({w})), default=0.0) for w in near)
 
 
 def fit(rows: Iterable[tuple[set[bytes], int]], s: Settings) -> Model:
-    rows = list(rows)
-    toxic, clean = [w for w, y in rows if y], [w for w, y in rows if not y]
-    base = (len(toxic) + 0.5) / (len(rows) + 1)
-    yes = Counter(f for w in toxic for f in _features(w))
-    yes = {f: n for f, n in yes.items() if n >= s.seen}
+    """A model from (words, label) rows; rows of equal words count once, so that copies don't weigh.
+
+    Words are kept joined, as sets of them would fill the driver."""
+    kept = list({(b" ".join(sorted(w)), y) for w, y in rows})
+    features = lambda joined: _features(set(joined.split()))
+    toxic = sum(y for _, y in kept)
+    clean = len(kept) - toxic
+    yes: Counter = Counter()
+    for w, y in kept:
+        if y:
+            yes.update(features(w))
+    yes = Counter({f: k for f, k in yes.items() if k >= max(s.seen, s.share * toxic)})
     no: Counter = Counter()
-    for w in clean:
-        no.update(f for f in _features(w) if f in yes)
-
-    def gain(f: bytes) -> float:
-        a, b = yes[f], no[f]
-        p = (a + base) / (a + b + 1)
-        return (a * math.log(p / base) + b * math.log(max(1 - p, 1e-9) / (1 - base))) if p > 2 * base else 0.0
-
-    best = sorted((f for f in yes if gain(f) > 6), key=lambda f: (-gain(f), f))[: s.features]
-    place = {f: i for i, f in enumerate(best)}
-    x = np.zeros((len(rows), len(best)), np.float32)
-    y = np.array([v for _, v in rows], np.float32)
-    for i, (w, _) in enumerate(rows):
-        for f in _features(w):
-            if f in place:
-                x[i, place[f]] = 1
-    w, b = np.zeros(len(best), np.float32), math.log(base / (1 - base))
-    m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
-    for t in range(1, 301 if len(best) else 1):  # Adam on the whole sample
-        p = 1 / (1 + np.exp(-(x @ w + b)))
-        g, gb = x.T @ (p - y) / len(rows) + 1e-5 * w, float((p - y).mean())
-        m, v, mb, vb = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
-        k1, k2 = 1 - 0.9**t, 1 - 0.999**t
-        w -= 0.1 * (m / k1) / (np.sqrt(v / k2) + 1e-8)
-        b -= 0.1 * (mb / k1) / (math.sqrt(vb / k2) + 1e-8)
-    return Model({f: float(w[i]) for f, i in place.items()}, b)
+    for w, y in kept:
+        if not y:
+            no.update(f for f in features(w) if f in yes)
+    evidence = {f: math.log((a + 0.5) / (toxic + 1)) - math.log((no[f] + 0.5) / (clean + 1)) for f, a in yes.items()}
+    best = sorted((f for f, e in evidence.items() if e > s.evidence), key=lambda f: (-yes[f] * evidence[f], f))[: s.features]
+    return Model({f: evidence[f] for f in best}, math.log((toxic + 0.5) / (clean + 0.5)))
 
 
 def character_counts(docs: DataFrame) -> np.ndarray:
