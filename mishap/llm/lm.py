@@ -6,9 +6,12 @@ documents. The work is relational: word counts and pair counts by hash partition
 of every document joined to the pairs' values and summed per document.
 
 What a word costs by itself (its backed-off score) is summed first, so that only pairs in the table
-change it: value(v w) = ln c(v w) - ln c(v) - ln(0.4 c(w) / N). The commonest words (a bounded
-number) go out by broadcast, as small numbers that also keep exchanged rows short, and so do the
-commonest pairs: no key with many rows is left for the join. Other words keep 64-bit hashes.
+change it: value(v w) = ln c(v w) - ln c(v) - ln(0.4 c(w) / N). Exploded pairs and their count table
+share one exchange, by hash of the pair: a partition counts its pairs, looks their values up and
+sums them by document. The commonest words (a bounded number) go out by broadcast, as small numbers
+that keep exchanged rows short. So do the counts of commonest pairs, which a sample picks and a
+pass over all documents counts: no pair with many rows is left for the exchange, and the sample
+decides on nothing but the way. Pairs with other words keep 64-bit hashes and join the word counts.
 """
 
 from __future__ import annotations
@@ -26,10 +29,11 @@ from mishap.llm.shared import Tables, prepare, table, text_bytes
 
 BACKOFF, LEAST = 0.4, 2
 #: At most so many words and pairs are broadcast.
-WORDS, PAIRS = 300_000, 100_000
+WORDS, PAIRS, SAMPLE = 400_000, 100_000, 0.02
+#: Exploded pairs in a partition, and bytes of text hashed together.
+ROWS, PIECE = 1_500_000, 1 << 17
 _U = np.uint64
 _BYTES = bytes(0x20 if c == 0x20 or 0x09 <= c <= 0x0D else c for c in range(256))
-_ALONE = -1  # stands for the word before in rows of single words
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -72,10 +76,11 @@ class Common:
         return np.where(self.hashes[i] == h, self.numbers[i], h)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        h, n = np.unique(word_hashes([t or b"" for t in text_bytes(batch.column(0))])[0], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["w", "c"])
+def _hashed(texts: list[bytes | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(rows, word hashes, words of each row) of pieces of the texts."""
+    whole = [t or b"" for t in texts]
+    for part in pieces(whole, PIECE):
+        yield part, *word_hashes([whole[i] for i in part])
 
 
 def _pairs_of(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +89,20 @@ def _pairs_of(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return np.flatnonzero(np.append(False, owner[1:] == owner[:-1])) if len(words) else np.zeros(0, np.int64), owner
 
 
+def _pair_hashes(h: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Hashes (not negative) of pairs of neighbours, given by the place of the second."""
+    v, w = h[second - 1].view(np.uint64), h[second].view(np.uint64)
+    return (_mix(v * _U(0x9E3779B97F4A7C15) + w) >> _U(1)).view(np.int64)
+
+
+def _places(keys: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Places of x in sorted keys, -1 where they aren't."""
+    if not len(keys):
+        return np.full(len(x), -1)
+    at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+    return np.where(keys[at] == x, at, -1)
+
+
 def _threshold(counts: DataFrame, most: int, least: int) -> int:
     """The smallest count, from `least` on, that at most `most` rows reach."""
     total, at = 0, None
@@ -96,7 +115,7 @@ def _threshold(counts: DataFrame, most: int, least: int) -> int:
     return at or 1 << 62
 
 
-def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, most_words: int = WORDS, most_pairs: int = PAIRS) -> DataFrame:
+def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, most_words: int = WORDS, most_pairs: int = PAIRS, sample: float = SAMPLE) -> DataFrame:
     """One row a row of docs: doc_id, n_words, log_score (sum of ln S), mean_log_score.
 
     Words are runs without ASCII white space of whole texts. Null and wordless texts have n_words
@@ -108,101 +127,124 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST
     texts = docs.select("text")
     keyed = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
-    words = tables.keep(texts.mapInArrow(_count_words, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "words")
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, h, n in _hashed(text_bytes(batch.column(0))):
+                yield pa.RecordBatch.from_arrays([pa.array(_pair_hashes(h, _pairs_of(h, n)[0]))], names=["pair"])
+
+    picked = tables.keep(texts.sample(sample, seed=1).mapInArrow(sampled, "pair long").groupBy("pair").agg(F.count("*").alias("c")), "picked")
+    keys = np.sort(picked.where(F.col("c") >= _threshold(picked, most_pairs, least)).select("pair").toPandas()["pair"].to_numpy(np.int64))
+    sent_keys = spark.sparkContext.broadcast(keys)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words by hash (negative), picked pairs by place."""
+        keys = sent_keys.value
+        sums = np.zeros(len(keys), np.int64)
+        for batch in batches:
+            found = []
+            for _, h, n in _hashed(text_bytes(batch.column(0))):
+                found.append(h)
+                at = _places(keys, _pair_hashes(h, _pairs_of(h, n)[0]))
+                sums += np.bincount(at[at >= 0], minlength=len(keys))
+            if found:
+                h, n = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], names=["w", "c"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(sums)), pa.array(sums[sums > 0])], names=["w", "c"])
+
+    counted = tables.keep(texts.mapInArrow(count, "w long, c long").groupBy("w").agg(F.sum("c").alias("c")), "counted")
+    words = counted.where("w < 0")
     total = words.agg(F.sum("c")).first()[0] or 0
     top = words.where(F.col("c") >= _threshold(words, most_words, 1)).toPandas()
     common = Common(top["w"].to_numpy(np.int64), top["c"].to_numpy(np.int64))
     sent = spark.sparkContext.broadcast(common)
-
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            all_texts = [t or b"" for t in text_bytes(batch.column(0))]
-            for part in pieces(all_texts, 1 << 21):
-                h, n = word_hashes([all_texts[i] for i in part])
-                w, (second, _) = sent.value.number(h), _pairs_of(h, n)
-                yield pa.RecordBatch.from_arrays([pa.array(w[second - 1]), pa.array(w[second])], names=["v", "w"])
-
-    pairs = texts.mapInArrow(count_pairs, "v long, w long").groupBy("v", "w").agg(F.count("*").alias("c")).where(F.col("c") >= least)
-    pairs = tables.keep(pairs, "pairs")
+    del top, common
+    heavy = np.zeros(len(keys), np.int64)
+    exact = counted.where("w >= 0").toPandas()  # at most most_pairs
+    heavy[exact["w"].to_numpy(np.int64)] = exact["c"].to_numpy(np.int64)
+    sent_counts = spark.sparkContext.broadcast(heavy)
 
     def alone(c):
         return np.log(backoff * c / total)
 
-    def value(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sent.value.counts
-        for batch in batches:
-            v, w, c = (batch.column(k).to_numpy() for k in range(3))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.log(c) - np.log(counts[v]) - alone(counts[w]))], names=["v", "w", "c", "x"])
-
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(sent.value.number(batch.column(0).to_numpy())), batch.column(1)], names=["w", "c"])
 
-    known = tables.keep(pairs.where("v >= 0 and w >= 0").mapInArrow(value, "v long, w long, c long, x double"), "known")
-    cut = _threshold(known, most_pairs, least)
-    heavy = known.where(F.col("c") >= cut).select("v", "w", "x").toPandas()
-    packed = heavy["v"].to_numpy(np.int64) << 32 | heavy["w"].to_numpy(np.int64)
-    by = np.argsort(packed)
-    sent_pairs = spark.sparkContext.broadcast((packed[by], heavy["x"].to_numpy(np.float64)[by]))
+    def value(pair: np.ndarray, c: np.ndarray) -> np.ndarray:
+        counts = sent.value.counts
+        return np.where(c >= least, np.log(np.maximum(c, 1)) - np.log(counts[pair >> 32]) - alone(counts[pair & 0xFFFFFFFF]), 0.0)
 
-    counts = tables.keep(words.mapInArrow(numbered, "w long, c long"), "counts")
-    single = F.log(F.lit(backoff) * F.col("c") / F.lit(float(total)))
-    rare = pairs.where("v < 0 or w < 0").withColumnRenamed("c", "pair")
-    rare = rare.join(counts.select(F.col("w").alias("v"), F.col("c").alias("cv")), "v").join(counts, "w")
-    rare = rare.select("v", "w", (F.log("pair") - F.log("cv") - single).alias("x"))
-    values = known.where(F.col("c") < cut).select("v", "w", "x").union(rare).union(counts.where("w < 0").select(F.lit(_ALONE).cast("long").alias("v"), "w", single.alias("x")))
-    values = tables.keep(values, "values")
-    tables.drop("pairs", "known", "words")
-
-    def looked_up(v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether the pair is a broadcast one, its value or 0)."""
-        keys, xs = sent_pairs.value
-        if not len(keys):
-            return np.zeros(len(v), bool), np.zeros(len(v))
-        k = np.where((v >= 0) & (w >= 0), v << 32 | w, -1)
-        i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-        hit = keys[i] == k
-        return hit, np.where(hit, xs[i], 0.0)
-
-    def open_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of common words that aren't broadcast, and per text two rows of a negative pair: an even
+        one with what is known of the score, an odd one with the number of words."""
+        keys, counts = sent_keys.value, sent.value.counts
         for batch in batches:
-            all_texts = [t or b"" for t in text_bytes(batch.column(1))]
-            keys = batch.column(0).to_numpy()
-            for part in pieces(all_texts, 1 << 21):
-                h, n = word_hashes([all_texts[i] for i in part])
-                w = sent.value.number(h)
+            ids = batch.column(0).to_numpy()
+            for part, h, n in _hashed(text_bytes(batch.column(1))):
+                w, own = sent.value.number(h), ids[np.array(part)]
                 second, owner = _pairs_of(h, n)
-                hit, _ = looked_up(w[second - 1], w[second])
-                second, rare = second[~hit], np.flatnonzero(w < 0)
-                own = keys[np.array(part)]
-                columns = (own[owner[np.append(second, rare)]], np.append(w[second - 1], np.full(len(rare), _ALONE)), w[np.append(second, rare)])
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "v", "w"])
-
-    def closed_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                x = alone(counts[np.maximum(w, 0)]) if len(counts) else np.zeros(len(w))
+                x = np.where(w >= 0, x, math.log(backoff / total) if total else 0.0)  # ln c of other words comes by join
+                first = np.ones(len(w), bool)
+                first[second] = False
+                x[first] -= math.log(backoff)
+                both = second[(w[second - 1] >= 0) & (w[second] >= 0)]
+                pair = w[both - 1] << 32 | w[both]
+                at = _places(keys, _pair_hashes(h, both))
+                if len(keys):
+                    x[both] += np.where(at >= 0, value(pair, sent_counts.value[at]), 0.0)
+                left = np.flatnonzero(at < 0)
+                known = (own & ~np.int64(1)) | np.int64(-1 << 63)
+                columns = (np.concatenate([own[owner[both[left]]], own, own]), np.concatenate([pair[left], known, known | np.int64(1)]), np.concatenate([np.zeros(len(left)), np.bincount(owner, x, len(part)), n]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "pair", "x"])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [tuple(b.column(c).to_numpy() for c in range(3)) for b in batches]
+        if held:
+            ids, pair, x = (np.concatenate(c) for c in zip(*held))
+            open_, size = pair >= 0, (pair < 0) & (pair & 1 == 1)
+            _, at, c = np.unique(pair[open_], return_inverse=True, return_counts=True)
+            x = x.copy()
+            x[open_] = value(pair[open_], c[at])
+            some = np.flatnonzero(~open_ | (x != 0))
+            for i in range(0, len(some), 100_000):
+                part = some[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[part]), pa.array(np.where(size[part], 0.0, x[part])), pa.array(np.where(size[part], x[part], 0.0).astype(np.int64))], names=["key", "x", "n"])
+
+    parts = max(spark.sparkContext.defaultParallelism, -(-total // ROWS))
+    sums = keyed.select("key", "text").mapInArrow(explode, "key long, pair long, x double").repartition(parts, "pair")
+    sums = tables.keep(sums.mapInArrow(solve, "key long, x double, n long").groupBy("key").agg(F.sum("x").alias("x"), F.sum("n").alias("n")), "sums")
+
+    def explode_other(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Other words, each with a null before it, and pairs with another word in them."""
         for batch in batches:
-            all_texts = [t or b"" for t in text_bytes(batch.column(2))]
-            out, sizes = np.zeros(len(all_texts)), np.zeros(len(all_texts), np.int64)
-            for part in pieces(all_texts, 1 << 21):
-                h, n = word_hashes([all_texts[i] for i in part])
-                rows = np.array(part)
-                sizes[rows] = n
-                if len(h):
-                    w = sent.value.number(h)
-                    second, owner = _pairs_of(h, n)
-                    x = np.where(w >= 0, alone(sent.value.counts[np.maximum(w, 0)]) if len(sent.value.counts) else 0.0, 0.0)
-                    x[second] += looked_up(w[second - 1], w[second])[1]
-                    first = np.setdiff1d(np.arange(len(w)), second, assume_unique=True)
-                    x[first] -= math.log(backoff)
-                    out[rows] = np.bincount(owner, x, len(part))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes), pa.array(out)], names=["doc_id", "key", "n_words", "base"])
-
-    rows = keyed.select("key", "text").mapInArrow(open_rows, "key long, v long, w long")
-    sums = tables.keep(rows.join(values, ["v", "w"]).groupBy("key").agg(F.sum("x").alias("x")), "sums")
-    base = tables.keep(keyed.mapInArrow(closed_sums, f"doc_id {kind}, key long, n_words long, base double"), "base")
+            ids = batch.column(0).to_numpy()
+            for part, h, n in _hashed(text_bytes(batch.column(1))):
+                w, own = sent.value.number(h), ids[np.array(part)]
+                second, owner = _pairs_of(h, n)
+                rare, pairs = np.flatnonzero(w < 0), second[(w[second - 1] < 0) | (w[second] < 0)]
+                v = pa.array(np.append(np.zeros(len(rare), np.int64), w[pairs - 1]), mask=np.append(np.ones(len(rare), bool), np.zeros(len(pairs), bool)))
+                at = np.append(rare, pairs)
+                yield pa.RecordBatch.from_arrays([pa.array(own[owner[at]]), v, pa.array(w[at])], names=["key", "v", "w"])
+
+    other = tables.keep(keyed.select("key", "text").mapInArrow(explode_other, "key long, v long, w long"), "other")
+    pairs = other.where("v is not null")
+    twice = tables.keep(pairs.groupBy("v", "w").agg(F.count("*").alias("c")).where(F.col("c") >= least), "twice")
+    found = tables.keep(pairs.join(twice, ["v", "w"]), "found")
+    # coef times ln c(word), and what is known of the pair
+    terms = other.where("v is null").select("key", "w", F.lit(1.0).alias("coef"))
+    terms = terms.union(found.select("key", "v", F.lit(-1.0))).union(found.select("key", "w", F.lit(-1.0)))
+    counts = tables.keep(words.mapInArrow(numbered, "w long, c long"), "counts")
+    terms = terms.join(counts, "w").select("key", (F.col("coef") * F.log("c")).alias("x"))
+    known = found.select("key", (F.log("c") - math.log(backoff / total if total else 1.0)).alias("x"))
+    rest = tables.keep(terms.union(known).groupBy("key").agg(F.sum("x").alias("rest")), "rest")
+
+    base = tables.keep(keyed.select("doc_id", "key"), "base")
     copies = base.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
-    out = base.join(sums, "key", "left").join(copies, "key", "left")
-    score = F.col("base") + F.coalesce("x", F.lit(0.0)) / F.coalesce("copies", F.lit(1))
-    return out.select("doc_id", "n_words", score.alias("log_score"), F.when(F.col("n_words") > 0, score / F.col("n_words")).alias("mean_log_score"))
+    out = base.join(sums, "key", "left").join(rest, "key", "left").join(copies, "key", "left")
+    times = F.coalesce("copies", F.lit(1))
+    score, n = (F.coalesce("x", F.lit(0.0)) + F.coalesce("rest", F.lit(0.0))) / times, (F.coalesce("n", F.lit(0)) / times).cast("long")
+    return out.select("doc_id", n.alias("n_words"), score.alias("log_score"), F.when(n > 0, score / n).alias("mean_log_score"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
