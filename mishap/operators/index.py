@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,25 @@ def meta_chunks(entries: DataFrame) -> DataFrame:
     return entries.withColumn("chunk", F.floor(F.col("idx") / META_CHUNK).cast("long"))
 
 
+@dataclass
+class Prepared:
+    """What searches read of an index. Kept in memory or on disk; a lost part is made again from its inputs."""
+
+    entries: DataFrame
+    tokens: DataFrame
+    weighted: DataFrame
+    n: DataFrame
+
+
+def prepare(entries: DataFrame | Prepared) -> Prepared:
+    """The parts of the index that searches share, computed once for all of them."""
+    if isinstance(entries, Prepared):
+        return entries
+    entries = entries.persist()
+    tokens, n = postings(entries).persist(), entry_count(entries)
+    return Prepared(entries, tokens, weights(tokens, n).persist(), n)
+
+
 def build(entries: DataFrame) -> dict[str, DataFrame]:
     """All parts of the index of entries (idx, id, repo, code, msg, ...), by name."""
     tokens, n = postings(entries), entry_count(entries)
