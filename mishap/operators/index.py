@@ -74,6 +74,7 @@ class Prepared:
     entries: DataFrame
     tokens: DataFrame
     weighted: DataFrame
+    sizes: DataFrame
     n: DataFrame
 
 
@@ -83,7 +84,10 @@ def prepare(entries: DataFrame | Prepared) -> Prepared:
         return entries
     entries = entries.persist()
     tokens, n = postings(entries).persist(), entry_count(entries)
-    return Prepared(entries, tokens, weights(tokens, n).persist(), n)
+    weighted = weights(tokens, n).persist()
+    square = F.sum(F.col("idf") * F.col("idf"))
+    sizes = tokens.join(weighted, "token").groupBy("idx").agg(F.sum("idf").alias("we"), round_half_up(F.sqrt(square) * WEIGHT_SCALE).cast("long").alias("norm"))
+    return Prepared(entries, tokens, weighted, sizes.persist(), n)
 
 
 def build(entries: DataFrame) -> dict[str, DataFrame]:
