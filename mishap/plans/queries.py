@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from mishap.functions import rules, text
 from mishap.operators import assemble, cluster, extract, index, jobs, queue, regions, reports, rescan, search, verify
 from mishap.plans import views
-from mishap.schema import validate_errors
-from mishap.sinks import state
+from mishap.sinks import feeds, state
 from mishap.sources import payloads
 
 NOW = 200_000_000  # the clock of queries on queues, in ms
@@ -406,3 +405,70 @@ def extract_sites(spark, d):
 @query
 def extract_json(spark, d):
     return payloads.extract_json(views.raw_answers(spark, d)).select("conv_id", "turn", "json", "error")
+
+
+@query
+def phases_done(spark, d):
+    return jobs.is_done(views.jobs(spark, d).withColumn("analyzed_sha", F.lit("s")), "s")
+
+
+@query
+def guide_counts(spark, d):
+    pages = views.table(spark, d, "benchmark").select(F.concat(F.lit("p"), F.col("item_id").cast("string")).alias("slug"), F.length("text").alias("errorCount"))
+    return reports.guide_counts(reports.guide_matches(_pages(spark, d)), pages)
+
+
+@query
+def content_keys(spark, d):
+    e = views.table(spark, d, "events")
+    return e.select("event_id", text.content_key(F.col("event_type"), F.when(F.col("user_id") % 2 == 0, F.col("user_id")), F.col("props")).alias("key"))
+
+
+@query
+def sitemap_lines(spark, d):
+    r = views.entries(spark, d).select("doc_id", F.concat("repo", F.lit("&x")).alias("repo"), "slug", F.lit("2026-07-14T00:00:00Z").alias("analyzedAt"))
+    return feeds.repo_sitemap(r, "https://example.org").groupBy("line").agg(F.count("*").alias("n"))
+
+
+@query
+def tree_lines(spark, d):
+    counts = extract.tree_counts(views.trees(spark, d), most_dirs=10_000, cap=2)
+    return extract.render_tree(counts, suspect=2)
+
+
+@query
+def host_faults(spark, d):
+    said = F.element_at(F.array(*map(F.lit, ["EAGAIN again", "xEMFILE", "HTTP 429", "no space left on DEVICE", "rate-limit hit", "fine"])), (F.col("event_id") % 6 + 1).cast("int"))
+    return views.table(spark, d, "events").select("event_id", rules.is_host_fault(said).alias("host"), rules.is_rate_limit(said).alias("patience"))
+
+
+@query
+def repo_metadata(spark, d):
+    body = F.to_json(F.struct(F.when(F.col("doc_id") % 2 == 0, F.col("source")).alias("description"), F.col("lang").alias("language"), F.col("n_chars").alias("stargazers_count")))
+    m = payloads.repo_meta(F.when(F.col("doc_id") % 7 == 0, "[no").otherwise(body))
+    return views.table(spark, d, "documents").select("doc_id", m.alias("m")).select("doc_id", "m.*")
+
+
+@query
+def run_comparison(spark, d):
+    return reports.compare_runs(quality_report(spark, d), ["de", "en"]).where("metric in ('records', 'withCode', 'shortDocs', 'withSource', 'withDefense')")
+
+
+@query
+def checkpointed_batches(spark, d):
+    e = views.table(spark, d, "events").select(F.col("user_id").cast("string").alias("repo"), F.when(F.col("event_id") % 4 == 0, "old").otherwise("new").alias("sha"), F.col("event_type").alias("phase"), F.col("event_id").cast("string").alias("batch_key"), F.lit("a").alias("result"), F.col("event_id").alias("updated_at"))
+    fresh = e.where("sha = 'new' and updated_at % 3 = 0 and repo != '1'").withColumn("result", F.lit("b"))
+    return state.put_batch(e, fresh, "new").groupBy("repo", "sha", "result").agg(F.count("*").alias("n"))
+
+
+@query
+def record_markdown(spark, d):
+    r = _assembled(spark, d).withColumn("exampleFix", F.when(F.col("lineNumber") == 1, "fix()"))
+    return r.select("id", F.md5(feeds.markdown()).alias("markdown"))
+
+
+@query
+def declared_names(spark, d):
+    line = F.concat(F.when(F.col("doc_id") % 2 == 0, "export const "), F.col("source"), F.when(F.col("doc_id") % 3 == 0, " := x").otherwise(" == x"))
+    rows = views.table(spark, d, "documents").select("doc_id", extract.declared_name(F.coalesce(line, F.concat("source", F.lit("Err = y")))).alias("n"))
+    return rows.select("doc_id", F.col("n.name").alias("name"), F.col("n.exported").alias("exported"))

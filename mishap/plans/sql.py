@@ -213,4 +213,24 @@ p AS (SELECT *, ceil(n / 25)::INT AS page FROM n) SELECT *, CASE WHEN page = 2 T
 SELECT coalesce(r.repo, c.repo) AS repo, analyzed_sha, coalesce(c.error_count, r.error_count) AS error_count FROM r FULL JOIN c ON c.repo = r.repo""",
     "change_marker": f"WITH {_REPOS} SELECT max(analyzed_at) AS analyzed_at, count(*) AS repos, (SELECT max(event_id) FROM events) AS pages_at FROM r WHERE analyzed_sha IS NOT NULL",
     "pending_work": f"WITH {_QUEUE} SELECT count(*) AS pending FROM q WHERE status IN ('queued', 'running')",
+    "phases_done": f"WITH {_JOBS} SELECT repo, phase, status = 'success' AS done FROM jobs QUALIFY row_number() OVER (PARTITION BY repo, phase ORDER BY started_at DESC, id DESC) = 1",
+    "guide_counts": f"WITH {_GUIDES} SELECT 'guide' AS kind, guide AS slug, count(*) AS n FROM m GROUP BY guide UNION ALL SELECT 'info', 'p' || item_id, length(text) FROM benchmark",
+    "content_keys": "SELECT event_id, sha1(event_type || chr(1) || CASE WHEN user_id % 2 = 0 THEN user_id::VARCHAR ELSE '' END || chr(1) || coalesce(props, '')) AS key FROM events",
+    "sitemap_lines": f"""WITH {_ENTRIES}, l AS (SELECT '  <url><loc>https://example.org/' || repo || '&amp;x/' || {_slug('coalesce(code, msg)')} || '/</loc><lastmod>2026-07-14</lastmod></url>' AS line FROM entries) SELECT line, count(*) AS n FROM l GROUP BY line""",
+    "tree_lines": f"""WITH {_FILES}, x AS (SELECT unnest(range(1, least(3, len(p) - 1) + 1)) AS depth, p FROM t WHERE len(p) > 1 AND {_SEEN}), c AS (SELECT array_to_string(p[1:depth], '/') AS path, depth, count(*) AS n FROM x GROUP BY ALL)
+SELECT path, repeat('  ', depth - 1) || path || '/ (' || least(n, 2) || CASE WHEN n > 2 THEN '+' ELSE '' END || ' source files)' || CASE WHEN n >= 2 THEN ' [SUSPECT: unusually large, vendored or generated code?]' ELSE '' END AS line FROM c""",
+    "host_faults": "SELECT event_id, event_id % 6 IN (0, 3) AS host, event_id % 6 IN (2, 4) AS patience FROM events",
+    "repo_metadata": """SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND doc_id % 7 <> 0 THEN source END AS description, CASE WHEN doc_id % 7 <> 0 THEN lang END AS language, CASE WHEN doc_id % 7 <> 0 THEN n_chars END AS stars, CASE WHEN doc_id % 7 <> 0 THEN 'main' END AS "defaultBranch" FROM documents""",
+    "run_comparison": f"""WITH q AS (SELECT lang, count(*) AS records, count({_code('text')}) AS a, count(*) FILTER (length(text) < 100) AS b, count(*) FILTER (toxic = 0) AS c, count(*) FILTER (toxic = 1) AS d FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang),
+m AS (SELECT lang, unnest(['records', 'withCode', 'shortDocs', 'withSource', 'withDefense']) AS metric, unnest([records::VARCHAR] || list_transform([a, b, c, d], lambda x: floor(x * 100 / records + 0.5)::BIGINT || '%')) AS v FROM q)
+SELECT metric, max(v) FILTER (lang = 'de') AS de, max(v) FILTER (lang = 'en') AS en FROM m GROUP BY metric""",
+    "checkpointed_batches": """WITH e AS (SELECT user_id::VARCHAR AS repo, CASE WHEN event_id % 4 = 0 THEN 'old' ELSE 'new' END AS sha, event_id FROM events), f AS (SELECT * FROM e WHERE sha = 'new' AND event_id % 3 = 0 AND repo <> '1')
+SELECT repo, sha, CASE WHEN event_id IN (SELECT event_id FROM f) THEN 'b' ELSE 'a' END AS result, count(*) AS n FROM e WHERE sha = 'new' OR repo NOT IN (SELECT repo FROM f) GROUP BY ALL""",
+    "record_markdown": f"""WITH {_MADE} SELECT id, md5('# ' || substr(text, 1, 80) || chr(10) || chr(10) || '**Repo:** ' || repo || chr(10) || '**Message:** `' || text || '`' || chr(10) || '**Severity:** ' || CASE WHEN bad THEN 'fatal' ELSE 'error' END || chr(10) || chr(10)
+|| '## What it means' || chr(10) || 'Error "' || text || '" is raised in ' || repo || '.' || chr(10) || chr(10) || CASE WHEN line = 1 THEN '## Example fix' || chr(10) || '```' || chr(10) || 'fix()' || chr(10) || '```' || chr(10) || chr(10) ELSE '' END
+|| CASE WHEN defended THEN '## Defensive pattern' || chr(10) || 'Strategy: retry' || chr(10) || 'Prevention: check' || chr(10) || chr(10) ELSE '' END
+|| 'Source: https://github.com/' || repo || '/blob/' || sha1(regexp_extract(repo, '/(.*)$', 1)) || '/f' || doc_id || CASE WHEN s IS NOT NULL AND e <> s THEN '#L' || s || '-L' || e WHEN s IS NOT NULL THEN '#L' || s ELSE '' END || chr(10)
+|| 'Analyzed: ' || repo || '@' || substr(sha1(regexp_extract(repo, '/(.*)$', 1)), 1, 10) || ' on 2024-01-02') AS markdown FROM checked""",
+    "declared_names": """WITH l AS (SELECT doc_id, source, CASE WHEN doc_id % 2 = 0 THEN 'export const ' || source || CASE WHEN doc_id % 3 = 0 THEN ' := x' ELSE ' == x' END ELSE source || 'Err = y' END AS line FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN source || 'Err' WHEN doc_id % 3 = 0 THEN source END AS name, CASE WHEN doc_id % 2 = 1 OR doc_id % 3 = 0 THEN false END AS exported FROM l""",
 }
