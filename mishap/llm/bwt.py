@@ -102,20 +102,21 @@ def bounded_boundaries(text: np.ndarray, order: np.ndarray, least: int) -> np.nd
     return found
 
 
-def repeated(text: np.ndarray, least: int, weight: np.ndarray | None = None, sure: np.ndarray | None = None) -> np.ndarray:
+def repeated(text: np.ndarray, least: int, weight: np.ndarray | int, sure: np.ndarray) -> np.ndarray:
     """By position: whether the `least` bytes that start there start elsewhere too.
 
-    weight: times that the position stands for (1 without it). sure: only where this holds do
-    positions count (those whose strings don't reach over a separator)."""
+    weight: times that the position stands for. sure: positions that count, those whose strings
+    hold no 0xFF: that byte is a separator, and one is set behind the text, since a transform
+    takes it for a circle and only strings over its seam may be out of order."""
     n = len(text)
     out = np.zeros(n, bool)
     if n == 0:
         return out
-    order = sorted_suffixes(text, least)
-    start = np.flatnonzero(bounded_boundaries(text, order, least))
-    ones = np.ones(n, np.int64) if weight is None else weight
-    if sure is not None:
-        ones = np.where(sure, ones, 0)
-    times = np.add.reduceat(ones[order], start)
-    out[order] = np.repeat(times > 1, np.diff(np.append(start, n)))
-    return out if sure is None else out & sure
+    closed = np.append(text, np.uint8(0xFF))
+    order = sorted_suffixes(closed, least)
+    start = np.flatnonzero(bounded_boundaries(closed, order, least))
+    counted = np.append(np.where(sure, weight, 0), 0)
+    times = np.add.reduceat(counted[order], start)
+    found = np.empty(n + 1, bool)
+    found[order] = np.repeat(times > 1, np.diff(np.append(start, n + 1)))
+    return found[:n] & sure

@@ -27,9 +27,9 @@ LEAST = 200
 #: Length of the substrings that are hashed for minimizers, as a share of LEAST, round by round.
 SEEDS = (0.16, 0.56, 0.8, 1.0)
 #: Bytes of stretches in one transform (more only if one minimizer's stretches have more), and the most stretches of a minimizer there.
-CHUNK_BYTES, HOT = 3 << 20, 1000
+CHUNK_BYTES, HOT = 1 << 20, 1000
 #: Texts are hashed together up to so many bytes.
-TEXT_BYTES = 2 << 20
+TEXT_BYTES = 1 << 19
 END = 0xFF  # no byte of UTF-8
 _U = np.uint64
 _BASE = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F]
@@ -228,7 +228,7 @@ def _spans(tables: Tables, source: DataFrame, least: int, hot: int, chunk_bytes:
     pieces = source.select("key", "text").join(chosen, "key").select("text", "chosen")
     pieces = tables.keep(pieces.mapInArrow(_cut, "m long, ch long, len int, n long, hot boolean, piece binary"), name("pieces"))
     size = pieces.agg(F.sum("len")).first()[0] or 0
-    parts = max(1, -(-size // (2 * chunk_bytes)), tables.spark.sparkContext.defaultParallelism)
+    parts = max(1, -(-size // (8 * chunk_bytes)), tables.spark.sparkContext.defaultParallelism)
     cold = pieces.where("not hot").repartition(parts, "m").sortWithinPartitions(*one)
     found = tables.keep(cold.mapInArrow(_transform(least, chunk_bytes), "m long, ch long, len int, runs array<struct<a:int,b:int>>"), name("found"))
     if not many.isEmpty():
