@@ -29,7 +29,8 @@ class Settings:
     buckets: int = 1 << 17  # a power of two
     grams: tuple[int, ...] = (3, 4, 5)
     dim: int = 12
-    epochs: int = 4
+    epochs: int = 4  # at least, and
+    steps: int = 12_000  # so many steps at least
     rate: float = 2.0
     seed: int = 7
     sample: int = 4000  # labelled rows learned from, at most: those with the smallest hashes of doc_id
@@ -93,8 +94,9 @@ def learn(texts: list[bytes], labels: np.ndarray, s: Settings) -> tuple[np.ndarr
         f, _ = features([t], s)
         u, c = np.unique(f, return_counts=True)
         docs.append((u, (c / max(1, c.sum())).astype(np.float32)))
-    steps, total = 0, max(1, s.epochs * len(docs))
-    for _ in range(s.epochs):
+    epochs = max(s.epochs, -(-s.steps // max(1, len(docs))))
+    steps, total = 0, max(1, epochs * len(docs))
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             rate = s.rate * (1 - steps / total)
             steps += 1
@@ -150,7 +152,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), a
     return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
-def pieces(texts: list[bytes], most: int = 1 << 20) -> Iterator[list[int]]:
+def pieces(texts: list[bytes], most: int = 1 << 18) -> Iterator[list[int]]:
     """Rows whose texts have about `most` bytes together."""
     rows, size = [], 0
     for i, t in enumerate(texts):
