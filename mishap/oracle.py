@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from mishap.functions.rules import RATE_LIMIT
 from mishap.sources.payloads import find_json
+from mishap.workers import reach
 
 
 
@@ -62,6 +63,7 @@ def answer_with(prompts: DataFrame, oracles: list[Oracle]) -> DataFrame:
             got = [ask_json(p, oracles) for p in b["prompt"]]
             yield pd.DataFrame({"key": b["key"], "json": [g[0] for g in got], "error": [g[1] for g in got]})
 
+    reach(prompts.sparkSession)
     return prompts.select("key", "prompt").mapInPandas(run, f"key {prompts.schema['key'].dataType.simpleString()}, json string, error string")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mishap.workers import reach
+
 _HEADER = r"^diff --git a/(.*) b/(.*)$"
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
@@ -77,6 +79,8 @@ def find_json(raw: str | None) -> tuple[str | None, str | None]:
 def extract_json(rows: DataFrame, column: str = "raw") -> DataFrame:
     """Adds json and error ('empty', 'parse' or null). Nested scans aren't SQL: an Arrow batch at a time."""
 
+    reach(rows.sparkSession)
+
     @F.pandas_udf("json string, error string")
     def found(raw: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([find_json(x) for x in raw], columns=["json", "error"])
