@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mishap.workers import reach
+
 #: Words as mixing, near-duplicates and language models count them: runs without ASCII white space.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -27,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Arrow batches bounded in rows and bytes, so that very long texts don't fill a Python worker."""
+    reach(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
