@@ -255,7 +255,8 @@ def components(tables: Tables, links: DataFrame, name: str) -> DataFrame:
     """(id, label) of the ids in links (a, b): label is the smallest id reachable.
 
     Large stars and small stars in turn: each sends a node's neighbours to the smallest around it,
-    so that rows stay as many as links, until every link goes to the smallest id of its component."""
+    so that rows stay as many as links, until every link goes to the smallest id of its component:
+    no id is both an end and a start, and none starts two links."""
     edges = tables.keep(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), f"{name}_edges")
     step = 0
     while True:
@@ -267,7 +268,8 @@ def components(tables: Tables, links: DataFrame, name: str) -> DataFrame:
         low = tables.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}_least{step}")
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = tables.keep(small.distinct(), f"{name}_star{step}")
-        if edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        forked = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
+        if forked.isEmpty() and edges.select("v").join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
         step += 1
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("label"))

@@ -203,6 +203,36 @@ def test_near_duplicates_of_odd_ids(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def linked(links):
+    """id to the smallest id reachable."""
+    label = {i: i for pair in links for i in pair}
+    while any(label[a] != label[b] for a, b in links):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+PATH = [(i, i + 1) for i in range(7)]
+CLIQUES = [(o + i, o + j) for o in (0, 5) for i in range(5) for j in range(i)] + [(10, 0), (10, 5)]
+
+
+@pytest.mark.parametrize(("shape", "seed"), [(PATH, 4), (PATH, 12), (CLIQUES, 0), (CLIQUES, 4)])
+def test_components_of_paths_and_bridged_cliques(spark, shape, seed):
+    ids = random.Random(seed).sample(range(100), 1 + max(map(max, shape)))
+    links = [(ids[a], ids[b]) for a, b in shape]
+    got = minhash.components(minhash.Tables(spark, "test"), spark.createDataFrame(links, "a long, b long"), "c")
+    assert sorted(map(tuple, got.collect())) == sorted(linked(links).items())
+
+
+def test_chained_near_copies_are_one_component(spark):
+    """Neighbours of a chain of windows over one text are similar enough, others aren't."""
+    words = prose(77, 200).split()
+    texts = {i: " ".join(words[9 * k :][:100]) for k, i in enumerate((1, 4, 3, 5, 2))}
+    got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((i, *x) for i, x in minhash.brute_force(texts).items())
+    assert [r.doc_id for r in got if r.kept] == [1]
+
+
 def test_a_pair_at_the_threshold_goes_on():
     for n, need in minhash.least_matches(minhash.Settings()):
         assert need / n < 0.7
