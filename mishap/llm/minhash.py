@@ -39,7 +39,7 @@ class Settings:
     rows: int = 4  # a pair at the similarity shares no band with a chance of 5e-6
     places: int = 256  # minima of a signature
     batch: int = 64  # places compared at a time
-    miss: float = 1e-4  # a pair is dropped when its chance to be a link is less
+    miss: float = 1e-4  # a pair is dropped when its chance to be a link is less than an equal part of this for each batch
     small: int = 8  # buckets of at most so many classes propose all their pairs
     block: int = 512  # classes in a block of a large bucket,
     block_shingles: int = 1 << 20  # and about the most shingles of theirs
@@ -129,13 +129,14 @@ def least_matches(s: Settings) -> list[tuple[int, int]]:
     """(places compared, matches needed to go on), batch by batch.
 
     Under a uniform prior, m matches of n leave the similarity a Beta(m + 1, n - m + 1) posterior;
-    its chance of at least t is the chance that n + 1 throws of a coin t show m or fewer heads."""
-    out, t = [], s.similarity
-    for n in range(s.batch, s.places + 1, s.batch):
+    its chance of at least t is the chance that n + 1 throws of a coin t show m or fewer heads.
+    The batches share the miss probability, as each may drop a pair."""
+    out, t, looks = [], s.similarity, range(s.batch, s.places + 1, s.batch)
+    for n in looks:
         total, m = 0.0, 0
         while m <= n:
             total += math.comb(n + 1, m) * t**m * (1 - t) ** (n + 1 - m)
-            if total >= s.miss:
+            if total >= s.miss / len(looks):
                 break
             m += 1
         out.append((n, m))

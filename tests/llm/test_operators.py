@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on edge cases and small tables."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -238,6 +239,18 @@ def test_a_pair_at_the_threshold_goes_on():
         assert need / n < 0.7
 
 
+def test_all_batches_together_drop_few_pairs_at_the_threshold():
+    alive, done, dropped = {0: 1.0}, 0, 0.0
+    for n, need in minhash.least_matches(minhash.Settings()):
+        now = {}
+        for hits, p in alive.items():
+            for k in range(n - done + 1):
+                now[hits + k] = now.get(hits + k, 0.0) + p * math.comb(n - done, k) * 0.75**k * 0.25 ** (n - done - k)
+        dropped += sum(p for hits, p in now.items() if hits < need)
+        alive, done = {hits: p for hits, p in now.items() if hits >= need}, n
+    assert dropped < 1.1e-4
+
+
 # 6
 
 
