@@ -159,7 +159,7 @@ def guide_matches(spark, d):
 def _pages(spark, d):
     p = views.table(spark, d, "pages")
     code = F.get(text.code_tokens(F.col("html")), F.lit(0))
-    return p.select(F.col("page_id").alias("idx"), F.parse_url("url", F.lit("HOST")).alias("repo"), code.alias("code"), F.concat_ws(" ", F.substring("html", 1, 100_000), F.when(F.col("page_id") % 5 == 0, "connection reset").when(F.col("page_id") % 5 == 1, "request timed out")).alias("msg"))
+    return p.select(F.col("page_id").alias("idx"), F.parse_url("url", F.lit("HOST")).alias("repo"), code.alias("code"), F.concat_ws(" ", "html", F.when(F.col("page_id") % 5 == 0, "connection reset").when(F.col("page_id") % 5 == 1, "request timed out")).alias("msg"))
 
 
 @query

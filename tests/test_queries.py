@@ -52,3 +52,13 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_guides_match_whole_pages(spark, tmp_path):
+    """Phrases past 100,000 characters count, in each query on guides."""
+    rows = [(2, "https://a.example.com/x", "y " * 60_000 + "handshake"), (3, "https://b.example.com/x", "plain"), (4, "https://c.example.com/x", None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    spark.createDataFrame([(1, "item")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [tuple(r) for r in QUERIES["guide_matches"](spark, str(tmp_path)).collect()] == [("ssl-tls-certificates", 2, "a.example.com")]
+    assert [(r.guide, r.repo, r.n, r.shown) for r in QUERIES["guide_top_repos"](spark, str(tmp_path)).collect()] == [("ssl-tls-certificates", "com", 1, "2")]
+    assert [tuple(r) for r in QUERIES["guide_counts"](spark, str(tmp_path)).collect()] == [("info", "p1", 4), ("guide", "ssl-tls-certificates", 1)]
