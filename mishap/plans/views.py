@@ -121,12 +121,12 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as Python files whose lines raise what they say."""
-    body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit('    raise ValueError("'), F.substring(F.regexp_replace(x, "[^A-Za-z ]", ""), 1, 60), F.lit('")'))), "\n")
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit('    raise ValueError("'), F.regexp_replace(x, "[^A-Za-z ]", ""), F.lit('")'))), "\n")
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), "lang", F.lit("/f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
 
 
 def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of conversations in the wrappings that models use."""
-    t = F.to_json(F.struct(F.substring("text", 1, 200).alias("said")))
+    t = F.to_json(F.struct(F.col("text").alias("said")))
     wrapped = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), t, F.lit("\n```"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("Here it is "), t, F.lit(" done"))).otherwise(F.to_json(F.struct(t.alias("result"))))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", wrapped.alias("raw"))

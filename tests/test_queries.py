@@ -1,5 +1,6 @@
 """Every query against its SQL on the smallest tables, where those are there."""
 
+import json
 from pathlib import Path
 
 import pytest
@@ -62,3 +63,15 @@ def test_guides_match_whole_pages(spark, tmp_path):
     assert [tuple(r) for r in QUERIES["guide_matches"](spark, str(tmp_path)).collect()] == [("ssl-tls-certificates", 2, "a.example.com")]
     assert [(r.guide, r.repo, r.n, r.shown) for r in QUERIES["guide_top_repos"](spark, str(tmp_path)).collect()] == [("ssl-tls-certificates", "com", 1, "2")]
     assert [tuple(r) for r in QUERIES["guide_counts"](spark, str(tmp_path)).collect()] == [("info", "p1", 4), ("guide", "ssl-tls-certificates", 1)]
+
+
+def test_extraction_meets_whole_texts(spark, tmp_path):
+    """Answers and lines keep their length; only the operator's own limits (literals of 200, lines of 500) hold."""
+    said = 'it {said} "so" ' * 100
+    spark.createDataFrame([(1, turn, said) for turn in range(3)], "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = QUERIES["extract_json"](spark, str(tmp_path)).collect()
+    assert [json.loads(r.json) for r in got] == [{"said": said}] * 3
+    text = "\n".join(c * n for c, n in (("a", 60), ("b", 61), ("c", 200), ("d", 201), ("e", 600)))
+    spark.createDataFrame([(1, "en", text)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    sites = QUERIES["extract_sites"](spark, str(tmp_path)).orderBy("line").collect()
+    assert [(r.line, r.literal) for r in sites] == [(1, "a" * 60), (2, "b" * 61), (3, "c" * 200), (4, None)]
