@@ -25,9 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that with the smallest doc_id. Null ids stay."""
-    gone = minhash.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    """One row of each group of near copies: that with the smallest doc_id, null ids last.
+
+    Every row is a node by a number of its own, so that rows with null or repeated ids are copies, too;
+    of those with one id the hash of the text and then the number decide. The numbers are written
+    first, as they must not change between reads."""
+    rows = Tables(spark, "near_copies").keep(docs.withColumn("__at", F.monotonically_increasing_id()), "rows")
+    found = minhash.near_duplicates(rows.select(F.col("__at").alias("doc_id"), "text")).select(F.col("doc_id").alias("__at"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text").alias("hash"), "__at")
+    first = found.join(rows.select("__at", order.alias("__order")), "__at").groupBy("component_id").agg(F.min("__order").alias("first"))
+    return rows.join(first.select(F.col("first.__at").alias("__at")), "__at", "left_semi").select(docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

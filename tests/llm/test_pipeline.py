@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mishap.llm import decontaminate, minhash, register, substrings, toxicity
-from tests.llm.test_operators import brute_contamination, water
+from tests.llm.test_operators import brute_contamination, prose, water
 from tests.test_queries import duck, normal  # noqa: F401
 
 SF = Path("/root/testdata/sf0.001")
@@ -55,6 +55,22 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, str(SF)).count() > 50
 
 
+def test_one_whole_copy_of_repeated_rows_survives(spark):
+    """Rows that repeat an id, and copies with null ids, are near copies as others are."""
+    a, b, c = (prose(seed, 100) for seed in (1, 2, 3))
+    rows = [(7, a), (7, a), (None, a), (8, b + " x"), (8, b), (None, c), (None, c), (9, None), (None, None), (3, a.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        before, docs = docs, stage(spark, docs, str(SF)).cache()
+        got = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+        if name == "near_dedup":
+            assert [i for i, _ in got] == [3, 8, 9, None, None]
+    assert (3, a.upper()) in got and (None, c) in got and (8, b) in [(i, (t or "").removesuffix(" x")) for i, t in got]
+    assert docs.columns == before.columns
+    mixed = corpus_pipeline.STAGES[4][1](spark, docs, str(SF))
+    assert sorted(r.doc_id or 0 for r in mixed.collect()) == [0, 3, 8]
+
+
 def test_stages_take_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
