@@ -6,10 +6,11 @@ signatures are compared in batches: after each, a pair whose posterior chance of
 similarity is under the miss probability is dropped. Survivors are verified on their full sets.
 
 Large buckets are not expanded into pairs. Each takes as centre the class whose buckets are
-largest, which near copies of one text mostly agree with, and proposes centre-member pairs.
-Confirmed links give labels; a bucket of one label is done. In others, the classes outside of the
-commonest label are compared with all classes of other labels, in blocks of bounded size dealt out
-over tasks, of which only links become rows.
+largest, which near copies of one text mostly agree with; the buckets of one centre are a family,
+which proposes centre-member pairs. Confirmed links give labels; a family of one label is done. In
+others, the classes outside of the commonest label are compared with all classes of other labels,
+in pairs of blocks of bounded size dealt out over tasks: first their signatures, then the full
+sets of those classes that pass with another. Only links become rows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +43,7 @@ class Settings:
     batch: int = 64  # places compared at a time
     miss: float = 1e-4  # a pair is dropped when its chance to be a link is less than an equal part of this for each batch
     small: int = 8  # buckets of at most so many classes propose all their pairs
-    block: int = 512  # classes in a block of a large bucket,
+    block: int = 512  # classes in a block of a family,
     block_shingles: int = 1 << 20  # and about the most shingles of theirs
 
 
@@ -199,55 +201,95 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.n
     return out.astype(np.int64)
 
 
+def _passing(sides: list[list[tuple]], s: Settings) -> list[np.ndarray]:
+    """For each class (id, label, sig, ..) of side 0, places in side 1 of those of other labels that pass the Bayesian test."""
+    steps = least_matches(s)
+    codes = {x: i for i, x in enumerate({r[1] for side in sides for r in side})}
+    a, b = (np.frombuffer(b"".join(r[2] for r in side), np.uint16).reshape(len(side), -1) for side in sides)
+    la, lb = (np.array([codes[r[1]] for r in side]) for side in sides)
+    out = []
+    for i in range(len(a)):
+        left = np.flatnonzero(lb != la[i])
+        done, hits = 0, np.zeros(len(b), np.int64)
+        for n, need in steps:
+            hits[left] += (b[left, done:n] == a[i, done:n]).sum(1)
+            left, done = left[hits[left] >= need], n
+        out.append(left)
+    return out
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[list[tuple]]]]:
+    """((centre, ob, mb), rows of `columns` of side 0 and of side 1) of each block pair; rows come sorted by it."""
+    at, sides = None, ([], [])
+    for batch in batches:
+        places = zip(*(batch.column(c).to_pylist() for c in ("centre", "ob", "mb")))
+        rows = zip(*(text_bytes(batch.column(c)) if c == "text" else batch.column(c).to_pylist() for c in columns))
+        for place, side, row in zip(places, batch.column("side").to_pylist(), rows):
+            if at is not None and at != place:
+                yield at, sides
+                sides = ([], [])
+            at = place
+            sides[side].append(row)
+    if at is not None:
+        yield at, sides
+
+
+def _block_candidates(s: Settings):
+    """Of block pairs of signatures, the classes that pass the Bayesian test with another: (centre, ob, mb, side, id)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind = batch.schema.field("id").type
+            break
+        else:
+            return
+        found: list[tuple] = []
+        for place, sides in _blocks(chain([batch], batches), ["id", "label", "sig"]):
+            if all(sides):
+                passed = _passing(sides, s)
+                found += [(*place, 0, sides[0][i][0]) for i, x in enumerate(passed) if len(x)]
+                found += [(*place, 1, sides[1][j][0]) for j in np.unique(np.concatenate(passed)).tolist()]
+        if found:
+            kinds = (kind, pa.int32(), pa.int32(), pa.int32(), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found), kinds)], names=["centre", "ob", "mb", "side", "id"])
+
+    return run
+
+
 def _block_links(s: Settings):
-    """Links of (key, ob, mb) groups: pairs of different labels that pass the Bayesian test and the full sets.
+    """Links of block pairs: pairs of different labels that pass the Bayesian test and the full sets.
 
-    Rows come sorted by group: side 0 are classes outside of the commonest label, side 1 all of the
-    block. Of a class's links to one label the first will do, as the label's classes are linked."""
-    steps, percent = least_matches(s), round(100 * s.similarity)
+    Side 0 are classes outside of the commonest label, side 1 all of a block. Of a class's links to
+    one label the first will do, as the label's classes are linked."""
+    percent = round(100 * s.similarity)
 
-    def links(rows: list[tuple]) -> tuple[list, list]:
+    def links(sides: list[list[tuple]]) -> tuple[list, list]:
         out: tuple[list, list] = ([], [])
-        sides = [[r for r in rows if r[3] == k] for k in (0, 1)]
-        if not all(sides):
-            return out
-        codes = {x: i for i, x in enumerate({r[5] for r in rows})}
-        a, b = (np.frombuffer(b"".join(r[6] for r in side), np.uint16).reshape(len(side), -1) for side in sides)
-        la, lb = (np.array([codes[r[5]] for r in side]) for side in sides)
-        passed = []
-        for i in range(len(a)):
-            left = np.flatnonzero(lb != la[i])
-            done, hits = 0, np.zeros(len(b), np.int64)
-            for n, need in steps:
-                hits[left] += (b[left, done:n] == a[i, done:n]).sum(1)
-                left, done = left[hits[left] >= need], n
-            passed.append(left)
+        passed = _passing(sides, s) if all(sides) else []
         rows_a = np.array([i for i, x in enumerate(passed) if len(x)], np.int64)
         if not len(rows_a):
             return out
         rows_b = np.unique(np.concatenate(passed))
-        sets = [[shingles([sides[k][i][7] or b""], s.words)[0] for i in rows] for k, rows in ((0, rows_a), (1, rows_b))]
+        sets = [[shingles([sides[k][i][3] or b""], s.words)[0] for i in rows] for k, rows in ((0, rows_a), (1, rows_b))]
         both = _shared(*sets)
         union = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[1]]) - both
+        codes = {x: i for i, x in enumerate({r[1] for r in sides[1]})}
+        lb = np.array([codes[r[1]] for r in sides[1]])
         for k, i in enumerate(rows_a.tolist()):
             good = passed[i][(100 * both[k] >= percent * union[k])[np.searchsorted(rows_b, passed[i])]]
             for j in good[np.unique(lb[good], return_index=True)[1]].tolist():
-                out[0].append(sides[0][i][4])
-                out[1].append(sides[1][j][4])
+                out[0].append(sides[0][i][0])
+                out[1].append(sides[1][j][0])
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         for batch in batches:
             kind = batch.schema.field("id").type
-            columns = [batch.column(c).to_pylist() for c in ("key", "ob", "mb", "side", "id", "label", "sig")]
-            for row in zip(*columns, text_bytes(batch.column("text"))):
-                if held and held[0][:3] != row[:3]:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, type=kind) for x in links(held)], names=["a", "b"])
-                    held = []
-                held.append(row)
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=kind) for x in links(held)], names=["a", "b"])
+            break
+        else:
+            return
+        for _, sides in _blocks(chain([batch], batches), ["id", "label", "sig", "text"]):
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=kind) for x in links(sides)], names=["a", "b"])
 
     return run
 
@@ -286,43 +328,53 @@ def _confirm(tables: Tables, docs: DataFrame, pairs: DataFrame, s: Settings, nam
 
 
 def _links(tables: Tables, docs: DataFrame, heads: DataFrame, s: Settings) -> DataFrame:
-    """Confirmed links between classes (id, bands, sig) that join whatever links join."""
+    """Confirmed links between classes (id, n_shingles, bands, sig) that join whatever links join.
+
+    What goes by id is one row a class: its buckets travel as an array and are exploded where
+    they are summed or joined by key."""
     kind = heads.schema["id"].dataType.simpleString()
     rows = heads.select("id", F.explode("bands").alias("key"))
     counts = tables.keep(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "counts")
     rows = tables.keep(rows.join(counts, "key"), "buckets")
     few = rows.where(F.col("n") <= s.small).groupBy("key").agg(F.sort_array(F.collect_set("id")).alias("ids"))
     few = few.select("ids", F.posexplode("ids").alias("at", "a")).select("a", F.explode(F.expr("slice(ids, at + 2, size(ids))")).alias("b"))
-    large = tables.keep(rows.where(F.col("n") > s.small).select("key", "id"), "large")
-    degree = tables.keep(rows.groupBy("id").agg(F.sum("n").alias("degree")), "degree")
-    centre = tables.keep(large.join(degree, "id").groupBy("key").agg(F.max(F.struct("degree", "id")).alias("c")).select("key", F.col("c.id").alias("centre")), "centre")
-    stars = large.join(centre, "key").where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+    # a class has at most as many keys as bands
+    large = rows.groupBy("id").agg(F.sum("n").alias("degree"), F.collect_list(F.when(F.col("n") > s.small, F.col("key"))).alias("keys"))
+    large = tables.keep(large.where(F.size("keys") > 0), "large").select("id", "degree", F.explode("keys").alias("key"))
+    centre = tables.keep(large.groupBy("key").agg(F.max(F.struct("degree", "id")).alias("c")).select("key", F.col("c.id").alias("centre")), "centre")
+    # buckets of one centre are one family, so that a pair meets once and not once in every bucket
+    family = tables.keep(large.join(centre, "key").select("centre", "id").distinct(), "family")
+    stars = family.where("id != centre").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
     pairs = tables.keep(few.union(stars).distinct(), "pairs")
     sig = heads.select("id", "sig")
     signed = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     passed = tables.keep(signed.mapInArrow(_survivors(s), f"a {kind}, b {kind}").distinct(), "passed")
     links = _confirm(tables, docs, passed, s, "links")
-    if large.isEmpty():
+    if family.isEmpty():
         return links
-    labels = components(tables, links, "early")
-    sizes = heads.groupBy("id").agg(F.max("n_shingles").alias("size"))
-    large = large.join(labels, "id", "left").join(sizes, "id").select("key", "id", F.coalesce("label", "id").alias("label"), "size")
-    large = tables.keep(large, "labelled")
-    each = tables.keep(large.groupBy("key", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "each")
-    undone = each.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("most")).where("labels > 1")
+    own = heads.join(components(tables, links, "early"), "id", "left").select("id", F.col("n_shingles").alias("size"), "sig", F.coalesce("label", "id").alias("label"))
+    labelled = tables.keep(family.join(own, "id"), "labelled")
+    each = labelled.groupBy("centre", "label").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    undone = each.groupBy("centre").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("most")).where("labels > 1")
     part = lambda n, size: F.ceil(F.greatest(n / s.block, size / s.block_shingles)).cast("int")
     outside = part(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size"))
-    undone = tables.keep(undone.select("key", F.col("most.label").alias("giant"), outside.alias("obs"), part(F.col("n"), F.col("size")).alias("mbs")), "undone")
+    undone = tables.keep(undone.select("centre", F.col("most.label").alias("giant"), outside.alias("obs"), part(F.col("n"), F.col("size")).alias("mbs")), "undone")
     if undone.isEmpty():
         return links
-    rest = large.join(undone, "key").drop("size").join(sig, "id")
-    rest = tables.keep(rest.join(docs.select(F.col("doc_id").alias("id"), "text"), "id"), "rest")
-    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    columns = ["key", "ob", "mb", "side", "id", "label", "sig", "text"]
-    outside = rest.where("label != giant").withColumn("ob", own(F.col("obs"))).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("mbs") - 1))).withColumn("side", F.lit(0))
-    member = rest.withColumn("mb", own(F.col("mbs"))).withColumn("ob", F.explode(F.sequence(F.lit(0), F.col("obs") - 1))).withColumn("side", F.lit(1))
-    blocks = outside.select(columns).union(member.select(columns))
-    blocks = blocks.repartition("key", "ob", "mb").sortWithinPartitions("key", "ob", "mb")
+    rest = labelled.join(undone, "centre")
+    block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    columns = ["centre", "ob", "mb", "side", "id", "label", "sig"]
+    outside = rest.where("label != giant").withColumn("ob", block(F.col("obs"))).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("mbs") - 1))).withColumn("side", F.lit(0))
+    member = rest.withColumn("mb", block(F.col("mbs"))).withColumn("ob", F.explode(F.sequence(F.lit(0), F.col("obs") - 1))).withColumn("side", F.lit(1))
+    place = ["centre", "ob", "mb"]
+    blocks = outside.select(columns).union(member.select(columns)).repartition(*place).sortWithinPartitions(*place)
+    passing = tables.keep(blocks.mapInArrow(_block_candidates(s), f"centre {kind}, ob int, mb int, side int, id {kind}"), "passing")
+    # texts only of classes that pass with another, each read once and sent to the block pairs where it does
+    passing = passing.groupBy("id").agg(F.collect_list(F.struct(*place, "side")).alias("places"))
+    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    passing = tables.keep(passing.join(own, "id").join(texts, "id"), "passing_texts")
+    blocks = passing.select("id", "label", "sig", "text", F.explode("places").alias("p")).select("p.*", "id", "label", "sig", "text")
+    blocks = blocks.repartition(*place).sortWithinPartitions(*place)
     found = tables.keep(blocks.mapInArrow(_block_links(s), f"a {kind}, b {kind}").distinct(), "links_blocks")
     return links.union(found)
 
@@ -332,8 +384,10 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
 
     Null and wordless texts have no shingles, are linked with nothing and are components of their
     own. A text of fewer words than a shingle is one shingle. component_id is the smallest doc_id
-    reachable and kept marks rows with that id. Rows that repeat a doc_id are one node of the graph,
-    linked by any of their texts. A null doc_id takes no part: null component, kept."""
+    reachable and kept marks rows with that id. Rows with shingles that repeat a doc_id are one node
+    of the graph, linked by any of their texts. A null doc_id takes no part: null component, kept.
+
+    The graph is one of classes, of which each is its smallest doc_id; copies get their class's label."""
     spark, s = prepare(docs.sparkSession), settings
     tables = Tables(spark, "minhash")
     docs = docs.select("doc_id", "text")
@@ -344,10 +398,16 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     one = ["h1", "h2", "n_shingles"]
     heads = tables.keep(some.groupBy(*one).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "heads")
     links = _links(tables, docs.where("doc_id is not null"), heads, s)
-    same = some.select("doc_id", *one).join(heads.select("id", *one), one).where("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    labels = tables.keep(components(tables, tables.keep(links.union(same), "all_links"), "final"), "labels")
-    out = signed.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    label = F.coalesce("label", "doc_id")
+    # an id with several sets links their classes
+    several = some.groupBy("doc_id").agg(F.min(F.struct(*one)).alias("low"), F.max(F.struct(*one)).alias("high")).where("low != high")
+    several = tables.keep(several.select("doc_id"), "several")
+    if not several.isEmpty():
+        classes = some.join(several, "doc_id").join(heads.select("id", *one), one).select("doc_id", "id").distinct()
+        links = links.union(classes.join(classes.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b"))
+    labels = components(tables, links, "final")
+    labels = tables.keep(heads.select("id", *one).join(labels, "id", "left").select(*one, F.coalesce("label", "id").alias("label")), "labels")
+    out = signed.select("doc_id", *one).join(labels, one, "left")
+    label = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("label")), "doc_id")
     return out.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(label == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
