@@ -3,6 +3,9 @@
 A trie of the vocabulary over bytes and a word-end mark gets failure links: where a word can't go
 on from a node, the pieces that greedy longest match has found by then are popped, and their
 number was computed with the link. Each byte is read once; only numbers are added, no piece is built.
+
+The mark prefers pieces that end a word at its end. Where no such piece matches, a piece without the
+mark may end the word: the mark that is left over is no token, unless it is a piece itself.
 """
 
 from __future__ import annotations
@@ -46,7 +49,9 @@ def load_vocabulary(path: str = VOCABULARY) -> list[tuple[int, ...]]:
 
 
 class Automaton:
-    """Numbers of greedy longest-match pieces; `first` start a word, `rest` go on (default: the same)."""
+    """Numbers of greedy longest-match pieces; `first` start a word, `rest` go on (default: the same).
+
+    A word-end mark that no piece takes up counts nothing."""
 
     def __init__(self, first: Iterable[tuple[int, ...]], rest: Iterable[tuple[int, ...]] | None = None):
         self.next: list[dict[int, int]] = [{}, {}]  # node 0 starts words, node 1 goes on
@@ -65,6 +70,13 @@ class Automaton:
                 piece[node] = True
         if rest is None:
             self.next[1] = self.next[0]
+        # the mark alone can be popped after any piece, for nothing if it is no piece
+        alone = self.next[1].setdefault(END, len(self.next))
+        if alone == len(self.next):
+            self.next.append({})
+            piece.append(False)
+        free = -1 if piece[alone] else alone
+        piece[alone] = True
         n = len(self.next)
         self.fail, self.pops = [-1] * n, [0] * n
         level = [(0, c, v) for c, v in self.next[0].items()]
@@ -74,7 +86,7 @@ class Automaton:
             deeper = []
             for parent, c, v in level:
                 if piece[v]:
-                    self.fail[v], self.pops[v] = 1, 1
+                    self.fail[v], self.pops[v] = 1, int(v != free)
                 else:
                     z, popped = self.fail[parent], 0
                     while z >= 0 and c not in self.next[z]:
@@ -86,7 +98,7 @@ class Automaton:
             level = deeper
 
     def count(self, word: bytes) -> int:
-        """Pieces of the word; 1 (unknown) if greedy matching gets stuck; 0 of an empty word."""
+        """Pieces of the word; 1 (unknown) if greedy matching gets stuck at a byte; 0 of an empty word."""
         if not word:
             return 0
         follow, fail, pops = self.next, self.fail, self.pops
@@ -108,17 +120,6 @@ class Automaton:
         return n
 
 
-def greedy_count(word: bytes, pieces: set[tuple[int, ...]], longest: int) -> int:
-    """The same number by building the pieces; for tests."""
-    at, n, whole = 0, 0, (*word, END)
-    while at < len(whole):
-        size = next((k for k in range(min(longest, len(whole) - at), 0, -1) if whole[at : at + k] in pieces), 0)
-        if not size:
-            return 1
-        at, n = at + size, n + 1
-    return n
-
-
 def split_words(text: str | None) -> list[str]:
     """Lower-cased words of a text; null has none."""
     return _WORDS.findall((text or "").lower())
@@ -127,6 +128,8 @@ def split_words(text: str | None) -> list[str]:
 def count_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row a row of docs: doc_id, n_words, n_tokens, over whole lower-cased texts; null texts have none.
 
+    A word with a byte at which no piece goes on is one unknown token. Rows that repeat count each.
+    `vocabulary` is a tokenizer file with "</w>" word ends; a path that isn't there is an error.
     The vocabulary (a file on the driver, of bounded size) is broadcast; automata are built once a
     worker. Counts of words met before are looked up, in a table of bounded size."""
     spark = prepare(docs.sparkSession)

@@ -1,9 +1,11 @@
 """The training-data operators against brute force, on edge cases and small tables."""
 
 import hashlib
+import json
 import math
 import random
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -254,14 +256,30 @@ def test_all_batches_together_drop_few_pairs_at_the_threshold():
 # 6
 
 
+def greedy(word, vocabulary):
+    """Pieces of a word of a vocabulary of texts, where "x</w>" ends words: the longest, at its end a marked one first."""
+    out, at = [], 0
+    while at < len(word):
+        for end in range(len(word), at, -1):
+            piece = word[at:end]
+            if end == len(word) and f"{piece}</w>" in vocabulary or piece in vocabulary:
+                out.append(piece)
+                at = end
+                break
+        else:
+            return None  # unknown
+    return out
+
+
 def test_longest_match():
     rng = random.Random(4)
     for _ in range(400):
-        pieces = {tuple(rng.randrange(97, 99) for _ in range(rng.randint(1, 5))) + ((tokens.END,) if rng.random() < 0.4 else ()) for _ in range(rng.randint(1, 25))}
-        automaton = tokens.Automaton(pieces)
+        vocabulary = {"".join(rng.choice("ab") for _ in range(rng.randint(1, 5))) + ("</w>" if rng.random() < 0.4 else "") for _ in range(rng.randint(1, 25))}
+        automaton = tokens.Automaton([(*p.removesuffix("</w>").encode(), *[tokens.END][: p.endswith("</w>")]) for p in vocabulary])
         for _ in range(20):
-            word = bytes(rng.randrange(97, 99) for _ in range(rng.randint(1, 12)))
-            assert automaton.count(word) == tokens.greedy_count(word, pieces, 6)
+            word = "".join(rng.choice("ab") for _ in range(rng.randint(1, 12)))
+            found = greedy(word, vocabulary)
+            assert automaton.count(word.encode()) == (1 if found is None else len(found)), (word, vocabulary)
 
 
 def test_first_and_following_pieces():
@@ -269,15 +287,20 @@ def test_first_and_following_pieces():
     assert a.count(b"abcdz") == 5 and a.count(b"abcdx") == 1 and a.count(b"zab") == 1 and a.count(b"") == 0
 
 
+WORDS = ["für", "ré", "ñ", "naïve", "déjà", "Straße", "日本語", "😀😀", "don't", "x" * 3000, "zzzzqqqq", "a1b2c3", "__init__", "ΑΒΓ"]
+
+
 def test_token_counts(spark):
-    vocabulary = tokens.load_vocabulary()
-    pieces, longest = set(vocabulary), max(map(len, vocabulary))
-    got = by_id(tokens.count_tokens(docs(spark, *EDGES, "Hello, World 42!")), "n_words", "n_tokens")
-    for i, t in enumerate([*EDGES, "Hello, World 42!"]):
-        if i != 5:
-            words = tokens.split_words(t)
-            assert got[i] == (len(words), sum(tokens.greedy_count(w.encode(), pieces, longest) for w in words))
-    assert got[5][0] == 1 and tokens.count_tokens(docs(spark, "a").where("false")).count() == 0
+    """Against pieces built from the file's own texts: no word that can be spelled is one unknown token."""
+    vocabulary = set(json.loads(Path(tokens.VOCABULARY).read_text())["model"]["vocab"])
+    letter = {b: c for c, b in tokens._byte_of().items()}
+    texts = [*EDGES, *WORDS, "Hello, World 42! " + " ".join(WORDS)]
+    got = by_id(tokens.count_tokens(docs(spark, *texts)), "n_words", "n_tokens")
+    for i, t in enumerate(texts):
+        words = tokens.split_words(t)
+        built = [greedy("".join(letter[b] for b in w.encode()), vocabulary) for w in words]
+        assert None not in built and got[i] == (len(words), sum(map(len, built))), t
+    assert got[5][1] > 1000 and tokens.count_tokens(docs(spark, "a").where("false")).count() == 0
 
 
 # 7
