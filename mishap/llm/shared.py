@@ -79,7 +79,16 @@ def local_root(uri: str):
         return fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
     if uri.startswith("/"):
         return fs.LocalFileSystem(), uri
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
+
+
+def parts_of(uri: str) -> list[str]:
+    """The Parquet files of a written table, in a fixed order; for Python on the executors."""
+    from pyarrow import fs
+
+    files, base = local_root(uri)
+    found = files.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+    return sorted(f.path for f in found if f.path.endswith(".parquet"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -140,6 +140,32 @@ def test_top_k(spark, monkeypatch):
     assert len(got) == 17
 
 
+def test_top_k_of_large_components(spark):
+    """Finite components of any size take part; scores beyond 64 bits saturate and tie."""
+    vectors = [(0, [3e38, 1.0]), (1, [3e38, 0.0]), (2, [1e12, 0.5]), (3, [-3e38, 0.0]), (4, [0.0, 0.0039]), (5, [1e300, -1.5]), (6, [1.7e308, 0.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(2)
+    whole = {i: [int(x) * 256 if abs(x) >= 1 << 52 else math.floor(256 * x) for x in v] for i, v in vectors}
+    cut = lambda s: max(-(1 << 63), min((1 << 63) - 1, s))
+    got = {}
+    for r in topk.top_k(df, df, k=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, a in whole.items():
+        best = sorted((-cut(sum(x * y for x, y in zip(a, b))), i) for i, b in whole.items() if i != q)[:4]
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)], q
+
+
+def test_the_threshold_stops_early():
+    """Where few dimensions decide, most rows are never scored."""
+    rng = np.random.default_rng(1)
+    x = np.floor(rng.exponential(1, (20_000, 8)) ** 3 * 256).astype(np.int64)
+    best, scored = topk.threshold_top(x, np.arange(20_000), x[:20], np.arange(20), 5)
+    assert scored < 0.5 * 20 * 20_000
+    for i in range(20):
+        scores = x @ x[i]
+        scores[i] = -1
+        assert [-s for s, _ in best[i]] == sorted(scores.tolist(), reverse=True)[:5]
+
+
 def test_top_k_with_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, df.where("vec_id = 0")).collect()] == [(0, 1, 1, 256 * 512)]
