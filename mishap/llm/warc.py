@@ -1,9 +1,11 @@
 """WARC: write captures as WARC records, index them in sorted runs, merge the runs by URL key and time.
 
 Each writer task appends records to archive files, a gzip member a record, and sorts the index
-entries of a file into a run. The runs are dealt into ranges of (URL key, timestamp, id) and each
-range merges its slices of the runs through a loser tree, so that capture histories come out in
-one global order. The archives are read back by the entries of the merged index.
+entries of a file into a run. The runs are cut into ranges of (URL key, timestamp, id) with about
+equal numbers of entries. A range's slices of the runs are spooled to one file in the shared folder
+and merged by a loser tree over a reader a slice, each of which holds one small batch at a time, so
+that capture histories come out in one global order whatever their number. The archives are read
+back by the entries of the merged index.
 """
 
 from __future__ import annotations
@@ -14,8 +16,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
-from operator import itemgetter
+from itertools import islice
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -27,6 +28,8 @@ from mishap.llm.shared import Tables, local_root, prepare, table, text_bytes
 
 #: A file ends, and with it a run, after so many records or compressed bytes.
 RUN_RECORDS, FILE_BYTES = 50_000, 256 << 20
+#: Index entries in a range of the merge, about, in a batch of a run's reader, and in a batch of what is merged.
+RANGE_ENTRIES, READ_ENTRIES, OUT_ENTRIES = 1_000_000, 256, 4096
 DATE = "2024-01-01T00:00:00Z"
 _INDEX = "file string, run string, seq long, urlkey string, timestamp string, page_id {id}, offset long, length long, record_type string"
 _INDEX_COLUMNS = ["file", "run", "seq", "urlkey", "timestamp", "page_id", "offset", "length", "record_type"]
@@ -110,29 +113,32 @@ class LoserTree:
 
 
 def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
-    """Adds digest (hex) and refers_to: null for responses, else the page_id whose payload equals it.
+    """page_id, url, html (null as empty), timestamp (as it is, or null), digest (hex) and refers_to: null for responses,
+    else the page_id whose payload equals it.
 
     Of rows with equal payloads of at least least_bytes the largest page_id is the response. Null
     page_ids count as smallest; if all are null, and for rows that repeat the response's page_id,
     each is a response of its own."""
     tables = Tables(pages.sparkSession, "warc")
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha1(payload).alias("digest"), (F.octet_length("html") >= least_bytes).alias("counts"))
+    html = F.coalesce("html", F.lit(""))
+    time = F.col("timestamp").cast("string") if "timestamp" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select("page_id", "url", html.alias("html"), time.alias("timestamp"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), (F.octet_length(html) >= least_bytes).alias("counts"))
     # only payloads that occur more than once go into the join, so that it stays small
-    groups = rows.where("counts or counts is null").groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    groups = rows.where("counts").groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1").drop("n")
     groups = tables.keep(groups, "groups")
     out = rows.join(groups, "digest", "left")
     revisit = F.col("latest").isNotNull() & ~F.col("latest").eqNullSafe(F.col("page_id"))
-    return out.select("page_id", "url", "html", "digest", F.when(revisit, F.col("latest")).alias("refers_to"))
+    return out.select("page_id", "url", "html", "timestamp", "digest", F.when(revisit, F.col("latest")).alias("refers_to"))
 
 
 def write_archives(decided: DataFrame, root: str, date: str = DATE) -> DataFrame:
     """Writes the archives under `root` and returns their index, in runs sorted by (urlkey, timestamp, page_id).
 
+    Rows without a timestamp take `date`. Timestamps are kept as the digits of their text, 14 at most.
+
     A task that is run again writes files of other names; the index only names files of the attempt
     whose rows Spark kept. The files are complete before their rows are handed out."""
     kind = decided.schema["page_id"].dataType
-    stamp = re.sub(r"\D", "", date)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, base = local_root(root)
@@ -141,24 +147,24 @@ def write_archives(decided: DataFrame, root: str, date: str = DATE) -> DataFrame
 
         def finish() -> pa.RecordBatch:
             out.close()
-            rows = sorted(entries, key=lambda e: (e[0], e[1] is not None, e[1] if e[1] is not None else 0))
-            cols = [[name] * len(rows), [name] * len(rows), list(range(len(rows))), [e[0] for e in rows], [stamp] * len(rows), [e[1] for e in rows], [e[2] for e in rows], [e[3] for e in rows], [e[4] for e in rows]]
+            rows = sorted(entries, key=lambda e: _key(*e[:3]))
+            cols = [[name] * len(rows), [name] * len(rows), list(range(len(rows))), *([e[i] for e in rows] for i in range(6))]
             return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, kinds)], names=_INDEX_COLUMNS)
 
         for batch in batches:
             s, n = pa.string(), pa.int64()
             kinds = [s, s, n, s, s, batch.schema.field(0).type, n, n, s]
-            ids, urls, digests, refers = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
-            for page_id, url, payload, digest, refers_to in zip(ids, urls, text_bytes(batch.column(2)), digests, refers):
+            ids, urls, times, digests, refers = (batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5))
+            for page_id, url, payload, time, digest, refers_to in zip(ids, urls, text_bytes(batch.column(2)), times, digests, refers):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.warc.gz"
                     out, entries, at = files.open_output_stream(f"{base}/{name}", compression=None), [], 0
                 revisit = refers_to is not None
                 bare = base64.b32encode(bytes.fromhex(digest)).decode()
                 packer = zlib.compressobj(4, zlib.DEFLATED, 31)
-                raw = packer.compress(record(page_id, url, payload, bare, refers_to, revisit, date)) + packer.flush()
+                raw = packer.compress(record(page_id, url, payload, bare, refers_to, revisit, _one_line(time or date))) + packer.flush()
                 out.write(raw)
-                entries.append((url_key(url), page_id, at, len(raw), "revisit" if revisit else "response"))
+                entries.append((url_key(url), re.sub(r"\D", "", time or date)[:14], page_id, at, len(raw), "revisit" if revisit else "response"))
                 at += len(raw)
                 if len(entries) >= RUN_RECORDS or at >= FILE_BYTES:
                     yield finish()
@@ -166,33 +172,67 @@ def write_archives(decided: DataFrame, root: str, date: str = DATE) -> DataFrame
         if out is not None:
             yield finish()
 
-    return decided.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(run, _INDEX.format(id=kind.simpleString()))
+    return decided.select("page_id", "url", "html", "timestamp", "digest", "refers_to").mapInArrow(run, _INDEX.format(id=kind.simpleString()))
+
+
+def _key(urlkey: str, timestamp: str, page_id) -> tuple:
+    """Entries' order, as Spark has it: text by its bytes, null ids first."""
+    return urlkey.encode(), timestamp, page_id is not None, page_id if page_id is not None else 0
+
 
+def _slices(spool: pa.RecordBatchFileReader, batches: range) -> Iterator[tuple]:
+    """The entries of a slice of a run, (key, place in the range, entry), a batch in memory at a time."""
+    for i in batches:
+        for j, entry in enumerate(zip(*(c.to_pylist() for c in spool.get_batch(i).columns))):
+            yield _key(*entry[3:6]), (i, j), entry
 
-def merge_runs(index: DataFrame) -> DataFrame:
+
+def merge_runs(index: DataFrame, root: str) -> DataFrame:
     """The runs merged: partitions are ranges of (urlkey, timestamp, page_id), in global order within and across.
 
     Adds `part` (the range) and `nth` (place in it). A hot URL's captures spread over ranges, as the
-    timestamp and id are part of the range key."""
+    timestamp, the id and at last the run are part of the range key. Slices arrive sorted by run, are
+    spooled under `root`, and merged; a task that is run again spools to a file of another name."""
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        frames = [b for b in batches if len(b)]
-        if not frames:
+        files, base = local_root(root)
+        name, out, runs, last, count = f"{base}/{uuid.uuid4().hex}.arrow", None, [], None, 0
+        for batch in batches:
+            owner = batch.column("run").to_pylist()
+            edges = [i for i in range(len(owner)) if i and owner[i] != owner[i - 1]]
+            for a, b in zip([0, *edges], [*edges, len(owner)]):
+                for at in range(a, b, READ_ENTRIES):
+                    if out is None:
+                        files.create_dir(base, recursive=True)
+                        sink = files.open_output_stream(name, compression=None)
+                        out = pa.ipc.new_file(sink, batch.schema)
+                    if owner[a] != last:
+                        runs.append([])
+                        last = owner[a]
+                    out.write_batch(batch.slice(at, min(READ_ENTRIES, b - at)))
+                    runs[-1].append(count)
+                    count += 1
+        if out is None:
             return
-        rows = pd.concat(frames, ignore_index=True)
-        whole = rows.sort_values(["run", "seq"], kind="stable")  # a slice's rows may arrive in pieces
-        ids = whole["page_id"].astype(object).where(whole["page_id"].notna(), None)
-        entries = list(zip(whole["run"], zip(whole["urlkey"], whole["timestamp"], ids.notna(), ids.map(lambda x: 0 if x is None else x), range(len(whole)))))
-        slices = [map(itemgetter(1), list(g)) for _, g in groupby(entries, key=itemgetter(0))]
-        order = [e[-1] for e in LoserTree(slices)]
-        yield whole.iloc[order].assign(part=part, nth=range(len(order)))[[*_INDEX_COLUMNS, "part", "nth"]]
-
-    ranged = index.repartitionByRange(index.sparkSession.sparkContext.defaultParallelism * 2, "urlkey", "timestamp", "page_id")
+        out.close()
+        sink.close()
+        with files.open_input_file(name) as f:
+            spool = pa.ipc.open_file(f)
+            merged, done = iter(LoserTree([_slices(spool, r) for r in runs])), 0
+            while rows := [entry for _, _, entry in islice(merged, OUT_ENTRIES)]:
+                columns = [pa.array(c, type=t) for c, t in zip(zip(*rows), spool.schema.types)]
+                columns += [pa.array([part] * len(rows), pa.int32()), pa.array(range(done, done + len(rows)), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*_INDEX_COLUMNS, "part", "nth"])
+                done += len(rows)
+        files.delete_file(name)
+
+    ranges = max(1, -(-index.count() // RANGE_ENTRIES), index.sparkSession.sparkContext.defaultParallelism)
     kind = index.schema["page_id"].dataType.simpleString()
-    return ranged.mapInPandas(merge, _INDEX.format(id=kind) + ", part int, nth long")
+    ranged = index.select(_INDEX_COLUMNS).repartitionByRange(ranges, "urlkey", "timestamp", "page_id", "run", "seq").sortWithinPartitions("run", "seq")
+    return ranged.mapInArrow(merge, _INDEX.format(id=kind) + ", part int, nth long")
 
 
 def read_archives(index: DataFrame, root: str) -> DataFrame:
@@ -229,12 +269,13 @@ def read_archives(index: DataFrame, root: str) -> DataFrame:
 
 def archive(pages: DataFrame, least_bytes: int = 0, date: str = DATE) -> tuple[DataFrame, DataFrame, str]:
     """(merged index, records read back, folder of the archives). See decide() for ties and nulls; a null
-    html is an empty payload, a null url an empty key. No pages give empty results."""
+    html is an empty payload, a null url an empty key. Pages may have a `timestamp`; others are of
+    `date`. No pages give empty results."""
     spark = prepare(pages.sparkSession)
     tables = Tables(spark, "archives")
     root = tables.path("warc")
     runs = tables.keep(write_archives(decide(pages, least_bytes), root, date), "runs")
-    merged = tables.keep(merge_runs(runs), "index")
+    merged = tables.keep(merge_runs(runs, tables.path("spool")), "index")
     return merged, read_archives(merged, root), root
 
 

@@ -364,6 +364,28 @@ def test_archives(spark, monkeypatch, least):
     assert order == sorted(order) and len(order) == len(rows)
 
 
+def test_small_payloads_are_responses(spark):
+    pages = spark.createDataFrame([(1, None), (2, None), (3, ""), (4, "ab"), (5, "ab"), (6, "abc"), (7, "abc")], "page_id long, html string").withColumn("url", F.lit("http://a.b"))
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.archive(pages, 3)[1].collect()}
+    assert got == {i: ("response", None) for i in (1, 2, 3, 4, 5, 7)} | {6: ("revisit", 7)}
+
+
+@pytest.mark.parametrize("read", [1, 3])
+def test_histories_in_order_of_time(spark, monkeypatch, read):
+    """Many runs of one hot address and a few others, merged over readers of tiny batches."""
+    monkeypatch.setattr(warc, "RUN_RECORDS", 7)
+    monkeypatch.setattr(warc, "READ_ENTRIES", read)
+    monkeypatch.setattr(warc, "RANGE_ENTRIES", 40)
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["http://hot.org/", "http://hot.org/", "http://é.org/x", "http://a.org"]), f"p{i}", f"20{rng.randrange(10, 25)}-01-0{rng.randrange(1, 9)}") for i in range(200)] + [(900, "http://hot.org/", "q", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, timestamp string").repartition(5)
+    index, records, _ = warc.archive(pages)
+    got = [(r.urlkey.encode(), r.timestamp, r.page_id) for r in index.orderBy("part", "nth").collect()]
+    assert got == sorted((warc.url_key(u).encode(), (t or warc.DATE).replace("-", "").replace("T", "").replace(":", "").replace("Z", ""), i) for i, u, _, t in rows)
+    assert [r.nth for r in index.where("part = 0").orderBy("nth").collect()] == list(range(index.where("part = 0").count()))
+    assert records.count() == len(rows)
+
+
 def test_archives_of_nothing(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     index, records, _ = warc.archive(pages)
