@@ -4,7 +4,8 @@ Every row gets a 56-bit hash. A source whose target is k whole copies and a rema
 every document k times, and once more those whose hash is under a threshold. The threshold comes
 from nested histograms: words by (source, leading byte of the hash); the bucket where the running
 sum passes r is the boundary; only its rows are summed by the next byte, and so on. Nothing is
-sorted but 256 buckets a source, and each round reads about 1/256 of the rows of the round before.
+sorted but 256 buckets a source and the table of sources, one row each, whose targets are computed
+in one task; each round reads about 1/256 of the rows of the round before.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     sizes: (key, source, source_size), a row a source. Sources by code point (null last) take the
     weights in turn. The excess of capped sources goes to the others by weight until none is above:
     in order of cap / weight, all sources before the first that its share doesn't fill are capped.
+    The order is of all sources: they meet in one task.
     Adds target double. No rows give no rows; when all sizes are 0 every target is 0."""
     every = Window.orderBy(F.col("source").asc_nulls_last(), "key")
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(every) - 1) % len(weights) + 1).cast("int"))
@@ -55,14 +57,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) ->
     h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2 * LEVELS), 16, 10).cast("long")
     sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
     sized = tables.keep(sized.withColumn("key", key), "sized")
-    sources = sized.groupBy("key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
+    sources = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     full = tables.keep(targets(sources, weights, most), "targets")
     k = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)
     full = full.withColumn("k", k.cast("long")).withColumn("need", F.greatest(F.col("target") - F.col("k") * F.col("source_size"), F.lit(0.0)))
 
     # bound: of each source, the boundary bucket so far (its leading bytes) and the words under it
     bound = full.select("key", "need", F.lit(0).cast("long").alias("prefix"), F.lit(0).cast("long").alias("below"))
-    rows = sized.where("size > 0").groupBy("key", "h").agg(F.sum("size").alias("size"))
+    rows = sized.where("size > 0").select("key", "h", "size")
     by = Window.partitionBy("key").orderBy("bucket")
     for level in range(LEVELS):
         shift = 8 * (LEVELS - 1 - level)
@@ -72,12 +74,12 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) ->
             rows = inside.select(*rows.columns)
             if level > 1:
                 tables.drop(f"rows{level - 1}")
-        found = inside.groupBy("key", "need", "below", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("s"), F.count("*").alias("n"))
+        found = inside.groupBy("key", "need", "below", F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("s"), F.min("h").alias("first"), F.max("h").alias("last"))
         found = found.withColumn("upto", F.col("below") + F.sum("s").over(by)).where("upto > need")
-        found = found.groupBy("key", "need").agg(F.min(F.struct("bucket", "upto", "s", "n")).alias("b"))
-        found = found.select("key", "need", F.col("b.bucket").alias("prefix"), (F.col("b.upto") - F.col("b.s")).alias("below"), F.col("b.s").alias("s"), F.col("b.n").alias("n"))
+        found = found.groupBy("key", "need").agg(F.min(F.struct("bucket", "upto", "s", "first", "last")).alias("b"))
+        found = found.select("key", "need", F.col("b.bucket").alias("prefix"), (F.col("b.upto") - F.col("b.s")).alias("below"), F.col("b.s").alias("s"), (F.col("b.first") < F.col("b.last")).alias("several"))
         bound = tables.keep(found, f"bound{level}")
-        if bound.where("n > 1").isEmpty():
+        if bound.where("several").isEmpty():
             break
     # one hash is left in each boundary bucket: taken if that comes nearer to the need
     near = F.when(2 * (F.col("need") - F.col("below")) > F.col("s"), 1).otherwise(0)

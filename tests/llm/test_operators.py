@@ -4,6 +4,7 @@ import hashlib
 import json
 import math
 import random
+import re
 import zlib
 from pathlib import Path
 
@@ -484,6 +485,32 @@ def test_mix(spark):
     assert {r.doc_id: r.taken for r in mixing.mix(d.repartition(5)).collect()} == {r.doc_id: r.taken for r in got}
 
 
+def test_mix_sorts_sources_and_buckets_only(spark):
+    """No plan sorts what is of the size of the documents, nor runs Python: sorts stand behind a grouping by bucket or source."""
+    plans = []
+    keep = mixing.Tables.keep
+
+    def noted(self, df, name):
+        plans.append((name, df._jdf.queryExecution().sparkPlan().toString()))
+        return keep(self, df, name)
+
+    mixing.Tables.keep = noted
+    try:
+        mixing.mix(docs(spark, *(f"w {i}" for i in range(50)), sources=["a", "b"] * 25)).count()
+    finally:
+        mixing.Tables.keep = keep
+    assert {n for n, _ in plans} >= {"sized", "targets", "bound0"}
+    for name, plan in plans:
+        assert not re.search("Python|Pandas|Arrow", plan)
+        # of the physical plan before exchanges are put in: sort-based groupings would show here
+        assert "SortAggregate" not in plan or name.startswith("bound"), plan
+        if name in ("sized", "targets"):
+            assert "ObjectHashAggregate" not in plan
+        for line in plan.splitlines():
+            if "SortAggregate" in line:
+                assert "bucket" in line, line
+
+
 def test_mix_of_nothing(spark):
     assert mixing.mix(docs(spark, "a").where("false")).count() == 0
     assert [tuple(r)[1:] for r in mixing.mix(docs(spark, None, "")).collect()] == [(0, 0, 0.0, 0)] * 2
