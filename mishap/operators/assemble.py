@@ -22,11 +22,30 @@ def source_region(content: Column, line: Column, around: int = 18, most: int = 4
     return F.when(good, F.struct(F.array_join(F.slice(lines, start2, size), "\n").alias("sourceCode"), start2.alias("start"), end2.alias("end")))
 
 
+def _repeats(rows: DataFrame, taken: DataFrame | None) -> DataFrame:
+    """Rows with __again: another row of the id comes first, or the id is taken."""
+    again = F.row_number().over(Window.partitionBy("id").orderBy("ordinal")) > 1
+    if taken is None:
+        return rows.withColumn("__again", again)
+    rows = rows.join(taken.select("id").distinct().withColumn("__t", F.lit(True)), "id", "left")
+    return rows.withColumn("__again", again | F.col("__t").isNotNull()).drop("__t")
+
+
 def first_of_each_id(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """Rows with the smallest ordinal of their id, and of ids that aren't taken."""
-    if taken is not None:
-        rows = rows.join(taken.select("id"), "id", "left_anti").select(*rows.columns)
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy("ordinal"))).where("__n = 1").drop("__n")
+    return _repeats(rows, taken).where("not __again").select(*rows.columns)
+
+
+def duplicate_rejects(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
+    """(repo, ordinal, message, error) of the rows that first_of_each_id leaves out, one each."""
+    error = F.concat(F.lit("duplicate discovery (id "), "id", F.lit(")"))
+    return _repeats(rows, taken).where("__again").select("repo", "ordinal", "message", error.alias("error"))
+
+
+def identified(discovered: DataFrame) -> DataFrame:
+    """Discovered sites with filePath, lineNumber, id and slug."""
+    d = discovered.withColumn("filePath", F.coalesce("file", F.lit("unknown"))).withColumn("lineNumber", F.when(F.col("line") > 0, F.col("line").cast("int")))
+    return d.withColumn("id", error_id(F.col("repo"), F.col("code"), F.col("message"), F.col("filePath"))).withColumn("slug", record_slug(F.col("code"), F.col("message")))
 
 
 def unique_slugs(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
@@ -40,13 +59,12 @@ def unique_slugs(rows: DataFrame, taken: DataFrame | None = None) -> DataFrame:
 
 
 def assemble(discovered: DataFrame, enriched: DataFrame, defence: DataFrame, files: DataFrame, analyzed_at: str, taken: DataFrame | None = None) -> DataFrame:
-    """Records with `issues` and `valid`; duplicates of an id (the first stays) and taken ids are left out.
+    """Records with `issues` and `valid`; duplicates of an id (the first stays) and taken ids are left out:
+    duplicate_rejects(identified(discovered)) names them.
 
     discovered: (repo, sha, ordinal, message, type, file, line, code, errorClass, httpStatus);
     enriched and defence: (repo, ordinal, ...) with what a model said; files: (repo, path, content)."""
-    d = discovered.withColumn("filePath", F.coalesce("file", F.lit("unknown"))).withColumn("lineNumber", F.when(F.col("line") > 0, F.col("line").cast("int")))
-    d = d.withColumn("id", error_id(F.col("repo"), F.col("code"), F.col("message"), F.col("filePath"))).withColumn("slug", record_slug(F.col("code"), F.col("message")))
-    d = unique_slugs(first_of_each_id(d, taken), taken)
+    d = unique_slugs(first_of_each_id(identified(discovered), taken), taken)
     d = d.join(enriched, ["repo", "ordinal"], "left").join(defence, ["repo", "ordinal"], "left")
     d = d.join(files.select("repo", F.col("path").alias("filePath"), "content"), ["repo", "filePath"], "left")
     d = d.withColumn("region", source_region(F.col("content"), F.col("lineNumber")))

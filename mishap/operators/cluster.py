@@ -43,7 +43,7 @@ def new_clusters(records: DataFrame, pages: DataFrame, min_errors: int = 5, min_
 
 def samples(records: DataFrame, chosen: DataFrame, limit: int = 30) -> DataFrame:
     """The best documented records of each chosen family (key, kind, value), clipped for a prompt."""
-    rows = members(records).join(F.broadcast(chosen.select("key", "kind", "value")), ["kind", "value"])  # pages of one run
+    rows = members(records).join(chosen.select("key", "kind", "value"), ["kind", "value"])
     order = Window.partitionBy("key").orderBy(F.desc(F.length(F.coalesce("documentation", F.lit("")))), "id")
     rows = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     lists = {c: F.slice(F.col(c) if dict(rows.dtypes)[c].startswith("array") else json_strings(F.col(c)), 1, 5) for c in ("solutions", "preventionTips")}
@@ -52,12 +52,12 @@ def samples(records: DataFrame, chosen: DataFrame, limit: int = 30) -> DataFrame
 
 
 def assign_slugs(chosen: DataFrame, taken: DataFrame) -> list[tuple[str, str | None]]:
-    """(key, slug) of the families of one run, one after the other: slug, else slug-kind, else none.
+    """(key, slug) of the families of one run, the largest first: slug, else slug-kind, else none.
 
     A run makes a bounded number of pages, and each slug depends on those before: a driver's loop."""
     used = {r[0] for r in taken.select("slug").join(chosen.select(F.explode(F.array(cluster_slug(F.col("value")), F.concat_ws("-", cluster_slug(F.col("value")), "kind"))).alias("slug")), "slug", "left_semi").collect()}
     out = []
-    for r in chosen.select("key", "kind", cluster_slug(F.col("value")).alias("base")).collect():
+    for r in chosen.select("key", "kind", "errorCount", cluster_slug(F.col("value")).alias("base")).orderBy(F.desc("errorCount"), "key").collect():
         slug = next((s for s in (r.base, f"{r.base}-{r.kind}") if s not in used), None)
         used |= {slug} - {None}
         out.append((r.key, slug))
@@ -67,7 +67,7 @@ def assign_slugs(chosen: DataFrame, taken: DataFrame) -> list[tuple[str, str | N
 def page_links(sampled: DataFrame, chosen: DataFrame) -> DataFrame:
     """(key, guideSlugs, errorIds): guides that any sample matches, sorted, and the samples' ids in order."""
     code = F.when(F.col("kind") == "code", F.col("value"))
-    rows = sampled.join(F.broadcast(chosen.select("key", "kind", "value")), "key")
+    rows = sampled.join(chosen.select("key", "kind", "value"), "key")
     return rows.groupBy("key").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(guides_for(code, F.col("message")))))).alias("guideSlugs"),
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("errorIds"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mishap.functions.rules import spark_regex
+from mishap.operators.rescan import touched
 
 #: Directories that are never looked at (fixed values).
 SKIPPED_DIRS = [
@@ -16,6 +17,7 @@ SKIPPED_DIRS = [
     ".github", "docs", "examples", "example", "benchmark", "benchmarks",
     "samples", "sample", "demo", "demos", "playground", "notebooks", "tutorials",
 ]
+#: Test folders and files, and literals (fixed values).
 TEST_DIR = r"^tests?$|^spec$"
 TEST_FILE = r"(\.test\.|\.spec\.|_test\.(go|py|rb|c|cc|cpp)$|^test_|Test\.(java|kt|cs)$)"
 #: Idioms of each family in the order that decides the kind (fixed values).
@@ -102,10 +104,16 @@ def is_skipped_dir(name: Column) -> Column:
 
 
 def is_excluded(path: Column) -> Column:
-    """In a skipped or hidden directory, hidden itself, or a test file."""
+    """In a skipped or hidden directory, hidden itself, or a test file. Paths are relative: a name that
+    begins with test_ counts at the root only."""
     parts = F.split(path, "/")
     dirs = F.slice(parts, 1, F.size(parts) - 1)
-    return F.exists(dirs, is_skipped_dir) | F.exists(parts, lambda p: p.startswith(".")) | path.rlike(TEST_FILE) | F.element_at(parts, -1).rlike(TEST_FILE)
+    return F.exists(dirs, is_skipped_dir) | F.exists(parts, lambda p: p.startswith(".")) | path.rlike(TEST_FILE)
+
+
+def is_source(path: Column) -> Column:
+    """Of a known family and not excluded."""
+    return family(path).isNotNull() & ~is_excluded(path)
 
 
 def under(path: Column, roots: Column) -> Column:
@@ -117,15 +125,16 @@ def out_of_scope(path: Column, include: Column, exclude: Column) -> Column:
 
 
 def scope_tally(files: DataFrame, include: Column, exclude: Column) -> DataFrame:
-    """(top, n): files that the scope drops, by top directory."""
-    dropped = files.where(out_of_scope(F.col("path"), include, exclude))
+    """(top, n): source files that the scope alone drops, by top directory."""
+    dropped = files.where(is_source(F.col("path")) & out_of_scope(F.col("path"), include, exclude))
     return dropped.groupBy(F.split("path", "/")[0].alias("top")).agg(F.count("*").alias("n"))
 
 
 def line_kind(fam: Column, line: Column) -> Column:
     """The kind of the first idiom of the line's family that it holds."""
-    cases = [F.when((fam == f) & line.rlike(spark_regex(p, False)), k) for f, ps in IDIOMS.items() for k, p in ps]
-    return F.coalesce(*cases)
+    first = {f: reduce(lambda w, kp: w.when(line.rlike(spark_regex(kp[1], False)), kp[0]), ps[1:], F.when(line.rlike(spark_regex(ps[0][1], False)), ps[0][0])) for f, ps in IDIOMS.items()}
+    (f0, c0), *rest = first.items()
+    return reduce(lambda w, fc: w.when(fam == fc[0], fc[1]), rest, F.when(fam == f0, c0))
 
 
 def _context(lines: Column, at: Column, around: int, line_max: int, total: int) -> Column:
@@ -141,22 +150,33 @@ def _context(lines: Column, at: Column, around: int, line_max: int, total: int)
     return F.when(F.exists(kept, lambda x: F.trim(x) != ""), F.struct((first + 1).alias("start"), kept.alias("lines")))
 
 
-def extract_sites(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, max_bytes: int = 400_000, max_line: int = 500, per_file: int = 500, around: int = 8) -> DataFrame:
+def extract_sites(files: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, max_bytes: int = 400_000, max_line: int = 500, per_file: int = 500, around: int = 8, only: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
     """(path, line, kind, snippet, literal, context) of files (path, content), extra key columns kept.
 
     A line gives one site, of the first idiom that it holds; a file at most `per_file`, its first.
-    Paths decide before contents are looked at."""
+    Paths decide before contents are looked at. `only` limits it to a diff (`by`..., path, status,
+    hunks): files that the diff adds or modifies, and of the latter the lines near an edit."""
     keys = [c for c in files.columns if c != "content"]
     scope = [F.array(*map(F.lit, x or [])).cast("array<string>") for x in (include, exclude)]
     rows = files.withColumn("__f", family(F.col("path"))).where(F.col("__f").isNotNull() & ~is_excluded(F.col("path")) & ~out_of_scope(F.col("path"), *scope))
+    looked = lambda i: F.lit(True)
+    if only is not None:
+        d = only.where("status != 'D'").select(*(by or []), "path", F.col("status").alias("__status"), F.col("hunks").alias("__hunks"))
+        rows = rows.join(d, [*(by or []), "path"])
+        looked = lambda i: (F.col("__status") == "A") | touched(F.col("__hunks"), (i + 1).cast("long"), "new")
     rows = rows.where(F.octet_length("content") <= max_bytes).withColumn("__lines", F.split("content", "\n"))
-    line = lambda x: F.when(F.length(x) <= max_line, line_kind(F.col("__f"), x))
-    hits = F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("at"), line(x).alias("kind"))), lambda h: h["kind"].isNotNull())
-    rows = rows.withColumn("__hits", F.slice(hits, 1, per_file))
-    rows = rows.select(*keys, "__lines", F.explode("__hits").alias("h"))
-    text, after = F.element_at("__lines", F.col("h.at") + 1), F.get("__lines", F.col("h.at") + 1)
+    line = lambda x, i: F.when((F.length(x) <= max_line) & looked(i), line_kind(F.col("__f"), x))
+    hits = F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("at"), line(x, i).alias("kind"))), lambda h: h["kind"].isNotNull())
     pick = lambda x: F.nullif(F.regexp_extract(x, LITERAL, 1), F.lit(""))
-    return rows.select(*keys, (F.col("h.at") + 1).alias("line"), F.col("h.kind").alias("kind"), F.substring(F.trim(text), 1, 300).alias("snippet"), F.substring(F.coalesce(pick(text), pick(after)), 1, 200).alias("literal"), _context(F.col("__lines"), F.col("h.at"), around, 200, 1200).alias("context"))
+
+    def site(h: Column) -> Column:
+        text, after = F.get("__lines", h["at"]), F.get("__lines", h["at"] + 1)
+        literal = F.substring(F.coalesce(pick(text), pick(after)), 1, 200)
+        return F.struct((h["at"] + 1).alias("line"), h["kind"].alias("kind"), F.substring(F.trim(text), 1, 300).alias("snippet"), literal.alias("literal"), _context(F.col("__lines"), h["at"], around, 200, 1200).alias("context"))
+
+    # sites are made inside the row of their file, so that its lines aren't repeated a site
+    rows = rows.withColumn("__hits", F.slice(hits, 1, per_file)).select(*keys, F.transform("__hits", site).alias("__sites"))
+    return rows.select(*keys, F.explode("__sites").alias("s")).select(*keys, "s.*")
 
 
 def first_family_wins(hits: DataFrame) -> DataFrame:
@@ -166,12 +186,12 @@ def first_family_wins(hits: DataFrame) -> DataFrame:
 
 
 def count_sources(files: DataFrame) -> DataFrame:
-    return files.where(family(F.col("path")).isNotNull() & ~is_excluded(F.col("path"))).agg(F.count("*").alias("n"))
+    return files.where(is_source(F.col("path"))).agg(F.count("*").alias("n"))
 
 
 def tree_counts(files: DataFrame, depth: int = 3, most_dirs: int = 400, cap: int = 5000) -> DataFrame:
     """(path, depth, sourceFiles, capped): source files below each directory, the first ones in pre-order."""
-    rows = files.where(family(F.col("path")).isNotNull() & ~is_excluded(F.col("path"))).select(F.split("path", "/").alias("p"))
+    rows = files.where(is_source(F.col("path"))).select(F.split("path", "/").alias("p"))
     levels = F.sequence(F.lit(1), F.least(F.lit(depth), F.size("p") - 1))
     rows = rows.where("size(p) > 1").select(F.explode(levels).alias("depth"), "p").select("depth", F.array_join(F.slice("p", 1, F.col("depth")), "/").alias("path"))
     counts = rows.groupBy("path", "depth").agg(F.count("*").alias("n"))

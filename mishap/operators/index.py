@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 from mishap.functions.text import META_CHUNK, WEIGHT_SCALE, fuzzy_tokens, id_shard, round_half_up, token_shard
 
 
-def dense_index(rows: DataFrame, order: str, name: str = "idx", buckets: int = 256) -> DataFrame:
-    """Numbers rows from 0 in the order of a numeric column, without a sort in one task.
+def dense_index(rows: DataFrame, order: str, name: str = "idx") -> DataFrame:
+    """Numbers rows from 0 in the order of a column, without a sort in one task.
 
-    Rows are cut into ranges of about equal numbers; a range's rows are numbered apart, and start
-    after the numbers of the ranges before, which are a few sums."""
-    cuts = rows.agg(F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("cuts"))
-    cut = rows.crossJoin(F.broadcast(cuts))  # one row
-    cut = cut.withColumn("__b", F.size(F.filter(F.coalesce("cuts", F.array().cast(f"array<{rows.schema[order].dataType.simpleString()}>")), lambda c: c <= F.col(order)))).drop("cuts")
-    sizes = cut.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = sizes.select("__b", (F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("__b").orderBy(order)) - 1
-    return cut.join(F.broadcast(before), "__b").withColumn(name, (own + F.col("__before")).cast("long")).drop("__b", "__before")
+    Rows are sorted in ranges, as many as the session's shuffles have parts, and kept (in memory or on
+    disk) so that they are computed once: a range's rows start after the sizes of the ranges before,
+    which are one row a range. Spark makes lost ranges again with the same bounds. The session's
+    cache holds the rows until it is cleared."""
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).persist()
+    own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # its upper bits are the range's
+    numbered = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__own", own)
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = numbered.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", before.alias("__before"))
+    return numbered.join(F.broadcast(sizes), "__p").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__p", "__own", "__before")
 
 
 def postings(entries: DataFrame, key: str = "idx", message: str = "msg") -> DataFrame:
@@ -55,6 +56,13 @@ def posting_lists(tokens: DataFrame, weighted: DataFrame, key: str = "idx") -> D
     return lists.join(weighted, "token").select(token_shard(F.col("token")).alias("shard"), "token", "weight", "entries")
 
 
+def posting_blocks(tokens: DataFrame, weighted: DataFrame, size: int = META_CHUNK, key: str = "idx") -> DataFrame:
+    """(shard, token, weight, block, entries): posting lists in blocks of `size` numbers each, so that no row holds a common token's whole list."""
+    block = F.floor(F.col(key) / size).cast("long")
+    lists = tokens.groupBy("token", block.alias("block")).agg(F.sort_array(F.collect_list(key)).alias("entries"))
+    return lists.join(weighted, "token").select(token_shard(F.col("token")).alias("shard"), "token", "weight", "block", "entries")
+
+
 def code_lists(entries: DataFrame) -> DataFrame:
     return entries.where("code is not null and code != ''").groupBy("code").agg(F.sort_array(F.collect_list("idx")).alias("entries"))
 
@@ -77,6 +85,11 @@ class Prepared:
     sizes: DataFrame
     n: DataFrame
 
+    def release(self) -> None:
+        """Lets go of what is kept."""
+        for kept in (self.sizes, self.weighted, self.tokens, self.entries):
+            kept.unpersist()
+
 
 def prepare(entries: DataFrame | Prepared) -> Prepared:
     """The parts of the index that searches share, computed once for all of them."""

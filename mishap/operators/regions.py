@@ -27,14 +27,19 @@ def merge_contexts(sites: DataFrame) -> DataFrame:
 
 
 def innermost(sites: DataFrame, symbols: DataFrame, by: list[str], line: str = "line") -> DataFrame:
-    """Each site with the smallest symbol [first, last] around it, or none.
-
-    Sites and symbols meet by file; a file has few of either. Ties go to the earlier first line, then the name."""
-    s = symbols.where("last is not null")
-    near = sites.join(s, by, "left").where((F.col("first").isNull()) | F.col(line).between(F.col("first"), F.col("last")))
-    best = near.groupBy(*sites.columns).agg(F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "first", "last", "name")).alias("s"))
-    found = best.select(*sites.columns, F.col("s.first").alias("first"), F.col("s.last").alias("last"), F.col("s.name").alias("name"))
-    return sites.join(found, sites.columns, "left")
+    """Each site with the smallest symbol [first, last] around it, or none. Ties go to the earlier first line, then the name.
+
+    A symbol of up to 2^level lines lies in at most two cells of that size, and a site looks into one
+    cell of each level that its file has: they meet by an equi join on cells, not by all pairs of a file."""
+    size = F.col("last") - F.col("first") + 1
+    s = symbols.where("last >= first").withColumn("__level", F.when(size <= 1, 0).otherwise(F.length(F.bin(size - 1))))
+    levels = s.groupBy(*by).agg(F.collect_set("__level").alias("__levels"))
+    cell = lambda c: F.expr(f"shiftright(cast(`{c}` as bigint), __level)")
+    s = s.select(*by, "first", "last", "name", "__level", F.explode(F.array_distinct(F.array(cell("first"), cell("last")))).alias("__cell"))
+    probes = sites.select(*by, line).distinct().join(levels, by).select(*by, line, F.explode("__levels").alias("__level")).withColumn("__cell", cell(line))
+    near = probes.join(s, [*by, "__level", "__cell"]).where(F.col(line).between(F.col("first"), F.col("last")))
+    best = near.groupBy(*by, line).agg(F.min(F.struct((F.col("last") - F.col("first")).alias("span"), "first", "last", "name")).alias("__s"))
+    return sites.join(best, [*by, line], "left").select(*sites.columns, F.col("__s.first").alias("first"), F.col("__s.last").alias("last"), F.col("__s.name").alias("name"))
 
 
 def reached_by(refs: DataFrame, symbols: DataFrame, most_refs: int = 12, most: int = 6) -> DataFrame:

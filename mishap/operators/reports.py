@@ -84,15 +84,22 @@ def guide_counts(matches: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def related(entries: DataFrame, cap: int = 5) -> DataFrame:
-    """(id, rank, other, overlap): records of one repo that share tags, the most first; the other's repeats count.
-
-    Records meet by (repo, tag), so only those with a tag in common are paired."""
-    mine = entries.select("repo", "id", F.explode(F.array_distinct("tags")).alias("tag"))
-    theirs = entries.select("repo", F.col("id").alias("other"), F.col("idx"), F.explode("tags").alias("tag"))
-    theirs = theirs.groupBy("repo", "other", "idx", "tag").agg(F.count("*").alias("n"))
-    pairs = mine.join(theirs, ["repo", "tag"]).where("id != other").groupBy("id", "other", "idx").agg(F.sum("n").alias("overlap"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overlap"), "idx"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= cap).select("id", "rank", "other", "overlap")
+    """(id, rank, other, overlap): records of one repo that share tags, the most first; the other's repeats count. Ids are unique.
+
+    Records with the same tags are of one kind, and kinds are paired instead of records: of a kind only
+    its first cap + 1 records can be among anyone's best, and all records of a kind have the same
+    best but for themselves. So a tag that all records have costs no more than its kinds do."""
+    rows = entries.select("repo", "id", "idx", F.array_sort("tags").alias("kind")).where(F.size("kind") > 0)
+    first = rows.withColumn("n", F.row_number().over(Window.partitionBy("repo", "kind").orderBy("idx"))).where(F.col("n") <= cap + 1)
+    kinds = first.groupBy("repo", "kind").agg(F.collect_list(F.struct("idx", "id")).alias("first"))
+    mine = kinds.select("repo", "kind", F.explode(F.array_distinct("kind")).alias("tag"))
+    theirs = kinds.select("repo", F.col("kind").alias("other_kind"), F.explode("kind").alias("tag")).groupBy("repo", "other_kind", "tag").agg(F.count("*").alias("n"))
+    pairs = mine.join(theirs, ["repo", "tag"]).groupBy("repo", "kind", "other_kind").agg(F.sum("n").alias("overlap"))
+    best = pairs.join(kinds.select("repo", F.col("kind").alias("other_kind"), "first"), ["repo", "other_kind"]).select("repo", "kind", "overlap", F.explode("first").alias("o"))
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("repo", "kind").orderBy(F.desc("overlap"), "o.idx"))).where(F.col("n") <= cap + 1)
+    found = rows.join(best, ["repo", "kind"]).where(F.col("id") != F.col("o.id"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("overlap"), "o.idx"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= cap).select("id", "rank", F.col("o.id").alias("other"), "overlap")
 
 
 def background_article(records: DataFrame, pages: DataFrame) -> DataFrame:

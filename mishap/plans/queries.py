@@ -14,6 +14,7 @@ from mishap.sinks import feeds, state
 from mishap.sources import payloads
 
 NOW = 200_000_000  # the clock of queries on queues, in ms
+MARKS = ["the ", "und ", "que ", "les ", "of ", "con ", "@", "http", "#", "!", "0", "7"]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -170,8 +171,9 @@ def guide_top_repos(spark, d):
 
 @query
 def related_by_tags(spark, d):
+    """Tags are the marks that a whole text holds."""
     e = views.entries(spark, d)
-    tags = F.slice(F.split(text.fuzzy_form(F.col("msg")), " "), 1, 5)
+    tags = F.filter(F.array(*map(F.lit, MARKS)), lambda m: F.contains(F.col("msg"), m))
     return reports.related(e.select("repo", F.col("doc_id").alias("id"), "idx", tags.alias("tags")))
 
 
@@ -404,7 +406,7 @@ def extract_sites(spark, d):
 
 @query
 def extract_json(spark, d):
-    return payloads.extract_json(views.raw_answers(spark, d)).select("conv_id", "turn", "json", "error")
+    return payloads.extract_json(views.raw_answers(spark, d)).select("conv_id", "turn", F.get_json_object("json", "$.said").alias("said"), "error")
 
 
 @query

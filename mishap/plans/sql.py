@@ -6,6 +6,7 @@ from mishap.functions.rules import AGENTS, GENERIC_FAMILIES, GUIDES, HOST_FAULT
 from mishap.operators.extract import SKIPPED_DIRS, TEST_DIR, TEST_FILE
 
 NOW = 200_000_000
+MARKS = ["the ", "und ", "que ", "les ", "of ", "con ", "@", "http", "#", "!", "0", "7"]
 
 
 def _quote(s: str) -> str:
@@ -74,7 +75,7 @@ _NORMS = "norms AS (SELECT idx, floor(sqrt(sum(idf * idf)) * 100 + 0.5)::BIGINT
 _MESSAGES = f"""sentences AS (SELECT doc_id, lang || '/' || source AS repo, unnest(range(len(p))) AS pos, unnest(list_transform(p, lambda x: trim(x))) AS msg FROM (SELECT *, string_split_regex(text, '[.\\n]') AS p FROM documents)),
 entries AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS idx, *, {_code('msg')} AS code, {_id('repo', 'msg', "'doc'")} AS id, CASE WHEN {_good(_derived('msg'))} THEN {_derived('msg')} ELSE {_escape('msg')} END AS pattern
   FROM (SELECT msg, min(doc_id * 1000000 + pos) AS ord, arg_min(repo, doc_id * 1000000 + pos) AS repo FROM sentences WHERE msg <> '' GROUP BY msg))"""
-_QUERIES = "queries AS (SELECT qid, text FROM (SELECT item_id * 1000000 + unnest(range(len(p))) AS qid, unnest(list_transform(p, lambda x: trim(x))) AS text FROM (SELECT *, string_split_regex(text, '[.\\n]') AS p FROM benchmark)) WHERE text <> '')"
+_QUERIES = "queries AS (SELECT qid, text || ' ' || upper(string_split(text, ' ')[1]) AS text FROM (SELECT item_id * 1000000 + unnest(range(len(p))) AS qid, unnest(list_transform(p, lambda x: trim(x))) AS text FROM (SELECT *, string_split_regex(text, '[.\\n]') AS p FROM benchmark)) WHERE text <> '')"
 _ASKED = f"asked AS (SELECT DISTINCT qid, token FROM (SELECT qid, unnest(string_split({_form('text')}, ' ')) AS token FROM queries) WHERE token <> '')"
 _EXACT = f"exact AS (SELECT DISTINCT qid, idx FROM (SELECT qid, unnest({_codes('text')}) AS code FROM queries) q JOIN entries e ON q.code = e.code AND e.code <> '')"
 _COSINE = """cosine AS (SELECT qid, idx, round(dot / (norm / 100 * qnorm), 9) AS score FROM
@@ -91,7 +92,7 @@ _MEMBERS = """members AS (SELECT *, 'code' AS kind, code AS value FROM records W
   SELECT *, 'class', cls FROM records WHERE coalesce(code, '') = '' AND cls <> '' UNION ALL SELECT *, 'tag', tag FROM records WHERE tag <> ''),
 clusters AS (SELECT kind || ':' || value AS key, kind, value, count(*) AS "errorCount", count(DISTINCT repo) AS "repoCount" FROM members GROUP BY kind, value HAVING count(*) >= 5 AND count(DISTINCT repo) >= 2)"""
 _GUIDES = f"""p AS (SELECT page_id AS idx, regexp_extract(url, '://([^/?#:]*)', 1) AS repo, {_code('html')} AS code,
-  concat_ws(' ', substr(html, 1, 100000), CASE WHEN page_id % 5 = 0 THEN 'connection reset' WHEN page_id % 5 = 1 THEN 'request timed out' END) AS msg FROM pages),
+  concat_ws(' ', html, CASE WHEN page_id % 5 = 0 THEN 'connection reset' WHEN page_id % 5 = 1 THEN 'request timed out' END) AS msg FROM pages),
 m AS (SELECT unnest({_guide_list('code', 'msg')}) AS guide, idx, repo FROM p)"""
 _JOBS = "jobs AS (SELECT event_id AS id, user_id::VARCHAR AS repo, event_type AS phase, CASE WHEN event_id % 3 = 0 THEN 'failed' ELSE 'success' END AS status, epoch_ms(date_trunc('hour', ts)) AS started_at, event_id % 1000 AS duration_ms FROM events)"
 _AGENT = "CASE WHEN coalesce(ua, '') = '' THEN 'unknown' " + " ".join(f"WHEN regexp_matches(ua, {_quote('(?i)' + p)}) THEN '{c}'" for c, p in AGENTS) + " ELSE 'human' END"
@@ -102,7 +103,7 @@ _REPOS = "r AS (SELECT o_custkey AS n, o_custkey::VARCHAR AS repo, CASE WHEN cou
 _DIFFS = "h AS (SELECT l_orderkey AS k, (l_linenumber * 10 + 2)::BIGINT AS s, l_quantity::BIGINT % 3 AS ol, l_quantity::BIGINT % 5 AS nl FROM lineitem WHERE l_returnflag = 'R'), f AS (SELECT k, CASE WHEN k % 7 = 0 THEN 'D' ELSE 'M' END AS status FROM h GROUP BY k)"
 _FILES = "t AS (SELECT string_split(regexp_extract(url, '://([^/?#:]*)', 1) || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || '.py', '/') AS p, regexp_extract(url, '://([^/?#:]*)', 1) || regexp_extract(url, '://[^/?#]*([^?#]*)', 1) || '.py' AS path FROM pages)"
 _BAD_DIR = "list_contains([" + ", ".join(_quote(x) for x in SKIPPED_DIRS) + f"], x) OR regexp_matches(x, {_quote(TEST_DIR)})"
-_SEEN = f"len(list_filter(p[:len(p) - 1], lambda x: {_BAD_DIR})) = 0 AND len(list_filter(p, lambda x: starts_with(x, '.'))) = 0 AND NOT regexp_matches(path, {_quote(TEST_FILE)}) AND NOT regexp_matches(p[len(p)], {_quote(TEST_FILE)}) AND regexp_matches(path, '[^/]\\.py$')"
+_SEEN = f"len(list_filter(p[:len(p) - 1], lambda x: {_BAD_DIR})) = 0 AND len(list_filter(p, lambda x: starts_with(x, '.'))) = 0 AND NOT regexp_matches(path, {_quote(TEST_FILE)}) AND regexp_matches(path, '[^/]\\.py$')"
 _REGION = "greatest(1, {l} - 18) AS s, least(len(string_split(text, chr(10))), {l} + 18) AS e"
 _MADE = f"""made AS (SELECT doc_id, lang || '/' || source AS repo, text, {_id("lang || '/' || source", 'text', "'f' || doc_id")} AS id, CASE WHEN doc_id % 4 > 0 THEN (doc_id % 4)::INT END AS line, (n_chars % 700)::INT AS http, doc_id % 2 = 0 AS bad, doc_id % 3 = 0 AS defended FROM documents),
 region AS (SELECT *, CASE WHEN line IS NOT NULL THEN greatest(1, line - 18) END AS s, CASE WHEN line IS NOT NULL THEN least(len(string_split(text, chr(10))), line + 18) END AS e FROM made),
@@ -143,7 +144,7 @@ z AS (SELECT idx, CASE WHEN {_good('d')} THEN d ELSE {_escape('t')} END AS patte
     "guide_top_repos": f"""WITH {_GUIDES}, g AS (SELECT guide, regexp_replace(repo, '^.*\\.', '') AS repo, idx FROM m), c AS (SELECT guide, repo, count(*) AS n FROM g GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY guide ORDER BY n DESC, repo)::INT AS repo_rank FROM c), s AS (SELECT *, row_number() OVER (PARTITION BY guide, repo ORDER BY idx) AS r FROM g)
 SELECT guide, repo_rank, repo, any_value(n) AS n, string_agg(idx::VARCHAR, ',' ORDER BY idx) AS shown, greatest(any_value(n) - 5, 0) AS more FROM k JOIN s USING (guide, repo) WHERE repo_rank <= 10 AND r <= 5 GROUP BY guide, repo_rank, repo""",
-    "related_by_tags": f"""WITH {_ENTRIES}, t AS (SELECT repo, doc_id AS id, idx, string_split({_form('msg')}, ' ')[1:5] AS tags FROM entries),
+    "related_by_tags": f"""WITH {_ENTRIES}, t AS (SELECT repo, doc_id AS id, idx, list_filter([{', '.join(_quote(m) for m in MARKS)}], lambda m: contains(msg, m)) AS tags FROM entries),
 a AS (SELECT DISTINCT repo, id, unnest(tags) AS tag FROM t), b AS (SELECT repo, id AS other, idx, unnest(tags) AS tag FROM t),
 p AS (SELECT a.id, b.other, b.idx, count(*) AS overlap FROM a JOIN b ON a.repo = b.repo AND a.tag = b.tag AND a.id <> b.other GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY overlap DESC, idx)::INT AS rank FROM p) SELECT id, rank, other, overlap FROM k WHERE rank <= 5""",
@@ -198,7 +199,7 @@ SELECT d.id, md5(coalesce((SELECT arg_max(v, o) FROM p WHERE p.id = d.id AND f =
 count(*) FILTER (quality = 1) AS "withExampleFix", count(*) FILTER (toxic = 0) AS "withSource", count(*) FILTER (toxic = 1) AS "withDefense", floor(avg(len(string_split(source, '2'))) * 10 + 0.5) / 10 AS "avgPreventionTips", 0.0::DOUBLE AS "avgTags" FROM documents LEFT JOIN labels USING (doc_id) GROUP BY lang""",
     "scope_tree_counts": f"""WITH {_FILES}, x AS (SELECT unnest(range(1, least(3, len(p) - 1) + 1)) AS depth, p FROM t WHERE len(p) > 1 AND {_SEEN}), c AS (SELECT array_to_string(p[1:depth], '/') AS path, depth::INT AS depth, count(*) AS n FROM x GROUP BY ALL)
 SELECT path, depth, least(n, 50) AS "sourceFiles", n > 50 AS capped FROM c""",
-    "scope_tally": f"WITH {_FILES} SELECT p[1] AS top, count(*) AS n FROM t WHERE starts_with(path, 'thther.example.org/en/') OR starts_with(path, 'ththre.example.com/') OR path IN ('thther.example.org/en', 'ththre.example.com') GROUP BY 1",
+    "scope_tally": f"WITH {_FILES} SELECT p[1] AS top, count(*) AS n FROM t WHERE (starts_with(path, 'thther.example.org/en/') OR starts_with(path, 'ththre.example.com/') OR path IN ('thther.example.org/en', 'ththre.example.com')) AND {_SEEN} GROUP BY 1",
     "source_region": f"WITH r AS (SELECT doc_id, text, {_REGION.format(l='(doc_id % 30 + 1)')} FROM documents) SELECT doc_id, s::INT AS start, e::INT AS \"end\", md5(array_to_string(string_split(text, chr(10))[s:e], chr(10))) AS code FROM r",
     "parsed_targets": """WITH u AS (SELECT page_id, string_split(regexp_replace(regexp_extract(url || CASE WHEN page_id % 2 = 0 THEN '/x' ELSE '' END, '^https?://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g'), '/') AS p FROM pages)
 SELECT page_id, CASE WHEN len(p) = 3 AND NOT list_contains(p, '') THEN p[1] || '/' || p[2] END AS repo, CASE WHEN len(p) = 3 AND NOT list_contains(p, '') THEN p[3] END AS slug FROM u""",

@@ -5,18 +5,21 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
-import os
-import shutil
 import uuid
-from pathlib import Path
+from collections.abc import Iterator
+from itertools import chain
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mishap.functions.text import META_CHUNK, THRESHOLD, TOKEN_SHARDS, WEIGHT_SCALE, shard_name
 from mishap.operators import index as ix
 from mishap.operators.reports import dataset_counts
 from mishap.schema import ERROR, INFO_PAGE, REPO, VERSION, struct_of, validate_errors, validate_info_pages, validate_repos
+from mishap.storage import exists, open_root, read_text, remove, swap, write_text
+from mishap.workers import reach
 
 ENTRY = struct_of("idx long, id string, repo string, slug string, code string, msg string, pattern string, type string, cls string, tags array<string>, sev string")
 
@@ -43,18 +46,120 @@ def hub(pages: DataFrame) -> DataFrame:
     return pages.select("slug", "title", "summary", "errorCount", "repoCount", "generatedAt").orderBy(F.desc("errorCount"), "slug")
 
 
-def _lines(rows: DataFrame, by: str, value: DataFrame | None = None, order: str | None = None) -> DataFrame:
-    """(by, body): the rows of each key as one JSON list."""
-    cols = [c for c in rows.columns if c != by]
-    item = F.struct(F.col(order).alias("__o"), F.to_json(F.struct(*cols)).alias("__j"))
-    return rows.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["__j"]), ",").alias("__b")).select(by, F.concat(F.lit("["), "__b", F.lit("]")).alias("body"))
+def _quoted(c: str) -> Column:
+    text = F.to_json(F.array(c))
+    return F.substr(text, F.lit(2), F.length(text) - 2)
+
+
+def _pieces(rows: DataFrame, path: Column, piece: Column, order: list, around: str = "[]", before: Column | str = ",") -> DataFrame:
+    """(path, piece, before, open, close, order...): what a file is put together from; `before` parts a piece from the one before it."""
+    ordered = [F.col(o).alias(f"o{i}") if isinstance(o, str) else o.alias(f"o{i}") for i, o in enumerate(order)]
+    return rows.select(path.alias("path"), piece.alias("piece"), (F.lit(before) if isinstance(before, str) else before).alias("before"), F.lit(around[0]).alias("open"), F.lit(around[1:]).alias("close"), *ordered)
+
+
+def write_files(pieces: DataFrame, root: str) -> int:
+    """Writes the files of pieces under `root` by tasks, a file after the other and piece by piece, so that no row or
+    task holds a whole file; how many there are. A task that is run again writes the same files anew."""
+    reach(pieces.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = open_root(root)
+        at, out, close, n = None, None, "", 0
+        for batch in batches:
+            for path, piece, before, head, tail in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if path != at:
+                    if out is not None:
+                        out.write(close.encode())
+                        out.close()
+                    files.create_dir(f"{base}/{path}".rpartition("/")[0], recursive=True)
+                    at, out, close, n = path, files.open_output_stream(f"{base}/{path}", compression=None), tail, n + 1
+                    out.write(head.encode())
+                else:
+                    out.write(before.encode())
+                out.write(piece.encode())
+        if out is not None:
+            out.write(close.encode())
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
+
+    order = [c for c in pieces.columns if c.startswith("o") and c != "open"]
+    dealt = pieces.repartition("path").sortWithinPartitions("path", *order)
+    return dealt.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def _numbers(rows: DataFrame, key: str, path: Column, weight: Column | None) -> DataFrame:
+    """Pieces of objects from keys to lists of numbers, or to [weight, list]; rows are blocks (key, block, entries) of the lists."""
+    first = F.min("block").over(Window.partitionBy(key)) == F.col("block")
+    values = F.array_join(F.col("entries").cast("array<string>"), ",")
+    head = F.concat(_quoted(key), F.lit(":["), *([] if weight is None else [weight.cast("string"), F.lit(",[")]))
+    end = "]" if weight is None else "]]"
+    return _pieces(rows.withColumn("__first", first), path, F.concat(F.when(F.col("__first"), head).otherwise(""), values), [key, "block"], "{" + end + "}", F.when(F.col("__first"), end + ",").otherwise(","))
+
+
+def write_index(entries: DataFrame, root: str) -> dict:
+    """Writes the search files of entries (idx, id, repo, ...) under `root`; the summary.
+
+    search/summary.json, codes.json, norms.json, tokens/<shard>.json, ids/<shard>.json and meta/<chunk>.json."""
+    spark, tokens, n = entries.sparkSession, ix.postings(entries), ix.entry_count(entries)
+    weighted = ix.weights(tokens, n)
+    name = lambda folder, shard: F.concat(F.lit(f"search/{folder}/"), shard, F.lit(".json"))
+    number = F.col("idx").cast("string")
+    coded = entries.where("code is not null and code != ''").select("code", "idx")
+    codes = coded.groupBy("code", F.floor(F.col("idx") / META_CHUNK).cast("long").alias("block")).agg(F.sort_array(F.collect_list("idx")).alias("entries"))
+    norms = entries.select("idx").join(ix.norms(tokens, weighted), "idx", "left")
+    fields = [c for c in ENTRY.fieldNames() if c != "idx" and c in entries.columns]
+    meta = ix.meta_chunks(entries).select("chunk", "idx", F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("body"))
+    posted = ix.posting_blocks(tokens, weighted)
+    for pieces in (
+        _numbers(posted, "token", name("tokens", shard_name(F.col("shard"))), F.col("weight")),
+        _numbers(codes, "code", F.lit("search/codes.json"), None),
+        _pieces(norms, F.lit("search/norms.json"), F.coalesce("norm", F.lit(0)).cast("string"), ["idx"]),
+        _pieces(ix.id_shards(entries), name("ids", shard_name(F.col("shard"))), F.concat(_quoted("id"), F.lit(":"), number), ["id"], "{}"),
+        _pieces(meta, name("meta", F.col("chunk").cast("string")), F.col("body"), ["idx"]),
+    ):
+        write_files(pieces, root)
+    summary = {"entryCount": n.first().n, "tokenShards": TOKEN_SHARDS, "metaChunk": META_CHUNK, "weightScale": WEIGHT_SCALE, "threshold": THRESHOLD}
+    write_text(spark, f"{root}/search/summary.json", json.dumps(summary))
+    return summary
+
+
+def _packed_chunks(entries: DataFrame) -> DataFrame:
+    """(chunk, packed, raw): of each chunk of entries its JSON items as a gzip member, and their length. All but the first begin with a comma."""
+    fields = [c for c in ENTRY.fieldNames() if c != "idx"]
+    rows = ix.meta_chunks(entries).select("chunk", "idx", F.to_json(F.struct(*fields)).alias("body"))
+    lists = rows.groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("idx", "body"))).alias("l"))  # at most META_CHUNK rows
+    return lists.select("chunk", F.concat(F.when(F.col("chunk") > 0, ",").otherwise(""), F.array_join(F.transform("l", lambda x: x["body"]), ",")).alias("body"))
+
+
+def _write_packed(entries: DataFrame, path: str, head: str, tail: str) -> dict:
+    """index.json.gz: gzip members made by tasks, a chunk each, put together in order by the driver, one at a time."""
+    reach(entries.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [gzip.compress(t.encode(), mtime=0) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["chunk", "packed"])
+
+    files, base = open_root(path)
+    files.create_dir(base.rpartition("/")[0], recursive=True)
+    raw_sum, sum_, raw, size = hashlib.sha256(), hashlib.sha256(), 0, 0
+    with files.open_output_stream(base, compression=None) as out:
+        rows = _packed_chunks(entries).mapInArrow(pack, "chunk long, packed binary").orderBy("chunk").toLocalIterator()
+        for member in chain([gzip.compress(head.encode(), mtime=0)], (bytes(r.packed) for r in rows), [gzip.compress(tail.encode(), mtime=0)]):
+            text = gzip.decompress(member)
+            raw_sum.update(text)
+            sum_.update(member)
+            raw, size = raw + len(text), size + len(member)
+            out.write(member)
+    return {"path": f"/{path.rpartition('/')[2]}", "bytes": size, "sha256": sum_.hexdigest(), "encoding": "gzip", "rawBytes": raw, "rawSha256": raw_sum.hexdigest()}
 
 
 def publish(spark: SparkSession, repos: DataFrame, records: DataFrame, pages: DataFrame, out: str, version: str) -> dict:
     """Builds the data set beside `out` and swaps it in by rename; returns the manifest.
 
-    Invalid rows are left out and counted. Files a repo, a token shard, an id shard and a chunk of
-    entries are made by tasks, one row a file, and written by the driver one after the other."""
+    Invalid rows are left out and counted. Files are written by tasks, piece by piece; the driver
+    writes the manifest, the summary and what holds one row a repo or page, and strings together the
+    packed chunks of the index. Any file system that tasks reach will do."""
     done, mine = analyzed(repos, records)
     repos_v, pages_v = validate_repos(done), validate_info_pages(pages.select(*INFO_PAGE.fieldNames()))
     good_repos = repos_v.where("valid").select(*REPO.fieldNames())
@@ -62,69 +167,62 @@ def publish(spark: SparkSession, repos: DataFrame, records: DataFrame, pages: Da
     good = records_v.where("valid").select(*ERROR.fieldNames())
     counts = dataset_counts(repos_v, records_v, pages_v).first().asDict()
 
-    stage = Path(f"{out}.{uuid.uuid4().hex}")
+    stage = f"{out}.{uuid.uuid4().hex}"
     numbered = ix.dense_index(compact(good).withColumn("__h", F.conv(F.substring("id", 1, 15), 16, 10).cast("long")), "__h").drop("__h")
-    numbered.write.parquet(str(stage / "_entries"))
-    entries = spark.read.parquet(str(stage / "_entries"))
-    parts = ix.build(entries)
-
-    def put(path: str, body: str | bytes) -> bytes:
-        data = body.encode() if isinstance(body, str) else body
-        (stage / path).parent.mkdir(parents=True, exist_ok=True)
-        (stage / path).write_bytes(data)
-        return data
-
-    for r in _lines(good.withColumn("__id", F.col("id")), "repo", order="__id").toLocalIterator():
-        put(f"repos/{r.repo}.json", r.body)
-    tokens = parts["tokens"].select(shard_name(F.col("shard")).alias("shard"), "token", "weight", "entries")
-    for r in _lines(tokens, "shard", order="token").toLocalIterator():
-        put(f"search/tokens/{r.shard}.json", json.dumps({x["token"]: [x["weight"], x["entries"]] for x in json.loads(r.body)}))
-    for r in _lines(parts["ids"].select(shard_name(F.col("shard")).alias("shard"), "id", "idx"), "shard", order="id").toLocalIterator():
-        put(f"search/ids/{r.shard}.json", json.dumps({x["id"]: x["idx"] for x in json.loads(r.body)}))
-    for r in _lines(parts["meta"], "chunk", order="idx").toLocalIterator():
-        put(f"search/meta/{r.chunk}.json", r.body)
-    put("search/norms.json", json.dumps([r.norm or 0 for r in entries.select("idx").join(parts["norms"], "idx", "left").orderBy("idx").select("norm").toLocalIterator()]))
-    put("search/codes.json", json.dumps({r.code: r.entries for r in parts["codes"].toLocalIterator()}))
-    summary = put("search/summary.json", json.dumps({"entryCount": counts["errors"], "tokenShards": TOKEN_SHARDS, "metaChunk": META_CHUNK, "weightScale": WEIGHT_SCALE, "threshold": THRESHOLD}))
-    listed = put("repos.json", "[" + ",".join(r[0] for r in good_repos.orderBy(F.desc("errorCount"), "repo").select(F.to_json(F.struct("*"))).toLocalIterator()) + "]")
+    numbered.write.parquet(f"{stage}/_entries")
+    entries = spark.read.parquet(f"{stage}/_entries")
+    write_index(entries, stage)
+    body = F.to_json(F.struct(*ERROR.fieldNames()))
+    write_files(_pieces(good.withColumn("__body", body), F.concat(F.lit("repos/"), "repo", F.lit(".json")), F.col("__body"), ["id"]), stage)
     valid_pages = pages_v.where("valid").select(*INFO_PAGE.fieldNames())
-    put("info/index.json", "[" + ",".join(r[0] for r in hub(valid_pages).select(F.to_json(F.struct("*"))).toLocalIterator()) + "]")
-    for r in valid_pages.select("slug", F.to_json(F.struct("*")).alias("body")).toLocalIterator():
-        put(f"info/{r.slug}.json", r.body)
-    rows = ",".join(r[0] for r in entries.orderBy("idx").select(F.to_json(F.struct(*[c for c in ENTRY.fieldNames() if c != "idx"]))).toLocalIterator())
-    raw = json.dumps({"schemaVersion": VERSION, "datasetVersion": version, "errors": []})[:-2] + rows + "]}"
-    packed = put("index.json.gz", gzip.compress(raw.encode(), mtime=0))
-    sums = lambda path, data: {"path": f"/{path}", "bytes": len(data), "sha256": hashlib.sha256(data).hexdigest()}
-    index = sums("index.json.gz", packed) | {"encoding": "gzip", "rawBytes": len(raw.encode()), "rawSha256": hashlib.sha256(raw.encode()).hexdigest()}
-    manifest = {"schemaVersion": VERSION, "datasetVersion": version, "counts": {k: counts[k] for k in ("repos", "errors", "infoPages")}, "rejected": counts["rejected"], "files": {"index": index, "repos": sums("repos.json", listed), "searchSummary": sums("search/summary.json", summary)}}
-    shutil.rmtree(stage / "_entries")
-    put("manifest.json", json.dumps(manifest))
-    swap(str(stage), out)
+    whole = F.to_json(F.struct("*"))
+    write_files(_pieces(valid_pages.select("slug", whole.alias("body")), F.concat(F.lit("info/"), "slug", F.lit(".json")), F.substr("body", F.lit(2), F.length("body") - 2), ["slug"], "{}"), stage)
+    write_files(_pieces(hub(valid_pages).select("errorCount", "slug", whole.alias("body")), F.lit("info/index.json"), F.col("body"), [-F.col("errorCount"), F.col("slug")]), stage)
+    write_files(_pieces(good_repos.select("errorCount", "repo", whole.alias("body")), F.lit("repos.json"), F.col("body"), [-F.col("errorCount"), F.col("repo")]), stage)
+    for path in ("repos.json", "info/index.json"):
+        if not exists(spark, f"{stage}/{path}"):
+            write_text(spark, f"{stage}/{path}", "[]")
+    head = json.dumps({"schemaVersion": VERSION, "datasetVersion": version, "errors": []})[:-2]
+    index = _write_packed(entries, f"{stage}/index.json.gz", head, "]}")
+    manifest = {
+        "schemaVersion": VERSION, "datasetVersion": version, "counts": {k: counts[k] for k in ("repos", "errors", "infoPages")}, "rejected": counts["rejected"],
+        "files": {"index": index, "repos": _checksum(f"{stage}/repos.json"), "searchSummary": _checksum(f"{stage}/search/summary.json", "/search/summary.json")},
+    }
+    remove(spark, f"{stage}/_entries")
+    write_text(spark, f"{stage}/manifest.json", json.dumps(manifest))
+    swap(spark, stage, out)
     return manifest
 
 
-def swap(stage: str, out: str) -> None:
-    """Puts a folder in another's place by two renames."""
-    old = f"{out}.{uuid.uuid4().hex}.old"
-    if os.path.exists(out):
-        os.rename(out, old)
-    os.rename(stage, out)
-    shutil.rmtree(old, ignore_errors=True)
+def _checksum(path: str, name: str | None = None) -> dict:
+    """Length and sha256 of a file, read piece by piece."""
+    files, base = open_root(path)
+    total, size = hashlib.sha256(), 0
+    with files.open_input_stream(base, compression=None) as f:
+        while part := f.read(1 << 20):
+            total.update(part)
+            size += len(part)
+    return {"path": name or f"/{path.rpartition('/')[2]}", "bytes": size, "sha256": total.hexdigest()}
+
+
+def read_manifest(spark: SparkSession, root: str) -> dict:
+    return json.loads(read_text(spark, f"{root}/manifest.json"))
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
-    """The published entries with idx, after the file's checksums held."""
-    manifest = json.loads(Path(root, "manifest.json").read_text())
-    data = Path(root, "index.json.gz").read_bytes()
-    if hashlib.sha256(data).hexdigest() != manifest["files"]["index"]["sha256"]:
+    """The published entries with idx, after the file's checksum held."""
+    if _checksum(f"{root}/index.json.gz")["sha256"] != read_manifest(spark, root)["files"]["index"]["sha256"]:
         raise ValueError("index.json.gz doesn't match its checksum")
     rows = spark.read.schema(f"errors array<{ENTRY.simpleString().replace('idx:bigint,', '')}>").json(f"{root}/index.json.gz")
     return rows.select(F.posexplode("errors").alias("idx", "e")).select(F.col("idx").cast("long").alias("idx"), "e.*")
 
 
-def is_stale(root: str, known_version: str | None) -> bool:
-    """Whether the published version is another than the one that is known."""
-    return json.loads(Path(root, "manifest.json").read_text())["datasetVersion"] != known_version
+def is_stale(spark: SparkSession, root: str, known_version: str | None) -> bool:
+    """Whether the published version is another than the one that is known; so it is where the manifest can't be read."""
+    try:
+        return read_manifest(spark, root)["datasetVersion"] != known_version
+    except (AnalysisException, ValueError, KeyError):
+        return True
 
 
 def json_schemas() -> dict[str, dict]:

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mishap.storage import exists, read_text, write_text
+
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     """The table with changes merged in by key; nulls and missing columns of changes leave values as they are."""
@@ -44,31 +45,21 @@ def replace_repo_records(spark: SparkSession, root: str, records: DataFrame) ->
     A failed write leaves a folder that no pointer names."""
     version = uuid.uuid4().hex
     records.repartition("repo").write.partitionBy("repo").parquet(f"{root}/records/version={version}")
-    named = _pointer(root)
+    named = _pointer(spark, root)
     named |= {r.repo: version for r in records.select("repo").distinct().toLocalIterator()}
-    _write_whole(f"{root}/current.json", json.dumps(named, sort_keys=True))
+    write_text(spark, f"{root}/current.json", json.dumps(named, sort_keys=True))
 
 
 def read_records(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame | None:
     """The current records, of one repo or all; None if there are none."""
-    named = {r: v for r, v in _pointer(root).items() if repo in (None, r)}
+    named = {r: v for r, v in _pointer(spark, root).items() if repo in (None, r)}
     if not named:
         return None
     pairs = spark.createDataFrame(list(named.items()), "repo string, version string")
     rows = spark.read.parquet(f"{root}/records")  # by version and repo, so that only folders that are named are read
-    return rows.join(F.broadcast(pairs), ["version", "repo"]).drop("version")
+    return rows.join(pairs, ["version", "repo"]).drop("version")
 
 
-def _pointer(root: str) -> dict[str, str]:
+def _pointer(spark: SparkSession, root: str) -> dict[str, str]:
     path = f"{root}/current.json"
-    if not os.path.exists(path):
-        return {}
-    with open(path) as f:
-        return json.load(f)
-
-
-def _write_whole(path: str, text: str) -> None:
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    with open(f"{path}.{uuid.uuid4().hex}", "w") as f:
-        f.write(text)
-    os.replace(f.name, path)
+    return json.loads(read_text(spark, path)) if exists(spark, path) else {}

@@ -10,16 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from mishap.operators.extract import family, is_excluded
+from mishap.operators.extract import is_source
 
 
 def read_tree(spark: SparkSession, root: str, max_bytes: int = 400_000) -> DataFrame:
-    """(path, content) of a tree's source files; path and size decide before contents are read."""
-    base = root.rstrip("/")
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    path = F.regexp_replace("path", f"^(?:file:)?/*{base.removeprefix('file:').lstrip('/')}/", "")
-    rows = rows.where(F.col("length") <= max_bytes).withColumn("path", path)
-    rows = rows.where(family(F.col("path")).isNotNull() & ~is_excluded(F.col("path")))
+    """(path, content) of a tree's source files in any file system; path and size decide before contents are read.
+
+    Paths are relative to the root: only folders below it can exclude a file."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    base = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    rows = rows.where(F.col("length") <= max_bytes).withColumn("path", F.substr("path", F.lit(len(base) + 2)))
+    rows = rows.where(is_source(F.col("path")))
     return rows.select("path", F.col("content").cast("string").alias("content"))
 
 

@@ -6,74 +6,83 @@ import json
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mishap.workers import reach
 
-_HEADER = r"^diff --git a/(.*) b/(.*)$"
+_HEADER = r"^diff --git a/.* b/.*$"
+_PATH = r"^diff --git a/(.*) b/(.*)$"
 _HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
 def parse_diffs(diffs: DataFrame) -> DataFrame:
-    """(repo, path, status, hunks) of unified diffs (repo, text) without context and renames."""
-    lines = diffs.select("repo", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    path = F.when(F.col("line").rlike(_HEADER), F.regexp_extract("line", _HEADER, 2))
-    carried = Window.partitionBy("repo").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("header", F.when(path.isNotNull(), F.struct("pos", path.alias("path"))))
-    lines = lines.withColumn("h", F.last("header", ignorenulls=True).over(carried)).where("h is not null")
-    part = lambda i: F.regexp_extract("line", _HUNK, i)
-    length = lambda i: F.when(part(i) == "", F.lit(1)).otherwise(part(i).cast("long")).cast("long")
-    hunk = F.struct("pos", F.struct(part(1).cast("long").alias("oldStart"), length(2).alias("oldLen"), part(3).cast("long").alias("newStart"), length(4).alias("newLen")).alias("hunk"))
-    rows = lines.groupBy("repo", F.col("h.pos").alias("file"), F.col("h.path").alias("path")).agg(
-        F.max(F.when(F.startswith("line", F.lit("--- /dev/null")), F.struct("pos", F.lit("A").alias("s"))).when(F.startswith("line", F.lit("+++ /dev/null")), F.struct("pos", F.lit("D").alias("s")))).alias("s"),
-        F.array_sort(F.collect_list(F.when(F.col("line").rlike(_HUNK), hunk))).alias("hunks"),
-    )
-    return rows.select("repo", "path", F.coalesce("s.s", F.lit("M")).alias("status"), F.transform("hunks", lambda x: x["hunk"]).alias("hunks"))
-
-
-def _unwrap(value, depth: int = 0):
-    if depth <= 4 and isinstance(value, dict):
-        for key in ("result", "content", "text", "message"):
-            inner = value.get(key)
-            if isinstance(inner, str) and inner.strip()[:1] in ("{", "["):
-                try:
-                    return _unwrap(_load(inner), depth + 1)
-                except ValueError:
-                    pass
+    """(repo, path, status, hunks) of unified diffs (repo, text) without context and renames.
+
+    Each text is taken apart within its row: its files are the sections that its headers begin, so
+    diffs of one repo can't mix and nothing is shuffled. Of lines that name /dev/null the last decides."""
+    lines = F.split("text", "\n")
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("at"), x.alias("line")))
+    heads = F.transform(F.filter(numbered, lambda x: x["line"].rlike(_HEADER)), lambda x: x["at"])
+    rows = diffs.select("repo", lines.alias("__lines"), heads.alias("__heads"))
+    end = lambda i: F.coalesce(F.get("__heads", i + 1), F.size("__lines"))
+    rows = rows.select("repo", F.explode(F.transform("__heads", lambda h, i: F.slice("__lines", h + 1, end(i) - h))).alias("section"))
+    part = lambda x, i: F.regexp_extract(x, _HUNK, i)
+    length = lambda x, i: F.when(part(x, i) == "", F.lit(1)).otherwise(part(x, i).cast("long")).cast("long")
+    hunk = lambda x: F.struct(part(x, 1).cast("long").alias("oldStart"), length(x, 2).alias("oldLen"), part(x, 3).cast("long").alias("newStart"), length(x, 4).alias("newLen"))
+    states = F.transform("section", lambda x: F.when(F.startswith(x, F.lit("--- /dev/null")), "A").when(F.startswith(x, F.lit("+++ /dev/null")), "D"))
+    status = F.coalesce(F.element_at(F.array_compact(F.concat(F.array(F.lit("M")), states)), -1), F.lit("M"))
+    hunks = F.transform(F.filter("section", lambda x: x.rlike(_HUNK)), hunk)
+    return rows.select("repo", F.regexp_extract(F.col("section")[0], _PATH, 2).alias("path"), status.alias("status"), hunks.alias("hunks"))
+
+
+_WRAPPERS = ("result", "content", "text", "message")
+_FENCE = re.compile(r"```(?:json)?\s*([\s\S]*?)```", re.I)
+_STRICT = json.JSONDecoder(parse_constant=lambda name: _refuse(name))
+
+
+def _refuse(name: str):
+    raise ValueError(name)
+
+
+def _candidates(text: str):
+    """Texts that may be the JSON, the likeliest first: what is fenced, all, and what begins at each bracket."""
+    fenced = _FENCE.search(text)
+    if fenced and fenced[1].strip():
+        yield fenced[1].strip()
+    yield text
+    for m in re.finditer(r"[{\[]", text):
+        last = text.rfind("}" if m[0] == "{" else "]")
+        yield from (text[m.start() : end].rstrip() for end in (len(text), last + 1) if end > m.start())
+
+
+def _parsed(text: str) -> list:
+    """The value of a JSON text, as a list of one; none if it isn't one."""
+    try:
+        value, end = _STRICT.raw_decode(text)
+        return [value] if end == len(text) else []
+    except ValueError:
+        return []
+
+
+def _inner(value):
+    """A value that wraps another JSON text, at most five deep, without its wrappers."""
+    for _ in range(5):
+        texts = [value.get(k) for k in _WRAPPERS] if isinstance(value, dict) else []
+        found = [v for t in texts if isinstance(t, str) and t.strip()[:1] in ("{", "[") for v in _parsed(t.strip())]
+        if not found:
+            break
+        value = found[0]
     return value
 
 
-def _load(text: str):
-    def refuse(name):
-        raise ValueError(name)
-
-    return json.loads(text, parse_constant=refuse)
-
-
 def find_json(raw: str | None) -> tuple[str | None, str | None]:
-    """(the first JSON in a text, as JSON; why there is none): a fenced block, the whole, or the first start that parses."""
+    """(the first JSON in a text, as JSON; why there is none)."""
     text = (raw or "").strip()
     if not text:
         return None, "empty"
-    tries = [m[1].strip() for m in [re.search(r"```(?:json)?\s*([\s\S]*?)```", text, re.I)] if m and m[1]] + [text]
-    for candidate in tries:
-        try:
-            return json.dumps(_unwrap(_load(candidate))), None
-        except ValueError:
-            pass
-    decoder = json.JSONDecoder()
-    for m in re.finditer(r"[{\[]", text):
-        close = text.rfind("}" if m[0] == "{" else "]")
-        for end in (len(text), close + 1):
-            if end > m.start():
-                try:
-                    value, stop = decoder.raw_decode(text[m.start() : end])
-                    if not text[m.start() + stop : end].strip():
-                        return json.dumps(_unwrap(value)), None
-                except ValueError:
-                    pass
-    return None, "parse"
+    value = next((v for t in _candidates(text) for v in _parsed(t)), _refuse)
+    return (None, "parse") if value is _refuse else (json.dumps(_inner(value)), None)
 
 
 def extract_json(rows: DataFrame, column: str = "raw") -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import time
 from collections.abc import Callable
 
@@ -11,17 +10,17 @@ from pyspark.sql import functions as F
 
 from mishap.operators.queue import seed
 from mishap.schema import QUEUE
-from mishap.sinks.publish import swap
+from mishap.storage import exists, swap
 
 
 def seed_from_stream(spark: SparkSession, corpus_dir: str, queue_dir: str, checkpoint: str, now: Callable[[], int] = lambda: int(time.time() * 1000)):
     """Merges each micro-batch of corpus lines into the queue, which is swapped whole. Seeding twice changes nothing more."""
 
     def merge(batch: DataFrame, _: int) -> None:
-        have = spark.read.schema(QUEUE).parquet(queue_dir) if os.path.exists(queue_dir) else spark.createDataFrame([], QUEUE)
+        have = spark.read.schema(QUEUE).parquet(queue_dir) if exists(spark, queue_dir) else spark.createDataFrame([], QUEUE)
         corpus = batch.select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("repo")).where("repo != ''")
         seed(have, corpus, now()).drop("change").write.mode("overwrite").parquet(f"{queue_dir}.next")
-        swap(f"{queue_dir}.next", queue_dir)
+        swap(spark, f"{queue_dir}.next", queue_dir)
 
     lines = spark.readStream.format("text").load(corpus_dir)
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

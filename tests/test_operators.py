@@ -79,7 +79,7 @@ def test_empty_search(spark):
 
 def test_dense_index(spark):
     rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"))
-    got = index.dense_index(rows, "k", buckets=16).orderBy("k").collect()
+    got = index.dense_index(rows, "k").orderBy("k").collect()
     assert [r.idx for r in got] == list(range(1000))
     assert index.dense_index(rows.where("false"), "k").count() == 0
 
@@ -163,6 +163,14 @@ def test_diffs_and_rescans(spark):
     assert kept.count() == 7
 
 
+def test_diffs_of_one_repo_stay_apart(spark):
+    a = "diff --git a/x b/x\n--- a/x\n+++ b/x\n@@ -1 +1 @@\n-a\n+b\n@@ -9,2 +9,3 @@"
+    b = "diff --git a/y b/y\n--- a/y\n+++ b/y\n@@ -5,0 +6 @@"
+    d = parse_diffs(spark.createDataFrame([("r", a), ("r", b), ("r", b), ("s", None), ("s", "")], "repo string, text string"))
+    got = sorted((r.path, r.status, [tuple(h) for h in r.hunks]) for r in d.collect())
+    assert got == [("x", "M", [(1, 1, 1, 1), (9, 2, 9, 3)]), *[("y", "M", [(5, 0, 6, 1)])] * 2]
+
+
 def test_windows_and_intervals(spark):
     w = spark.createDataFrame([("f", 1, 5), ("f", 6, 2), ("f", 9, 1), ("f", 2, 1), ("g", 1, 1)], "file string, start int, size int")
     assert {(r.file, r["first"], r.end) for r in regions.merge_windows(w, ["file"]).collect()} == {("f", 1, 8), ("f", 9, 10), ("g", 1, 2)}
@@ -209,6 +217,13 @@ def test_extraction(spark):
     assert one.context.start == 13 and len(one.context.lines) == 6
     assert [r.top for r in extract.scope_tally(df, F.array().cast("array<string>"), F.array(F.lit("vend"))).collect()] == ["vend"]
     assert extract.count_sources(df).first().n == 11
+    named = {p: e for p, e in spark.createDataFrame([(p,) for p in ("test_a.py", "src/test_a.py", "src/a_test.py", "a/.h/b.py", "test/a.py", "src/tests/a.py")], "path string").select("path", extract.is_excluded(F.col("path"))).collect()}
+    assert named == {"test_a.py": True, "src/test_a.py": False, "src/a_test.py": True, "a/.h/b.py": True, "test/a.py": True, "src/tests/a.py": True}
+    others = spark.createDataFrame([("vend/x.txt",), ("vend/test/a.py",), ("vend/b.py",)], "path string")
+    assert [tuple(r) for r in extract.scope_tally(others, F.array().cast("array<string>"), F.array(F.lit("vend"))).collect()] == [("vend", 1)]
+    diff = spark.createDataFrame([("b.py", "M", [(1, 0, 2, 1)]), ("f.rb", "A", []), ("a.js", "D", [])], "path string, status string, hunks array<struct<oldStart:long,oldLen:long,newStart:long,newLen:long>>")
+    near = extract.extract_sites(spark.createDataFrame([("b.py", "raise A\n" * 9), ("f.rb", "raise 'text here'"), ("a.js", "throw new Error('xxxx')")], "path string, content string"), only=diff)
+    assert sorted((r.path, r.line) for r in near.collect()) == [*(("b.py", n) for n in range(1, 6)), ("f.rb", 1)]
     hits = spark.createDataFrame([("f", 1, 1, "b"), ("f", 1, 0, "a")], "file string, line int, ordinal int, kind string")
     assert extract.first_family_wins(hits).first().kind == "a"
     name = spark.createDataFrame([("var ErrX = errors.New()",), ("x == 1",)], "l string").select(extract.declared_name(F.col("l")).alias("n")).collect()

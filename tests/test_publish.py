@@ -9,7 +9,9 @@ from mishap import oracle
 from mishap.api import KnowledgeBase
 from mishap.schema import INFO_PAGE, REPO
 from mishap.sinks import feeds, publish
+from mishap.operators.search import ranked
 from mishap.sources import files
+from mishap.sources.shards import Shards
 from mishap.streaming.queue_stream import event_windows, seed_from_stream
 from tests.test_operators import errors
 
@@ -52,6 +54,54 @@ def test_tampered_index(spark, published):
         publish.read_index(spark, out)
 
 
+ENTRIES = [
+    ("aa00000000000001", "o/a", "Request failed with status code", "ERR_BAD_RESPONSE"),
+    ("bb00000000000002", "o/a", "timeout of {n} ms exceeded", "ECONNABORTED"),
+    ("cc00000000000003", "o/b", "connect ECONNREFUSED at address", None),
+    ("dd00000000000004", "o/a", "self signed certificate in certificate chain", None),
+    ("ee00000000000005", "o/a", "unexpected token in JSON at position", None),
+]
+
+
+def test_shards(spark, tmp_path):
+    """Searches and lookups read few files of an index, and find what a search over all entries finds."""
+    rows = [(n, i, repo, i, code, msg, msg, "exception", None, [], "error") for n, (i, repo, msg, code) in enumerate(ENTRIES)]
+    entries = spark.createDataFrame(rows, publish.ENTRY)
+    publish.write_index(entries, str(tmp_path))
+    asked = spark.createDataFrame(list(enumerate(["got ERR_BAD_RESPONSE from server", "self signed certificate in chain", "connect ECONNREFUSED at address", "timeout exceeded", "völlig unrelated Zeichenkette", ""])), "qid long, text string")
+    shards = Shards(spark, str(tmp_path))
+    got = shards.search(asked).collect()
+    assert sorted((r.qid, r["rank"], r.idx, r.score, r.match) for r in got) == sorted(tuple(r) for r in ranked(asked, entries).collect())
+    best = {r.qid: (r.id, r.match) for r in got if r["rank"] == 1}
+    assert best == {0: ("aa00000000000001", "exact-code"), 1: ("dd00000000000004", "fuzzy"), 2: ("cc00000000000003", "fuzzy"), 3: ("bb00000000000002", "fuzzy")}
+    assert all(r.repo == "o/a" for r in shards.search(asked, repo="o/a").collect())
+    few = Shards(spark, str(tmp_path))
+    few.search(asked.where("qid = 3")).collect()
+    assert len([p for p in few.reads if p.startswith("tokens/")]) <= 2 and "codes.json" not in few.reads
+    found = few.lookup(spark.createDataFrame([("cc00000000000003",), ("0123456789abcdef",)], "id string")).collect()
+    assert [(r.id, r.repo, r.idx) for r in found] == [("cc00000000000003", "o/b", 2)]
+    assert Shards(spark, str(tmp_path / "none")).search(asked).count() == 0
+
+
+def test_files_of_many_pieces(spark, tmp_path):
+    """A token whose list has several blocks, and chunks of entries, come out whole."""
+    rows = spark.range(5000).select(F.col("id").alias("idx"), F.substring(F.sha1(F.col("id").cast("string")), 1, 16).alias("id"), F.lit("o/n").alias("repo"), F.lit("s").alias("slug"), F.when(F.col("id") % 2 == 0, 'E"Q').alias("code"), F.when(F.col("id") % 3 == 0, "common rare").otherwise("common").alias("msg"), F.lit("p").alias("pattern"), F.lit("t").alias("type"), F.lit(None).cast("string").alias("cls"), F.array().cast("array<string>").alias("tags"), F.lit("error").alias("sev"))
+    publish.write_index(rows, str(tmp_path))
+    tokens = {k: v for f in (tmp_path / "search/tokens").iterdir() if f.suffix == ".json" for k, v in json.loads(f.read_text()).items()}
+    assert tokens["common"][1] == list(range(5000)) and tokens["rare"][1] == list(range(0, 5000, 3)) and set(tokens) == {"common", "rare"}
+    assert json.loads((tmp_path / "search/codes.json").read_text()) == {'E"Q': list(range(0, 5000, 2))}
+    assert [len(json.loads((tmp_path / f"search/meta/{k}.json").read_text())) for k in range(3)] == [2000, 2000, 1000]
+    assert len(json.loads((tmp_path / "search/norms.json").read_text())) == 5000
+
+
+def test_a_lost_manifest_marks_the_data_stale(spark, published, tmp_path):
+    out, go = published
+    go("v1")
+    kb = KnowledgeBase(spark, out)
+    (tmp_path / "data" / "manifest.json").unlink()
+    assert not kb.refresh() and kb.stale and kb.version == "v1" and publish.is_stale(spark, out, "v1")
+
+
 def test_missing_files_have_no_rows(spark, tmp_path):
     assert files.read_json(spark, str(tmp_path / "none.json"), REPO).count() == 0
 
@@ -69,7 +119,7 @@ def test_feeds(spark):
 
 
 def test_trees_and_settings(spark, tmp_path):
-    root = tmp_path / "tree"
+    root = tmp_path / "build (1)+x" / "docs"
     for p, t in {"src/a.py": "raise X", "node_modules/b.js": "x", ".hid/c.py": "x", "d.txt": "x", "big.py": "y" * 100}.items():
         (root / p).parent.mkdir(parents=True, exist_ok=True)
         (root / p).write_text(t)
