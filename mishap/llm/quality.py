@@ -34,6 +34,7 @@ class Settings:
     rate: float = 2.0
     seed: int = 7
     sample: int = 4000  # labelled rows learned from, at most: those with the smallest hashes of doc_id
+    text_bytes: int = 1 << 16  # longer texts are scored, but not learned from, so that the sample is of bounded size
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -113,13 +114,13 @@ def learn(texts: list[bytes], labels: np.ndarray, s: Settings) -> tuple[np.ndarr
     return (vectors @ (layer[1] - layer[0])).astype(np.float64), float(bias[1] - bias[0])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int) -> list[tuple[bytes, int]]:
-    """At most `sample` texts with a label, none held out: those with the smallest hashes of doc_id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, sample: int, text_bytes: int) -> list[tuple[bytes, int]]:
+    """At most `sample` texts of at most `text_bytes` bytes with a label, none held out: those with the smallest hashes of doc_id.
 
     Rows without label, text or doc_id teach nothing; a doc_id that repeats counts each time."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = ids.select("doc_id", F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= text_bytes).join(F.broadcast(ids), "doc_id")
     found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample).select("text", "y").toLocalIterator()
     return [(r[0].encode(), 1 if r[1] else 0) for r in found]
 
@@ -130,7 +131,7 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), a
     Every whole text is scored, null as empty; texts without features get the score of the constant.
     Without labelled rows every score is 0.5. Columns other than doc_id and text aren't read."""
     spark = prepare(docs.sparkSession)
-    rows = labelled(docs, labels, "quality", settings.sample)
+    rows = labelled(docs, labels, "quality", settings.sample, settings.text_bytes)
     push, constant = learn([t for t, _ in rows], np.array([y for _, y in rows]), settings)
     model = spark.sparkContext.broadcast((push, constant))  # a number a bucket: 1 MB
 

@@ -1,9 +1,10 @@
 """Toxicity: undo obfuscation by a noisy-channel decoder, then score the restored words.
 
-Tokens that mix letters with look-alike digits or symbols, repeat a letter three times, or spell
-a word letter by letter are lattices: each character may stand for itself, for letters it looks
-like, or (separators, repeats) for nothing, at a cost. Viterbi decoding under a character trigram
-model of all documents picks the likeliest letters. Plain tokens have one path and stay. Words of
+Tokens with look-alike digits or symbols, tokens that repeat a letter three times, and runs of
+single characters with separators between them are lattices: each character may stand for itself,
+for letters it looks like, or (repeats) for nothing, and a separator for the edge of a word or for
+nothing, at a cost. A run is decoded whole. Viterbi decoding under a character trigram model of all
+documents picks the likeliest text. Plain tokens have one path and stay, and so do numbers. Words of
 the restored text, and their beginnings, that speak for label 1 in a bounded sample of labelled rows
 have a weight of evidence: the log of how much likelier they are in toxic rows. A text's log-odds
 are those of the sample plus each word's weight, the largest of the word and its beginnings.
@@ -34,20 +35,24 @@ _TOKEN = bytes(c if c in _LETTERS or c in _LEET else 0x20 for c in range(256))
 _TAIL = re.compile(rb"!+$|([$@|+])\1\1+$")
 _THRICE = re.compile(rb"([a-z])\1\1")
 _REPEATS = re.compile(rb"[a-z\x80-\xff]*([a-z])\1\1[a-z\x80-\xff]*")
-_SPELLED = re.compile(rb"(?<!\S)(?:[a-z0-9@$!|][ .\-_*]){2,}[a-z0-9@$!|](?![^\s.,;:?])")
+#: Single characters with one to three separators between them.
+_SEPARATORS = b" \t\n\r.-_*"
+_SPELLED = re.compile(rb"(?<![a-z0-9@$\x80-\xff])(?:[a-z0-9@$!|][ \t\n\r.\-_*]{1,3}){2,}[a-z0-9@$!|](?![a-z0-9@$\x80-\xff])")
 #: Symbols of the model: 0 an edge, 1-26 a-z, 27 any other byte of a letter.
 _SYMBOL = np.array([c - 0x60 if 0x61 <= c <= 0x7A else c - 0x40 if 0x41 <= c <= 0x5A else 27 if c >= 0x80 else 0 for c in range(256)])
 N = 28
-SWAP, DROP_REPEAT, DROP_OTHER = 1.5, 0.7, 9.0  # costs in the channel, in nats
+SWAP, DROP_REPEAT, DROP_OTHER, DROP_GAP = 1.5, 0.7, 9.0, 0.5  # costs in the channel, in nats
 
 
 @dataclass(frozen=True)
 class Settings:
     sample: int = 8000  # labelled rows learned from, at most: those with the smallest hashes of doc_id
+    text_bytes: int = 1 << 15  # longer texts are scored, but not learned from, so that the sample is of bounded size
     features: int = 1500
     seen: int = 4  # toxic rows of the sample that a feature needs, and
     share: float = 0.01  # the share of them
-    evidence: float = 4.5  # least weight of a feature, in nats
+    evidence: float = 4.5  # least weight of a feature, in nats, or
+    attained: float = 0.6  # this share of the most that any can have, if that is less: small samples learn, too
 
 
 def trigrams(texts: Iterable[bytes]) -> np.ndarray:
@@ -86,10 +91,17 @@ class Decoder:
             choices = [(x, 0.0)] if letter else []
             choices += [(ord(y), SWAP) for y in LOOKS_LIKE.get(chr(x), "")]
             drop = DROP_REPEAT if x == before else math.inf if letter else DROP_OTHER if choices else 0.0
-            before = x
+            gap = x in _SEPARATORS
+            if gap:
+                drop = DROP_GAP if before not in _SEPARATORS else 0.0
+            before = x if not gap else 0x20
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (p, q), (cost, path) in states.items():
                 row = self.cost[p][q]
+                if gap and q:  # the word ends here
+                    total = cost + row[0]
+                    if total < new.get((0, 0), (math.inf,))[0]:
+                        new[0, 0] = (total, (path, 0x20))
                 for y, more in choices:
                     s = int(_SYMBOL[y])
                     total = cost + more + row[s]
@@ -98,7 +110,7 @@ class Decoder:
                 if cost + drop < new.get((p, q), (math.inf,))[0]:
                     new[p, q] = (cost + drop, path)
             states = new
-        cost, path = min(((c + self.cost[p][q][0], w) for (p, q), (c, w) in states.items()), key=lambda x: x[0])
+        cost, path = min(((c + (self.cost[p][q][0] if q else 0.0), w) for (p, q), (c, w) in states.items()), key=lambda x: x[0])
         out = []
         while path:
             path, y = path
@@ -111,18 +123,15 @@ def restored_words(text: bytes, decoder: Decoder) -> set[bytes]:
     low = text.decode("utf-8", "replace").lower().encode()
     words = set(low.translate(_WORD).split())
     for token in set(low.translate(_TOKEN).split()):
-        rest = token.translate(None, _LETTERS)
-        if rest and len(rest) < len(token):
+        if token.translate(None, _LETTERS) and not token.isdigit():
             token = _TAIL.sub(b"", token)
-            rest = token.translate(None, _LETTERS)
-            if rest and len(rest) < len(token):
+            if token.translate(None, _LETTERS) and not token.isdigit():
                 words.add(decoder.decode(token))
     if _THRICE.search(low):
         words.update(decoder.decode(m[0]) for m in _REPEATS.finditer(low))
     for m in _SPELLED.finditer(low):
-        run = decoder.decode(re.sub(rb"[ .\-_*]", b"", m[0]))
-        words.update(run[i:j] for i in range(len(run)) for j in range(i + 3, min(len(run), i + 20) + 1))
-    return words
+        words.update(decoder.decode(m[0]).split())
+    return words - {b""}
 
 
 def _features(words: set[bytes]) -> set[bytes]:
@@ -167,7 +176,8 @@ def fit(rows: Iterable[tuple[set[bytes], int]], s: Settings) -> Model:
         if not y:
             no.update(f for f in features(w) if f in yes)
     evidence = {f: math.log((a + 0.5) / (toxic + 1)) - math.log((no[f] + 0.5) / (clean + 1)) for f, a in yes.items()}
-    best = sorted((f for f, e in evidence.items() if e > s.evidence), key=lambda f: (-yes[f] * evidence[f], f))[: s.features]
+    least = min(s.evidence, s.attained * math.log(2 * (clean + 1)))
+    best = sorted((f for f, e in evidence.items() if e > least), key=lambda f: (-yes[f] * evidence[f], f))[: s.features]
     return Model({f: evidence[f] for f in best}, math.log((toxic + 0.5) / (clean + 0.5)))
 
 
@@ -192,7 +202,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 def sample_rows(docs: DataFrame, labels: DataFrame, s: Settings) -> Iterator[tuple[bytes, int]]:
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     ids = ids.select("doc_id", F.col("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(s.sample)
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").where(F.octet_length("text") <= s.text_bytes).join(F.broadcast(ids), "doc_id")
     for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(s.sample).select("text", "y").toLocalIterator():
         yield r[0].encode(), 1 if r[1] else 0
 

@@ -441,6 +441,103 @@ def test_restoring():
     assert {b"idiot", b"stupid", b"moron", b"here"} <= words
 
 
+def channel_paths(token):
+    """(cost in the channel, text) of all that a lattice may stand for, character by character."""
+    out = [(0.0, b"")]
+    for i, x in enumerate(token):
+        before = token[i - 1] if i else None
+        letter, gap, looks = chr(x).isalpha(), x in b" .-_*", toxicity.LOOKS_LIKE.get(chr(x), "")
+        if gap:
+            drop = 0.0 if before is not None and before in b" .-_*" else toxicity.DROP_GAP
+        else:
+            drop = toxicity.DROP_REPEAT if x == before else None if letter else toxicity.DROP_OTHER if looks else 0.0
+        new = []
+        for cost, text in out:
+            new += [(cost, text + bytes([x]))] if letter else []
+            new += [(cost + toxicity.SWAP, text + y.encode()) for y in looks]
+            new += [(cost, text + b" ")] if gap and text and text[-1:] != b" " else []
+            new += [(cost + drop, text)] if drop is not None else []
+        out = new
+    return out
+
+
+def language_cost(counts, text):
+    """Of a text under the character model: each letter after the two before it in its word, and the words' edges."""
+    c = counts.reshape(28, 28, 28) + 0.1
+    cost, p, q = 0.0, 0, 0
+    for x in text + (b"" if text[-1:] in (b" ", b"") else b" "):
+        s = 0 if x == 0x20 else x - 96
+        cost -= math.log(c[p, q, s] / c[p, q].sum())
+        p, q = (q, s) if s else (0, 0)
+    return cost
+
+
+@pytest.mark.parametrize("token", [b"m0r0n", b"s t u p 1 d", b"a.b c", b"1d10t", b"iiid", b"g--h- i", b"@$$", b"c l 0 w n  a", b"0", b"x y z"])
+def test_decoding_is_the_likeliest_path(token):
+    counts = toxicity.trigrams([b"you stupid clown and moron are an idiot with words like these there and then a big glass " * 20])
+    total = {}
+    for cost, text in channel_paths(token):
+        total[text] = min(total.get(text, math.inf), cost + language_cost(counts, text))
+    found = toxicity.Decoder(counts).decode(token)
+    assert abs(total[found] - min(total.values())) < 1e-9
+
+
+def test_spelling_behind_brackets_and_wide_gaps():
+    d = toxicity.Decoder(toxicity.trigrams([b"you stupid clown and moron are an idiot with words like these there and then " * 20]))
+    words = toxicity.restored_words(b"He said (s t u p i d) and then a m - o - r - o - n, c  l  o  w  n; 2024 4711 1d10t", d)
+    assert {b"stupid", b"moron", b"clown", b"idiot", b"2024", b"4711"} <= words
+
+
+def test_small_label_sets_learn():
+    rows = [({b"grumpf", b"w%d" % i}, 1) for i in range(6)] + [({b"fine", b"v%d" % i}, 0) for i in range(12)]
+    model = toxicity.fit(rows, toxicity.Settings())
+    assert model.logit({b"grumpf"}) > 0 > model.logit({b"fine"})
+
+
+MASK = (1 << 64) - 1
+
+
+def plain_features(text, s):
+    """Buckets of a text's features, one by one."""
+
+    def mix(h):
+        h = (h ^ (h >> 31)) * 0x94D049BB133111EB & MASK
+        return h ^ (h >> 29)
+
+    out, before = [], None
+    for w in text.split():
+        edged = b" " + w + b" "
+        for n in s.grams:
+            for i in range(len(edged) - n + 1):
+                h = n
+                for c in edged[i : i + n]:
+                    h = (h * 0x100000001B3 + c) & MASK
+                out.append(mix(h))
+        word = mix(sum(mix(c + 257 * (k + 1)) for k, c in enumerate(w)) & MASK)
+        out += [word] + [0x5AFE1] * (word == before)
+        before = word
+    return [h & (s.buckets - 1) for h in out]
+
+
+def test_features_one_by_one(spark):
+    """Features, and scores as the mean push of plain features."""
+    s = quality.Settings(buckets=1 << 10, steps=200)
+    texts = [*EDGES[:5], "tie tie tie", "ab\tcd  ef\n", "Über 12 ü!", "one", prose(3, 50)]
+    raw = [(t or "").encode() for t in texts]
+    found, counts = quality.features(raw, s)
+    cuts = np.append(0, np.cumsum(counts))
+    plain = [plain_features(t, s) for t in raw]
+    assert [sorted(found[a:b].tolist()) for a, b in zip(cuts, cuts[1:])] == [sorted(p) for p in plain]
+    d = docs(spark, *texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(len(texts))], "doc_id long, quality int")
+    rows = quality.labelled(d, labels, "quality", s.sample, s.text_bytes)
+    push, constant = quality.learn([t for t, _ in rows], np.array([y for _, y in rows]), s)
+    for r in quality.score(d, labels, s).collect():
+        p = plain[r.doc_id]
+        assert abs(r.score - 1 / (1 + math.exp(-(constant + (sum(push[p]) / len(p) if p else 0.0))))) < 1e-9
+    assert quality.labelled(d, labels, "quality", s.sample, 5) == [(t, y) for t, y in rows if len(t) <= 5]
+
+
 # 9
 
 
