@@ -14,8 +14,8 @@ from mishap.llm.shared import Tables, table
 
 
 def _packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the whole row, so that no column of docs clashes with those of an operator."""
-    return docs.select("doc_id", "text", F.struct("*").alias("__row"))
+    """doc_id, text, source and the whole row, so that no column of docs clashes with those of an operator."""
+    return docs.select("doc_id", "text", "source", F.struct("*").alias("__row"))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,15 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes: doc_id, size, source_size, target, taken (words, repeats counted)."""
-    return mixing.mix(docs).where("taken > 0")
+    """The documents that the mix takes, whole, with size, source_size, target and taken (words, repeats counted).
 
+    Columns of docs with these names give way to them."""
+    mixed = mixing.mix(_packed(docs), keep=["__row"]).where("taken > 0")
+    return mixed.select(*(F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in _MIXED), *_MIXED)
+
+
+#: What mixing adds.
+_MIXED = ["size", "source_size", "target", "taken"]
 
 STAGES = [
     ("toxicity", drop_toxic),
