@@ -44,19 +44,20 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return level.select("key", "source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) -> DataFrame:
-    """One row a row of docs: doc_id, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, keep: list[str] | None = None) -> DataFrame:
+    """One row a row of docs: `keep` (doc_id by default), size, source_size, target, taken.
 
     taken is size times k or k + 1, at most `most`. A null text has size 0 and is never taken; null
     sources form one source; rows that repeat a doc_id share a hash and are taken alike. Reruns
     agree, as the hash is of doc_id alone. A source's taken words miss its target by at most half of
-    the words of the one hash at the boundary. Other columns of docs are not read."""
+    the words of the one hash at the boundary. Other columns of docs are not read. `keep` names columns
+    to hand on: they are read again at the end and joined with one row a source, not stored between."""
     spark = docs.sparkSession
     tables = Tables(spark, "mix")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     h = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 2 * LEVELS), 16, 10).cast("long")
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"), h.alias("h"))
-    sized = tables.keep(sized.withColumn("key", key), "sized")
+    size = F.coalesce(F.regexp_count("text", F.lit(SPACE_WORD)), F.lit(0)).cast("long")
+    sized = tables.keep(docs.select("doc_id", "source", size.alias("size"), h.alias("h"), key.alias("key")), "sized")
     sources = sized.groupBy("key", "source").agg(F.sum("size").alias("source_size"))
     full = tables.keep(targets(sources, weights, most), "targets")
     k = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most))).otherwise(0)
@@ -84,9 +85,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3) ->
     # one hash is left in each boundary bucket: taken if that comes nearer to the need
     near = F.when(2 * (F.col("need") - F.col("below")) > F.col("s"), 1).otherwise(0)
     cut = bound.select("key", ((F.col("prefix") + near) * F.lit(1 << shift)).alias("cut"), F.col("prefix").alias("last"), near.alias("near"))
-    out = sized.join(full.select("key", "source_size", "target", "k").join(cut, "key", "left"), "key")
+    rows = sized if keep is None else docs.select(*keep, size.alias("size"), h.alias("h"), key.alias("key"))
+    out = rows.join(full.select("key", "source_size", "target", "k").join(cut, "key", "left"), "key")
     once_more = F.coalesce(F.col("h") < F.col("cut"), F.lit(False)).cast("long")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("k") + once_more)).alias("taken"))
+    return out.select(*(keep or ["doc_id"]), "size", "source_size", "target", (F.col("size") * (F.col("k") + once_more)).alias("taken"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,6 +46,7 @@ def test_stages(spark):
             for i, r in rows.items():
                 taken[sources[i]] = taken.get(sources[i], 0) + r.taken
             assert all(abs(taken.get(s, 0) - t) <= 0.1 * t + 2000 for s, t in want.items())
+            assert out.columns == [*columns, "size", "source_size", "target", "taken"] and all(r.text == before[i] and r.score == "clash" for i, r in rows.items())
             continue
         assert out.columns == columns
         docs, before = out, {i: r.text for i, r in rows.items()}
