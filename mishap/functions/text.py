@@ -142,6 +142,56 @@ def record_url(repo: Column, slug: Column, site: str = "https://example.org") ->
     return F.concat(F.lit(site + "/"), repo, F.lit("/"), slug, F.lit("/"))
 
 
+def repo_parts(repo: Column) -> Column:
+    """struct(owner, name) of owner/name."""
+    parts = F.split(repo, "/")
+    return F.struct(F.get(parts, F.lit(0)).alias("owner"), F.get(parts, F.lit(1)).alias("name"))
+
+
+def repo_card(repo: Column) -> Column:
+    """The picture of a project (fixed form)."""
+    p = repo_parts(repo)
+    return F.concat(F.lit("/og/repo-"), p["owner"], F.lit("-"), p["name"], F.lit(".png"))
+
+
+def post_card(slug: Column) -> Column:
+    return F.concat(F.lit("/og/blog-"), slug, F.lit(".png"))
+
+
+def page_path(folder: str, slug: Column) -> Column:
+    """/folder/slug/, for guides, blog and info pages."""
+    return F.concat(F.lit(f"/{folder}/"), slug, F.lit("/"))
+
+
+def page_title(code: Column, message: Column, repo: Column, site: str) -> Column:
+    lead = F.when(F.coalesce(code, F.lit("")) != "", F.concat(code, F.lit(": "), message)).otherwise(message)
+    return F.concat(lead, F.lit(" — "), repo, F.lit(f" | {site}"))
+
+
+def page_description(documentation: Column) -> Column:
+    return F.substring(documentation, 1, 155)
+
+
+def page_data(site: str = "https://example.org", name: str = "Errors") -> Column:
+    """A record (columns as in schema.ERROR) as linked data: the trail to it, the article, its question and answer."""
+    repo_url = F.concat(F.lit(site + "/"), "repo", F.lit("/"))
+    url = record_url(F.col("repo"), F.col("slug"), site)
+    crumb = lambda n, label, at: F.struct(F.lit("ListItem").alias("@type"), F.lit(n).alias("position"), label.alias("name"), at.alias("item"))
+    lead = lambda n: F.coalesce("errorCode", F.substring("errorMessage", 1, n))
+    trail = F.array(crumb(1, F.lit(name), F.lit(site + "/")), crumb(2, F.col("repo"), repo_url), crumb(3, lead(60), url))
+    words = F.array_join(F.concat("tags", F.array_compact(F.array("backgroundTag"))), ", ")
+    answer = F.struct(F.lit("Answer").alias("@type"), F.coalesce(F.get("solutions", F.lit(0)), F.col("documentation")).alias("text"))
+    asked = F.concat(F.lit('What causes "'), "errorMessage", F.lit('" in '), "repo", F.lit("?"))
+    question = F.struct(F.lit("Question").alias("@type"), asked.alias("name"), answer.alias("acceptedAnswer"))
+    article = {"@type": F.lit("TechArticle"), "headline": lead(80), "description": F.col("documentation"), "about": F.concat("repo", F.lit(" — "), "errorMessage"), "url": url, "proficiencyLevel": F.lit("Expert"), "keywords": words}
+    parts = [
+        F.struct(F.lit("BreadcrumbList").alias("@type"), trail.alias("itemListElement")),
+        F.struct(*(v.alias(k) for k, v in article.items())),
+        F.struct(F.lit("FAQPage").alias("@type"), F.array(question).alias("mainEntity")),
+    ]
+    return F.concat(F.lit('{"@context":"https://schema.org","@graph":['), F.concat_ws(",", *map(F.to_json, parts)), F.lit("]}"))
+
+
 def escape_xml(text: Column) -> Column:
     out = text
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):

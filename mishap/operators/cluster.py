@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mishap.functions.rules import guides_for, is_generic
+from mishap.functions.rules import GUIDES, guides_for, is_generic
 from mishap.functions.text import cluster_slug, json_strings
+from mishap.schema import VERSION
 
 
 def members(records: DataFrame) -> DataFrame:
@@ -72,3 +73,23 @@ def page_links(sampled: DataFrame, chosen: DataFrame) -> DataFrame:
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(guides_for(code, F.col("message")))))).alias("guideSlugs"),
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("errorIds"),
     )
+
+
+def known_guides(proposed: Column) -> Column:
+    """Those of the proposed guides that there are."""
+    return F.array_intersect(F.coalesce(proposed, F.array().cast("array<string>")), F.array(*(F.lit(g) for g, _, _ in GUIDES)))
+
+
+def drafted_pages(chosen: DataFrame, sampled: DataFrame, drafts: DataFrame, at: str, most_ids: int = 50) -> DataFrame:
+    """Info pages of families with a draft (key, slug, title, summary, background, commonCauses, fixes, guideSlugs).
+
+    Guides are those that the draft names and that there are, and those that the samples match; ids
+    are the samples' in order. What a draft lacks is empty."""
+    empty = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    rows = chosen.join(drafts, "key").join(page_links(sampled, chosen).withColumnRenamed("guideSlugs", "__own"), "key", "left")
+    causes = F.transform(F.coalesce("commonCauses", F.array().cast("array<struct<cause:string,detail:string>>")), lambda c: F.struct(*(F.coalesce(c[f], F.lit("")).alias(f) for f in ("cause", "detail"))))
+    return rows.select(
+        "slug", F.col("key").alias("clusterKey"), *(F.coalesce(c, F.lit("")).alias(c) for c in ("title", "summary", "background")), causes.alias("commonCauses"), empty("fixes", "array<string>"),
+        F.array_sort(F.array_union(known_guides(F.col("guideSlugs")), F.coalesce("__own", F.array().cast("array<string>")))).alias("guideSlugs"),
+        F.slice(F.coalesce("errorIds", F.array().cast("array<string>")), 1, most_ids).alias("errorIds"), F.col("errorCount").cast("int").alias("errorCount"), F.col("repoCount").cast("int").alias("repoCount"), F.lit(at).alias("generatedAt"), F.lit(VERSION).alias("schemaVersion"),
+    )

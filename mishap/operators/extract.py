@@ -179,6 +179,44 @@ def extract_sites(files: DataFrame, include: list[str] | None = None, exclude: l
     return rows.select(*keys, F.explode("__sites").alias("s")).select(*keys, "s.*")
 
 
+#: What a grep with context answers: a payload for each family of patterns.
+GREP = "results array<struct<path:string,line:int,context:struct<lines:array<string>,matched_lines:array<int>,start_line:int>>>"
+
+
+def grep_sites(payloads: DataFrame, root: str = "", include: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
+    """(path, line, kind, snippet, literal, context) of payloads (kind, ordinal, json) of a grep over a tree.
+
+    Paths below `root` become relative; others outside of the tree, excluded and out of scope ones don't
+    count. Of several families that meet a line the one with the least ordinal has it. A result's
+    own line is found by its number, as windows of neighbours overlap."""
+    scope = [F.array(*map(F.lit, x or [])).cast("array<string>") for x in (include, exclude)]
+    rows = payloads.select("kind", "ordinal", F.explode(F.from_json("json", GREP)["results"]).alias("r")).select("kind", "ordinal", "r.*")
+    base = root.rstrip("/") + "/"
+    inside = F.when(F.startswith("path", F.lit(base)), F.substr("path", F.lit(len(base) + 1))).when(~F.startswith("path", F.lit("/")) & ~F.startswith("path", F.lit("..")), F.col("path"))
+    rows = rows.withColumn("path", inside).where(F.col("path").isNotNull() & (F.col("line") > 0) & ~is_excluded(F.col("path")) & ~out_of_scope(F.col("path"), *scope))
+    rows = first_family_wins(rows.withColumnRenamed("path", "file")).withColumnRenamed("file", "path")
+    lines = F.coalesce(F.col("context.lines"), F.array().cast("array<string>"))
+    at = F.coalesce(F.col("line") - F.col("context.start_line"), F.get(F.col("context.matched_lines"), F.lit(0)), F.lit(0))
+    text = F.coalesce(F.get(lines, at), F.lit(""))
+    literal = F.substring(F.nullif(F.regexp_extract(text, LITERAL, 1), F.lit("")), 1, 200)
+    clipped = _context(lines, F.lit(0), 1 << 20, 200, 1200)
+    context = F.when(clipped.isNotNull(), F.struct(F.coalesce(F.col("context.start_line"), F.col("line")).alias("start"), clipped["lines"].alias("lines")))
+    return rows.select("path", "line", "kind", F.substring(F.trim(text), 1, 300).alias("snippet"), literal.alias("literal"), context.alias("context"))
+
+
+def sites_or_else(files: DataFrame, payloads: DataFrame | None, why: str = "no grep", say=print, **scope) -> tuple[DataFrame, str]:
+    """(sites, backend): those of a grep if there is one, else of the built-in scan, whose reason is said."""
+    if payloads is not None:
+        return grep_sites(payloads, **scope), "grep"
+    say(f"grep extraction failed ({why}), using the built-in scan")
+    return extract_sites(files, **scope), "builtin"
+
+
+def scope_log(tally: DataFrame) -> DataFrame:
+    """(line): what a scope left out, a line a top directory."""
+    return tally.select(F.concat(F.lit("scope: excluded "), F.col("n").cast("string"), F.lit(" candidate location(s) under "), "top", F.lit("/")).alias("line"))
+
+
 def first_family_wins(hits: DataFrame) -> DataFrame:
     """Hits (file, line, ordinal of the family, ...) with one row for a line, the first family's."""
     order = Window.partitionBy("file", "line").orderBy("ordinal")

@@ -58,3 +58,9 @@ def batches(rows: DataFrame, by: list[str], order: str, size: int) -> DataFrame:
     """Adds batch: consecutive rows of a key in groups of `size`."""
     n = F.row_number().over(Window.partitionBy(*by).orderBy(order))
     return rows.withColumn("batch", F.floor((n - 1) / size).cast("long"))
+
+
+def record_runs(log: DataFrame, runs: DataFrame) -> DataFrame:
+    """The log with runs put behind it; what they lack is null, their duration is what they took."""
+    rows = with_duration(runs) if "completed_at" in runs.columns else runs
+    return log.unionByName(rows.select(*(F.col(c).cast(log.schema[c].dataType).alias(c) if c in rows.columns else F.lit(None).cast(log.schema[c].dataType).alias(c) for c in log.columns)))

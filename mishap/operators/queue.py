@@ -103,3 +103,16 @@ def alert_due(failures: int) -> bool:
 
 def _patch(rows: DataFrame, where: Column, **values: Column) -> DataFrame:
     return rows.select(*(F.when(where, values[c]).otherwise(F.col(c)).cast(rows.schema[c].dataType).alias(c) if c in values else F.col(c) for c in rows.columns))
+
+
+def reset(repos: DataFrame, records: DataFrame, log: DataFrame, which: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(repos, records, log, summary) with the repos of `which` back to pending: without records, runs, version and failure.
+
+    The summary counts what went: (repo, errorsDeleted, jobsDeleted). Other facts of a repo stay."""
+    named = which.select("repo").distinct()
+    counts = lambda rows, c: rows.join(named, "repo", "left_semi").groupBy("repo").agg(F.count("*").alias(c))
+    summary = named.join(repos.select("repo"), "repo", "left_semi").join(counts(records, "errorsDeleted"), "repo", "left").join(counts(log, "jobsDeleted"), "repo", "left").fillna(0, ["errorsDeleted", "jobsDeleted"])
+    hit = repos.join(named.withColumn("__r", F.lit(True)), "repo", "left")
+    new = {"status": F.lit("pending"), "last_error": F.lit(None), "analyzed_sha": F.lit(None), "analyzed_at": F.lit(None), "error_count": F.lit(0)}
+    back = hit.select(*(F.when(F.col("__r"), new[c]).otherwise(F.col(c)).cast(repos.schema[c].dataType).alias(c) if c in new else F.col(c) for c in repos.columns))
+    return back, records.join(named, "repo", "left_anti").select(*records.columns), log.join(named, "repo", "left_anti").select(*log.columns), summary

@@ -59,3 +59,12 @@ def kept_records(plan: DataFrame, fresh: DataFrame) -> DataFrame:
     """Carried-over and moved records together with fresh ones."""
     kept = plan.where("disposition != 'dropped'").withColumn("lineNumber", F.col("newLine").cast("int")).drop("disposition", "newLine")
     return kept.unionByName(fresh, allowMissingColumns=True)
+
+
+def accounting(plan: DataFrame, discovered: DataFrame) -> DataFrame:
+    """(repo, carriedOver, remapped, dropped, reused, fresh) of a plan (repo, disposition) and discovered sites (repo, reuse)."""
+    count = lambda d: F.count_if(F.col("disposition") == d)
+    kept = plan.groupBy("repo").agg(count("carryOver").alias("carriedOver"), count("remapped").alias("remapped"), count("dropped").alias("dropped"))
+    found = discovered.groupBy("repo").agg(F.count_if("reuse").alias("reused"), F.count_if(~F.col("reuse")).alias("fresh"))
+    names = ["carriedOver", "remapped", "dropped", "reused", "fresh"]
+    return kept.join(found, "repo", "full").fillna(0, names).select("repo", *names)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from mishap.functions import rules, text
-from mishap.operators import assemble, cluster, extract, index, jobs, queue, regions, reports, rescan, verify
+from mishap.operators import assemble, cluster, drain, extract, index, jobs, queue, regions, reports, rescan, verify
 from mishap.plans import sql, views
 from mishap.plans.queries import NOW, QUERIES, Query, _assembled, _clusters, _joined
 from mishap.schema import INFO_PAGE, REPO, validate_info_pages, validate_repos
@@ -396,3 +396,125 @@ def cache_times(spark, d):
     u = F.col("user_id").cast("string")
     control = F.when(F.col("event_id") % 3 == 2, F.lit("no-store, max-age=9")).when(F.col("event_id") % 3 == 1, F.concat(F.lit("public, max-age="), u)).otherwise(F.concat(F.lit("max-age=5, s-maxage="), (F.col("user_id") + 1).cast("string")))
     return views.table(spark, d, "events").select("event_id", rules.cache_seconds(F.when(F.col("event_id") % 5 == 0, 404).otherwise(200), control, F.lit(False)).alias("seconds"))
+
+
+# drafts, resets, accounts, pages
+
+
+@both(f"""WITH {_SAMPLED}, g AS (SELECT key, unnest({sql._guide_list("NULL::VARCHAR", "substr(text, 1, 300)")}) AS guide FROM sm UNION ALL SELECT key, 'timeouts' FROM clusters WHERE kind = 'class')
+SELECT 's-' || value AS slug, 't' AS title, '' AS summary, (SELECT string_agg(DISTINCT guide, ',' ORDER BY guide) FROM g WHERE g.key = c.key) AS guides, (SELECT string_agg(id, ',' ORDER BY rank) FROM sm WHERE sm.key = c.key AND rank <= 20) AS ids, "errorCount"::INT AS n FROM clusters c WHERE kind = 'class'""")
+def drafted_pages(spark, d):
+    """Pages from drafts that name one guide that there is, and one that isn't."""
+    chosen = _clusters(spark, d, "class")
+    drafts = chosen.select("key", F.concat(F.lit("s-"), "value").alias("slug"), F.lit("t").alias("title"), F.lit(None).cast("string").alias("summary"), F.lit("b").alias("background"), F.lit(None).cast("array<struct<cause:string,detail:string>>").alias("commonCauses"), F.lit(None).cast("array<string>").alias("fixes"), F.array(F.lit("timeouts"), F.lit("no-such")).alias("guideSlugs"))
+    pages = cluster.drafted_pages(chosen, cluster.samples(views.records(spark, d), chosen), drafts, "2024-01-02T03:04:05Z", most_ids=20)
+    return pages.select("slug", "title", "summary", F.array_join("guideSlugs", ",").alias("guides"), F.array_join("errorIds", ",").alias("ids"), F.col("errorCount").alias("n"))
+
+
+def _reset(spark, d):
+    repos = views.repos(spark, d).select("repo", F.lit("analyzed").alias("status"), "analyzed_sha", F.col("error_count").cast("long").alias("error_count"), F.lit("x").alias("last_error"))
+    records = views.table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("repo"), "o_orderkey")
+    which = views.table(spark, d, "customer").where("c_nationkey < 5").select(F.col("c_custkey").cast("string").alias("repo"))
+    return queue.reset(repos, records, views.jobs(spark, d), which)
+
+
+_WHICH = "w AS (SELECT c_custkey AS n FROM customer WHERE c_nationkey < 5)"
+
+
+@both(f"WITH {sql._REPOS}, {_WHICH} SELECT r.repo, CASE WHEN w.n IS NULL THEN 'analyzed' ELSE 'pending' END AS status, CASE WHEN w.n IS NULL THEN analyzed_sha END AS analyzed_sha, CASE WHEN w.n IS NULL THEN error_count ELSE 0 END AS error_count, CASE WHEN w.n IS NULL THEN 'x' END AS last_error FROM r LEFT JOIN w ON w.n = r.n")
+def reset_repos(spark, d):
+    return _reset(spark, d)[0]
+
+
+@both(f"WITH {sql._REPOS}, {_WHICH} SELECT r.repo, error_count AS \"errorsDeleted\", (SELECT count(*) FROM events WHERE user_id = r.n) AS \"jobsDeleted\" FROM r JOIN w ON w.n = r.n")
+def reset_summary(spark, d):
+    return _reset(spark, d)[3]
+
+
+@both(f"""WITH p AS ({sql.SQL["rescan_plan"]}), k AS (SELECT ("filePath"::BIGINT % 10)::VARCHAR AS repo, count(*) FILTER (disposition = 'carryOver') AS a, count(*) FILTER (disposition = 'remapped') AS b, count(*) FILTER (disposition = 'dropped') AS c FROM p GROUP BY 1),
+f AS (SELECT (o_custkey % 12)::VARCHAR AS repo, count(*) FILTER (o_orderkey % 3 = 0) AS r, count(*) FILTER (o_orderkey % 3 <> 0) AS s FROM orders GROUP BY 1)
+SELECT coalesce(k.repo, f.repo) AS repo, coalesce(a, 0) AS "carriedOver", coalesce(b, 0) AS remapped, coalesce(c, 0) AS dropped, coalesce(r, 0) AS reused, coalesce(s, 0) AS fresh FROM k FULL JOIN f ON k.repo = f.repo""")
+def incremental_accounts(spark, d):
+    plan = rescan.plan_rescan(views.lines(spark, d).distinct(), views.diffs(spark, d)).withColumn("repo", (F.col("filePath").cast("long") % 10).cast("string"))
+    found = views.table(spark, d, "orders").select((F.col("o_custkey") % 12).cast("string").alias("repo"), (F.col("o_orderkey") % 3 == 0).alias("reuse"))
+    return rescan.accounting(plan, found)
+
+
+@both(f"WITH {sql._JOBS} SELECT repo, phase, status, duration_ms FROM jobs UNION ALL SELECT o_custkey::VARCHAR, 'verify', 'success', o_orderkey % 50 FROM orders")
+def recorded_runs(spark, d):
+    o = views.table(spark, d, "orders")
+    new = o.select(F.col("o_custkey").cast("string").alias("repo"), F.lit("verify").alias("phase"), F.lit("success").alias("status"), F.col("o_orderkey").alias("started_at"), (F.col("o_orderkey") + F.col("o_orderkey") % 50).alias("completed_at"))
+    return jobs.record_runs(views.jobs(spark, d), new).select("repo", "phase", "status", "duration_ms")
+
+
+@both("""WITH x AS (SELECT l_orderkey AS k, l_linenumber AS i, min(l_partkey % 3) AS o FROM lineitem WHERE l_orderkey % 5 < 3 GROUP BY ALL)
+SELECT 'src/f' || k || '.c' AS path, i::INT AS line, 'k' || o AS kind, 'throw "text of ' || i || '"' AS snippet, 'text of ' || i AS literal, greatest(1, i - 2)::INT AS start, (i - greatest(1, i - 2) + 2)::INT AS lines FROM x""")
+def sites_of_grep(spark, d):
+    """Payloads of a grep, absolute paths among them, some excluded or outside of the tree."""
+    li = views.table(spark, d, "lineitem")
+    i, k = F.col("l_linenumber").cast("int"), F.col("l_orderkey")
+    start = F.greatest(F.lit(1), i - 2)
+    lines = F.transform(F.sequence(start, i + 1), lambda n: F.concat(F.lit('  throw "text of '), n.cast("string"), F.lit('"')))
+    folder = F.when(k % 5 == 0, "/tree/src/f").when(k % 5 < 3, "src/f").when(k % 5 == 3, "/other/src/f").otherwise("src/tests/f")
+    r = F.struct(F.concat(folder, k.cast("string"), F.lit(".c")).alias("path"), i.alias("line"), F.struct(lines.alias("lines"), F.array(F.lit(0)).alias("matched_lines"), start.alias("start_line")).alias("context"))
+    o = F.col("l_partkey") % 3
+    bodies = li.groupBy(o.alias("ordinal"), (k % 7).alias("part")).agg(F.to_json(F.struct(F.collect_list(r).alias("results"))).alias("json"))
+    found = extract.grep_sites(bodies.select(F.concat(F.lit("k"), F.col("ordinal").cast("string")).alias("kind"), "ordinal", "json"), root="/tree")
+    return found.select("path", "line", "kind", "snippet", "literal", F.col("context.start").alias("start"), F.size("context.lines").alias("lines"))
+
+
+@both(f"WITH t AS ({sql.SQL['scope_tally']}) SELECT 'scope: excluded ' || n || ' candidate location(s) under ' || top || '/' AS line FROM t")
+def scope_lines(spark, d):
+    return extract.scope_log(QUERIES["scope_tally"](spark, d))
+
+
+_FIXED = ["/about/", "/request-crawl/", "/api-docs/", "/blog/", "/guides/", "/troubleshooting/", "/info/"] + [f"/guides/{g[0]}/" for g in rules.GUIDES]
+
+
+@both(f"WITH h AS ({sql.SQL['page_links']}), p AS (SELECT href AS path FROM h UNION ALL SELECT unnest([{', '.join(sql._quote(p) for p in _FIXED)}]) UNION ALL SELECT '/blog/p' || o_orderkey || '/' FROM orders UNION ALL SELECT '/info/i' || item_id || '/' FROM benchmark) SELECT path, '  <url><loc>https://s.example' || path || '</loc></url>' AS line FROM p")
+def sitemap_of_pages(spark, d):
+    posts = views.table(spark, d, "orders").select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("slug"))
+    pages = views.table(spark, d, "benchmark").select(F.concat(F.lit("i"), F.col("item_id").cast("string")).alias("slug"))
+    return feeds.pages_sitemap(reports.errors_by_repo(views.entries(spark, d)), posts, pages, "https://s.example")
+
+
+@both(f"WITH {sql._RECORDS} SELECT doc_id, md5(CASE WHEN code <> '' THEN code || ': ' || text ELSE text END || ' — ' || repo || ' | Site') AS title, md5(substr(text, 1, 155)) AS description, '/og/repo-' || tag || '-' || cls || '.png' AS card, '/og/blog-' || cls || '.png' AS post, '/guides/' || cls || '/' AS guide FROM records")
+def texts_of_pages(spark, d):
+    r = views.records(spark, d)
+    title = text.page_title(F.col("errorCode"), F.col("errorMessage"), F.col("repo"), "Site")
+    return r.select("doc_id", F.md5(title).alias("title"), F.md5(text.page_description(F.col("documentation"))).alias("description"), text.repo_card(F.col("repo")).alias("card"), text.post_card(F.col("errorClass")).alias("post"), text.page_path("guides", F.col("errorClass")).alias("guide"))
+
+
+@both(f"WITH {sql._MADE} SELECT id, repo || ' — ' || text AS about, 'https://example.org/' || repo || '/' AS parent, 'What causes \"' || text || '\" in ' || repo || '?' AS question FROM made")
+def linked_data(spark, d):
+    body = _assembled(spark, d).select("id", text.page_data().alias("j"))
+    at = lambda p: F.get_json_object("j", p)
+    return body.select("id", at("$['@graph'][1].about").alias("about"), at("$['@graph'][0].itemListElement[1].item").alias("parent"), at("$['@graph'][2].mainEntity[0].name").alias("question"))
+
+
+@both("SELECT doc_id, i::BIGINT AS n FROM (SELECT doc_id, unnest(range(3)) AS i FROM documents) WHERE i <> doc_id % 3")
+def answers_by_number(spark, d):
+    """Items of answers whose number isn't one are left out."""
+    items = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda i: F.concat(F.lit('{"errorIndex":'), F.when(i == F.col("doc_id") % 3, F.lit("null")).otherwise(i.cast("string")), F.lit(',"severity":"error"}')))
+    body = F.concat(F.lit('{"enriched":['), F.array_join(items, ","), F.lit("]}"))
+    rows = views.table(spark, d, "documents").select("doc_id", F.explode(payloads.by_number(body, "enriched", "severity:string")).alias("e"))
+    return rows.select("doc_id", F.col("e.errorIndex").cast("long").alias("n"))
+
+
+@both(f"""WITH {sql._QUEUE}, s AS ({sql.SQL['seed_queue']}) SELECT repo, CASE WHEN status IN ('queued', 'running') THEN CASE WHEN repo::BIGINT % 10 = 0 THEN 'failed' WHEN repo::BIGINT % 10 = 1 THEN 'skipped' ELSE 'done' END ELSE status END AS status, CASE WHEN status IN ('queued', 'running') THEN (attempts + 1)::INT ELSE attempts END AS attempts FROM s""")
+def drained_queue(spark, d):
+    """Seeded, reclaimed and drained in rounds of 100,000: runs fail, skip or succeed by name."""
+    root = scratch(spark, "drain")
+
+    def keep(rows, name):
+        rows.write.parquet(f"{root}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
+
+    def run(claimed):
+        n = F.col("repo").cast("long") % 10
+        return claimed.select("repo", F.when(n == 0, "failed").when(n == 1, "skipped").otherwise("done").alias("outcome"), F.when(n == 0, "bad answer").alias("error"), F.col("solo").alias("ran_at"), F.lit(False).alias("held_large"))
+
+    corpus = views.table(spark, d, "orders").select((F.col("o_custkey") * 2).cast("string").alias("repo"))
+    q = views.queue(spark, d).withColumn("solo", F.lit(0))
+    out, _ = drain.drain(q, corpus, views.repos(spark, d), run, keep, lambda: NOW, drain.Limits(slots=100_000, breaker=1 << 30))
+    return out.select("repo", "status", "attempts")

@@ -63,3 +63,12 @@ def read_records(spark: SparkSession, root: str, repo: str | None = None) -> Dat
 def _pointer(spark: SparkSession, root: str) -> dict[str, str]:
     path = f"{root}/current.json"
     return json.loads(read_text(spark, path)) if exists(spark, path) else {}
+
+
+def append_traffic(points: DataFrame, root: str) -> bool:
+    """Adds data points by day of `at`, if it can; whether it did. Counting visits must not break what it counts."""
+    try:
+        points.withColumn("day", F.to_date("at")).write.mode("append").partitionBy("day").parquet(f"{root}/traffic")
+    except Exception:  # best effort by definition
+        return False
+    return True

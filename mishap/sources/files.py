@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field, fields
+from dataclasses import dataclass, field, fields
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +45,18 @@ def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataF
     return spark.read.schema(schema).option("multiLine", "true").json(path)
 
 
+@dataclass
+class Provider:
+    """How a model is asked; fields of a command are for programs, others for all."""
+
+    command: str = ""
+    args: list[str] = field(default_factory=list)
+    timeout_ms: int = 600_000
+    prompt_mode: str = "stdin"  # or arg
+    type: str = "spawn"  # or acp
+    model: str | None = None
+
+
 @dataclass
 class Config:
     """Settings of a run; unknown names in a file are errors."""
@@ -58,6 +70,31 @@ class Config:
     zero_yield_days: int = 14
     rescan_share: float = 0.25
     phases: list[str] = field(default_factory=lambda: ["scope", "discovery", "enrichment", "defense", "verify"])
+    providers: dict[str, Provider] = field(default_factory=dict)
+    phase_providers: dict[str, str] = field(default_factory=dict)
+    primary: str = ""
+    fallback: str | None = None
+    max_concurrent: int = 1
+    batch_concurrency: int = 1
+    provider_max_concurrent: int = 0  # 0: no gate
+    source_window: int = 12
+    max_runtime_minutes: int = 240  # 0: no end
+    call_facts: bool = False
+    skip_peak: bool = False
+    delay_between_phases_ms: int = 5_000
+
+    def __post_init__(self):
+        """Counts are whole and at least 1 (a gate at least 0), the share lies from 0 to 1, providers get their types."""
+        for name in ("max_concurrent", "batch_concurrency", "analysis_batch", "source_window"):
+            setattr(self, name, max(1, int(getattr(self, name))))
+        self.provider_max_concurrent = max(0, int(self.provider_max_concurrent))
+        self.rescan_share = min(1.0, max(0.0, float(self.rescan_share)))
+        self.providers = {k: v if isinstance(v, Provider) else Provider(**{"command": k, **v}) for k, v in self.providers.items()}
+        if odd := set(self.phase_providers) - {"scope", "discovery", "enrichment", "defense", "verify", "review"}:
+            raise ValueError(f"unknown phases: {sorted(odd)}")
+
+    def provider_of(self, phase: str) -> str:
+        return self.phase_providers.get(phase, self.primary)
 
 
 def load_config(path: str | None = None) -> Config:
@@ -67,4 +104,4 @@ def load_config(path: str | None = None) -> Config:
     given = json.loads(Path(path).read_text())
     if odd := set(given) - {f.name for f in fields(Config)}:
         raise ValueError(f"unknown settings: {sorted(odd)}")
-    return Config(**{**asdict(Config()), **given})
+    return Config(**given)

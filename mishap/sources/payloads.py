@@ -112,3 +112,10 @@ def discovered_errors(json_text: Column) -> Column:
     kind = "errors array<struct<message:string,type:string,file:string,line:int,code:string,errorClass:string,httpStatus:int>>"
     found = F.from_json(json_text, kind)["errors"]
     return F.coalesce(F.filter(found, lambda e: e["message"].isNotNull()), F.array().cast(kind.removeprefix("errors ")))
+
+
+def by_number(json_text: Column, part: str, fields: str) -> Column:
+    """The items of an answer's list `part` whose errorIndex is a number: array of (errorIndex, fields...)."""
+    kind = f"array<struct<errorIndex:double,{fields}>>"
+    found = F.from_json(json_text, f"{part} {kind}")[part]
+    return F.coalesce(F.filter(found, lambda e: e["errorIndex"].isNotNull()), F.array().cast(kind))

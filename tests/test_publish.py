@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mishap import oracle
 from mishap.api import KnowledgeBase
 from mishap.schema import INFO_PAGE, REPO
-from mishap.sinks import feeds, publish
+from mishap.sinks import feeds, publish, state
 from mishap.operators.search import ranked
 from mishap.sources import files
 from mishap.sources.shards import Shards
@@ -132,6 +132,16 @@ def test_trees_and_settings(spark, tmp_path):
     assert [r.repo for r in files.new_candidates(found, corpus).collect()] == ["o/c"]
     (tmp_path / "c.json").write_text('{"min_errors": 7}')
     assert files.load_config(str(tmp_path / "c.json")).min_errors == 7 and files.load_config().min_errors == 5
+    (tmp_path / "p.json").write_text('{"providers": {"a": {"args": ["-x"]}}, "phase_providers": {"verify": "a"}, "primary": "b", "max_concurrent": 0, "rescan_share": 7, "provider_max_concurrent": -1}')
+    c = files.load_config(str(tmp_path / "p.json"))
+    assert (c.providers["a"].command, c.providers["a"].args, c.providers["a"].timeout_ms) == ("a", ["-x"], 600_000)
+    assert (c.provider_of("verify"), c.provider_of("scope"), c.max_concurrent, c.rescan_share, c.provider_max_concurrent) == ("a", "b", 1, 1.0, 0)
+    with pytest.raises(ValueError):
+        files.Config(phase_providers={"odd": "a"})
+    points = spark.createDataFrame([("2024-01-02 03:04:05", "/p")], "at string, path string")
+    assert state.append_traffic(points, str(tmp_path / "t")) and state.append_traffic(points, str(tmp_path / "t")) and spark.read.parquet(str(tmp_path / "t/traffic")).count() == 2
+    (tmp_path / "file").write_text("x")
+    assert not state.append_traffic(points, str(tmp_path / "file"))
     (tmp_path / "d.json").write_text('{"odd": 7}')
     with pytest.raises(ValueError):
         files.load_config(str(tmp_path / "d.json"))
