@@ -43,7 +43,7 @@ class Settings:
     batch: int = 64  # places compared at a time
     miss: float = 1e-4  # a pair is dropped when its chance to be a link is less than an equal part of this for each batch
     small: int = 8  # buckets of at most so many classes propose all their pairs
-    block: int = 512  # classes in a block of a family,
+    block: int = 256  # classes in a block of a family,
     block_shingles: int = 1 << 20  # and about the most shingles of theirs
 
 
@@ -406,6 +406,7 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         links = links.union(classes.join(classes.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b"))
     labels = components(tables, links, "final")
     labels = tables.keep(heads.select("id", *one).join(labels, "id", "left").select(*one, F.coalesce("label", "id").alias("label")), "labels")
+    tables.only("signed", "labels")
     out = signed.select("doc_id", *one).join(labels, one, "left")
     label = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("label")), "doc_id")
     return out.select("doc_id", "n_shingles", label.alias("component_id"), F.coalesce(label == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,13 @@ SPACE_WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset one machine gets a folder of its own (tests), a cluster an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
         at = spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="mishap-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
@@ -44,11 +47,11 @@ def _remove(spark: SparkSession, path: str) -> None:
 class Tables:
     """Intermediate tables of one operator call, written as Parquet in the shared folder.
 
-    A written table cuts the lineage and outlives any executor. drop() removes those that
-    nothing reads any more; the rest go when the driver ends."""
+    A written table cuts the lineage and outlives any executor. drop() and only() remove those that
+    nothing reads any more; what the result reads goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.paths = spark, {}
+        self.spark, self.names, self.swept = spark, set(), 0.0
         self.root = f"{shared_dir(spark)}/mishap/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
@@ -57,12 +60,20 @@ class Tables:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(self.path(name))
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the shuffle files of steps that are over
+        self.names.add(name)
+        if time.monotonic() - self.swept > 2:  # now and then: lets Spark's cleaner drop the shuffle files of steps that are over
+            self.spark.sparkContext._jvm.System.gc()
+            self.swept = time.monotonic()
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         for name in names:
             _remove(self.spark, self.path(name))
+        self.names -= set(names)
+
+    def only(self, *names: str) -> None:
+        """Removes all tables but those that the result reads."""
+        self.drop(*(self.names - set(names)))
 
     def close(self) -> None:
         try:
