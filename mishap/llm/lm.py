@@ -1,7 +1,7 @@
 """LM scoring: stupid-backoff scores from n-gram count tables.
 
 S(w | v) is c(v w) / c(v) if the pair stands at least twice in the corpus, else 0.4 * c(w) / N; a
-first word's is c(w) / N. A document's score is the sum of ln S over its words. Counts are of all
+first word's is c(w) / N. With order 3, words after two others begin with the triple. A document's score is the sum of ln S over its words. Counts are of all
 documents. The work is relational: word counts and pair counts by hash partition, then every pair
 of every document joined to the pairs' values and summed per document.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from mishap.llm.quality import pieces
 from mishap.llm.shared import Tables, prepare, table, text_bytes
 
-BACKOFF, LEAST = 0.4, 2
+BACKOFF, LEAST, ORDER = 0.4, 2, 2
 #: At most so many words and pairs are broadcast.
 WORDS, PAIRS, SAMPLE = 400_000, 100_000, 0.02
 #: Exploded pairs in a partition, and bytes of text hashed together.
@@ -115,9 +115,51 @@ def _threshold(counts: DataFrame, most: int, least: int) -> int:
     return at or 1 << 62
 
 
-def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, most_words: int = WORDS, most_pairs: int = PAIRS, sample: float = SAMPLE) -> DataFrame:
+def _triples(spark: SparkSession, tables: Tables, keyed: DataFrame, words: DataFrame, backoff: float, least: int) -> DataFrame:
+    """(key, third): what triples change of the score that pairs give.
+
+    A word after two others has S3 = c(u v w) / c(u v) if the triple stands at least `least` times, else
+    0.4 S2. With such a triple its pairs stand as often, so S2 is c(v w) / c(v), and the change is
+    ln c(u v w) - ln c(u v) - ln c(v w) + ln c(v); otherwise it is ln 0.4. Triples, pairs and words
+    have count tables by hash, each joined to the n-grams that need it."""
+
+    def explode(n: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ids = batch.column(0).to_numpy()
+                for part, h, counts in _hashed(text_bytes(batch.column(1))):
+                    second, owner = _pairs_of(h, counts)
+                    pair = np.zeros(len(h), np.int64)
+                    pair[second] = _pair_hashes(h, second)
+                    if n == 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.unique(pair[second], return_counts=True)], names=["h", "c"])
+                        continue
+                    third = second[np.append(False, second[1:] == second[:-1] + 1)] if len(second) else second
+                    third = third[owner[third - 2] == owner[third]]
+                    triple = (_mix(pair[third - 1].view(np.uint64) * _U(0x9E3779B97F4A7C15) + h[third].view(np.uint64)) >> _U(1)).view(np.int64)
+                    columns = (ids[np.array(part)][owner[third]], triple, pair[third - 1], pair[third], h[third - 1])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "t", "uv", "vw", "v"])
+
+        return run
+
+    rows = tables.keep(keyed.select("key", "text").mapInArrow(explode(3), "key long, t long, uv long, vw long, v long"), "triples")
+    often = tables.keep(rows.groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") >= least), "often")
+    found = tables.keep(rows.join(often, "t"), "triples_found")
+    pairs = keyed.select("key", "text").mapInArrow(explode(2), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    pairs = tables.keep(pairs.where(F.col("c") >= least), "pair_counts")
+    terms = found.select("key", F.col("uv").alias("h")).union(found.select("key", "vw")).join(pairs, "h").select("key", (-F.log("c")).alias("x"))
+    terms = terms.union(found.select("key", F.col("v").alias("w")).join(words, "w").select("key", F.log("c")))
+    terms = terms.union(found.select("key", F.log("c") - math.log(backoff)))
+    terms = terms.union(rows.groupBy("key").agg(F.count("*").alias("n")).select("key", F.col("n") * math.log(backoff)))
+    return tables.keep(terms.groupBy("key").agg(F.sum("x").alias("third")), "third")
+
+
+def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST, most_words: int = WORDS, most_pairs: int = PAIRS, sample: float = SAMPLE, order: int = ORDER) -> DataFrame:
     """One row a row of docs: doc_id, n_words, log_score (sum of ln S), mean_log_score.
 
+    `order` is 2 (pairs) or 3 (triples). `least` is 2: an n-gram that stands once stands in the scored
+    text alone, and would make every text sure of itself.
+
     Words are runs without ASCII white space of whole texts. Null and wordless texts have n_words
     0, log_score 0 and a null mean. Rows that repeat an id and text count in the corpus each and
     get one score. Hashes are of 64 bits: words that share one would share counts."""
@@ -242,8 +284,12 @@ def stupid_backoff(docs: DataFrame, backoff: float = BACKOFF, least: int = LEAST
     base = tables.keep(keyed.select("doc_id", "key"), "base")
     copies = base.groupBy("key").agg(F.count("*").alias("copies")).where("copies > 1")
     out = base.join(sums, "key", "left").join(rest, "key", "left").join(copies, "key", "left")
+    third = F.lit(0.0)
+    if order == 3:
+        out, third = out.join(_triples(spark, tables, keyed, words, backoff, least), "key", "left"), F.coalesce("third", F.lit(0.0))
+    tables.only("base", "sums", "rest", "third")
     times = F.coalesce("copies", F.lit(1))
-    score, n = (F.coalesce("x", F.lit(0.0)) + F.coalesce("rest", F.lit(0.0))) / times, (F.coalesce("n", F.lit(0)) / times).cast("long")
+    score, n = (F.coalesce("x", F.lit(0.0)) + F.coalesce("rest", F.lit(0.0)) + third) / times, (F.coalesce("n", F.lit(0)) / times).cast("long")
     return out.select("doc_id", n.alias("n_words"), score.alias("log_score"), F.when(n > 0, score / n).alias("mean_log_score"))
 
 

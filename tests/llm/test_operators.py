@@ -84,6 +84,40 @@ def test_words():
 # 2
 
 
+def brute_triples(texts):
+    """Scores of order 3, word by word."""
+    words = {i: (t or "").split() for i, t in enumerate(texts)}
+    count = {}
+    for w in words.values():
+        for n in (1, 2, 3):
+            for k in range(len(w) - n + 1):
+                g = tuple(w[k : k + n])
+                count[g] = count.get(g, 0) + 1
+    total, out = sum(c for g, c in count.items() if len(g) == 1), {}
+    for i, w in words.items():
+        out[i] = 0.0
+        for k in range(len(w)):
+            for n in range(min(3, k + 1), 0, -1):
+                g = tuple(w[k - n + 1 : k + 1])
+                if n == 1:
+                    out[i] += math.log(count[g] / total)
+                elif count[g] >= 2:
+                    out[i] += math.log(count[g] / count[g[:-1]])
+                    break
+                else:
+                    out[i] += math.log(0.4)
+    return out
+
+
+@pytest.mark.parametrize("most", [(1000, 1000), (2, 1)])
+def test_backoff_of_triples(spark, most):
+    rng = random.Random(6)
+    texts = ["", None, "one", "a b", "a a a a", "one two one", *(" ".join(rng.choice("abcd") + rng.choice(["", "", "x"]) for _ in range(rng.randint(1, 50))) for _ in range(20))]
+    got = lm.stupid_backoff(docs(spark, *texts), most_words=most[0], most_pairs=most[1], sample=0.7, order=3).collect()
+    want = brute_triples(texts)
+    assert all(abs(r.log_score - want[r.doc_id]) < 1e-6 for r in got) and len(got) == len(texts)
+
+
 def brute_backoff(texts):
     words = {i: (t or "").replace("\x0b", " ").split() for i, t in enumerate(texts)}
     one, two = {}, {}
