@@ -22,6 +22,8 @@ SQL = {
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op2_lm_score": lm.OP2_SQL,
     "op3_top_k": topk.OP3_SQL,
+    "op4_suffix_dedup": substrings.OP4_SQL,
+    "op5_near_dedup": minhash.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
 }

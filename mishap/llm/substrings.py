@@ -269,6 +269,22 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: All strings of 200 bytes of all documents, as hexadecimal digits (cut from pieces of 512 starts, as DuckDB counts characters from the front).
+OP4_SQL = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+y AS (SELECT doc_id, c, substr(x, 1024 * c + 1, 1422) AS y FROM (SELECT doc_id, x, unnest(range(0, (n - 200) // 512 + 1)) AS c FROM h WHERE n >= 200)),
+g AS (SELECT doc_id, 512 * c + j AS i, md5(substr(y, 2 * j + 1, 400)) AS k FROM (SELECT *, unnest(range(0, least(512, strlen(y) // 2 - 199))) AS j FROM y)),
+s AS (SELECT doc_id, i FROM g JOIN (SELECT k FROM g GROUP BY k HAVING count(*) > 1) USING (k)),
+o AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS fresh FROM s),
+p AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM o),
+v AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM p GROUP BY doc_id, island),
+z AS (SELECT v.doc_id, a, b, x, coalesce(lead(a) OVER (PARTITION BY v.doc_id ORDER BY a), n) AS nxt, row_number() OVER (PARTITION BY v.doc_id ORDER BY a) AS r FROM v JOIN h USING (doc_id)),
+k AS (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, string_agg(CASE WHEN r = 1 THEN substr(x, 1, 2 * a) ELSE '' END || substr(x, 2 * b + 1, 2 * (nxt - b)), '' ORDER BY a) AS kept FROM z GROUP BY doc_id)
+SELECT h.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM h LEFT JOIN k ON k.doc_id = h.doc_id
+"""
+
+
 def brute_force(texts: list[str | None], least: int) -> list[tuple[int, int, int, str]]:
     """(n_bytes, n_removed, n_spans, kept_sha256) of each text, string by string; for tests."""
     raw = [(t or "").encode() for t in texts]
