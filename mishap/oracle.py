@@ -73,3 +73,29 @@ def split_batch(items: list, works: Callable[[list], bool], least: int = 10) ->
         return [items]
     half = len(items) // 2
     return split_batch(items[:half], works, least) + split_batch(items[half:], works, least)
+
+
+def ask_or_halve(items: list, ask: Callable[[list], tuple[str | None, str | None]], least: int = 10, known: dict | None = None, key: Callable[[list], str] = repr) -> list[str] | None:
+    """Answers of a batch, in order: one for all, or one a half if it timed out and has `least` items; None if any is missing.
+
+    Only a timeout is split, and only once: other failures would come again, and cost again. `known`
+    holds answers by batch: what it has isn't asked for, and answers are put there, also the halves'
+    under the whole's key, so that a later run need not find out anew that the batch must be split."""
+    known = {} if known is None else known
+
+    def one(part: list) -> tuple[list[str] | None, str | None]:
+        if key(part) in known:
+            return known[key(part)], None
+        found, error = ask(part)
+        if found is not None:
+            known[key(part)] = [found]
+        return (None if found is None else [found]), error
+
+    got, error = one(items)
+    if got is None and (error or "").startswith("timeout") and len(items) >= least:
+        half = -(-len(items) // 2)
+        parts = [one(items[:half])[0], one(items[half:])[0]]
+        got = None if None in parts else parts[0] + parts[1]
+        if got is not None:
+            known[key(items)] = got
+    return got

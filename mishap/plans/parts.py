@@ -518,3 +518,8 @@ def drained_queue(spark, d):
     q = views.queue(spark, d).withColumn("solo", F.lit(0))
     out, _ = drain.drain(q, corpus, views.repos(spark, d), run, keep, lambda: NOW, drain.Limits(slots=100_000, breaker=1 << 30))
     return out.select("repo", "status", "attempts")
+
+
+@both("SELECT c_custkey AS k FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'FURNITURE'")
+def looked_up(spark, d):
+    return state.lookup(views.table(spark, d, "customer"), c_nationkey=7, c_mktsegment="FURNITURE").select(F.col("c_custkey").alias("k"))

@@ -72,3 +72,10 @@ def append_traffic(points: DataFrame, root: str) -> bool:
     except Exception:  # best effort by definition
         return False
     return True
+
+
+def lookup(table: DataFrame, **keys: object) -> DataFrame:
+    """Rows with these values, such as repo, slug or status; tables that are partitioned by a key are read in its folder only."""
+    for name, value in keys.items():
+        table = table.where(F.col(name).isNull() if value is None else F.col(name) == F.lit(value))
+    return table

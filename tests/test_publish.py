@@ -174,6 +174,21 @@ def test_oracles(spark):
     assert oracle.split_batch(list(range(40)), lambda b: len(b) <= 10) == [list(range(i, i + 10)) for i in (0, 10, 20, 30)]
 
 
+def test_batches_are_halved_once_and_after_timeouts_only():
+    asked = []
+
+    def ask(part):
+        asked.append(len(part))
+        return (None, "timeout: late") if len(part) > 10 else (f"{part[0]}+{len(part)}", None)
+
+    known = {}
+    assert oracle.ask_or_halve(list(range(15)), ask, known=known) == ["0+8", "8+7"] and asked == [15, 8, 7]
+    assert oracle.ask_or_halve(list(range(15)), ask, known=known) == ["0+8", "8+7"] and len(asked) == 3
+    assert oracle.ask_or_halve(list(range(30)), ask) is None and asked[3:] == [30, 15, 15]
+    assert oracle.ask_or_halve(list(range(12)), lambda part: (None, "parse")) is None
+    assert oracle.ask_or_halve([1], lambda part: (None, "timeout: late")) is None
+
+
 def test_stream_seeds_the_queue(spark, tmp_path):
     src, q = tmp_path / "in", str(tmp_path / "queue")
     src.mkdir()
