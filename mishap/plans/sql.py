@@ -75,7 +75,7 @@ _NORMS = "norms AS (SELECT idx, floor(sqrt(sum(idf * idf)) * 100 + 0.5)::BIGINT
 _MESSAGES = f"""sentences AS (SELECT doc_id, lang || '/' || source AS repo, unnest(range(len(p))) AS pos, unnest(list_transform(p, lambda x: trim(x))) AS msg FROM (SELECT *, string_split_regex(text, '[.\\n]') AS p FROM documents)),
 entries AS (SELECT row_number() OVER (ORDER BY ord) - 1 AS idx, *, {_code('msg')} AS code, {_id('repo', 'msg', "'doc'")} AS id, CASE WHEN {_good(_derived('msg'))} THEN {_derived('msg')} ELSE {_escape('msg')} END AS pattern
   FROM (SELECT msg, min(doc_id * 1000000 + pos) AS ord, arg_min(repo, doc_id * 1000000 + pos) AS repo FROM sentences WHERE msg <> '' GROUP BY msg))"""
-_QUERIES = "queries AS (SELECT qid, text || ' ' || upper(string_split(text, ' ')[1]) AS text FROM (SELECT item_id * 1000000 + unnest(range(len(p))) AS qid, unnest(list_transform(p, lambda x: trim(x))) AS text FROM (SELECT *, string_split_regex(text, '[.\\n]') AS p FROM benchmark)) WHERE text <> '')"
+_QUERIES = "queries AS (SELECT qid, text || CASE WHEN regexp_matches(text, '^[A-Za-z]+ ') THEN ' ' || upper(string_split(text, ' ')[1]) ELSE '' END AS text FROM (SELECT item_id * 1000000 + unnest(range(len(p))) AS qid, unnest(list_transform(p, lambda x: trim(x))) AS text FROM (SELECT *, string_split_regex(text, '[.\\n]') AS p FROM benchmark)) WHERE text <> '')"
 _ASKED = f"asked AS (SELECT DISTINCT qid, token FROM (SELECT qid, unnest(string_split({_form('text')}, ' ')) AS token FROM queries) WHERE token <> '')"
 _EXACT = f"exact AS (SELECT DISTINCT qid, idx FROM (SELECT qid, unnest({_codes('text')}) AS code FROM queries) q JOIN entries e ON q.code = e.code AND e.code <> '')"
 _COSINE = """cosine AS (SELECT qid, idx, round(dot / (norm / 100 * qnorm), 9) AS score FROM

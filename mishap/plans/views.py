@@ -58,9 +58,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of benchmark items as search texts (qid, text), each followed by its first word in capitals: a code of some records."""
+    """Sentences of benchmark items as search texts (qid, text), each followed by its first word in capitals, if it is of a-z: a code of some records."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(_sentences(F.col("text"))).alias("pos", "text")).where("text != ''")
-    return b.select((F.col("item_id") * 1_000_000 + F.col("pos")).alias("qid"), F.concat_ws(" ", "text", F.upper(F.split("text", " ")[0])).alias("text"))
+    return b.select((F.col("item_id") * 1_000_000 + F.col("pos")).alias("qid"), F.concat_ws(" ", "text", F.when(F.col("text").rlike("^[A-Za-z]+ "), F.upper(F.split("text", " ")[0]))).alias("text"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
