@@ -85,9 +85,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, ke
     # one hash is left in each boundary bucket: taken if that comes nearer to the need
     near = F.when(2 * (F.col("need") - F.col("below")) > F.col("s"), 1).otherwise(0)
     cut = bound.select("key", ((F.col("prefix") + near) * F.lit(1 << shift)).alias("cut"), F.col("prefix").alias("last"), near.alias("near"))
-    tables.only("sized" if keep is None else "targets", "targets", f"bound{level}")
+    # one row a source, written so that the planner knows how small it is
+    each = tables.keep(full.select("key", "source_size", "target", "k").join(cut, "key", "left"), "sources")
+    tables.only("sources", *(["sized"] if keep is None else []))
     rows = sized if keep is None else docs.select(*keep, size.alias("size"), h.alias("h"), key.alias("key"))
-    out = rows.join(full.select("key", "source_size", "target", "k").join(cut, "key", "left"), "key")
+    out = rows.join(each, "key")
     once_more = F.coalesce(F.col("h") < F.col("cut"), F.lit(False)).cast("long")
     return out.select(*(keep or ["doc_id"]), "size", "source_size", "target", (F.col("size") * (F.col("k") + once_more)).alias("taken"))
 
