@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from mishap.llm import decontaminate, lm, minhash, mixing, quality, substrings, tokens, topk, toxicity, warc
+from mishap.llm import codes, decontaminate, lm, minhash, mixing, packing, quality, substrings, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -16,6 +16,8 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_mix_sources": mixing.op9_mix_sources,
     "op10_quality": quality.op10_quality,
+    "op11_vector_codes": codes.op11_vector_codes,
+    "op12_pack": packing.op12_pack,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -26,6 +28,7 @@ SQL = {
     "op5_near_dedup": minhash.OP5_SQL,
     "op7_warc": warc.OP7_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
+    "op11_vector_codes": codes.OP11_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
