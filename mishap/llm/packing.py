@@ -22,6 +22,7 @@ import re
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,9 @@ _WHITE = re.compile(rb"[\x20\x09-\x0D]")
 LONG = 64
 _OTHER = re.compile("[^\x21-\x7e\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0132-\u0148\u014a-\u017e]|<\\|")
 #: How the tokenizer cuts such words, in lower case.
-_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+|\n")
+#: Ids of single bytes, with and without the word's end, have at most so many bits.
+BYTES, _NONE = 9, 1 << 30
 
 
 class Merges:
@@ -58,6 +61,11 @@ class Merges:
         order = np.argsort(keys, kind="stable")
         self.keys, self.ranks, self.merged = keys[order], order, np.array([vocab[a + b] for a, b in pairs], np.int64)
 
+        # pairs of single bytes are looked up in a table, the others searched for
+        self.single = np.full((1 << BYTES, 1 << BYTES), _NONE, np.int64)
+        low = (self.keys >> 32 < 1 << BYTES) & (self.keys & 0xFFFFFFFF < 1 << BYTES)
+        self.single[self.keys[low] >> 32, self.keys[low] & 0xFFFFFFFF] = self.ranks[low]
+
     def _rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << 32 | b
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -70,24 +78,30 @@ class Merges:
         text = np.frombuffer(b"".join(words), np.uint8)
         ids = self.first[text]
         ids[ends - 1] = self.last[text[ends - 1]]
-        # rows of `size` symbols, the symbol after each and the rank of the pair; done symbols are taken out
-        word = np.repeat(np.arange(len(words)), size)
+        # symbols of all words, the word of each, the rank of each with the next of its word; words that are done are taken out
+        word, rank = np.repeat(np.arange(len(words)), size), np.full(len(ids), _NONE)
+        at = np.flatnonzero(word[1:] == word[:-1])
+        low = ids[at] | ids[at + 1] < 1 << BYTES
+        rank[at[low]] = self.single[ids[at[low]], ids[at[low] + 1]]
+        rank[at[~low]] = self._rank(ids[at[~low]], ids[at[~low] + 1])
         out, owner = [], []
         while len(ids):
-            inner = np.append(word[1:] == word[:-1], False)
-            rank = np.full(len(ids), _NONE)
-            at = np.flatnonzero(inner)
-            rank[at] = self._rank(ids[at], ids[at + 1])
             start = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
-            best = np.minimum.reduceat(rank * (1 << 32) + np.arange(len(ids)), start)
+            best = np.minimum.reduceat(rank << 32 | np.arange(len(ids)), start)
             going = best < _NONE << 32
-            ready = np.repeat(~going, np.diff(np.append(start, len(ids))))
-            out.append(ids[ready])
-            owner.append(word[ready])
+            gone = np.repeat(~going, np.diff(np.append(start, len(ids))))
+            out.append(ids[gone])
+            owner.append(word[gone])
             at = best[going] & 0xFFFFFFFF
             ids[at] = self.merged[rank[at]]
-            ready[at + 1] = True
-            ids, word = ids[~ready], word[~ready]
+            gone[at + 1] = True
+            rank[at] = rank[at + 1]
+            at = np.cumsum(~gone)[at] - 1
+            ids, word, rank = ids[~gone], word[~gone], rank[~gone]
+            # only the pairs on both sides of a merged one are new
+            left = at[at > 0] - 1
+            at = np.append(left[word[left] == word[left + 1]], at[(at + 1 < len(ids)) & (word[np.minimum(at + 1, len(ids) - 1)] == word[at])])
+            rank[at] = self._rank(ids[at], ids[at + 1])
         owner = np.concatenate([*owner, np.zeros(0, np.int64)])
         order = np.argsort(owner, kind="stable")
         return np.concatenate([*out, np.zeros(0, np.int64)])[order], np.bincount(owner, minlength=len(words))
@@ -123,31 +137,34 @@ class Words:
         self.known.update(zip(words, range(n, n + len(words))))
         self.size += sum(map(len, words))
 
-    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        if len(self.known) > WORDS or self.size > WORD_BYTES:
-            self._clear()
-        split = [t.split() for t in texts]
-        plain, units, rest = [], [], []
-        for w in set().union(*split).difference(self.known):
-            if len(w) > LONG or _OTHER.search(text := w.decode()):
-                rest.append(w)
-            else:
-                plain.append(w)
-                units.append(_UNIT.findall(text.lower()))
+    def _learn_all(self, new: set[bytes]) -> None:
+        plain = [w for w in new if w.isalpha() and len(w) <= LONG or len(w) <= LONG and not _OTHER.search(w.decode())]
         if plain:
-            ids, counts = self.merges.encode([u.encode() for own in units for u in own])
-            self._learn(plain, ids, np.add.reduceat(counts, np.append(0, np.cumsum([len(own) for own in units])[:-1])))
+            units = _UNIT.findall(b"\n".join(plain).decode().lower())
+            cut = np.flatnonzero(np.fromiter(map("\n".__eq__, units), bool, len(units)))
+            ids, counts = self.merges.encode([u.encode() for u in units if u != "\n"])
+            self._learn(plain, ids, np.add.reduceat(counts, np.append(0, cut - np.arange(len(cut)))))
+        rest = list(new.difference(plain))
         if rest:
             found = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in rest], add_special_tokens=False)]
             self._learn(rest, np.array([i for x in found for i in x], np.uint32), np.array([len(x) for x in found], np.int64))
-        out = []
-        for words in split:
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            first = self.ends[at]
-            n = self.ends[at + 1] - first
-            upto = np.cumsum(n)
-            out.append(self.ids[np.repeat(first - upto + n, n) + np.arange(n.sum())])
-        return out
+
+    def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(self.known) > WORDS or self.size > WORD_BYTES:
+            self._clear()
+        split = [t.split() for t in texts]
+        words = list(chain.from_iterable(split))
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            self._learn_all(set(new))
+            at[missing] = [self.known[w] for w in new]
+        first = self.ends[at]
+        n = self.ends[at + 1] - first
+        upto = np.append(0, np.cumsum(n))
+        ids = self.ids[np.repeat(first - upto[:-1], n) + np.arange(upto[-1])]
+        return np.split(ids, upto[np.cumsum([len(w) for w in split])[:-1]])
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         """The ids of each text. Long texts go slice by slice, which end at ASCII white space, short ones together."""
@@ -162,7 +179,6 @@ class Words:
             yield np.concatenate([*out, *self._encode([text[start:]])])
 
 
-_NONE = 1 << 30
 _KEPT: dict[str, Words] = {}
 
 
@@ -276,7 +292,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, length: int = LENGTH, e
     # one row a length, at most `length` of them
     rows, _ = plan({r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}, length)
     made = spark.createDataFrame(rows, "length long, from_rank long, to_rank long, sequence long, each long, offset long")
-    ranked = cut.join(before, ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth")).join(F.broadcast(made), "length")
+    ranked = cut.join(before.hint("merge"), ["length", "part"]).withColumn("rank", F.col("before") + F.col("nth")).join(F.broadcast(made), "length")
     ranked = ranked.where((F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.expr("sequence + (rank - from_rank) div each").alias("sequence_id"), F.expr("offset + (rank - from_rank) % each * length").alias("offset"))
 
