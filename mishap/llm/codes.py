@@ -263,7 +263,7 @@ def brute_force(rows: list[tuple], s: Settings = Settings()) -> list[tuple]:
     for r, e in zip(rows, errors):
         by_label[r[2]] = by_label.get(r[2], 0) + e
     digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
-    return [(r[0], "".join(f"{e:02x}" for e in a), err, by_label[r[2]], digest) for r, a, err in zip(rows, at, errors)]
+    return [(r[0], "".join(f"{e:02x}" for e in a), min(err, MOST), min(by_label[r[2]], MOST), digest) for r, a, err in zip(rows, at, errors)]
 
 
 _STEP = """

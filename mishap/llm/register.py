@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from mishap.llm import codes, decontaminate, lm, minhash, mixing, packing, quality, substrings, tokens, topk, toxicity, warc
+from mishap.llm import audit, codes, decontaminate, lm, minhash, mixing, packing, quality, substrings, tokens, topk, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_quality": quality.op10_quality,
     "op11_vector_codes": codes.op11_vector_codes,
     "op12_pack": packing.op12_pack,
+    "op13_source_audit": audit.op13_source_audit,
     "pipeline": corpus_pipeline.run,
 }
 SQL = {
@@ -29,6 +30,7 @@ SQL = {
     "op7_warc": warc.OP7_SQL,
     "op9_mix_sources": mixing.OP9_SQL,
     "op11_vector_codes": codes.OP11_SQL,
+    "op13_source_audit": audit.OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
