@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mishap.functions.rules import is_host_fault
+from mishap.sinks.commits import Keyed
 
 COOLOFF_MS = 24 * 3_600_000
 
@@ -38,14 +39,37 @@ def seed_summary(seeded: DataFrame) -> DataFrame:
 def claim_order(queue: DataFrame, repos: DataFrame, exclusive: bool = False, prefer: str = "fresh") -> DataFrame:
     """Queued rows of the level in the order of claims: preferred kind, priority, age, name."""
     rows = queue.where("status = 'queued'").where(F.col("solo") == 2 if exclusive else F.col("solo") < 2)
-    rows = rows.join(repos.select("repo", "analyzed_sha"), "repo", "left")
+    return rows.join(repos.select("repo", "analyzed_sha"), "repo", "left").orderBy(*_order(prefer))
+
+
+def _order(prefer: str) -> list[Column]:
     other = F.col("analyzed_sha").isNull() if prefer == "rescan" else F.col("analyzed_sha").isNotNull()
-    return rows.orderBy(other, F.desc("priority"), "updated_at", "repo")
+    return [other, F.desc("priority"), F.col("updated_at"), F.col("repo")]
 
 
 def claim(queue: DataFrame, repo: str, now: int) -> DataFrame:
     mine = (F.col("repo") == repo) & (F.col("status") == "queued")
-    return _patch(queue, mine, status=F.lit("running"), attempts=F.col("attempts") + 1, updated_at=F.lit(now))
+    return _patch(queue, mine, **_claimed(now))
+
+
+def _claimed(now: int) -> dict[str, Column]:
+    return {"status": F.lit("running"), "attempts": F.col("attempts") + 1, "updated_at": F.lit(now)}
+
+
+def claim_next(table: Keyed, repos: DataFrame, slots: int, now: int, exclusive: bool = False, prefer: str = "fresh") -> DataFrame | None:
+    """Marks the first `slots` rows in the order of claims as running, in one commit; None if none is queued.
+
+    Returns them with place (from 1, in that order) and kind (fresh, rescan). A row is claimed only if
+    it is still queued when the commit is made: of several that claim at once, each gets other rows."""
+
+    def take(queue: DataFrame) -> DataFrame:
+        rows = claim_order(queue, repos, exclusive, prefer).limit(slots)
+        place = F.row_number().over(Window.orderBy(*_order(prefer)))  # of `slots` rows
+        rows = rows.select("*", place.alias("place"), F.when(F.col("analyzed_sha").isNotNull(), "rescan").otherwise("fresh").alias("kind"))
+        return _patch(rows.drop("analyzed_sha"), F.lit(True), **_claimed(now))
+
+    made = table.commit(take)
+    return made and made.rows
 
 
 def reclaim(queue: DataFrame, now: int) -> DataFrame:
@@ -53,13 +77,18 @@ def reclaim(queue: DataFrame, now: int) -> DataFrame:
     return _patch(queue, F.col("status") == "running", status=F.lit("queued"), updated_at=F.lit(now))
 
 
+def is_escalated() -> Column:
+    """Whether an outcome (outcome, error, ran_at) is a host fault that gets another run, alone or with fewer others."""
+    return F.coalesce((F.col("outcome") == "failed") & is_host_fault(F.col("error")) & (F.col("ran_at") < 2), F.lit(False))
+
+
 def settle(queue: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
     """The queue after outcomes (repo, outcome done/skipped/failed, error, ran_at, held_large).
 
     A host fault below level 2 is queued again, at level 2 if it ran at level 1 or held the large
     slot, else at 1; other failures settle."""
     rows = queue.join(outcomes, "repo", "left")
-    infra = (F.col("outcome") == "failed") & is_host_fault(F.col("error")) & (F.col("ran_at") < 2)
+    infra = is_escalated()
     level = F.when((F.col("ran_at") >= 1) | F.col("held_large"), 2).otherwise(1)
     hit = F.col("outcome").isNotNull()
     new = {

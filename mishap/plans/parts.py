@@ -13,6 +13,7 @@ from mishap.schema import INFO_PAGE, REPO, validate_info_pages, validate_repos
 from mishap.sinks import feeds, publish, state
 from mishap.sources import files, payloads
 from mishap.sources.shards import Shards
+from mishap.sinks.commits import Keyed
 from mishap.storage import scratch, write_text
 from mishap.streaming.queue_stream import event_windows
 
@@ -503,12 +504,7 @@ def answers_by_number(spark, d):
 
 @both(f"""WITH {sql._QUEUE}, s AS ({sql.SQL['seed_queue']}) SELECT repo, CASE WHEN status IN ('queued', 'running') THEN CASE WHEN repo::BIGINT % 10 = 0 THEN 'failed' WHEN repo::BIGINT % 10 = 1 THEN 'skipped' ELSE 'done' END ELSE status END AS status, CASE WHEN status IN ('queued', 'running') THEN (attempts + 1)::INT ELSE attempts END AS attempts FROM s""")
 def drained_queue(spark, d):
-    """Seeded, reclaimed and drained in rounds of 100,000: runs fail, skip or succeed by name."""
-    root = scratch(spark, "drain")
-
-    def keep(rows, name):
-        rows.write.parquet(f"{root}/{name}")
-        return spark.read.schema(rows.schema).parquet(f"{root}/{name}")
+    """Seeded, reclaimed and drained, claims committed first: runs fail, skip or succeed by name."""
 
     def run(claimed):
         n = F.col("repo").cast("long") % 10
@@ -516,8 +512,10 @@ def drained_queue(spark, d):
 
     corpus = views.table(spark, d, "orders").select((F.col("o_custkey") * 2).cast("string").alias("repo"))
     q = views.queue(spark, d).withColumn("solo", F.lit(0))
-    out, _ = drain.drain(q, corpus, views.repos(spark, d), run, keep, lambda: NOW, drain.Limits(slots=100_000, breaker=1 << 30))
-    return out.select("repo", "status", "attempts")
+    table = Keyed(spark, scratch(spark, "drain"), ["repo"], q.schema)
+    table.commit(q)
+    drain.drain(table, corpus, views.repos(spark, d), run, lambda: NOW, drain.Limits(slots=100_000, breaker=1 << 30))
+    return table.read().select("repo", "status", "attempts")
 
 
 @both("SELECT c_custkey AS k FROM customer WHERE c_nationkey = 7 AND c_mktsegment = 'FURNITURE'")

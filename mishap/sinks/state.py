@@ -1,14 +1,16 @@
-"""Working state as Parquet tables: merges, patches, per-repo replacement behind a pointer."""
+"""Working state as Parquet tables: merges, patches, and tables of commits for records and checkpoints."""
 
 from __future__ import annotations
 
-import json
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from mishap.schema import BATCH
+from mishap.sinks.commits import Keyed
+from mishap.storage import exists, names
 
-from mishap.storage import exists, read_text, write_text
+BATCH_KEYS = ["repo", "sha", "phase", "batch_key"]
 
 
 def upsert(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,7 +32,7 @@ def put_batch(table: DataFrame, batch: DataFrame, sha: str | None = None) -> Dat
     if sha:
         repos = batch.select("repo").distinct().withColumn("__r", F.lit(True))
         kept = table.join(repos, "repo", "left").where(F.col("__r").isNull() | (F.col("sha") == sha)).select(*table.columns)
-    rest = kept.join(batch, ["repo", "sha", "phase", "batch_key"], "left_anti").select(*table.columns)
+    rest = kept.join(batch, BATCH_KEYS, "left_anti").select(*table.columns)
     return rest.unionByName(batch.select(*table.columns))
 
 
@@ -38,31 +40,38 @@ def clear_batches(table: DataFrame, repo: str) -> DataFrame:
     return table.where(F.col("repo") != repo)
 
 
-def replace_repo_records(spark: SparkSession, root: str, records: DataFrame) -> None:
-    """Writes records as a new version of their repos and moves the pointer to it last.
+def batches(spark: SparkSession, root: str) -> Keyed:
+    """Checkpoints of phases, one row a (repo, sha, phase, batch_key), as a table of commits."""
+    return Keyed(spark, root, BATCH_KEYS, BATCH)
+
+
+def open_batches(table: Keyed, repo: str, sha: str) -> DataFrame:
+    """What is done of a repo's commit; those of its other commits go."""
+    stale = lambda rows: rows.where((F.col("repo") == repo) & (F.col("sha") != sha)).select(*table.keys)
+    table.commit(lambda rows: (rows.limit(0), stale(rows)))
+    return lookup(table.read(), repo=repo, sha=sha)
+
+
+def replace_repo_records(spark: SparkSession, root: str, records: DataFrame, repos: DataFrame | None = None) -> None:
+    """Makes records the only ones of their repos, in one commit.
 
-    Readers see the versions that the pointer names: the old ones until it is moved, then the new.
-    A failed write leaves a folder that no pointer names."""
-    version = uuid.uuid4().hex
-    records.repartition("repo").write.partitionBy("repo").parquet(f"{root}/records/version={version}")
-    named = _pointer(spark, root)
-    named |= {r.repo: version for r in records.select("repo").distinct().toLocalIterator()}
-    write_text(spark, f"{root}/current.json", json.dumps(named, sort_keys=True))
+    repos: repos that it is about (default: those of records); those without records have none from
+    then on. Readers see the records before or after. Of several writers none undoes another's repos."""
+    keys = (records if repos is None else repos.unionByName(records.select("repo"), allowMissingColumns=True)).select("repo")
+    _records(spark, root, records.schema).commit((records.repartition("repo"), keys))
 
 
 def read_records(spark: SparkSession, root: str, repo: str | None = None) -> DataFrame | None:
-    """The current records, of one repo or all; None if there are none."""
-    named = {r: v for r, v in _pointer(spark, root).items() if repo in (None, r)}
-    if not named:
+    """The current records, of one repo or all; None if there never were any."""
+    if not exists(spark, f"{root}/records/log"):
         return None
-    pairs = spark.createDataFrame(list(named.items()), "repo string, version string")
-    rows = spark.read.parquet(f"{root}/records")  # by version and repo, so that only folders that are named are read
-    return rows.join(pairs, ["version", "repo"]).drop("version")
+    folder = next(n for n in names(spark, f"{root}/records/rows") if n.startswith("__v="))
+    rows = _records(spark, root, spark.read.parquet(f"{root}/records/rows/{folder}").schema).read()
+    return rows if repo is None else rows.where(F.col("repo") == repo)
 
 
-def _pointer(spark: SparkSession, root: str) -> dict[str, str]:
-    path = f"{root}/current.json"
-    return json.loads(read_text(spark, path)) if exists(spark, path) else {}
+def _records(spark: SparkSession, root: str, schema: StructType) -> Keyed:
+    return Keyed(spark, f"{root}/records", ["repo"], schema)
 
 
 def append_traffic(points: DataFrame, root: str) -> bool:

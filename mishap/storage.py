@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -43,15 +45,74 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file whole: under another name first, which then takes its place."""
-    fs, p = _hadoop(spark, path)
+def _beside(spark: SparkSession, path: str, text: str) -> str:
+    """A small file written whole under a name of its own in the folder of path."""
     at = f"{path}.{uuid.uuid4().hex}"
-    out = fs.create(_hadoop(spark, at)[1])
+    fs, p = _hadoop(spark, at)
+    if fs.getScheme() == "file":  # without a check sum beside it, which would not follow a rename
+        os.makedirs(os.path.dirname(_plain(at)), exist_ok=True)
+        with open(_plain(at), "w", encoding="utf-8", newline="") as f:
+            f.write(text)
+            f.flush()
+            os.fsync(f.fileno())
+        return at
+    out = fs.create(p)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(p, False)
-    rename(spark, at, path)
+    return at
+
+
+def _is_local(spark: SparkSession, path: str) -> bool:
+    return _hadoop(spark, path)[0].getScheme() == "file"
+
+
+def _plain(path: str) -> str:
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
+
+
+def _renamed(spark: SparkSession, a: str, b: str, option: str) -> None:
+    """A rename as the file system's own single step; option: NONE fails if b is there, OVERWRITE replaces it."""
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    options[0] = getattr(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), option)
+    source, target = _hadoop(spark, a)[1], _hadoop(spark, b)[1]
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(source, target, options)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a small file whole: under another name first, which then takes its place in one step. Readers see the old or the new one."""
+    at = _beside(spark, path, text)
+    if _is_local(spark, path):
+        os.replace(_plain(at), _plain(path))
+    else:
+        _renamed(spark, at, path, "OVERWRITE")
+
+
+def write_once(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a small file whole if none is there; whether it did. Of several writers one succeeds."""
+    at = _beside(spark, path, text)
+    try:
+        if _is_local(spark, path):
+            os.link(_plain(at), _plain(path))  # fails if the name is taken, unlike a rename
+        else:
+            _renamed(spark, at, path, "NONE")
+            return True
+    except FileExistsError:
+        return False
+    except Exception as e:
+        if "FileAlreadyExistsException" in str(e):
+            return False
+        raise
+    finally:
+        if exists(spark, at):
+            remove(spark, at)
+    return True
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it isn't there."""
+    fs, p = _hadoop(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
 def open_root(uri: str):
@@ -67,7 +128,12 @@ def open_root(uri: str):
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the one that all executors share; what is written there goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="mishap-")
+        spark.sparkContext.setCheckpointDir(base)
     at = f"{base.rstrip('/')}/mishap-{name}-{uuid.uuid4().hex}"
 
     def clean() -> None:

@@ -10,17 +10,17 @@ from pyspark.sql import functions as F
 
 from mishap.operators.queue import seed
 from mishap.schema import QUEUE
-from mishap.storage import exists, swap
+from mishap.sinks.commits import Keyed
 
 
 def seed_from_stream(spark: SparkSession, corpus_dir: str, queue_dir: str, checkpoint: str, now: Callable[[], int] = lambda: int(time.time() * 1000)):
-    """Merges each micro-batch of corpus lines into the queue, which is swapped whole. Seeding twice changes nothing more."""
+    """Merges each micro-batch of corpus lines into the queue, a table of commits. Seeding twice changes nothing more."""
+    table = Keyed(spark, queue_dir, ["repo"], QUEUE)
 
     def merge(batch: DataFrame, _: int) -> None:
-        have = spark.read.schema(QUEUE).parquet(queue_dir) if exists(spark, queue_dir) else spark.createDataFrame([], QUEUE)
         corpus = batch.select(F.trim(F.regexp_replace("value", "#.*$", "")).alias("repo")).where("repo != ''")
-        seed(have, corpus, now()).drop("change").write.mode("overwrite").parquet(f"{queue_dir}.next")
-        swap(spark, f"{queue_dir}.next", queue_dir)
+        at = now()
+        table.commit(lambda queue: seed(queue, corpus, at).where("change is not null").drop("change"))
 
     lines = spark.readStream.format("text").load(corpus_dir)
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from mishap.operators import assemble, cluster, drain, extract, index, jobs, queue, regions, reports, rescan, search, verify
 from mishap.schema import ERROR, INFO_PAGE, REPO, validate_errors, validate_info_pages, validate_repos
 from mishap.sinks import state
+from mishap.sinks.commits import Keyed
 from mishap.sources.payloads import extract_json, find_json, parse_diffs, repo_meta
 
 GOOD = {
@@ -348,13 +349,10 @@ def test_drains(spark, tmp_path):
     schema = "repo string, priority int, status string, attempts int, solo int, last_error string, updated_at long"
     repos = spark.createDataFrame([("b", "s")], "repo string, analyzed_sha string")
     corpus = spark.createDataFrame([(r,) for r in "abcdef"], "repo string")
-    empty = spark.createDataFrame([], schema)
     n, seen = iter(range(10_000)), []
 
-    def keep(rows, name):
-        at = f"{tmp_path}/{next(n)}-{name}"
-        rows.write.parquet(at)
-        return spark.read.schema(rows.schema).parquet(at)
+    def new():
+        return Keyed(spark, f"{tmp_path}/{next(n)}", ["repo"], schema)
 
     def runner(outcome):
         def run(claimed):
@@ -365,14 +363,16 @@ def test_drains(spark, tmp_path):
         return run
 
     went = lambda r: ("failed", "cannot fork") if r.repo == "c" else ("done", None)
-    q, s = drain.drain(empty, corpus, repos, runner(went), keep, lambda: 7, drain.Limits(slots=2, breaker=9))
+    table = new()
+    s = drain.drain(table, corpus, repos, runner(went), lambda: 7, drain.Limits(slots=2, breaker=9))
+    q = table.read()
     assert (s["added"], s["ok"], s["failed"], s["infra_requeued"], s["left_queued"], s["tripped"]) == (6, 5, 1, 2, 0, False)
     assert {r.repo: (r.status, r.attempts) for r in q.collect()} == {r: ("done", 1) for r in "abdef"} | {"c": ("failed", 3)}
     assert seen[-1] == ["c"]  # alone at last
-    q, s = drain.drain(empty, corpus, repos, runner(lambda r: ("failed", "bad")), keep, lambda: 7, drain.Limits(slots=2, breaker=3))
+    s = drain.drain(new(), corpus, repos, runner(lambda r: ("failed", "bad")), lambda: 7, drain.Limits(slots=2, breaker=3))
     assert s["tripped"] and s["failed"] == 4 and s["left_queued"] == 2
     clock = iter(range(0, 10_000, 40))
-    q, s = drain.drain(empty, corpus, repos, runner(lambda r: ("skipped", None)), keep, lambda: next(clock), drain.Limits(slots=1, budget_ms=200))
+    s = drain.drain(new(), corpus, repos, runner(lambda r: ("skipped", None)), lambda: next(clock), drain.Limits(slots=1, budget_ms=200))
     assert s["stopped_for_restart"] and 0 < s["skipped"] < 6 and s["left_queued"] == 6 - s["skipped"]
 
 

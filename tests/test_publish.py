@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from mishap import oracle
 from mishap.api import KnowledgeBase
-from mishap.schema import INFO_PAGE, REPO
+from mishap.schema import INFO_PAGE, QUEUE, REPO
 from mishap.sinks import feeds, publish, state
+from mishap.sinks.commits import Keyed
 from mishap.operators.search import ranked
 from mishap.sources import files
 from mishap.sources.shards import Shards
@@ -195,7 +196,7 @@ def test_stream_seeds_the_queue(spark, tmp_path):
     for n, text in enumerate(["o/a\no/b # x\n", "o/b\no/c\n"]):
         (src / f"{n}.txt").write_text(text)
         seed_from_stream(spark, str(src), q, str(tmp_path / "cp"), now=lambda: 7).awaitTermination(60)
-    assert {(r.repo, r.status) for r in spark.read.parquet(q).collect()} == {("o/a", "queued"), ("o/b", "queued"), ("o/c", "queued")}
+    assert {(r.repo, r.status) for r in Keyed(spark, q, ["repo"], QUEUE).read().collect()} == {("o/a", "queued"), ("o/b", "queued"), ("o/c", "queued")}
 
 
 def test_event_windows(spark):
