@@ -9,24 +9,28 @@ Large buckets are not expanded into pairs. Each takes as centre the class whose
 largest, which near copies of one text mostly agree with; the buckets of one centre are a family,
 which proposes centre-member pairs. Confirmed links give labels; a family of one label is done. In
 others, the classes outside of the commonest label are compared with all classes of other labels,
-in pairs of blocks of bounded size dealt out over tasks: first their signatures, then the full
-sets of those classes that pass with another. Only links become rows.
+block by block: a class is written once to a block's files in the shared folder (twice if it is
+outside), and tasks read the blocks to compare one after the other, first signatures, then full
+sets where any pass. Only links become rows.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from mishap.llm.quality import pieces
-from mishap.llm.shared import Tables, prepare, table, text_bytes
+from mishap.llm.shared import Tables, local_root, prepare, table, text_bytes
 
 _U = np.uint64
 #: A-Z to lower case, white space (0x20, 0x09-0x0D) to spaces.
@@ -45,6 +49,7 @@ class Settings:
     small: int = 8  # buckets of at most so many classes propose all their pairs
     block: int = 256  # classes in a block of a family,
     block_shingles: int = 1 << 20  # and about the most shingles of theirs
+    range: int = 16  # blocks that a task compares with one, at least
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -178,7 +183,7 @@ def _verify(s: Settings):
                     last = (hub, shingles([a[i]], s.words)[0])
                 other = shingles([b[i]], s.words)[0]
                 both = len(np.intersect1d(last[1], other, assume_unique=True))
-                if 100 * both >= percent * (len(last[1]) + len(other) - both):
+                if both and 100 * both >= percent * (len(last[1]) + len(other) - both):
                     good.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good, pa.int64())) for c in ("a", "b")], names=["a", "b"])
 
@@ -201,95 +206,124 @@ def _shared(a: list[np.ndarray], b: list[np.ndarray], width: int = 4096) -> np.n
     return out.astype(np.int64)
 
 
-def _passing(sides: list[list[tuple]], s: Settings) -> list[np.ndarray]:
-    """For each class (id, label, sig, ..) of side 0, places in side 1 of those of other labels that pass the Bayesian test."""
+def _passing(a: tuple, b: tuple, s: Settings) -> list[np.ndarray]:
+    """For each class of block a (ids, labels, signatures), places in b of those of other labels that pass the Bayesian test."""
     steps = least_matches(s)
-    codes = {x: i for i, x in enumerate({r[1] for side in sides for r in side})}
-    a, b = (np.frombuffer(b"".join(r[2] for r in side), np.uint16).reshape(len(side), -1) for side in sides)
-    la, lb = (np.array([codes[r[1]] for r in side]) for side in sides)
+    codes = {x: i for i, x in enumerate({*a[1], *b[1]})}
+    la, lb = (np.array([codes[x] for x in labels]) for labels in (a[1], b[1]))
     out = []
-    for i in range(len(a)):
+    for i in range(len(la)):
         left = np.flatnonzero(lb != la[i])
-        done, hits = 0, np.zeros(len(b), np.int64)
+        done, hits = 0, np.zeros(len(lb), np.int64)
         for n, need in steps:
-            hits[left] += (b[left, done:n] == a[i, done:n]).sum(1)
+            hits[left] += (b[2][left, done:n] == a[2][i, done:n]).sum(1)
             left, done = left[hits[left] >= need], n
         out.append(left)
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[list[tuple]]]]:
-    """((centre, ob, mb), rows of `columns` of side 0 and of side 1) of each block pair; rows come sorted by it."""
-    at, sides = None, ([], [])
-    for batch in batches:
-        places = zip(*(batch.column(c).to_pylist() for c in ("centre", "ob", "mb")))
-        rows = zip(*(text_bytes(batch.column(c)) if c == "text" else batch.column(c).to_pylist() for c in columns))
-        for place, side, row in zip(places, batch.column("side").to_pylist(), rows):
-            if at is not None and at != place:
-                yield at, sides
-                sides = ([], [])
-            at = place
-            sides[side].append(row)
-    if at is not None:
-        yield at, sides
+#: Columns that name a block: its family, side (0: outside of the commonest label, 1: all) and number.
+_PLACE = ["family", "side", "block"]
 
 
-def _block_candidates(s: Settings):
-    """Of block pairs of signatures, the classes that pass the Bayesian test with another: (centre, ob, mb, side, id)."""
+def _path(base: str, family: int, side: int, block: int, what: str) -> str:
+    return f"{base}/{family}/{side}-{block}.{what}"
+
+
+def _spool(folder: str, s: Settings):
+    """Writes each block as two files, (id, label, sig) and the shingles of each class; (family, side, block, n). Rows come sorted by block."""
+
+    def write(files, at: str, table: pa.Table) -> None:
+        files.create_dir(at.rpartition("/")[0], recursive=True)
+        part = f"{at}.{uuid.uuid4().hex}"  # a second attempt of the task writes the same
+        with files.open_output_stream(part) as out, pa.ipc.new_file(out, table.schema) as w:
+            w.write_table(table)
+        files.move(part, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = local_root(folder)
+
+        def done(place: tuple, parts: list[pa.RecordBatch], sets: list[np.ndarray]) -> pa.RecordBatch:
+            rows = pa.Table.from_batches(parts)
+            write(files, _path(base, *place, "sig"), rows)
+            write(files, _path(base, *place, "sets"), pa.table({"set": pa.array(sets, pa.large_list(pa.uint64()))}))
+            return pa.RecordBatch.from_arrays([*(pa.array([x], pa.int64()) for x in place), pa.array([rows.num_rows], pa.int64())], names=[*_PLACE, "n"])
+
+        at, parts, sets = None, [], []
         for batch in batches:
-            kind = batch.schema.field("id").type
-            break
-        else:
-            return
-        found: list[tuple] = []
-        for place, sides in _blocks(chain([batch], batches), ["id", "label", "sig"]):
-            if all(sides):
-                passed = _passing(sides, s)
-                found += [(*place, 0, sides[0][i][0]) for i, x in enumerate(passed) if len(x)]
-                found += [(*place, 1, sides[1][j][0]) for j in np.unique(np.concatenate(passed)).tolist()]
-        if found:
-            kinds = (kind, pa.int32(), pa.int32(), pa.int32(), kind)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*found), kinds)], names=["centre", "ob", "mb", "side", "id"])
+            places = list(zip(*(batch.column(c).to_pylist() for c in _PLACE)))
+            start = 0
+            while start < len(places):
+                end = next((i for i in range(start, len(places)) if places[i] != places[start]), len(places))
+                if at is not None and at != places[start]:
+                    yield done(at, parts, sets)
+                    parts, sets = [], []
+                at, own = places[start], batch.slice(start, end - start)
+                parts.append(own.select(["id", "label", "sig"]))
+                texts = [t or b"" for t in text_bytes(own.column("text"))]
+                sets += chain.from_iterable(shingles([texts[i] for i in rows], s.words) for rows in pieces(texts))
+                start = end
+        if at is not None:
+            yield done(at, parts, sets)
 
     return run
 
 
-def _block_links(s: Settings):
-    """Links of block pairs: pairs of different labels that pass the Bayesian test and the full sets.
+def _block_links(folder: str, s: Settings, kind: pa.DataType):
+    """Links between blocks: pairs of different labels that pass the Bayesian test and the full sets.
 
-    Side 0 are classes outside of the commonest label, side 1 all of a block. Of a class's links to
-    one label the first will do, as the label's classes are linked."""
+    A row (family, ob, first, last) is a block outside of the commonest label and a range of the
+    family's blocks, which are read one after the other. Of a class's links to one label the first
+    will do, as the label's classes are linked."""
     percent = round(100 * s.similarity)
 
-    def links(sides: list[list[tuple]]) -> tuple[list, list]:
-        out: tuple[list, list] = ([], [])
-        passed = _passing(sides, s) if all(sides) else []
-        rows_a = np.array([i for i, x in enumerate(passed) if len(x)], np.int64)
-        if not len(rows_a):
-            return out
-        rows_b = np.unique(np.concatenate(passed))
-        sets = [[shingles([sides[k][i][3] or b""], s.words)[0] for i in rows] for k, rows in ((0, rows_a), (1, rows_b))]
-        both = _shared(*sets)
-        union = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[1]]) - both
-        codes = {x: i for i, x in enumerate({r[1] for r in sides[1]})}
-        lb = np.array([codes[r[1]] for r in sides[1]])
-        for k, i in enumerate(rows_a.tolist()):
-            good = passed[i][(100 * both[k] >= percent * union[k])[np.searchsorted(rows_b, passed[i])]]
-            for j in good[np.unique(lb[good], return_index=True)[1]].tolist():
-                out[0].append(sides[0][i][0])
-                out[1].append(sides[1][j][0])
-        return out
+    def read(files, at: str) -> pa.Table | None:
+        if files.get_file_info(at).type == fs.FileType.NotFound:  # no class has this block's number
+            return None
+        with files.open_input_file(at) as f:
+            return pa.ipc.open_file(f).read_all()
+
+    def block(files, at: str) -> tuple | None:
+        t = read(files, at)
+        return t and (t.column("id").to_pylist(), t.column("label").to_pylist(), np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(t.num_rows, -1))
+
+    def sets_of(files, at: str) -> list[np.ndarray]:
+        column = read(files, at).column("set").combine_chunks()
+        ends = column.offsets.to_numpy()
+        flat = column.values.to_numpy()
+        return [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
+
+    def links(files, base: str, family: int, ob: int, first: int, last: int) -> Iterator[tuple]:
+        a, own = block(files, _path(base, family, 0, ob, "sig")), None
+        if a is None:
+            return
+        linked: list[set] = [set() for _ in a[0]]
+        for mb in range(first, last):
+            b = block(files, _path(base, family, 1, mb, "sig"))
+            passed = _passing(a, b, s) if b else []
+            passed = [np.array([j for j in x.tolist() if b[1][j] not in linked[i]], np.int64) if linked[i] else x for i, x in enumerate(passed)]
+            rows_a = np.array([i for i, x in enumerate(passed) if len(x)], np.int64)
+            if not len(rows_a):
+                continue
+            rows_b = np.unique(np.concatenate(passed))
+            own = own or sets_of(files, _path(base, family, 0, ob, "sets"))
+            other = sets_of(files, _path(base, family, 1, mb, "sets"))
+            sets = [own[i] for i in rows_a], [other[j] for j in rows_b]
+            both = _shared(*sets)
+            union = np.array([len(x) for x in sets[0]])[:, None] + np.array([len(x) for x in sets[1]]) - both
+            good = (both > 0) & (100 * both >= percent * union)
+            for k, i in enumerate(rows_a.tolist()):
+                for j in passed[i][good[k, np.searchsorted(rows_b, passed[i])]].tolist():
+                    if b[1][j] not in linked[i]:
+                        linked[i].add(b[1][j])
+                        yield a[0][i], b[0][j]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = local_root(folder)
         for batch in batches:
-            kind = batch.schema.field("id").type
-            break
-        else:
-            return
-        for _, sides in _blocks(chain([batch], batches), ["id", "label", "sig", "text"]):
-            yield pa.RecordBatch.from_arrays([pa.array(x, type=kind) for x in links(sides)], names=["a", "b"])
+            for row in zip(*(batch.column(c).to_pylist() for c in ("family", "ob", "first", "last"))):
+                found = list(links(files, base, *row))
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], type=kind) for i in (0, 1)], names=["a", "b"])
 
     return run
 
@@ -358,24 +392,25 @@ def _links(tables: Tables, docs: DataFrame, heads: DataFrame, s: Settings) -> Da
     undone = each.groupBy("centre").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "label", "size")).alias("most")).where("labels > 1")
     part = lambda n, size: F.ceil(F.greatest(n / s.block, size / s.block_shingles)).cast("int")
     outside = part(F.col("n") - F.col("most.n"), F.col("size") - F.col("most.size"))
-    undone = tables.keep(undone.select("centre", F.col("most.label").alias("giant"), outside.alias("obs"), part(F.col("n"), F.col("size")).alias("mbs")), "undone")
+    undone = tables.keep(undone.select("centre", F.monotonically_increasing_id().alias("family"), F.col("most.label").alias("giant"), outside.alias("obs"), part(F.col("n"), F.col("size")).alias("mbs")), "undone")
     if undone.isEmpty():
         return links
-    rest = labelled.join(undone, "centre")
-    block = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
-    columns = ["centre", "ob", "mb", "side", "id", "label", "sig"]
-    outside = rest.where("label != giant").withColumn("ob", block(F.col("obs"))).withColumn("mb", F.explode(F.sequence(F.lit(0), F.col("mbs") - 1))).withColumn("side", F.lit(0))
-    member = rest.withColumn("mb", block(F.col("mbs"))).withColumn("ob", F.explode(F.sequence(F.lit(0), F.col("obs") - 1))).withColumn("side", F.lit(1))
-    place = ["centre", "ob", "mb"]
-    blocks = outside.select(columns).union(member.select(columns)).repartition(*place).sortWithinPartitions(*place)
-    passing = tables.keep(blocks.mapInArrow(_block_candidates(s), f"centre {kind}, ob int, mb int, side int, id {kind}"), "passing")
-    # texts only of classes that pass with another, each read once and sent to the block pairs where it does
-    passing = passing.groupBy("id").agg(F.collect_list(F.struct(*place, "side")).alias("places"))
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
-    passing = tables.keep(passing.join(own, "id").join(texts, "id"), "passing_texts")
-    blocks = passing.select("id", "label", "sig", "text", F.explode("places").alias("p")).select("p.*", "id", "label", "sig", "text")
-    blocks = blocks.repartition(*place).sortWithinPartitions(*place)
-    found = tables.keep(blocks.mapInArrow(_block_links(s), f"a {kind}, b {kind}").distinct(), "links_blocks")
+    # a class is written once or twice, to files that tasks read one after the other: no row is repeated for a partner block
+    rest = labelled.join(undone, "centre").join(docs.select(F.col("doc_id").alias("id"), "text"), "id")
+    block = lambda n: F.pmod(F.xxhash64("id"), n).cast("long")
+    side = lambda k, n: F.struct(F.lit(k).cast("long").alias("side"), block(F.col(n)).alias("block"))
+    places = F.when(F.col("label") != F.col("giant"), F.array(side(0, "obs"), side(1, "mbs"))).otherwise(F.array(side(1, "mbs")))
+    rest = rest.select("family", "id", "label", "sig", "text", F.inline(places)).repartition(*_PLACE).sortWithinPartitions(*_PLACE)
+    folder = tables.path("block_files")
+    tables.keep(rest.select(*_PLACE, "id", "label", "sig", "text").mapInArrow(_spool(folder, s), "family long, side long, block long, n long"), "blocks")
+    # a task's range of blocks grows with their number, so that there are no more ranges than classes
+    step = F.greatest(F.lit(s.range), F.ceil(F.col("mbs") / s.block)).cast("int")
+    ranges = undone.select("family", F.explode(F.sequence(F.lit(0), F.col("obs") - 1)).alias("ob"), "mbs", step.alias("step"))
+    ranges = ranges.select("family", "ob", "mbs", "step", F.explode(F.sequence(F.lit(0), F.col("mbs") - 1, F.col("step"))).alias("first"))
+    ranges = tables.keep(ranges.select("family", "ob", "first", F.least(F.col("first") + F.col("step"), "mbs").alias("last")).repartition("family", "ob", "first"), "ranges")
+    found = ranges.mapInArrow(_block_links(folder, s, to_arrow_type(heads.schema["id"].dataType)), f"a {kind}, b {kind}")
+    found = tables.keep(found.distinct(), "links_blocks")
+    tables.drop("block_files")
     return links.union(found)
 
 

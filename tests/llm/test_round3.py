@@ -10,11 +10,44 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mishap.llm import audit, codes, packing
+from mishap.llm import audit, codes, minhash, packing
+from mishap.llm.shared import Tables
 from tests.llm.test_operators import CLASH, EDGES, docs, prose
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
+# 5
+
+
+def test_no_class_is_repeated_for_its_partner_blocks(spark, monkeypatch):
+    """Boilerplate that many texts share without being linked: rows stay in proportion to classes."""
+    counts, keep = {}, Tables.keep
+
+    def kept(self, df, name):
+        out = keep(self, df, name)
+        counts[name] = out.agg(F.sum("n")).first()[0] if name == "blocks" else out.count()
+        return out
+
+    monkeypatch.setattr(Tables, "keep", kept)
+    rng, found = random.Random(3), []
+    common = prose(1, 60)
+    for n in (160, 320):
+        texts = [f"{common} {prose(rng.random(), 40)}" for _ in range(n)] + [prose(7, 100) + f" {common} x{i}" for i in range(3)]
+        counts.clear()
+        settings = minhash.Settings(block=16, range=2)
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(docs(spark, *texts), settings).collect()}
+        assert got == minhash.brute_force(dict(enumerate(texts)))
+        assert counts["blocks"] <= 2 * counts["family"] and counts["ranges"] <= counts["family"]
+        found.append(counts["blocks"])
+    assert found[0] > 100 and found[1] < 2.5 * found[0]
+
+
+def test_rows_without_words_do_not_link_ids_of_several_rows(spark):
+    texts = [prose(1, 30), None, prose(2, 30), None]
+    d = docs(spark, *texts).withColumn("doc_id", (F.col("doc_id") / 2).cast("long"))
+    assert {(r.doc_id, r.component_id) for r in minhash.near_duplicates(d).collect()} == {(0, 0), (1, 1)}
+
+
 # 11
 
 CODES = ("vec_id", "code", "error", "label_error", "codebooks_sha256")
