@@ -67,6 +67,18 @@ IDIOMS = {
         ("error_log", r"\bg_(?:error|critical|warning)\s*\("),
     ],
 }
+#: What every line that holds an idiom of a family contains: lines without any of these meet no pattern.
+NEEDED = {
+    "js": ["throw", "code:", "tatus", "writeHead"],
+    "py": ["raise", "abort"],
+    "go": ["errors.", "fmt.Errorf", "panic", "http.Error"],
+    "rs": ["panic!", "unreachable!", "todo!", "unimplemented!", "bail!", "anyhow!", "ensure!", "#[error", "Error::new", ".expect"],
+    "jvm": ["throw"],
+    "cs": ["throw"],
+    "rb": ["raise"],
+    "php": ["throw"],
+    "c": ["err", "warn", "throw", "LOG_ERROR", "elog", "g_critical"],
+}
 #: Extensions of each family (fixed values).
 EXTENSIONS = {
     "js": ["js", "jsx", "ts", "tsx", "mjs", "cjs"],
@@ -132,21 +144,29 @@ def scope_tally(files: DataFrame, include: Column, exclude: Column) -> DataFrame
 
 def line_kind(fam: Column, line: Column) -> Column:
     """The kind of the first idiom of the line's family that it holds."""
-    first = {f: reduce(lambda w, kp: w.when(line.rlike(spark_regex(kp[1], False)), kp[0]), ps[1:], F.when(line.rlike(spark_regex(ps[0][1], False)), ps[0][0])) for f, ps in IDIOMS.items()}
-    (f0, c0), *rest = first.items()
-    return reduce(lambda w, fc: w.when(fam == fc[0], fc[1]), rest, F.when(fam == f0, c0))
+
+    def first(f: str) -> Column:
+        kinds = reduce(lambda w, kp: w.when(line.rlike(spark_regex(kp[1], False)), kp[0]), IDIOMS[f][1:], F.when(line.rlike(spark_regex(IDIOMS[f][0][1], False)), IDIOMS[f][0][0]))
+        return F.when(reduce(Column.__or__, (F.contains(line, F.lit(x)) for x in NEEDED[f])), kinds)
+
+    f0, *rest = IDIOMS
+    return reduce(lambda w, f: w.when(fam == f, first(f)), rest, F.when(fam == f0, first(f0)))
+
+
+def _once(value: Column) -> Column:
+    """A value as a column of its own: what is computed from it then reads it, where a projection would compute it anew at each use."""
+    return F.explode_outer(F.array(value))
 
 
 def _context(lines: Column, at: Column, around: int, line_max: int, total: int) -> Column:
     """struct(start, lines): lines around, each clipped, whole ones up to a total; null if all are blank."""
     first = F.greatest(F.lit(0), at - around)
-    window = F.transform(F.slice(lines, first + 1, at + around + 1 - first), lambda x: F.substring(x, 1, line_max))
-    step = lambda acc, x: F.when(
-        acc["open"] & ((F.size(acc["kept"]) == 0) | (F.length(x) + 1 <= acc["left"])),
-        F.struct(F.concat(acc["kept"], F.array(x)).alias("kept"), (acc["left"] - F.length(x) - 1).alias("left"), F.lit(True).alias("open")),
-    ).otherwise(F.struct(acc["kept"].alias("kept"), acc["left"].alias("left"), F.lit(False).alias("open")))
-    zero = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(total).alias("left"), F.lit(True).alias("open"))
-    kept = F.aggregate(window, zero, step, lambda acc: acc["kept"])
+    window = F.slice(lines, first + 1, at + around + 1 - first)
+    # how many lines there is room for, from their lengths alone; the first is always shown
+    size = lambda x: F.least(F.length(x), F.lit(line_max)) + 1
+    more = lambda acc, x: F.when(acc["open"] & ((acc["n"] == 0) | (size(x) <= acc["left"])), F.struct((acc["n"] + 1).alias("n"), (acc["left"] - size(x)).alias("left"), F.lit(True).alias("open"))).otherwise(F.struct(acc["n"].alias("n"), acc["left"].alias("left"), F.lit(False).alias("open")))
+    shown = F.aggregate(window, F.struct(F.lit(0).alias("n"), F.lit(total).alias("left"), F.lit(True).alias("open")), more, lambda acc: acc["n"])
+    kept = F.transform(F.slice(lines, first + 1, shown), lambda x: F.substring(x, 1, line_max))
     return F.when(F.exists(kept, lambda x: F.trim(x) != ""), F.struct((first + 1).alias("start"), kept.alias("lines")))
 
 
@@ -164,7 +184,7 @@ def extract_sites(files: DataFrame, include: list[str] | None = None, exclude: l
         d = only.where("status != 'D'").select(*(by or []), "path", F.col("status").alias("__status"), F.col("hunks").alias("__hunks"))
         rows = rows.join(d, [*(by or []), "path"])
         looked = lambda i: (F.col("__status") == "A") | touched(F.col("__hunks"), (i + 1).cast("long"), "new")
-    rows = rows.where(F.octet_length("content") <= max_bytes).withColumn("__lines", F.split("content", "\n"))
+    rows = rows.where(F.octet_length("content") <= max_bytes).withColumn("__lines", _once(F.split("content", "\n"))).drop("content")
     line = lambda x, i: F.when((F.length(x) <= max_line) & looked(i), line_kind(F.col("__f"), x))
     hits = F.filter(F.transform("__lines", lambda x, i: F.struct(i.alias("at"), line(x, i).alias("kind"))), lambda h: h["kind"].isNotNull())
     pick = lambda x: F.nullif(F.regexp_extract(x, LITERAL, 1), F.lit(""))
@@ -174,8 +194,9 @@ def extract_sites(files: DataFrame, include: list[str] | None = None, exclude: l
         literal = F.substring(F.coalesce(pick(text), pick(after)), 1, 200)
         return F.struct((h["at"] + 1).alias("line"), h["kind"].alias("kind"), F.substring(F.trim(text), 1, 300).alias("snippet"), literal.alias("literal"), _context(F.col("__lines"), h["at"], around, 200, 1200).alias("context"))
 
-    # sites are made inside the row of their file, so that its lines aren't repeated a site
-    rows = rows.withColumn("__hits", F.slice(hits, 1, per_file)).select(*keys, F.transform("__hits", site).alias("__sites"))
+    # lines, hits and sites are each made once a file, inside its row: no line becomes a row, and none is repeated a site
+    rows = rows.withColumn("__hits", _once(F.slice(hits, 1, per_file))).where(F.size("__hits") > 0)
+    rows = rows.select(*keys, _once(F.transform("__hits", site)).alias("__sites"))
     return rows.select(*keys, F.explode("__sites").alias("s")).select(*keys, "s.*")
 
 

@@ -116,12 +116,15 @@ def patched_repos(spark, d):
 
 # extraction, diffs and rescans
 
-_LINES = """f AS (SELECT doc_id, 'src/' || lang || '/f' || doc_id || '.py' AS path, list_transform(string_split(text, chr(10)), lambda x: '    raise ValueError("' || regexp_replace(x, '[^A-Za-z ]', '', 'g') || '")') AS l FROM documents WHERE text IS NOT NULL),
-s AS (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM f WHERE strlen(array_to_string(l, chr(10))) <= 400000),
+_LINES = """t(k, ext, pre, post, kind) AS (VALUES (0, 'py', '    raise ValueError("', '")', 'throw'), (1, 'ts', '  throw new Error("', '")', 'throw'), (2, 'go', '    return fmt.Errorf("', '", x)', 'error_new'), (3, 'rs', '    panic!("', '");', 'panic'),
+  (4, 'java', '    throw new IllegalStateException("', '");', 'throw'), (5, 'cs', '    throw new ArgumentException("', '");', 'throw'), (6, 'rb', '  raise "', '"', 'throw'), (7, 'php', '    throw new \\Oops("', '");', 'throw'), (8, 'c', '    perror("', '");', 'error_print')),
+f AS (SELECT doc_id, kind, pre, length(pre) + length(post) AS more, 'src/' || lang || '/f' || doc_id || '.' || ext AS path, list_transform(string_split(text, chr(10)), lambda x: pre || regexp_replace(x, '[^A-Za-z ]', '', 'g') || post) AS l FROM documents JOIN t ON doc_id % 9 = k WHERE text IS NOT NULL),
+s AS (SELECT path, kind, pre, more, l, unnest(range(1, len(l) + 1)) AS i FROM f WHERE strlen(array_to_string(l, chr(10))) <= 400000),
 k AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY i) AS n FROM s WHERE length(l[i]) <= 500),
-w AS (SELECT *, length(l[i]) - 24 AS own, length(l[i + 1]) - 24 AS after, greatest(1, i - 8) AS start, list_transform(l[greatest(1, i - 8):i + 8], lambda x: least(length(x), 200) + 1) AS sizes FROM k WHERE n <= 500)"""
-_FOUND = """SELECT path, i::INT AS line, 'throw' AS kind, CASE WHEN own BETWEEN 4 AND 200 THEN substr(l[i], 23, own) WHEN after BETWEEN 4 AND 200 THEN substr(l[i + 1], 23, after) END AS literal, start::INT AS start,
-  greatest(1, len(list_filter(range(1, len(sizes) + 1), lambda k: list_sum(sizes[1:k]) <= 1200)))::INT AS lines FROM w"""
+v AS (SELECT *, length(l[i]) - more AS own, length(l[i + 1]) - more AS after, greatest(1, i - 8) AS start, list_transform(l[greatest(1, i - 8):i + 8], lambda x: least(length(x), 200) + 1) AS sizes FROM k WHERE n <= 500),
+w AS (SELECT *, greatest(1, len(list_filter(range(1, len(sizes) + 1), lambda k: list_sum(sizes[1:k]) <= 1200))) AS shown FROM v)"""
+_FOUND = """SELECT path, i::INT AS line, kind, CASE WHEN own BETWEEN 4 AND 200 THEN substr(l[i], length(pre) + 1, own) WHEN after BETWEEN 4 AND 200 THEN substr(l[i + 1], length(pre) + 1, after) END AS literal, substr(trim(l[i]), 1, 300) AS snippet, start::INT AS start,
+  shown::INT AS lines, md5(array_to_string(list_transform(l[start:start + shown - 1], lambda x: substr(x, 1, 200)), chr(10))) AS context FROM w"""
 sql.SQL["extract_sites"] = f"WITH {_LINES} {_FOUND}"
 sql.SQL["extract_json"] = "SELECT conv_id, turn, text AS said, NULL::VARCHAR AS error FROM conversations"
 
@@ -129,7 +132,7 @@ sql.SQL["extract_json"] = "SELECT conv_id, turn, text AS said, NULL::VARCHAR AS
 @both(f"WITH {_LINES}, x AS ({_FOUND}) SELECT path, line, literal FROM x JOIN f USING (path) WHERE doc_id % 3 = 0 OR doc_id % 3 = 1 AND line BETWEEN 2 AND 10")
 def extract_sites_in_diff(spark, d):
     """Only what a diff adds or edits: every third file is new, every third modified at lines 5 to 7."""
-    docs = views.table(spark, d, "documents").select("doc_id", F.concat(F.lit("src/"), "lang", F.lit("/f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"))
+    docs = views.table(spark, d, "documents").select("doc_id", views.source_path().alias("path"))
     hunk = F.struct(F.lit(1).cast("long").alias("oldStart"), F.lit(0).cast("long").alias("oldLen"), F.lit(5).cast("long").alias("newStart"), F.lit(3).cast("long").alias("newLen"))
     status = F.element_at(F.array(*map(F.lit, "AMD")), (F.col("doc_id") % 3 + 1).cast("int"))
     diff = docs.select("path", status.alias("status"), F.array(hunk).alias("hunks"))

@@ -401,7 +401,8 @@ def pending_work(spark, d):
 
 @query
 def extract_sites(spark, d):
-    return extract.extract_sites(views.sources(spark, d)).select("path", "line", "kind", "literal", F.col("context.start").alias("start"), F.size("context.lines").alias("lines"))
+    rows = extract.extract_sites(views.sources(spark, d))
+    return rows.select("path", "line", "kind", "literal", "snippet", F.col("context.start").alias("start"), F.size("context.lines").alias("lines"), F.md5(F.array_join("context.lines", "\n").cast("binary")).alias("context"))
 
 
 @query

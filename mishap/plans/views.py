@@ -119,10 +119,31 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select(path.alias("path")).where("path is not null")
 
 
+#: A line of each language family that raises what it says: extension, before, after.
+RAISING = [
+    ("py", '    raise ValueError("', '")'),
+    ("ts", '  throw new Error("', '")'),
+    ("go", '    return fmt.Errorf("', '", x)'),
+    ("rs", '    panic!("', '");'),
+    ("java", '    throw new IllegalStateException("', '");'),
+    ("cs", '    throw new ArgumentException("', '");'),
+    ("rb", '  raise "', '"'),
+    ("php", '    throw new \\Oops("', '");'),
+    ("c", '    perror("', '");'),
+]
+
+
+def source_path() -> F.Column:
+    ext = F.element_at(F.array(*(F.lit(x) for x, _, _ in RAISING)), (F.col("doc_id") % len(RAISING) + 1).cast("int"))
+    return F.concat(F.lit("src/"), "lang", F.lit("/f"), F.col("doc_id").cast("string"), F.lit("."), ext)
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as Python files whose lines raise what they say."""
-    body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit('    raise ValueError("'), F.regexp_replace(x, "[^A-Za-z ]", ""), F.lit('")'))), "\n")
-    return table(spark, sf_dir, "documents").select(F.concat(F.lit("src/"), "lang", F.lit("/f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), body.alias("content"))
+    """Documents as source files of nine families whose lines raise what they say."""
+    of = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in RAISING)), (F.col("doc_id") % len(RAISING) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text", of(1).alias("pre"), of(2).alias("post"))
+    body = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat("pre", F.regexp_replace(x, "[^A-Za-z ]", ""), "post")), "\n")
+    return docs.select(source_path().alias("path"), body.alias("content"))
 
 
 def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:

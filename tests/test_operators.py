@@ -392,3 +392,18 @@ def test_state(spark, tmp_path):
     state.replace_repo_records(spark, root, spark.createDataFrame([("r", "4")], rows.schema))
     assert {(r.repo, r.id) for r in state.read_records(spark, root).collect()} == {("r", "4"), ("s", "3")}
     assert state.read_records(spark, root, "s").count() == 1
+
+
+def test_lines_are_split_once_a_file(spark):
+    """Neither lines nor sites are computed anew at each use, and lines without an idiom's literals meet no pattern."""
+    files = spark.createDataFrame([("a.py", "x\n" * 50 + 'raise ValueError("not there")\n' * 50)], "path string, content string")
+    sites = extract.extract_sites(files)
+    plan = sites._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(content") == 1 and sites.count() == 50
+    lines = ["raise X", "abort(404)", "praise X", "throw new Error(", "code: 'EABCD'", "res.sendStatus(404)", "res.writeHead (500)", "errors.New(", "fmt.Errorf(", "errors.Wrapf(", "panic(", "http.Error (", "todo! (", "bail!(", "ensure!(", "#[error(", "Error::new(", '.expect("', "throw new AException(", "throw BError(", "raise Foo::Bar.new", "raise 'x'", "throw new \\Foo(", "errx(", "warn (", "fprintf(stderr, ", 'perror("', "throw std::x(", "my_log_error(", "MY_LOG_ERROR(", "elog(FATAL", "g_critical(", "g_warning (", "g_error(", "unreachable!(", "anyhow!(", "res.status(500)"]
+    import re
+
+    met = {f: {x for x in lines if any(re.search(p, x, re.ASCII) for _, p in ps)} for f, ps in extract.IDIOMS.items()}
+    rows = spark.createDataFrame([(f, x) for f in extract.IDIOMS for x in lines], "f string, x string")
+    got = rows.where(extract.line_kind(F.col("f"), F.col("x")).isNotNull()).collect()
+    assert {f: {r.x for r in got if r.f == f} for f in extract.IDIOMS} == met and all(met.values())
