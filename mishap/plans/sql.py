@@ -85,7 +85,11 @@ _JACCARD = """jaccard AS (SELECT * FROM (SELECT qid, idx, round(inter / (wq + we
   (SELECT qid, idx, sum(idf) AS inter FROM asked JOIN weights USING (token) JOIN tokens USING (token) GROUP BY qid, idx)
   JOIN (SELECT qid, sum(coalesce(idf, 1.0)) AS wq FROM asked LEFT JOIN weights USING (token) GROUP BY qid) USING (qid)
   JOIN (SELECT idx, sum(idf) AS we FROM tokens JOIN weights USING (token) GROUP BY idx) USING (idx)) WHERE score >= 0.4)"""
-_PATTERN = f"pattern AS (SELECT qid, idx FROM queries q, entries e WHERE length(pattern) <= 500 AND {_weight('pattern')} >= 6 AND regexp_matches(text, pattern))"
+# a text with a match holds the pattern's longest literal: pairs are joined on that before the pattern is tried
+_PATTERN = f"""pieces AS MATERIALIZED (SELECT idx, pattern, list_transform(string_split(pattern, '(.+?)'), lambda x: regexp_replace(x, '\\\\(.)', '\\1', 'g')) AS l FROM entries WHERE length(pattern) <= 500 AND {_weight('pattern')} >= 6),
+longest AS MATERIALIZED (SELECT idx, pattern, list_reduce(l, lambda a, x: CASE WHEN length(x) > length(a) THEN x ELSE a END) AS piece FROM pieces),
+near AS MATERIALIZED (SELECT qid, idx, text, pattern FROM queries JOIN longest ON contains(text, piece)),
+pattern AS (SELECT qid, idx FROM near WHERE regexp_matches(text, pattern))"""
 _SEARCH = ",\n".join([_MESSAGES, _QUERIES, _TOKENS, _WEIGHTS, _NORMS, _ASKED])
 _RECORDS = f"records AS (SELECT doc_id, 'd' || doc_id AS id, lang || '/' || source AS repo, {_code('text')} AS code, source AS cls, lang AS tag, text FROM documents)"
 _MEMBERS = """members AS (SELECT *, 'code' AS kind, code AS value FROM records WHERE code <> '' UNION ALL

@@ -407,3 +407,26 @@ def test_lines_are_split_once_a_file(spark):
     rows = spark.createDataFrame([(f, x) for f in extract.IDIOMS for x in lines], "f string, x string")
     got = rows.where(extract.line_kind(F.col("f"), F.col("x")).isNotNull()).collect()
     assert {f: {r.x for r in got if r.f == f} for f in extract.IDIOMS} == met and all(met.values())
+
+
+def test_required_literals():
+    cases = {
+        "abc": ["abc"], r"a\.b(.+?)cd": ["a.b", "cd"], "ab?cd*e+f": ["a", "c", "e", "f"], r"\d+ms in \w": ["ms in "], "(a|b)cd": ["cd"], "a|b": [], "(?i)abc": [], "[]a]bc[^]d]e": ["bc", "e"],
+        "ab{2,3}cd": ["a", "cd"], "": [], "^x$": ["x"], "(.+?)a(.+?)b": ["a", "b"], r"\(x\)": ["(x)"], "a(b(c)d)e": ["a", "e"],
+    }
+    assert {p: search.required_literals(p) for p in cases} == cases
+
+
+def test_pattern_hits_equal_all_pairs(spark):
+    """Long and short literals, gaps, patterns that need none, frequent grams; no nested loop."""
+    import re
+
+    patterns = ["connection refused by (.+?) at port", "a(.+?)b(.+?)c(.+?)d(.+?)e(.+?)f", "ab(.+?)cd(.+?)ef", "[0-9]{3}[a-z]{3,}!!", "time(d )?out|gone away", r"\(x\) is not a \[y\]", "héllo wörld", "short", "timeout timeout"]
+    texts = ["connection refused by host at port 3", "connection refused by at port", "a b c d e f", "axbxcxdxexf", "ab-cd-ef", "abcdef", "123abcd!!", "timed out", "it is gone away", "(x) is not a [y]", "say héllo wörld", "short", "timeout timeout timeout", "", "connection refused by x\nat port"]
+    entries = spark.createDataFrame(list(enumerate(patterns)), "idx long, pattern string")
+    queries = spark.createDataFrame(list(enumerate(texts)), "qid long, text string")
+    hits = search.pattern_hits(queries, entries)
+    weigh = lambda p: len(re.sub(r"\\(.)", r"\1", p.replace("(.+?)", "")).strip(" "))
+    want = {(q, i) for i, p in enumerate(patterns) if weigh(p) >= 6 for q, t in enumerate(texts) if re.search(p, t)}
+    assert {tuple(r) for r in hits.collect()} == want and len(want) > 8
+    assert "NestedLoop" not in hits._jdf.queryExecution().executedPlan().toString()
