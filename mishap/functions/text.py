@@ -90,9 +90,9 @@ def error_type(raw: Column) -> Column:
 
 
 def background_tag(raw: Column) -> Column:
-    """A kebab tag, or null if it has none or says nothing."""
+    """A kebab tag, or null if it has none or says nothing. Kebab has single inner hyphens only, so a tag is right if a letter begins it."""
     tag = kebab(raw)
-    return F.when(tag.rlike("^[a-z][a-z0-9]*(?:-[a-z0-9]+)*$") & ~tag.isin(EMPTY_TAGS), tag)
+    return F.when(tag.rlike("^[a-z]") & ~tag.isin(EMPTY_TAGS), tag)
 
 
 def escape_pattern(text: Column) -> Column:

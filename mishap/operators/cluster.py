@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mishap.functions.rules import GUIDES, guides_for, is_generic
 from mishap.functions.text import cluster_slug, json_strings
 from mishap.schema import VERSION
+from mishap.storage import scratch
 
 
 def members(records: DataFrame) -> DataFrame:
@@ -52,17 +53,28 @@ def samples(records: DataFrame, chosen: DataFrame, limit: int = 30) -> DataFrame
     return rows.select("key", "rank", "id", "repo", clip("errorMessage", 300).alias("message"), clip("documentation", 1200).alias("documentation"), clip("triggerScenarios", 600).alias("triggerScenarios"), *(v.alias(k) for k, v in lists.items()))
 
 
-def assign_slugs(chosen: DataFrame, taken: DataFrame) -> list[tuple[str, str | None]]:
-    """(key, slug) of the families of one run, the largest first: slug, else slug-kind, else none.
-
-    A run makes a bounded number of pages, and each slug depends on those before: a driver's loop."""
-    used = {r[0] for r in taken.select("slug").join(chosen.select(F.explode(F.array(cluster_slug(F.col("value")), F.concat_ws("-", cluster_slug(F.col("value")), "kind"))).alias("slug")), "slug", "left_semi").collect()}
-    out = []
-    for r in chosen.select("key", "kind", "errorCount", cluster_slug(F.col("value")).alias("base")).orderBy(F.desc("errorCount"), "key").collect():
-        slug = next((s for s in (r.base, f"{r.base}-{r.kind}") if s not in used), None)
-        used |= {slug} - {None}
-        out.append((r.key, slug))
-    return out
+def assign_slugs(chosen: DataFrame, taken: DataFrame) -> DataFrame:
+    """(key, slug) of the families of one run, as if the largest chose first: slug, else slug-kind, else none.
+
+    Rounds until nothing changes: every family asks for its next choice, each slug goes to the
+    largest that asks, the others move on to their next. A slug may still be lost to a larger family
+    that comes to it later, but a family never returns to one, so the rounds end and give what
+    choosing one after the other gives. A round is one sum by slug and a join."""
+    spark = chosen.sparkSession
+    base = cluster_slug(F.col("value"))
+    choices = F.array_distinct(F.array(base, F.concat_ws("-", base, "kind")))
+    rows = chosen.select("key", F.struct((-F.col("errorCount")).alias("n"), "key").alias("order"), choices.alias("choices"), F.lit(0).alias("at"))
+    root, turn = scratch(spark, "slugs"), 0
+    gone = taken.select("slug").distinct().withColumn("gone", F.lit(True))
+    while True:
+        asked = rows.withColumn("slug", F.get("choices", F.col("at")))
+        first = asked.where("slug is not null").groupBy("slug").agg(F.min("order").alias("first")).join(gone, "slug", "left").where("gone is null").select("slug", "first")
+        lost = F.col("slug").isNotNull() & (F.col("first").isNull() | (F.col("first") != F.col("order")))
+        asked.join(first, "slug", "left").select("key", "order", "choices", (F.col("at") + lost.cast("int")).alias("at"), lost.alias("lost")).write.parquet(f"{root}/{turn}")
+        done = spark.read.parquet(f"{root}/{turn}")
+        rows, turn = done.drop("lost"), turn + 1
+        if done.where("lost").isEmpty():
+            return rows.select("key", F.get("choices", F.col("at")).alias("slug"))
 
 
 def page_links(sampled: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mishap.functions.text import META_CHUNK, WEIGHT_SCALE, fuzzy_tokens, id_shard, round_half_up, token_shard
+from mishap.storage import scratch
 
 
-def dense_index(rows: DataFrame, order: str, name: str = "idx") -> DataFrame:
-    """Numbers rows from 0 in the order of a column, without a sort in one task.
+def dense_index(rows: DataFrame, order: str | list[Column], name: str = "idx") -> DataFrame:
+    """Numbers rows from 0 in the order of a column or several, without a sort in one task.
 
-    Rows are sorted in ranges, as many as the session's shuffles have parts, and kept (in memory or on
-    disk) so that they are computed once: a range's rows start after the sizes of the ranges before,
-    which are one row a range. Spark makes lost ranges again with the same bounds. The session's
-    cache holds the rows until it is cleared."""
-    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).persist()
+    Rows are sorted in ranges and written once to the shared folder with their range and their place
+    in it: a range's rows start after the sizes of the ranges before, which are one row a range."""
+    spark, order = rows.sparkSession, [order] if isinstance(order, str) else order
     own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # its upper bits are the range's
-    numbered = ranged.withColumn("__p", F.spark_partition_id()).withColumn("__own", own)
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__own", own)
+    at = scratch(spark, "numbered")
+    ranged.write.parquet(at)
+    numbered = spark.read.schema(ranged.schema).parquet(at)
     before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = numbered.groupBy("__p").agg(F.count("*").alias("__n")).select("__p", before.alias("__before"))
     return numbered.join(F.broadcast(sizes), "__p").withColumn(name, (F.col("__own") + F.col("__before")).cast("long")).drop("__p", "__own", "__before")

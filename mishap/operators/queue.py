@@ -39,10 +39,10 @@ def seed_summary(seeded: DataFrame) -> DataFrame:
 def claim_order(queue: DataFrame, repos: DataFrame, exclusive: bool = False, prefer: str = "fresh") -> DataFrame:
     """Queued rows of the level in the order of claims: preferred kind, priority, age, name."""
     rows = queue.where("status = 'queued'").where(F.col("solo") == 2 if exclusive else F.col("solo") < 2)
-    return rows.join(repos.select("repo", "analyzed_sha"), "repo", "left").orderBy(*_order(prefer))
+    return rows.join(repos.select("repo", "analyzed_sha"), "repo", "left").orderBy(*order_of_claims(prefer))
 
 
-def _order(prefer: str) -> list[Column]:
+def order_of_claims(prefer: str) -> list[Column]:
     other = F.col("analyzed_sha").isNull() if prefer == "rescan" else F.col("analyzed_sha").isNotNull()
     return [other, F.desc("priority"), F.col("updated_at"), F.col("repo")]
 
@@ -64,7 +64,7 @@ def claim_next(table: Keyed, repos: DataFrame, slots: int, now: int, exclusive:
 
     def take(queue: DataFrame) -> DataFrame:
         rows = claim_order(queue, repos, exclusive, prefer).limit(slots)
-        place = F.row_number().over(Window.orderBy(*_order(prefer)))  # of `slots` rows
+        place = F.row_number().over(Window.orderBy(*order_of_claims(prefer)))  # of `slots` rows
         rows = rows.select("*", place.alias("place"), F.when(F.col("analyzed_sha").isNotNull(), "rescan").otherwise("fresh").alias("kind"))
         return _patch(rows.drop("analyzed_sha"), F.lit(True), **_claimed(now))
 

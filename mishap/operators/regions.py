@@ -17,13 +17,17 @@ def merge_windows(windows: DataFrame, by: list[str], start: str = "start", size:
 
 
 def merge_contexts(sites: DataFrame) -> DataFrame:
-    """(file, island, start, lines) of sites' context windows; a line that windows share comes once."""
-    c = sites.where("context is not null").select("file", F.col("context.start").alias("start"), F.size("context.lines").alias("size"), F.col("context.lines").alias("lines"))
-    islands = merge_windows(c, ["file"])
+    """(file, island, start, lines) of sites' context windows; a line that windows share comes once.
+
+    Windows that touch have no line between them missing: a sweep over a file's lines in order starts
+    an island where a number is skipped and carries its start on, without joining lines and windows."""
+    c = sites.where("context is not null").select("file", F.col("context.start").alias("start"), F.col("context.lines").alias("lines"))
     lines = c.select("file", F.posexplode("lines").alias("at", "text"), "start").select("file", (F.col("start") + F.col("at")).alias("no"), "text")
     lines = lines.groupBy("file", "no").agg(F.min("text").alias("text"))
-    inside = lines.join(islands, "file").where("no >= first and no < end")
-    return inside.groupBy("file", "island", F.col("first").alias("start")).agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]).alias("lines"))
+    order = Window.partitionBy("file").orderBy("no")
+    fresh = F.coalesce(F.col("no") > F.lag("no").over(order) + 1, F.lit(True))
+    swept = lines.withColumn("fresh", fresh).withColumn("start", F.last(F.when(F.col("fresh"), F.col("no")), ignorenulls=True).over(order)).withColumn("island", F.sum(F.col("fresh").cast("int")).over(order))
+    return swept.groupBy("file", "island", "start").agg(F.transform(F.array_sort(F.collect_list(F.struct("no", "text"))), lambda x: x["text"]).alias("lines"))
 
 
 def innermost(sites: DataFrame, symbols: DataFrame, by: list[str], line: str = "line") -> DataFrame:

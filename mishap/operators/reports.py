@@ -140,5 +140,10 @@ def page_window(page: Column, pages: Column, around: int = 2) -> Column:
     return F.filter(F.sequence(F.lit(1), pages), lambda p: (p == 1) | (p == pages) | (F.abs(p - page) <= around))
 
 
+def posts_order() -> list[Column]:
+    """The newest post first."""
+    return [F.desc("date"), F.col("slug")]
+
+
 def posts_by_date(posts: DataFrame) -> DataFrame:
-    return posts.orderBy(F.desc("date"), "slug")
+    return posts.orderBy(*posts_order())

@@ -233,7 +233,7 @@ SELECT key, CASE WHEN base <> 'en' AND row_number() OVER (PARTITION BY base ORDE
 def assigned_slugs(spark, d):
     """Slugs of a run's pages, where one is taken."""
     taken = spark.createDataFrame([("en",)], "slug string")
-    return spark.createDataFrame(cluster.assign_slugs(cluster.clusters(views.records(spark, d)), taken), "key string, slug string")
+    return cluster.assign_slugs(cluster.clusters(views.records(spark, d)), taken)
 
 
 _SAMPLED = f"""{sql._RECORDS}, {sql._MEMBERS}, sm AS (SELECT c.key, c.kind, c.value, m.id, m.text, row_number() OVER (PARTITION BY c.key ORDER BY length(m.text) DESC, m.id) AS rank FROM members m JOIN clusters c ON m.kind = c.kind AND m.value = c.value WHERE c.kind = 'class' QUALIFY rank <= 30)"""
@@ -254,9 +254,9 @@ def rejected_duplicates(spark, d):
     return assemble.duplicate_rejects(assemble.identified(e)).select("repo", "ordinal", F.md5("message").alias("message"), "error")
 
 
-@both(f"""WITH t AS (SELECT doc_id, {sql._kebab("text[1:12]")} AS tag FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(tag, '[a-z][a-z0-9]*(-[a-z0-9]+)*') AND tag NOT IN ('error', 'errors', 'exception', 'exceptions', 'failure', 'failures', 'unknown') THEN tag END AS tag FROM t""")
+@both(f"""WITH t AS (SELECT doc_id, {sql._kebab("text")} AS tag FROM documents) SELECT doc_id, CASE WHEN regexp_full_match(tag, '[a-z][a-z0-9]*(-[a-z0-9]+)*') AND tag NOT IN ('error', 'errors', 'exception', 'exceptions', 'failure', 'failures', 'unknown') THEN md5(tag) END AS tag FROM t""")
 def background_tags(spark, d):
-    return views.table(spark, d, "documents").select("doc_id", text.background_tag(F.substring("text", 1, 12)).alias("tag"))
+    return views.table(spark, d, "documents").select("doc_id", F.md5(text.background_tag(F.col("text")).cast("binary")).alias("tag"))
 
 
 @both("SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\\n\\s*\\n'), lambda p: trim(p)), lambda p: p <> ''), '|') AS paragraphs FROM (SELECT doc_id, replace(text, '. ', chr(10) || ' ' || chr(10)) AS text FROM documents)")
@@ -300,8 +300,8 @@ def feed_of_posts(spark, d):
 
 @both("SELECT o_orderkey AS slug, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey)::INT AS rank FROM orders")
 def posts_in_order(spark, d):
-    p = reports.posts_by_date(views.table(spark, d, "orders").select(F.col("o_orderkey").alias("slug"), F.col("o_orderdate").alias("date")))
-    return p.select("slug", F.row_number().over(Window.orderBy(F.desc("date"), "slug")).alias("rank"))  # a table of posts
+    p = views.table(spark, d, "orders").select(F.col("o_orderkey").alias("slug"), F.col("o_orderdate").alias("date"))
+    return index.dense_index(p, reports.posts_order()).select("slug", (F.col("idx") + 1).cast("int").alias("rank"))
 
 
 @both("SELECT l_orderkey, l_linenumber, array_to_string(list_filter(range(1, 10), lambda p: p = 1 OR p = 9 OR abs(p - l_linenumber) <= 2), ',') AS pages FROM lineitem")

@@ -217,9 +217,8 @@ def traffic_points(spark, d):
 
 @query
 def claim_order(spark, d):
-    rows = queue.claim_order(views.queue(spark, d), views.repos(spark, d), prefer="rescan").limit(50)
-    order = Window.orderBy(F.col("analyzed_sha").isNull(), F.desc("priority"), "updated_at", "repo")  # of 50 rows
-    return rows.withColumn("rank", F.row_number().over(order)).select("rank", "repo", "priority", "updated_at")
+    rows = queue.claim_order(views.queue(spark, d), views.repos(spark, d), prefer="rescan")
+    return index.dense_index(rows, queue.order_of_claims("rescan")).select((F.col("idx") + 1).cast("int").alias("rank"), "repo", "priority", "updated_at")
 
 
 @query

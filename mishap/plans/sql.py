@@ -162,7 +162,7 @@ s AS (SELECT repo, id, sum(CASE WHEN status = 'success' THEN 0 ELSE 1 END) OVER
 g AS (SELECT path, {_AGENT} AS agent, sum(weight) AS w, count(*) AS n FROM t WHERE path LIKE '/%/%/%/' GROUP BY ALL)
 SELECT path, sum(w)::BIGINT AS requests, first(agent ORDER BY n DESC, agent) AS top_agent FROM g GROUP BY path ORDER BY requests DESC, path LIMIT 20""",
     "traffic_points": f"SELECT page_id, substr({_PATH}, 1, 256) AS path, 'ai-bot' AS agent, 'miss' AS cache, substr({_HOST}, 1, 256) AS host, 200.0::DOUBLE AS status, substr({_PATH}, 1, 96) AS sampling_key FROM pages",
-    "claim_order": f"WITH {_QUEUE}, {_REPOS} SELECT row_number() OVER (ORDER BY analyzed_sha IS NULL, priority DESC, updated_at, q.repo)::INT AS rank, q.repo, priority, updated_at FROM q LEFT JOIN r ON r.repo = q.repo WHERE status = 'queued' AND solo < 2 ORDER BY rank LIMIT 50",
+    "claim_order": f"WITH {_QUEUE}, {_REPOS} SELECT row_number() OVER (ORDER BY analyzed_sha IS NULL, priority DESC, updated_at, q.repo)::INT AS rank, q.repo, priority, updated_at FROM q LEFT JOIN r ON r.repo = q.repo WHERE status = 'queued' AND solo < 2",
     "seed_queue": f"""WITH {_QUEUE}, c AS (SELECT DISTINCT (o_custkey * 2)::VARCHAR AS repo FROM orders),
 x AS (SELECT coalesce(q.repo, c.repo) AS repo, c.repo IS NOT NULL AS wanted, q.* EXCLUDE (repo) FROM q FULL JOIN c ON c.repo = q.repo),
 y AS (SELECT *, CASE WHEN status IS NULL THEN 'added' WHEN wanted AND status NOT IN ('queued', 'running') AND NOT (status = 'failed' AND {NOW} - updated_at < 86400000) THEN 'requeued' END AS change FROM x)

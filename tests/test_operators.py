@@ -106,8 +106,8 @@ def test_clusters(spark):
     links = cluster.page_links(cluster.samples(r, chosen, 2), chosen).first()
     assert links.errorIds == ["0020", "0019"] and links.guideSlugs == []
     taken = spark.createDataFrame([("typeerror",), ("typeerror-class",)], "slug string")
-    assert cluster.assign_slugs(chosen, taken.limit(1)) == [("class:TypeError", "typeerror-class")]
-    assert cluster.assign_slugs(chosen, taken) == [("class:TypeError", None)]
+    assert [tuple(r) for r in cluster.assign_slugs(chosen, taken.limit(1)).collect()] == [("class:TypeError", "typeerror-class")]
+    assert [tuple(r) for r in cluster.assign_slugs(chosen, taken).collect()] == [("class:TypeError", None)]
 
 
 def test_source_region(spark):
@@ -430,3 +430,21 @@ def test_pattern_hits_equal_all_pairs(spark):
     want = {(q, i) for i, p in enumerate(patterns) if weigh(p) >= 6 for q, t in enumerate(texts) if re.search(p, t)}
     assert {tuple(r) for r in hits.collect()} == want and len(want) > 8
     assert "NestedLoop" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def test_slugs_of_chains_of_collisions(spark):
+    """As if one family chose after the other, also where a slug is lost to a larger family that comes to it late."""
+    import random
+
+    rng = random.Random(4)
+    values = ["a", "A", "a code", "a-code", "a class", "a tag", "a code code", "b", "B!", "b tag", "", "?"]
+    rows = list({(f"{k}:{v}", k, v): rng.randint(5, 9) for k in ("code", "class", "tag") for v in values}.items())
+    chosen = spark.createDataFrame([(*key, n) for key, n in rows], "key string, kind string, value string, errorCount long")
+    for taken in ([], ["a", "b-tag"]):
+        slugs = {r.key: r.s for r in chosen.select("key", cluster.cluster_slug(F.col("value")).alias("s")).collect()}
+        used, want = set(taken), {}
+        for (key, kind, _), _n in sorted(rows, key=lambda r: (-r[1], r[0][0])):
+            want[key] = next((s for s in (slugs[key], f"{slugs[key]}-{kind}") if s not in used), None)
+            used.add(want[key])
+        got = {r.key: r.slug for r in cluster.assign_slugs(chosen, spark.createDataFrame([(t,) for t in taken], "slug string")).collect()}
+        assert got == want and None in want.values()
