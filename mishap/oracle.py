@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import json
 import re
 import time
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mishap.functions.rules import RATE_LIMIT
+from mishap.sources.files import Config
 from mishap.sources.payloads import find_json
+from mishap.storage import names, open_root
 from mishap.workers import reach
 
 
-
 class Oracle(Protocol):
     def ask(self, prompt: str) -> str: ...
 
@@ -67,6 +72,47 @@ def answer_with(prompts: DataFrame, oracles: list[Oracle]) -> DataFrame:
     return prompts.select("key", "prompt").mapInPandas(run, f"key {prompts.schema['key'].dataType.simpleString()}, json string, error string")
 
 
+def slots(config: Config) -> int:
+    """Calls that may be in flight: the batches of all projects at work, up to the provider's gate if it has one."""
+    wanted = config.max_concurrent * config.batch_concurrency
+    return min(wanted, config.provider_max_concurrent or wanted)
+
+
+def ask_resumably(prompts: DataFrame, oracles: list[Oracle], folder: str, at_once: int, pause: float = 30.0) -> DataFrame:
+    """prompts (key, prompt) to (key, json, error), with at most `at_once` calls in flight; answers last.
+
+    The gate is a number of dealt slots: so many tasks, each of which asks one prompt after the other.
+    An answer is written under its prompt's content key as soon as it is there, and what has one is
+    not asked again: not by a task that is run again, not by a later run, not for a prompt that comes
+    twice. Failures aren't kept. `folder` is one that driver and executors share."""
+    spark, kind = prompts.sparkSession, prompts.schema["key"].dataType
+    reach(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = open_root(folder)
+        files.create_dir(f"{base}/answers", recursive=True)
+        for batch in batches:
+            for content, prompt in zip(batch.column("content").to_pylist(), batch.column("prompt").to_pylist()):
+                at, error = f"{base}/answers/{content}.json", None
+                if files.get_file_info(at).type == fs.FileType.NotFound:
+                    found, error = ask_json(prompt, oracles, pause=pause)
+                    if found is not None:
+                        part = f"{at}.{uuid.uuid4().hex}"
+                        with files.open_output_stream(part, compression=None) as out:
+                            out.write(json.dumps({"content": content, "json": found}).encode())
+                        files.move(part, at)
+                yield pa.RecordBatch.from_arrays([pa.array([content]), pa.array([error], pa.string())], names=["content", "error"])
+
+    named = prompts.select("key", "prompt", F.sha2("prompt", 256).alias("content"))
+    asked = named.where("prompt is not null").select("content", "prompt").dropDuplicates(["content"]).repartition(at_once, "content")
+    turn = f"{folder}/turns/{uuid.uuid4().hex}"
+    asked.mapInArrow(run, "content string, error string").write.parquet(turn)  # the asking happens here, once
+    failed = spark.read.schema("content string, error string").parquet(turn)
+    answers = spark.read.schema("content string, json string").json(f"{folder}/answers/*.json") if any(n.endswith(".json") for n in names(spark, f"{folder}/answers")) else spark.createDataFrame([], "content string, json string")
+    out = named.join(answers, "content", "left").join(failed, "content", "left")
+    return out.select(F.col("key").cast(kind).alias("key"), "json", F.when(F.col("json").isNull(), F.coalesce("error", F.lit("empty"))).alias("error"))
+
+
 def split_batch(items: list, works: Callable[[list], bool], least: int = 10) -> list[list]:
     """Batches that work: one that fails is halved until it has fewer than `least` items."""
     if works(items) or len(items) < least:
