@@ -85,7 +85,7 @@ def published_repo_files(spark, d):
     from mishap.schema import ERROR
 
     root, _ = _published(spark, d)
-    rows = spark.read.schema(ERROR).option("multiLine", "true").option("recursiveFileLookup", "true").json(f"{root}/repos")
+    rows = spark.read.schema(ERROR).option("multiLine", "true").option("recursiveFileLookup", "true").json(f"{publish.home(spark, root)}/repos")
     return rows.groupBy("repo").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
@@ -96,6 +96,26 @@ def posting_blocks(spark, d):
     return index.posting_blocks(tokens, w).select("token", "block", "weight", _joined("entries"))
 
 
+_PAGES = "SELECT 'p-' || item_id AS slug, length(text)::INT AS n FROM benchmark WHERE item_id IS NOT NULL"
+
+
+@both(f"WITH p AS ({_PAGES}) SELECT slug, n AS listed, n AS paged, CASE WHEN slug LIKE '%7' THEN n END AS one FROM p")
+def published_pages(spark, d):
+    """The list of pages and the pages of a published set, read back: all, and those of slugs on 7 once more."""
+    root, _ = _published(spark, d)
+    listed, paged = publish.read_hub(spark, root).select("slug", F.col("errorCount").alias("listed")), publish.read_pages(spark, root).select("slug", F.col("errorCount").alias("paged"))
+    return listed.join(paged, "slug", "full").withColumn("one", F.when(F.col("slug").endswith("7"), F.col("paged")))
+
+
+@both(f"WITH {_VALID}, p AS (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(id, 1, 15))::BIGINT) - 1 AS idx FROM ok WHERE valid AND repo <> 'de/src1') SELECT idx, id, repo, md5(text) AS msg FROM p")
+def synced_entries(spark, d):
+    """The entries of a cache that was brought up to a published set, chunk by chunk, each verified."""
+    root, _ = _published(spark, d)
+    cache = scratch(spark, "cache")
+    publish.sync(spark, root, cache)
+    return publish.read_cache(spark, cache).select("idx", "id", "repo", F.md5("msg").alias("msg"))
+
+
 @both("SELECT 'r' || (o_custkey % 50) AS repo, o_orderkey::VARCHAR AS id FROM orders WHERE o_custkey % 50 >= 10 UNION ALL SELECT 'r' || (c_custkey % 10), 'c' || c_custkey FROM customer")
 def replaced_records(spark, d):
     """Records by repo; those of ten repos are replaced by a second version."""

@@ -31,15 +31,6 @@ def rename(spark: SparkSession, a: str, b: str) -> None:
         raise OSError(f"can't rename {a} to {b}")
 
 
-def swap(spark: SparkSession, stage: str, out: str) -> None:
-    """Puts a folder in another's place by two renames."""
-    old = f"{out}.{uuid.uuid4().hex}.old"
-    if exists(spark, out):
-        rename(spark, out, old)
-    rename(spark, stage, out)
-    remove(spark, old)
-
-
 def read_text(spark: SparkSession, path: str) -> str:
     """A small file as text."""
     return spark.read.text(path, wholetext=True).first()[0]

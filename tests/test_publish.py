@@ -1,6 +1,10 @@
 """From working tables to a published set and back, feeds, oracles and the stream."""
 
+import gzip
+import hashlib
 import json
+import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,8 +44,12 @@ def test_publish_and_read(spark, published):
     assert got.id == "b" * 16 and got.markdown.startswith("# unable to verify") and "## Solutions\n1. do" in got.markdown
     assert kb.get(id="f" * 16).count() == 0
     assert [(r.repo, r.errorCount) for r in kb.repos().collect()] == [("o/n", 2)]
-    shard = json.loads(open(f"{out}/search/summary.json").read())
-    assert shard["entryCount"] == 2 and len(json.loads(open(f"{out}/search/norms.json").read())) == 2
+    at = publish.home(spark, out)
+    shard = json.loads(open(f"{at}/search/summary.json").read())
+    assert shard["entryCount"] == 2 and len(json.loads(open(f"{at}/search/norms/0.json").read())) == 2
+    assert [r.slug for r in kb.pages().collect()] == ["net"] and kb.page("net").first().clusterKey == "code:ENET" and kb.page("none").count() == 0
+    whole = gzip.decompress(open(f"{at}/index.json.gz", "rb").read())
+    assert [e["id"] for e in json.loads(whole)["errors"]] == ["a" * 16, "b" * 16] and m["files"]["index"]["rawSha256"] == hashlib.sha256(whole).hexdigest()
     go("v2")
     assert kb.refresh() and kb.version == "v2"
 
@@ -49,10 +57,42 @@ def test_publish_and_read(spark, published):
 def test_tampered_index(spark, published):
     out, go = published
     go("v1")
-    with open(f"{out}/index.json.gz", "ab") as f:
+    with open(f"{publish.home(spark, out)}/index/0.gz", "ab") as f:
         f.write(b"x")
-    with pytest.raises(ValueError):
+    with pytest.raises(publish.Tampered, match=r"\[0\]"):
         publish.read_index(spark, out)
+    with pytest.raises(publish.Tampered, match=r"\[0\]"):
+        publish.sync(spark, out, f"{out}.cache")
+    assert not Path(f"{out}.cache/current.json").exists()
+
+
+def test_only_changed_chunks_are_read(spark, tmp_path, monkeypatch):
+    """Chunks of two entries: one record of five changes, so that one of three chunks is fetched."""
+    for module in (publish, publish.ix):
+        monkeypatch.setattr(module, "META_CHUNK", 2)
+    repos = spark.createDataFrame([("o/n", None, None, 1, None, "main", "a" * 40, "2026-07-14T00:00:00Z", 5)], REPO).withColumn("status", F.lit("analyzed"))
+    make = lambda said: errors(spark, *({"id": c * 16, "slug": c, "errorMessage": f"{said if c == '4' else 'thing'} number {c}"} for c in "12345"))
+    out, cache = str(tmp_path / "d"), str(tmp_path / "c")
+    go = lambda said, v: publish.publish(spark, repos, make(said), spark.createDataFrame([PAGE], INFO_PAGE), out, v)
+    first = go("thing", "v1")
+    assert publish.sync(spark, out, cache) == {"version": "v1", "chunks": 3, "fetched": 3} and publish.sync(spark, out, cache)["fetched"] == 0
+    second = go("other", "v2")
+    assert first["files"]["index"]["tree"] != second["files"]["index"]["tree"]
+    assert publish.sync(spark, out, cache) == {"version": "v2", "chunks": 3, "fetched": 1}
+    want = [(i, c * 16, f"{'other' if c == '4' else 'thing'} number {c}") for i, c in enumerate("12345")]
+    for got in (publish.read_cache(spark, cache), publish.read_index(spark, out)):
+        assert sorted((r.idx, r.id, r.msg) for r in got.collect()) == want
+    # the version before stays readable until the next but one
+    assert len(list((tmp_path / "d/versions").iterdir())) == 2
+
+
+def test_a_crash_in_publishing_leaves_the_version_before(spark, published, monkeypatch):
+    out, go = published
+    go("v1")
+    monkeypatch.setattr(publish, "write_text", lambda *x: (_ for _ in ()).throw(OSError("gone")))
+    with pytest.raises(OSError):
+        go("v2")
+    assert publish.read_manifest(spark, out)["datasetVersion"] == "v1" and publish.read_index(spark, out).count() == 2
 
 
 ENTRIES = [
@@ -78,7 +118,7 @@ def test_shards(spark, tmp_path):
     assert all(r.repo == "o/a" for r in shards.search(asked, repo="o/a").collect())
     few = Shards(spark, str(tmp_path))
     few.search(asked.where("qid = 3")).collect()
-    assert len([p for p in few.reads if p.startswith("tokens/")]) <= 2 and "codes.json" not in few.reads
+    assert len([p for p in few.reads if p.startswith("tokens/")]) <= 2 and not [p for p in few.reads if p.startswith("codes/")]
     found = few.lookup(spark.createDataFrame([("cc00000000000003",), ("0123456789abcdef",)], "id string")).collect()
     assert [(r.id, r.repo, r.idx) for r in found] == [("cc00000000000003", "o/b", 2)]
     assert Shards(spark, str(tmp_path / "none")).search(asked).count() == 0
@@ -90,16 +130,38 @@ def test_files_of_many_pieces(spark, tmp_path):
     publish.write_index(rows, str(tmp_path))
     tokens = {k: v for f in (tmp_path / "search/tokens").iterdir() if f.suffix == ".json" for k, v in json.loads(f.read_text()).items()}
     assert tokens["common"][1] == list(range(5000)) and tokens["rare"][1] == list(range(0, 5000, 3)) and set(tokens) == {"common", "rare"}
-    assert json.loads((tmp_path / "search/codes.json").read_text()) == {'E"Q': list(range(0, 5000, 2))}
+    codes = {k: v for f in (tmp_path / "search/codes").iterdir() if f.suffix == ".json" for k, v in json.loads(f.read_text()).items()}
+    assert codes == {'E"Q': list(range(0, 5000, 2))}
     assert [len(json.loads((tmp_path / f"search/meta/{k}.json").read_text())) for k in range(3)] == [2000, 2000, 1000]
-    assert len(json.loads((tmp_path / "search/norms.json").read_text())) == 5000
+    assert [len(json.loads((tmp_path / f"search/norms/{k}.json").read_text())) for k in range(3)] == [2000, 2000, 1000]
+    # the directory names the bytes of each block
+    for r in spark.read.parquet(str(tmp_path / "search/blocks")).collect():
+        text = (tmp_path / r.path).read_bytes()[r.offset : r.offset + r.length]
+        assert [int(x) for x in text.split(b",")] == [i for i in tokens[r.token][1] if i // 2000 == r.block]
+
+
+def test_a_search_reads_few_blocks(spark, tmp_path, monkeypatch):
+    """Block maxima: what can't reach the best hits so far isn't read, and the hits stay the same."""
+    for module in (publish, publish.ix):
+        monkeypatch.setattr(module, "META_CHUNK", 50)
+    rng = random.Random(5)
+    words = ["common", "often", *(f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))]
+    said = ["common often " + " ".join(rng.choice(words) for _ in range(rng.choice([1, 2, 30]))) for _ in range(1500)]
+    rows = [(n, f"{n:016x}", "o/a", "s", None, msg, msg, "exception", None, [], "error") for n, msg in enumerate(said)]
+    entries = spark.createDataFrame(rows, publish.ENTRY)
+    publish.write_index(entries, str(tmp_path))
+    asked = spark.createDataFrame([(0, "common often wordac"), (1, "wordaa wordba"), (2, "often common"), (3, "nothing here")], "qid long, text string")
+    shards = Shards(spark, str(tmp_path))
+    got = sorted((r.qid, r["rank"], r.idx, r.score, r.match) for r in shards.search(asked).collect())
+    assert got == sorted(tuple(r) for r in ranked(asked, entries).collect()) and len(got) >= 10
+    assert 0 < shards.blocks["read"] < 0.75 * shards.blocks["known"]
 
 
 def test_a_lost_manifest_marks_the_data_stale(spark, published, tmp_path):
     out, go = published
     go("v1")
     kb = KnowledgeBase(spark, out)
-    (tmp_path / "data" / "manifest.json").unlink()
+    (tmp_path / "data" / "current.json").unlink()
     assert not kb.refresh() and kb.stale and kb.version == "v1" and publish.is_stale(spark, out, "v1")
 
 
