@@ -1,7 +1,9 @@
 """Quality classifier: supervised subword embeddings.
 
 Each white-space word gives a hashed feature, and so do the byte n-grams of the word with its
-edges marked, and the pair of a word and the same word again. A document is the mean of its features' vectors; a softmax layer on the mean gives
+edges marked, and each two neighbouring words. Pairs are hashed without their order, by what their
+words' hashes differ in, so that all pairs of a word and itself share a bucket, which is learned
+like any other. A document is the mean of its features' vectors; a softmax layer on the mean gives
 the classes. Vectors and layer are learned by stochastic gradient descent in numpy from a bounded
 sample of labelled rows. As layer and mean are linear, scoring needs one number a bucket (its
 vector's push towards label 1), looked up and averaged over whole texts.
@@ -22,6 +24,7 @@ from mishap.llm.shared import held_out, prepare, table, text_bytes
 #: White space (0x20, 0x09-0x0D) becomes the edge mark.
 _EDGE = bytes(0x20 if c == 0x20 or 0x09 <= c <= 0x0D else c for c in range(256))
 _U = np.uint64
+_PAIR = _U(0x5851F42D4C957F2D)  # apart from words and n-grams
 
 
 @dataclass(frozen=True)
@@ -73,11 +76,10 @@ def features(texts: list[bytes], s: Settings) -> tuple[np.ndarray, np.ndarray]:
         words = _mix(np.add.reduceat(turned, start))
         where.append(start)
         what.append(words)
-        # the pair of a word and its like has one feature whatever the word
         whose = np.searchsorted(owner_end - 1, start, "right")
-        like = start[1:][(words[1:] == words[:-1]) & (whose[1:] == whose[:-1])]
-        where.append(like)
-        what.append(np.full(len(like), 0x5AFE1, np.uint64))
+        pair = whose[1:] == whose[:-1]
+        where.append(start[1:][pair])
+        what.append(_mix(words[1:] ^ words[:-1] ^ _PAIR)[pair])
     at, hashes = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (where, what))
     owner = np.searchsorted(owner_end - 1, at, "right")  # the gap after a text is its last edge
     order = np.argsort(owner, kind="stable")
