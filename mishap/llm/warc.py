@@ -124,9 +124,13 @@ def decide(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     time = F.col("timestamp").cast("string") if "timestamp" in pages.columns else F.lit(None).cast("string")
     rows = pages.select("page_id", "url", html.alias("html"), time.alias("timestamp"), F.sha1(F.encode(html, "UTF-8")).alias("digest"), (F.octet_length(html) >= least_bytes).alias("counts"))
     # only payloads that occur more than once go into the join, so that it stays small
-    groups = rows.where("counts").groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1").drop("n")
-    groups = tables.keep(groups, "groups")
-    out = rows.join(groups, "digest", "left")
+    groups = tables.keep(rows.where("counts").groupBy("digest").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).where("n > 1"), "groups")
+    # a payload may be that of a third of all pages: at most 1000 such go by broadcast, so that no key of the join is hot
+    least = (groups.agg(F.sum("n")).first()[0] or 0) / 1000
+    hot, rest = groups.where(F.col("n") >= least).drop("n"), groups.where(F.col("n") < least).drop("n")
+    marked = rows.join(F.broadcast(hot.withColumnRenamed("latest", "hot")), "digest", "left")
+    cold = marked.where("hot is null").drop("hot").join(rest, "digest", "left")
+    out = marked.where("hot is not null").withColumnRenamed("hot", "latest").unionByName(cold)
     revisit = F.col("latest").isNotNull() & ~F.col("latest").eqNullSafe(F.col("page_id"))
     return out.select("page_id", "url", "html", "timestamp", "digest", F.when(revisit, F.col("latest")).alias("refers_to"))
 
