@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mishap.api import KnowledgeBase
 from mishap.functions import rules, text
 from mishap.operators import assemble, cluster, drain, extract, index, jobs, queue, regions, reports, rescan, verify
 from mishap.plans import sql, views
@@ -116,6 +117,23 @@ def synced_entries(spark, d):
     return publish.read_cache(spark, cache).select("idx", "id", "repo", F.md5("msg").alias("msg"))
 
 
+@both(f"WITH {_VALID} SELECT id, repo, slug, md5(text) AS message FROM ok WHERE valid AND repo <> 'de/src1' AND ('0x' || substr(id, 1, 2))::INT % 2 = 0")
+def records_of_ids(spark, d):
+    """Full records through the methods of a published set: ids of an even first byte, and one that isn't there."""
+    kb = KnowledgeBase(spark, _published(spark, d)[0])
+    ids = kb.entries.select("id").where(F.conv(F.substring("id", 1, 2), 16, 10).cast("int") % 2 == 0)
+    return kb.get_all(ids.union(spark.createDataFrame([("0" * 16,)], "id string"))).select("id", "repo", "slug", F.md5("errorMessage").alias("message"))
+
+
+@both("SELECT CAST(ts AS DATE) AS day, event_type AS page, count(*) AS n FROM events GROUP BY ALL")
+def traffic_by_day(spark, d):
+    """Data points written by day and read back."""
+    root = scratch(spark, "traffic")
+    points = views.table(spark, d, "events").select(F.col("ts").alias("at"), F.col("event_type").alias("page"))
+    assert state.append_traffic(points, root)
+    return spark.read.parquet(f"{root}/traffic").groupBy("day", "page").agg(F.count("*").alias("n"))
+
+
 @both("SELECT 'r' || (o_custkey % 50) AS repo, o_orderkey::VARCHAR AS id FROM orders WHERE o_custkey % 50 >= 10 UNION ALL SELECT 'r' || (c_custkey % 10), 'c' || c_custkey FROM customer")
 def replaced_records(spark, d):
     """Records by repo; those of ten repos are replaced by a second version."""

@@ -160,3 +160,15 @@ def test_rules_of_scans(spark):
     assert [large(20, 10), large(21, 10), large(26, 100), large(25, 100), large(30, 0)] == [False, True, True, False, False]
     mode = lambda *a: one(spark, rules.discovery_mode(*map(F.lit, a)), x="")
     assert [mode(1, True, 9), mode(0, True, 9), mode(0, False, 4), mode(0, False, 5)] == ["candidates", "delta-no-candidates", "skipped-low-source", "agentic"]
+
+
+def test_fixed_tables_against_values_written_out(spark):
+    """What the queries' SQL borrows from the engine's tables is right in itself."""
+    from mishap.operators.extract import is_source
+
+    seen = ["src/a.py", "lib/x.mjs", "a/b.kt", "x.hxx", "my_tests/a.go", "contest/a.go", "src/test_a.py", "outer/a.rb", "distance/a.c", "latest.ts"]
+    skipped = [f"{d}/a.py" for d in ("node_modules", "vendor", "dist", "build", "out", "target", "third_party", "testdata", "__tests__", "__mocks__", "fixtures", "mocks", "docs", "examples", "example", "benchmark", "benchmarks", "samples", "sample", "demo", "demos", "playground", "notebooks", "tutorials", "test", "tests", "spec", ".git", ".github", ".hid")]
+    skipped += ["a.test.js", "a.spec.ts", "a_test.go", "a_test.py", "a_test.rb", "a_test.c", "a_test.cc", "a_test.cpp", "test_a.py", "ATest.java", "ATest.kt", "ATest.cs", ".a.py", "src/node_modules/x/a.js", "a.txt", "README", "a.pyc"]
+    rows = spark.createDataFrame([(p,) for p in seen + skipped], "path string").select("path", F.coalesce(is_source(F.col("path")), F.lit(False)).alias("s")).collect()
+    assert {r.path for r in rows if r.s} == set(seen)
+    assert [g[0] for g in rules.GUIDES] == ["connection-failures", "dns-resolution", "ssl-tls-certificates", "timeouts", "http-status-errors", "authentication-failures", "parsing-and-encoding"] and [a[0] for a in rules.AGENTS] == ["googlebot", "google-other", "bingbot", "ai-bot", "other-bot"]
