@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mishap.llm import audit, codes, minhash, packing
+from mishap.llm import audit, codes, minhash, packing, quality, toxicity
 from mishap.llm.shared import Tables
 from tests.llm.test_operators import CLASH, EDGES, docs, prose
 
@@ -232,3 +232,15 @@ def test_share_is_exact():
 def test_audit_of_nothing(spark):
     assert audited(spark, []) == []
     assert audited(spark, [("en", "a", "x y"), ("en", "b", None), (None, None, None)]) == [("en", "a", "pair", "b", 0, 1), ("en", "b", "pair", "a", 0, 1)]
+
+
+# 10, 8
+
+
+def test_scores_of_odd_ids_and_texts_of_megabytes(spark):
+    d = docs(spark, "a b c", "a b c", "x y " * 600_000, None, "").withColumn("doc_id", F.when(F.col("doc_id") > 1, F.lit(7)).cast("long"))
+    labels = spark.createDataFrame([(7, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for module in (quality, toxicity):
+        rows = module.score(d, labels).collect()
+        assert len(rows) == 5 and [r.doc_id for r in rows].count(None) == 2 and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in rows)
+        assert len({r.score for r in rows if r.doc_id is None}) == 1
