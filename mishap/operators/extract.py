@@ -264,6 +264,31 @@ def render_tree(counts: DataFrame, suspect: int = 3000) -> DataFrame:
     return counts.select("path", F.concat(F.expr("repeat('  ', depth - 1)"), "path", F.lit("/ ("), n, F.lit(" source files)"), mark).alias("line"))
 
 
+SCOPE = "includeRoots array<string>, excludeDirs array<string>"
+
+
+def check_scopes(answers: DataFrame, trees: DataFrame) -> DataFrame:
+    """Scope answers (repo, json) of many repos against the directories they were shown (repo, path):
+    (repo, includeRoots, excludeDirs, error).
+
+    Paths lose a leading ./ and closing slashes. A path that is empty, absolute, climbs, is null or isn't in the
+    repo's tree makes the answer an error, which names the first of its bad ones in order as field:path, and has no
+    paths then; an answer that isn't such JSON is the error 'json'. Missing lists are empty. Repos must not repeat."""
+    parsed = F.from_json("json", SCOPE + ", odd string", {"columnNameOfCorruptRecord": "odd"})
+    rows = answers.select("repo", parsed.alias("s"), F.coalesce(F.try_parse_json("json").cast("string").rlike("^[{]"), F.lit(False)).alias("whole"))
+    rows = rows.select("repo", (F.col("whole") & F.col("s.odd").isNull()).alias("whole"), *(F.coalesce(f"s.{f}", F.array().cast("array<string>")).alias(f) for f in ("includeRoots", "excludeDirs")))
+    said = lambda f: F.transform(f, lambda p, i: F.struct(F.lit(f).alias("field"), i.alias("at"), p.alias("said")))
+    named = F.concat(said("includeRoots"), said("excludeDirs"))
+    paths = rows.where("whole").select("repo", F.explode(named).alias("p")).select("repo", "p.*", F.regexp_replace(F.regexp_replace("p.said", "/+$", ""), r"^\./", "").alias("path"))
+    known = trees.select("repo", "path", F.lit(True).alias("known")).distinct()
+    odd = F.coalesce((F.col("path") == "") | F.startswith("path", F.lit("/")) | F.array_contains(F.split("path", "/"), ".."), F.lit(True))
+    paths = paths.join(known, ["repo", "path"], "left").withColumn("bad", F.when(odd | F.col("known").isNull(), F.concat_ws(":", "field", F.coalesce("said", F.lit("null")))))
+    listed = lambda f: F.transform(F.array_sort(F.collect_list(F.when(F.col("field") == f, F.struct("at", "path")))), lambda x: x["path"]).alias(f)
+    found = paths.groupBy("repo").agg(F.min("bad").alias("bad"), listed("includeRoots"), listed("excludeDirs"))
+    joined = rows.select("repo", "whole").join(found, "repo", "left").withColumn("error", F.when(~F.col("whole"), "json").otherwise(F.col("bad")))
+    return joined.select("repo", *(F.when(F.col("error").isNull(), F.coalesce(f, F.array().cast("array<string>"))).alias(f) for f in ("includeRoots", "excludeDirs")), "error")
+
+
 def check_scope(paths: list[str], tree: DataFrame) -> list[str]:
     """Cleaned paths of a scope answer; a path that is malformed or not in the tree is an error."""
     clean = [p.rstrip("/").removeprefix("./") for p in paths]

@@ -45,6 +45,17 @@ def failure_streaks(jobs: DataFrame, by: list[str], breaker: int = 5) -> DataFra
     return rows.withColumn("streak", streak).withColumn("tripped", F.col("streak") >= breaker).drop("__island")
 
 
+def alerts(jobs: DataFrame, by: list[str], after: int = 2, again: int = 12) -> DataFrame:
+    """Runs that send a note: (..., streak, note). 'failing' at `after` failures in a row and at each multiple of
+    `again`; 'recovered' at the success that ends so long a row, streak then being the failures before it."""
+    rows = failure_streaks(jobs, by, after)
+    before = F.coalesce(F.lag("streak").over(Window.partitionBy(*by).orderBy("started_at", "id")), F.lit(0))
+    ok = F.col("status") == "success"
+    note = F.when(ok & (before >= after), "recovered").when(~ok & ((F.col("streak") == after) | (F.col("streak") % again == 0)), "failing")
+    rows = rows.withColumn("note", note).withColumn("streak", F.when(ok, before).otherwise(F.col("streak"))).drop("tripped")
+    return rows.where("note is not null")
+
+
 def without_orphans(jobs: DataFrame, protected: DataFrame) -> DataFrame:
     """The log without 'running' rows, but for protected repos."""
     return jobs.where("status != 'running' or status is null").unionByName(jobs.where("status = 'running'").join(protected.select("repo"), "repo", "left_semi").select(*jobs.columns))

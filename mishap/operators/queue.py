@@ -126,8 +126,8 @@ def publish_due(repos: int, last_ms: int, now_ms: int, changed: bool, slow_from:
 
 
 def alert_due(failures: int) -> bool:
-    """At the second failure in a row and every twelfth after."""
-    return failures == 2 or (failures > 2 and (failures - 2) % 12 == 0)
+    """At the second failure in a row, and at each whose number in the row is a multiple of twelve."""
+    return failures == 2 or (failures > 0 and failures % 12 == 0)
 
 
 def _patch(rows: DataFrame, where: Column, **values: Column) -> DataFrame:

@@ -7,18 +7,19 @@ import re
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mishap.functions.rules import RATE_LIMIT
 from mishap.sources.files import Config
 from mishap.sources.payloads import find_json
-from mishap.storage import names, open_root
+from mishap.storage import exists, names, open_root
 from mishap.workers import reach
 
 
@@ -113,11 +114,50 @@ def ask_resumably(prompts: DataFrame, oracles: list[Oracle], folder: str, at_onc
     return out.select(F.col("key").cast(kind).alias("key"), "json", F.when(F.col("json").isNull(), F.coalesce("error", F.lit("empty"))).alias("error"))
 
 
+def ask_batches(batches: DataFrame, oracles: list[Oracle], folder: str, at_once: int, prompt: Callable[[Column], Column], least: int = 10, deep: bool = False, pause: float = 30.0) -> DataFrame:
+    """Batches (key, items) to the parts that were asked last: (key, at, items, json, error), at being the
+    place of a part's first item. `prompt` makes a prompt of a column of items.
+
+    A batch of at least `least` items that timed out is asked again as two halves, the first being the
+    longer one; with `deep`, whatever its error, and the halves likewise until they are shorter. A part
+    that still fails loses its own items only. Parts of a level are asked together by
+    `ask_resumably`, so the gate and the answers kept hold for halves, too; of what was split with
+    success it is kept that it must be, so that a later run asks the halves at once. Empty batches aren't
+    asked and have no rows; keys may repeat, a null prompt is an error of its part."""
+    spark, turn = batches.sparkSession, f"{folder}/turns/{uuid.uuid4().hex}"
+    split = spark.read.schema("content string").parquet(f"{folder}/splits") if exists(spark, f"{folder}/splits") else spark.createDataFrame([], "content string")
+    parts = batches.where(F.size("items") > 0).select(F.expr("uuid()").alias("part"), "key", F.lit(0).alias("at"), "items", F.array().cast("array<string>").alias("above"))
+    level, last = 0, []
+    while True:
+        named = parts.withColumn("prompt", prompt(F.col("items"))).withColumn("content", F.sha2("prompt", 256))
+        named.join(split.withColumn("known", F.lit(True)).distinct(), "content", "left").write.parquet(f"{turn}/asked{level}")
+        named = spark.read.parquet(f"{turn}/asked{level}")
+        may = (F.size("items") >= least) & F.lit(deep or level == 0)
+        straight = F.coalesce("known", F.lit(False)) & may
+        got = ask_resumably(named.where(~straight).select(F.col("part").alias("key"), "prompt"), oracles, folder, at_once, pause)
+        named.join(got.select(F.col("key").alias("part"), "json", "error"), "part", "left").write.parquet(f"{turn}/told{level}")
+        told = spark.read.parquet(f"{turn}/told{level}")
+        again = straight | (may & F.col("json").isNull() & (F.lit(deep) | F.coalesce(F.startswith("error", F.lit("timeout")), F.lit(False))))
+        last.append(told.where(~again).select("key", "at", "items", "json", "error", "above"))
+        more = told.where(again)
+        if more.isEmpty():
+            break
+        half = F.ceil(F.size("items") / 2).cast("int")
+        halves = F.array(F.struct(F.col("at"), F.slice("items", F.lit(1), half).alias("items")), F.struct((F.col("at") + half).alias("at"), F.slice("items", half + 1, F.size("items") - half).alias("items")))
+        parts = more.select("key", F.array_append("above", F.col("content")).alias("above"), F.explode(halves).alias("h")).select(F.expr("uuid()").alias("part"), "key", "h.at", "h.items", "above")
+        level += 1
+    out = reduce(DataFrame.union, last)
+    if level:
+        worked = out.select(F.explode("above").alias("content"), "json").groupBy("content").agg(F.bool_and(F.col("json").isNotNull()).alias("all")).where("all").select("content")
+        worked.join(split, "content", "left_anti").write.mode("append").parquet(f"{folder}/splits")
+    return out.drop("above")
+
+
 def split_batch(items: list, works: Callable[[list], bool], least: int = 10) -> list[list]:
     """Batches that work: one that fails is halved until it has fewer than `least` items."""
     if works(items) or len(items) < least:
         return [items]
-    half = len(items) // 2
+    half = -(-len(items) // 2)
     return split_batch(items[:half], works, least) + split_batch(items[half:], works, least)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from mishap import oracle
 from mishap.api import KnowledgeBase
 from mishap.functions import rules, text
 from mishap.operators import assemble, cluster, drain, extract, index, jobs, queue, regions, reports, rescan, verify
@@ -12,7 +13,7 @@ from mishap.plans import sql, views
 from mishap.plans.queries import NOW, QUERIES, Query, _assembled, _clusters, _joined
 from mishap.schema import INFO_PAGE, REPO, validate_info_pages, validate_repos
 from mishap.sinks import feeds, publish, state
-from mishap.sources import files, payloads
+from mishap.sources import files, payloads, requests
 from mishap.sources.shards import Shards
 from mishap.sinks.commits import Keyed
 from mishap.storage import scratch, write_text
@@ -125,6 +126,45 @@ def records_of_ids(spark, d):
     return kb.get_all(ids.union(spark.createDataFrame([("0" * 16,)], "id string"))).select("id", "repo", "slug", F.md5("errorMessage").alias("message"))
 
 
+@both(f"WITH {_VALID} SELECT id, repo, slug, md5(text) AS message FROM ok WHERE valid AND repo <> 'de/src1' AND doc_id % 3 > 0")
+def records_of_names(spark, d):
+    """Full records by project and slug, through the methods of a published set."""
+    kb = KnowledgeBase(spark, _published(spark, d)[0])
+    named = _assembled(spark, d).where("cast(regexp_extract(filePath, '([0-9]+)', 1) as long) % 3 > 0").select("repo", "slug")
+    return kb.get_named(named).select("id", "repo", "slug", F.md5("errorMessage").alias("message"))
+
+
+_KNOWN = f"{_VALID}, known AS (SELECT * FROM ok WHERE valid AND repo <> 'de/src1')"
+
+
+@both(f"""WITH {_KNOWN}, r AS (SELECT doc_id * 8 AS rid, id AS said FROM ok UNION ALL SELECT doc_id * 8 + 1, '0000000000000000' FROM documents)
+SELECT rid, CASE WHEN k.id IS NULL THEN 404 ELSE 200 END::INT AS status, k.id AS id, md5(k.text) AS message, CASE WHEN k.id IS NULL THEN 'not found' END AS error, NULL::BIGINT AS n FROM r LEFT JOIN known k ON k.id = said
+UNION ALL SELECT doc_id * 8 + i, [405, 400, 404, 204][i - 1]::INT, NULL, NULL, ['method not allowed', 'missing q parameter', 'unknown endpoint', NULL][i - 1], NULL FROM documents, range(2, 6) t(i)
+UNION ALL SELECT doc_id * 8 + 6, 200, NULL, NULL, NULL, (SELECT count(DISTINCT repo) FROM made WHERE repo NOT IN ('de/src1', 'de/src2')) FROM documents WHERE doc_id % 50 = 0""")
+def answered_requests(spark, d):
+    """The HTTP interface over a published set, a table of requests at once: each record, missing ones, faults, the list of projects."""
+    kb = KnowledgeBase(spark, _published(spark, d)[0])
+    docs = views.table(spark, d, "documents").select("doc_id", (F.col("doc_id") * 8).alias("base"))
+    ids = _assembled(spark, d).where("repo <> 'de/src2'").select(F.regexp_extract("filePath", "([0-9]+)", 1).cast("long") * 8, F.lit("GET"), F.concat(F.lit("https://s.example/api/errors/"), "id", F.lit("/")))
+    fixed = [(1, "GET", "/api/errors/" + "0" * 16), (2, "POST", "/api/repos"), (3, "GET", "/api/search?q="), (4, "GET", "/api/unknown"), (5, "OPTIONS", "/api/search")]
+    asked = F.explode(F.array(*(F.struct((F.col("base") + i).alias("rid"), F.lit(m).alias("method"), F.lit(u).alias("url")) for i, m, u in fixed)))
+    lists = docs.where("doc_id % 50 = 0").select(F.col("base") + 6, F.lit("GET"), F.lit("https://s.example/api/repos?x=1"))
+    got = kb.respond(docs.select(asked.alias("r")).select("r.*").union(ids).union(lists))
+    at = lambda p: F.get_json_object("body", p)
+    return got.select("rid", "status", at("$.record.id").alias("id"), F.md5(at("$.record.errorMessage")).alias("message"), at("$.error").alias("error"), F.size(F.from_json(at("$.repos"), "array<string>")).cast("long").alias("n")).withColumn("n", F.when(F.col("n") >= 0, F.col("n")))
+
+
+@both(f"WITH f AS ({sql.SQL['search_cosine']}) SELECT qid, rank, score, match FROM f WHERE rank <= 3")
+def answered_searches(spark, d):
+    """Searches over the HTTP interface, three hits each."""
+    root = scratch(spark, "served")
+    publish.write_index(views.messages(spark, d), root)
+    asked = views.queries(spark, d).select(F.col("qid").alias("rid"), F.lit("GET").alias("method"), F.concat(F.lit("/api/search?limit=3&q="), F.url_encode("text")).alias("url"))
+    got = requests.searched(Shards(spark, root), requests.routed(asked), "v1")
+    hits = F.posexplode(F.from_json(F.get_json_object("body", "$.matches"), "array<struct<score:double,matchType:string>>")).alias("at", "m")
+    return got.select("rid", hits).select(F.col("rid").alias("qid"), (F.col("at") + 1).cast("int").alias("rank"), F.col("m.score").alias("score"), F.col("m.matchType").alias("match"))
+
+
 @both("SELECT CAST(ts AS DATE) AS day, event_type AS page, count(*) AS n FROM events GROUP BY ALL")
 def traffic_by_day(spark, d):
     """Data points written by day and read back."""
@@ -440,6 +480,53 @@ def cache_times(spark, d):
     return views.table(spark, d, "events").select("event_id", rules.cache_seconds(F.when(F.col("event_id") % 5 == 0, 404).otherwise(200), control, F.lit(False)).alias("seconds"))
 
 
+@both(f"""WITH {sql._JOBS}, i AS (SELECT *, sum(CASE WHEN status = 'success' THEN 1 ELSE 0 END) OVER (PARTITION BY repo ORDER BY started_at, id) AS island FROM jobs),
+s AS (SELECT repo, id, started_at, status, sum(CASE WHEN status = 'success' THEN 0 ELSE 1 END) OVER (PARTITION BY repo, island ORDER BY started_at, id)::BIGINT AS streak FROM i),
+b AS (SELECT *, coalesce(lag(streak) OVER (PARTITION BY repo ORDER BY started_at, id), 0) AS before FROM s)
+SELECT repo, id, before AS streak, 'recovered' AS note FROM b WHERE status = 'success' AND before >= 2 UNION ALL SELECT repo, id, streak, 'failing' FROM b WHERE status <> 'success' AND (streak = 2 OR streak % 12 = 0)""")
+def notes_of_runs(spark, d):
+    return jobs.alerts(views.jobs(spark, d), ["repo"]).select("repo", "id", "streak", "note")
+
+
+class _Narrow:
+    """A model that takes at most twelve numbers at once, and none that 97 divides."""
+
+    def ask(self, prompt: str) -> str:
+        said = prompt.split(",")
+        if len(said) > 12:
+            raise TimeoutError("too many")
+        return "no" if any(int(x) % 97 == 0 for x in said) else f'{{"n": {len(said)}, "first": {said[0]}}}'
+
+
+@both("""WITH RECURSIVE b AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 40 AS key, o_orderkey AS k FROM orders WHERE o_orderkey IS NOT NULL),
+u AS (SELECT key, 0 AS "at", list(k ORDER BY k) AS items FROM b GROUP BY key
+ UNION ALL SELECT key, "at" + CASE WHEN side = 0 THEN 0 ELSE (len(items) + 1) // 2 END, CASE WHEN side = 0 THEN items[1:(len(items) + 1) // 2] ELSE items[(len(items) + 1) // 2 + 1:] END
+ FROM u, (SELECT unnest([0, 1]) AS side) WHERE len(items) >= 10 AND (len(items) > 12 OR len(list_filter(items, lambda x: x % 97 = 0)) > 0)),
+f AS (SELECT *, len(items) > 12 AS many, len(list_filter(items, lambda x: x % 97 = 0)) > 0 AS odd FROM u)
+SELECT key, "at"::INT AS "at", CASE WHEN NOT odd THEN len(items) END::BIGINT AS n, CASE WHEN NOT odd THEN items[1] END::BIGINT AS first, len(items)::INT AS size FROM f WHERE NOT (len(items) >= 10 AND (many OR odd))""")
+def halved_batches(spark, d):
+    """Batches of forty asked of a model that takes twelve: halved until they work, or are too short to be halved."""
+    o = views.table(spark, d, "orders").where("o_orderkey is not null").select((F.col("o_orderkey")).alias("ord"))
+    b = index.dense_index(o, "ord").select(F.floor(F.col("idx") / 40).cast("long").alias("key"), "ord")
+    b = b.groupBy("key").agg(F.transform(F.array_sort(F.collect_list("ord")), lambda x: x.cast("string")).alias("items"))
+    got = oracle.ask_batches(b, [_Narrow()], scratch(spark, "asked"), 8, lambda items: F.array_join(items, ","), deep=True)
+    return got.select("key", "at", F.get_json_object("json", "$.n").cast("long").alias("n"), F.get_json_object("json", "$.first").cast("long").alias("first"), F.size("items").alias("size"))
+
+
+@both("""WITH t AS (SELECT DISTINCT l_suppkey AS n FROM lineitem), a AS (SELECT s_suppkey AS n, s_suppkey % 6 AS k FROM supplier)
+SELECT a.n::VARCHAR AS repo, CASE WHEN k < 2 AND t.n IS NOT NULL THEN 'src/s' || a.n || ',src' WHEN k = 5 THEN '' END AS include, CASE WHEN k < 2 AND t.n IS NOT NULL THEN CASE WHEN k = 0 THEN 'src' ELSE '' END WHEN k = 5 THEN '' END AS exclude,
+ CASE WHEN k < 2 AND t.n IS NULL THEN 'includeRoots:./src' WHEN k = 2 THEN 'excludeDirs:../x' WHEN k = 3 THEN 'json' WHEN k = 4 THEN 'includeRoots:/src' END AS error FROM a LEFT JOIN t USING (n)""")
+def checked_scopes(spark, d):
+    """Scope answers, good and bad, against the directories of their projects."""
+    n = F.col("s_suppkey")
+    good = F.concat(F.lit('{"includeRoots":["src/s'), n.cast("string"), F.lit('//","./src"]'))
+    bodies = [F.concat(good, F.lit(',"excludeDirs":["src/"]}')), F.concat(good, F.lit("}")), F.lit('{"excludeDirs":["../x"]}'), F.lit('["src"]'), F.lit('{"includeRoots":["/src"]}'), F.lit('{"includeRoots":null}')]
+    answers = views.table(spark, d, "supplier").select(n.cast("string").alias("repo"), F.element_at(F.array(*bodies), (n % 6 + 1).cast("int")).alias("json"))
+    shown = views.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("repo")).distinct()
+    trees = shown.select("repo", F.explode(F.array(F.lit("src"), F.concat(F.lit("src/s"), "repo"))).alias("path"))
+    return extract.check_scopes(answers, trees).select("repo", F.array_join("includeRoots", ",").alias("include"), F.array_join("excludeDirs", ",").alias("exclude"), "error")
+
+
 # drafts, resets, accounts, pages
 
 

@@ -46,22 +46,24 @@ def _refuse(name: str):
 
 
 def _candidates(text: str):
-    """Texts that may be the JSON, the likeliest first: what is fenced, all, and what begins at each bracket."""
+    """Values that may be the JSON, the likeliest first: what is fenced, all, and what begins at a bracket and
+    ends at the text's last bracket of its kind. Each is decoded where it stands, no part of the text is copied."""
     fenced = _FENCE.search(text)
     if fenced and fenced[1].strip():
-        yield fenced[1].strip()
-    yield text
+        yield from _parsed(fenced[1].strip())
+    yield from _parsed(text)
+    ends = {"{": text.rfind("}") + 1, "[": text.rfind("]") + 1}
     for m in re.finditer(r"[{\[]", text):
-        last = text.rfind("}" if m[0] == "{" else "]")
-        yield from (text[m.start() : end].rstrip() for end in (len(text), last + 1) if end > m.start())
+        if ends[m[0]] > m.start():
+            yield from _parsed(text, m.start(), ends[m[0]])
 
 
-def _parsed(text: str) -> list:
-    """The value of a JSON text, as a list of one; none if it isn't one."""
+def _parsed(text: str, start: int = 0, end: int | None = None) -> list:
+    """The value of a JSON text from start to end, as a list of one; none if it isn't one or is nested too deeply."""
     try:
-        value, end = _STRICT.raw_decode(text)
-        return [value] if end == len(text) else []
-    except ValueError:
+        value, at = _STRICT.raw_decode(text, start)
+        return [value] if at == (len(text) if end is None else end) else []
+    except (ValueError, RecursionError):
         return []
 
 
@@ -81,7 +83,7 @@ def find_json(raw: str | None) -> tuple[str | None, str | None]:
     text = (raw or "").strip()
     if not text:
         return None, "empty"
-    value = next((v for t in _candidates(text) for v in _parsed(t)), _refuse)
+    value = next(_candidates(text), _refuse)
     return (None, "parse") if value is _refuse else (json.dumps(_inner(value)), None)
 
 

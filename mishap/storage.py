@@ -6,8 +6,10 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 
 
 def _hadoop(spark: SparkSession, path: str):
@@ -117,6 +119,26 @@ def open_root(uri: str):
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
+def read_texts(paths: DataFrame, root: str) -> DataFrame:
+    """(path, value) of the files of a column of paths below a root, each read whole by a task; those that aren't there have no row."""
+    from mishap.workers import reach
+
+    reach(paths.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = open_root(root)
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                try:
+                    with files.open_input_file(f"{base}/{path}") as f:
+                        text = f.read().decode()
+                except FileNotFoundError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([text], pa.large_string()).cast(pa.string())], names=["path", "value"])
+
+    return paths.select("path").where("path is not null").distinct().mapInArrow(run, "path string, value string")
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder name under the one that all executors share; what is written there goes when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
