@@ -46,23 +46,37 @@ def _refuse(name: str):
 
 
 def _candidates(text: str):
-    """Values that may be the JSON, the likeliest first: what is fenced, all, and what begins at a bracket and
-    ends at the text's last bracket of its kind. Each is decoded where it stands, no part of the text is copied."""
+    """Values that may be the JSON, the likeliest first: what is fenced, all, and what ends at the text's last
+    bracket of a kind. Such a value can only begin at the bracket that closes it going backwards, so it is decoded once."""
     fenced = _FENCE.search(text)
     if fenced and fenced[1].strip():
         yield from _parsed(fenced[1].strip())
     yield from _parsed(text)
-    ends = {"{": text.rfind("}") + 1, "[": text.rfind("]") + 1}
-    for m in re.finditer(r"[{\[]", text):
-        if ends[m[0]] > m.start():
-            yield from _parsed(text, m.start(), ends[m[0]])
+    ends = [end for end in (text.rfind("}") + 1, text.rfind("]") + 1) if end]
+    for start, end in sorted((_opening(text[:end]), end) for end in ends):
+        if start >= 0:
+            yield from _parsed(text[start:end])
 
 
-def _parsed(text: str, start: int = 0, end: int | None = None) -> list:
-    """The value of a JSON text from start to end, as a list of one; none if it isn't one or is nested too deeply."""
+#: Strings and brackets of a reversed text; a quote before an odd number of backslashes belongs to its string.
+_BACKWARDS = re.compile(r'"(?:[^"]|"(?=\\(?:\\\\)*+(?!\\)))*+(?:"|\Z)|[\[\]{}]')
+
+
+def _opening(text: str) -> int:
+    """Where the bracket is that a text's last character closes; -1 if there is none."""
+    depth = 0
+    for m in _BACKWARDS.finditer(text[::-1]):
+        depth += {"}": 1, "]": 1, "{": -1, "[": -1}.get(m[0], 0)
+        if depth == 0:
+            return len(text) - m.end()
+    return -1
+
+
+def _parsed(text: str) -> list:
+    """The value of a JSON text, as a list of one; none if it isn't one or is nested too deeply."""
     try:
-        value, at = _STRICT.raw_decode(text, start)
-        return [value] if at == (len(text) if end is None else end) else []
+        value, end = _STRICT.raw_decode(text)
+        return [value] if end == len(text) else []
     except (ValueError, RecursionError):
         return []
 

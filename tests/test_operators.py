@@ -231,6 +231,36 @@ def test_extraction(spark):
     assert tuple(name[0].n) == ("ErrX", True) and name[1].n is None
 
 
+def test_scopes_of_many_repos(spark):
+    trees = spark.createDataFrame([("a", "x"), ("a", "x/y"), ("a", "x"), ("b", "z")], "repo string, path string")
+    said = {
+        "a": ('{"includeRoots":["./x/","x/y","x"],"excludeDirs":["x/y//"],"more":1}', (["x", "x/y", "x"], ["x/y"], None)), "b": ('{"includeRoots":["x"]}', (None, None, "includeRoots:x")), "c": ("{}", ([], [], None)),
+        "d": ("not JSON", (None, None, "json")), "e": (None, (None, None, "json")), "f": ('{"includeRoots":"x"}', (None, None, "json")), "g": ('{"excludeDirs":[null]}', (None, None, "excludeDirs:null")), "h": ("[]", (None, None, "json")),
+        "i": ('{"excludeDirs":["","/x","a/../x"]}', (None, None, "excludeDirs:")),
+    }
+    answers = spark.createDataFrame([(k, v[0]) for k, v in said.items()], "repo string, json string")
+    assert {r.repo: tuple(r)[1:] for r in extract.check_scopes(answers, trees).collect()} == {k: v[1] for k, v in said.items()}
+    assert extract.check_scopes(answers.limit(0), trees).count() == 0
+
+
+def test_notes_of_failing_runs(spark):
+    """At the second failure in a row and at multiples of twelve, and once when such a row ends."""
+    log = spark.createDataFrame([("a", i, i, "success" if i in (1, 4, 30) else "failed") for i in range(32)] + [("b", 0, 0, "failed"), ("b", 1, 1, "success")], "repo string, id long, started_at long, status string")
+    got = sorted((r.repo, r.id, r.streak, r.note) for r in jobs.alerts(log, ["repo"]).collect())
+    assert got == [("a", 3, 2, "failing"), ("a", 4, 2, "recovered"), ("a", 6, 2, "failing"), ("a", 16, 12, "failing"), ("a", 28, 24, "failing"), ("a", 30, 25, "recovered")]
+
+
+def test_json_in_long_noise():
+    """Decoding is linear in the brackets, nests of any depth end, the first value that reaches the last bracket wins."""
+    import time
+
+    began = time.time()
+    assert find_json("[note] see {it} " * 100_000 + '{"a": [1]}') == ('{"a": [1]}', None)
+    assert time.time() - began < 20
+    assert find_json("[" * 100_000) == (None, "parse")
+    assert find_json('[{"a":1}] so ]') == ('{"a": 1}', None) and find_json('so [1, 2] and {"b": 2}') == ('[1, 2]', None)
+
+
 def test_trees(spark):
     paths = ["a/b/c/d.py"] * 3 + ["a/e.py", "f.py", "docs/g.py"]
     t = extract.tree_counts(spark.createDataFrame([(p,) for p in paths], "path string"), cap=3)

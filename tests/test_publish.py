@@ -54,6 +54,28 @@ def test_publish_and_read(spark, published):
     assert kb.refresh() and kb.version == "v2"
 
 
+def test_requests_as_rows(spark, published):
+    """Every kind of request at once, faults, nulls and parameters in any order among them."""
+    out, go = published
+    go("v1")
+    kb = KnowledgeBase(spark, out)
+    urls = {
+        1: "https://s.example/api/search?limit=1&q=saw+ECONN%20again", 2: "/api/search/?message=unable%20verify%20certificate&repo=o/n", 3: "/api/search?q=unable+verify+certificate&repo=o%2Fother",
+        4: "/api/search?q=&message=x", 5: "/api/search?xq=a", 6: f"/api/errors/{'a' * 16}", 7: f"/api/errors/{'f' * 16}/", 8: f"/api/errors/{'A' * 16}", 9: "/api/repos#top", 10: "/api", 11: "", 12: None, 15: "/api/search?q=%zz&limit=x",
+    }
+    asked = [(n, "GET", u) for n, u in urls.items()] + [(13, "OPTIONS", "/x"), (14, None, "/api/repos")]
+    got = {r.rid: (r.status, r.body and json.loads(r.body)) for r in kb.respond(spark.createDataFrame(asked, "rid long, method string, url string")).collect()}
+    assert {n: s for n, (s, _) in got.items()} == {1: 200, 2: 200, 3: 200, 4: 400, 5: 400, 6: 200, 7: 404, 8: 404, 9: 200, 10: 404, 11: 404, 12: 404, 13: 204, 14: 405, 15: 200}
+    assert [(m["id"], m["matchType"], m["score"]) for m in got[1][1]["matches"]] == [("a" * 16, "exact-code", 1.0)] and got[1][1]["datasetVersion"] == "v1"
+    assert [(m["repo"], m["url"], "code" in m) for m in got[2][1]["matches"]] == [("o/n", "https://example.org/o/n/cert/", False)]
+    assert got[3][1]["matches"] == got[15][1]["matches"] == [] and got[13][1] is None
+    assert got[6][1]["record"]["errorMessage"] == "connection refused by peer" and got[7][1] == {"error": "not found"} and got[4][1] == {"error": "missing q parameter"}
+    assert [r["repo"] for r in got[9][1]["repos"]] == ["o/n"] and got[10][1]["error"] == "unknown endpoint" and got[14][1] == {"error": "method not allowed"}
+    named = spark.createDataFrame([("o/n", "cert"), ("o/n", "cert"), ("o/n", "none"), (None, None)], "repo string, slug string")
+    assert [r.id for r in kb.get_named(named).collect()] == ["b" * 16]
+    assert kb.respond(spark.createDataFrame([], "rid long, method string, url string")).count() == 0
+
+
 def test_tampered_index(spark, published):
     out, go = published
     go("v1")
@@ -116,6 +138,9 @@ def test_shards(spark, tmp_path):
     best = {r.qid: (r.id, r.match) for r in got if r["rank"] == 1}
     assert best == {0: ("aa00000000000001", "exact-code"), 1: ("dd00000000000004", "fuzzy"), 2: ("cc00000000000003", "fuzzy"), 3: ("bb00000000000002", "fuzzy")}
     assert all(r.repo == "o/a" for r in shards.search(asked, repo="o/a").collect())
+    own = lambda rows: sorted((r.qid, r["rank"], r.idx) for r in rows.collect())
+    each = asked.withColumn("repo", F.element_at(F.array(F.lit("o/a"), F.lit("o/b"), F.lit(None)), (F.col("qid") % 3 + 1).cast("int")))
+    assert own(shards.search(each)) == sorted(own(shards.search(asked.where("qid % 3 = 0"), repo="o/a")) + own(shards.search(asked.where("qid % 3 = 1"), repo="o/b")) + own(shards.search(asked.where("qid % 3 = 2"))))
     few = Shards(spark, str(tmp_path))
     few.search(asked.where("qid = 3")).collect()
     assert len([p for p in few.reads if p.startswith("tokens/")]) <= 2 and not [p for p in few.reads if p.startswith("codes/")]

@@ -130,3 +130,35 @@ def test_a_killed_run_asks_no_answered_prompt_again(spark, tmp_path):
     assert rows == {i: json.dumps({"said": f"p{i}"}) for i in range(12)}
     assert {p for p, _ in second.calls()} == {f"p{i}" for i in range(12)} - answered
     assert prompts.where(F.lit(False)).count() == 0 and oracle.ask_resumably(prompts.limit(0), [second], folder, 1).count() == 0
+
+
+class Narrow(Counting):
+    """Times out over `most` items, has no answer to what holds an x."""
+
+    most = 12
+
+    def ask(self, prompt):
+        super().ask(prompt)
+        if prompt.count(",") >= self.most:
+            raise TimeoutError("late")
+        return "no" if "x" in prompt else json.dumps({"n": prompt.count(",") + 1})
+
+
+def test_batches_are_halved_level_by_level(spark, tmp_path):
+    """Deep: down to short parts, whose failures are their own. Once: only after timeouts. Later runs ask halves at once."""
+    items = [str(i) for i in range(29)]
+    rows = [("a", items), ("b", [*items[:9], "x"]), ("c", []), ("c", None), (None, ["7"])]
+    batches = spark.createDataFrame(rows, "key string, items array<string>")
+    text = lambda c: F.array_join(c, ",")
+    ask = lambda model, folder, **k: sorted(((r.key, r.at, len(r["items"]), r.json, (r.error or "")[:7]) for r in oracle.ask_batches(batches, [model], str(folder), 2, text, **k).collect()), key=str)
+    yes = lambda n: json.dumps({"n": n})
+    first = Narrow(tmp_path / "one")
+    deep = [("a", 0, 8, yes(8), ""), ("a", 15, 7, yes(7), ""), ("a", 22, 7, yes(7), ""), ("a", 8, 7, yes(7), ""), ("b", 0, 5, yes(5), ""), ("b", 5, 5, None, "parse"), (None, 0, 1, yes(1), "")]
+    assert ask(first, tmp_path / "kept", deep=True) == sorted(deep, key=str)
+    assert {p.count(",") + 1 for p, _ in first.calls()} == {29, 15, 14, 8, 7, 10, 5, 1} and max(n for _, n in first.calls()) <= 2
+    later = Narrow(tmp_path / "two")
+    assert ask(later, tmp_path / "kept", deep=True) == sorted(deep, key=str)
+    assert {p for p, _ in later.calls()} == {",".join(rows[1][1]), ",".join(rows[1][1][5:])}  # only what failed, and what it is a half of
+    once = ask(Narrow(tmp_path / "three"), tmp_path / "fresh")
+    assert [r for r in once if r[0] == "a"] == [("a", 0, 15, None, "timeout"), ("a", 15, 14, None, "timeout")] and ("b", 0, 10, None, "parse") in once
+    assert oracle.ask_batches(batches.limit(0), [later], str(tmp_path / "none"), 1, text).count() == 0
