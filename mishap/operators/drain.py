@@ -69,11 +69,11 @@ def drain(table: Keyed, corpus: DataFrame, repos: DataFrame, run: Callable[[Data
             # runs happen once, whatever reads their outcomes
             found = run(claimed).select("repo", "outcome", "error", "ran_at", "held_large")
             at = f"{table.root}/outcomes/{uuid.uuid4().hex}"
-            known = claimed.select("repo", "kind", "place").join(found, "repo", "left")
+            known = claimed.select("repo", "kind", "place").join(found.hint("merge"), "repo", "left")
             known.withColumn("error", F.when(F.col("outcome").isNull(), "no outcome").otherwise(F.col("error"))).fillna({"outcome": "failed", "ran_at": 0, "held_large": False}).write.parquet(at)
             outcomes = claimed.sparkSession.read.parquet(at)
             now = clock()
-            table.commit(lambda queue: settle(queue.join(outcomes.select("repo"), "repo", "left_semi"), outcomes.select("repo", "outcome", "error", "ran_at", "held_large"), now))
+            table.commit(lambda queue: settle(queue.join(outcomes.select("repo").hint("merge"), "repo", "left_semi"), outcomes.select("repo", "outcome", "error", "ran_at", "held_large"), now))
             row = _count(out, outcomes, started, row, limits.breaker)
     out.left_queued = table.read().where("status = 'queued'").count()
     out.stopped_for_restart = out.stopped_for_restart and out.left_queued > 0

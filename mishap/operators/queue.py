@@ -39,7 +39,7 @@ def seed_summary(seeded: DataFrame) -> DataFrame:
 def claim_order(queue: DataFrame, repos: DataFrame, exclusive: bool = False, prefer: str = "fresh") -> DataFrame:
     """Queued rows of the level in the order of claims: preferred kind, priority, age, name."""
     rows = queue.where("status = 'queued'").where(F.col("solo") == 2 if exclusive else F.col("solo") < 2)
-    return rows.join(repos.select("repo", "analyzed_sha"), "repo", "left").orderBy(*order_of_claims(prefer))
+    return rows.join(repos.select("repo", "analyzed_sha").hint("merge"), "repo", "left").orderBy(*order_of_claims(prefer))
 
 
 def order_of_claims(prefer: str) -> list[Column]:
@@ -87,7 +87,7 @@ def settle(queue: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
 
     A host fault below level 2 is queued again, at level 2 if it ran at level 1 or held the large
     slot, else at 1; other failures settle."""
-    rows = queue.join(outcomes, "repo", "left")
+    rows = queue.join(outcomes.hint("merge"), "repo", "left")  # a round's outcomes don't pass the driver
     infra = is_escalated()
     level = F.when((F.col("ran_at") >= 1) | F.col("held_large"), 2).otherwise(1)
     hit = F.col("outcome").isNotNull()

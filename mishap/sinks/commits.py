@@ -80,8 +80,9 @@ class Keyed:
         if not later:
             return self._files("rows", whole, self.schema).drop("__n")
         # the whole table but for keys of later commits, and of each of those what its last commit says
-        last = self._files("keys", later, key_schema).groupBy(*self.keys).agg(F.max("__n").alias("__n"))
-        old = self._files("rows", whole, self.schema).drop("__n").join(last.select(*self.keys), self.keys, "left_anti")
+        # merged, as each round of a table's writers would send these keys through the driver for a broadcast
+        last = self._files("keys", later, key_schema).groupBy(*self.keys).agg(F.max("__n").alias("__n")).hint("merge")
+        old = self._files("rows", whole, self.schema).drop("__n").join(last.select(*self.keys).hint("merge"), self.keys, "left_anti")
         new = self._files("rows", later, self.schema).join(last, [*self.keys, "__n"]).drop("__n")
         return old.select(*self.schema.names).unionByName(new.select(*self.schema.names))
 
